@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 #: Distances 1 to 120 mean near pixels (left, above), the nearest first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 _CHUNK = 1 << 15
+_EIGHT = np.arange(8, dtype=np.intp)
+_PLACE = np.arange(8 * _CHUNK, dtype=np.intp)
 
 
 class Bits:
@@ -76,7 +79,7 @@ class Code:
         elif sum(1 << (15 - n) for _, n, _ in used) != 1 << 15:
             raise ValueError("a prefix code isn't complete")
         self.bits = max(n for _, n, _ in used)
-        self.symbol, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
+        self.symbol, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.intp)
         for symbol, n, code in used:
             self.symbol[code :: 1 << n], self.length[code :: 1 << n] = symbol, n
         self.only = used[0][0] if self.bits == 0 else None
@@ -104,7 +107,25 @@ def _code(lengths: list[int]) -> Code:
     return _codes[key]
 
 
+_seen: dict[int, list[tuple[int, int, Code]]] = {}
+
+
 def _read_code(bits: Bits, size: int) -> Code:
+    """A code met lately is known by its bits and isn't parsed again."""
+    for n, value, code in _seen.get(size, ()):
+        low = bits.at >> 3
+        if int.from_bytes(bits.data[low : low + (n + 14) // 8], "little") >> (bits.at & 7) & ((1 << n) - 1) == value:
+            bits.at += n
+            return code
+    first = bits.at
+    code = _parse_code(bits, size)
+    n, low = bits.at - first, first >> 3
+    value = int.from_bytes(bits.data[low : low + (n + 14) // 8], "little") >> (first & 7) & ((1 << n) - 1)
+    _seen[size] = [(n, value, code), *_seen.get(size, ())][:8]
+    return code
+
+
+def _parse_code(bits: Bits, size: int) -> Code:
     if bits.read(1):
         two, lengths = bits.read(1), [0] * size
         first = bits.read(8 if bits.read(1) else 1)
@@ -142,30 +163,33 @@ def _extended(bits: Bits, symbol: int) -> int:
 
 def _literals(bits: Bits, code: Code, most: int) -> np.ndarray:
     """Symbols up to the first that isn't a literal, ``most`` of them at most; bits move behind them."""
-    out, mask = [], np.uint32((1 << code.bits) - 1)
+    out, mask = [], (1 << code.bits) - 1
     while most > 0:
         low = bits.at >> 3
-        raw = np.frombuffer(bits.data, np.uint8, min(_CHUNK, len(bits.data) - low), low).astype(np.uint32)
-        raw = np.concatenate([raw, np.zeros(2, np.uint32)])
-        n = 8 * (len(raw) - 2)
-        window = ((raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16))[:, None] >> np.arange(8, dtype=np.uint32)).ravel() & mask
-        symbol = code.symbol[window]
+        raw = np.frombuffer(bits.data, np.uint8, min(_CHUNK, len(bits.data) - low), low).astype(np.intp)
+        three = raw.copy()
+        three[:-1] |= raw[1:] << 8
+        three[:-2] |= raw[2:] << 16
+        n = 8 * len(raw)
+        window = (three[:, None] >> _EIGHT).ravel()
+        window &= mask
         # near the end of the chunk a code may lack bits: stop there unless the data end too
         last = n if low + _CHUNK >= len(bits.data) else n - 16
-        after = np.append(np.minimum(np.arange(n, dtype=np.int32) + code.length[window], n), np.int32(n)).astype(np.int32)
+        after = np.empty(n + 16, np.intp)
+        np.add(code.length.take(window), _PLACE[:n], out=after[:n])
         after[last:] = n
-        two = after[after]
-        four = two[two]
-        eight = memoryview(four[four])
+        two = after.take(after, mode="clip")
+        four = two.take(two, mode="clip")
+        eight = memoryview(four.take(four, mode="clip"))
         walk, at = [], bits.at & 7
         while at < last:
             walk.append(at)
             at = eight[at]
-        at = np.array(walk, np.int64)
+        at = np.array(walk, np.intp)
         one = after[at]
         at = np.stack([at, one, two[at], two[one], four[at], four[one], four[two[at]], four[two[one]]], 1).ravel()
         at = at[at < last][:most]
-        found = symbol[at]
+        found = code.symbol[window[at]]
         stop = np.flatnonzero(found >= 256)
         end = int(stop[0]) if len(stop) else len(at)
         out.append(found[:end])
@@ -175,7 +199,7 @@ def _literals(bits: Bits, code: Code, most: int) -> np.ndarray:
             break
         if not len(at):
             break
-        bits.at = 8 * low + int(at[-1]) + int(code.length[window[at[-1]]])
+        bits.at = 8 * low + int(after[at[-1]] if at[-1] + 16 < last else at[-1] + code.length[window[at[-1]]])
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
@@ -227,9 +251,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                 d -= 120
             if d > i or i + length > n:
                 raise ValueError("a back-reference leaves the image")
-            for at in range(i, i + length, d):
-                k = min(d, i + length - at)
-                out[at : at + k] = out[at - d : at - d + k]
+            out[i : i + length] = out[i - d : i] if length == d else np.resize(out[i - d : i], length)
             remember(i, i + length)
             i += length
         else:
@@ -359,9 +381,9 @@ def decode_file(data: bytes, at: int = 0) -> tuple[int, int, np.ndarray, int]:
 
 def _text_lengths() -> list[int]:
     """Code lengths of the encoder's green code: symbols ranked by use in text, with falling weights."""
-    common = b" etaonirshdlucmgfpwbyv.\nk,x\xc3|jzqETAOISNRHDLCMWFBPGUYVKXJZQ\xa9\xa8\xa0\xaa\xbc\xa4\xb6\xb3\xad\x9f-'\"!?:;()$%&*#/0123456789=_+<>@[]\\"
+    common = b" etanihorsdlu\xc3c.gb,fwym\xa9pvkzqx\xb3\xa8\nETA|OISNRHDLCMWFBPGUYVKXJZQj\xa0\xaa\xbc\xa4\xb6\xad\x9f\xb1\xa7-'\"!?:;()$%&*#/0123456789=_+<>@[]\\"
     rank = {b: r for r, b in enumerate(dict.fromkeys([*common[:24], 255, *(256 + i for i in range(10, 19)), *common[24:], *range(280)]))}
-    heap = [(1 / (rank[s] + 3) ** 1.3, s, (s,)) for s in range(280)]
+    heap = [(0.15 * math.exp(-rank[s] / 6) + 0.006 / (1 + rank[s] / 10), s, (s,)) for s in range(280)]
     lengths = [0] * 280
     heapq.heapify(heap)
     while len(heap) > 1:
@@ -394,9 +416,10 @@ class _Encoder:
                 bits += [codes[16], (k - 3, 2)]
                 i, run = i + k, run - k
         # subtract-green and no other transform; no cache, no groups; red and blue 0, alpha 255, distance 2
-        self.head = [(1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1), *bits, (0b0001, 4), (0b0001, 4), (0b101, 3), (255, 8), (0b1001, 4)]
+        self.head = self._bits([(1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1), *bits, (0b0001, 4), (0b0001, 4), (0b101, 3), (255, 8), (0b1001, 4)])
 
-    def _bits(self, pairs: list[tuple[int, int]]) -> np.ndarray:
+    @staticmethod
+    def _bits(pairs: list[tuple[int, int]]) -> np.ndarray:
         return np.array([v >> k & 1 for v, n in pairs for k in range(n)], np.uint8)
 
     def stream(self, samples: np.ndarray, height: int) -> bytes:
@@ -408,7 +431,7 @@ class _Encoder:
         n = self.length[body]
         of = np.repeat(np.arange(len(body)), n)
         place = np.arange(len(of)) - (np.cumsum(n) - n)[of]
-        parts = [self._bits([(0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 4), *self.head]), (self.code[body][of] >> place & 1).astype(np.uint8)]
+        parts = [self._bits([(0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 4)]), self.head, (self.code[body][of] >> place & 1).astype(np.uint8)]
         if run:
             high = (run - 1).bit_length() - 1
             symbol = run - 1 if run <= 4 else 2 * high + ((run - 1) >> (high - 1) & 1)
