@@ -1,17 +1,20 @@
-"""The registered queries of this subpackage. None has SQL: fingerprints of shingles, trained models,
-permutations, image and archive formats are beyond it, so tests compare them with brute force."""
+"""The registered queries of this subpackage. Only op8 has SQL: fingerprints of shingles, trained models,
+permutations and image formats are beyond it, so tests compare the others with brute force."""
 
 from __future__ import annotations
 
-from eddyline.llm import bpe, language, mixing, quality, secrets, simhash, toxicity
+from eddyline.llm import bpe, language, mixing, neighbours, quality, secrets, simhash, toxicity, warc, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
+    "op6_webp": webp.op6_webp,
     "op7_simhash": simhash.op7_simhash,
+    "op8_warc": warc.op8_warc,
     "op9_language": language.op9_language,
     "op10_secrets": secrets.op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc": warc.SQL}
