@@ -1,0 +1,186 @@
+"""Tracing particles through a flow.
+
+STATE(tracer_id, x, y, z, time, status) is small and mutable, the flow large and fixed. Two forms:
+
+* Columns: a fixed number of unrolled steps for analytic flows, all in the JVM (`column_steps`).
+* Tasks: `trace_chunk` advances every tracer through a chunk of snapshots in one `mapInPandas`, vectorised over
+  a batch's tracers, and emits a row for each record. `trace` walks the chunks; between them the state is a
+  written table, so lineage never grows with time and a lost executor costs a task.
+
+Implicit steps stop tracer by tracer, so results don't depend on how tracers are dealt to tasks. Positions that
+aren't finite end a tracer (status done). Integration runs either way in time.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from eddyline.functions.stencil import midpoint_weights, pchip4_np
+
+SCHEMA = "tracer_id long, time double, x double, y double, z double, status string"
+
+
+def euler(v, p, t, dt):
+    return p + dt * v(p, t)
+
+
+def heun(v, p, t, dt):
+    v0 = v(p, t)
+    return p + dt / 2 * (v0 + v(p + dt * v0, t + dt))
+
+
+def implicit_trapezoid(v, p, t, dt, tol: float = 1e-8, max_iter: int = 20, relax: float = 1.0):
+    """Picard iteration; each tracer stops by itself, with its last iterate if it never settles."""
+    v0 = v(p, t)
+    new, open_ = p + dt * v0, np.ones(p.shape[1], bool)
+    for _ in range(max_iter):
+        step = relax * (p + dt / 2 * (v0 + v(new, t + dt)) - new)
+        new = np.where(open_, new + step, new)
+        settled = np.sqrt((step * step).sum(0)) <= tol * np.maximum(1, np.sqrt((new * new).sum(0)))
+        open_ &= ~settled & np.isfinite(new).all(0)
+        if not open_.any():
+            break
+    return new
+
+
+def runge_kutta(v, p, t, dt, mode: str = "exact"):
+    """Fourth order. ``mode`` says where velocities at the middle come from: ``exact`` (the flow itself), or four
+    snapshots around the step by ``lagrange`` weights or the ``monotone`` cubic."""
+
+    def middle(q):
+        if mode == "exact":
+            return v(q, t + dt / 2)
+        times = [t - dt, t, t + dt, t + 2 * dt]
+        samples = np.stack([v(q, s) for s in times])
+        if mode == "lagrange":
+            return np.tensordot(midpoint_weights(times), samples, 1)
+        nodes = np.arange(4.0).reshape(4, *[1] * (samples.ndim - 1)) * np.ones_like(samples)
+        return pchip4_np(nodes, samples, np.full(samples.shape[1:], 1.5))
+
+    k1 = v(p, t)
+    k2 = middle(p + dt / 2 * k1)
+    k3 = middle(p + dt / 2 * k2)
+    return p + dt / 6 * (k1 + 2 * k2 + 2 * k3 + v(p + dt * k3, t + dt))
+
+
+SCHEMES = {"euler": euler, "expl_trap": heun, "impl_trap": implicit_trapezoid, "rk4": runge_kutta}
+
+
+def column_steps(state: DataFrame, flow, scheme: str, dt: float, n_steps: int) -> DataFrame:
+    """``state`` (tracer_id, x, y, z, time) after n steps of ``euler``, ``expl_trap`` or ``rk4`` on an analytic
+    flow, as plain projections."""
+    out = state
+    for _ in range(n_steps):
+        p, t = [F.col(c) for c in "xyz"], F.col("time")
+
+        def staged(df: DataFrame, at: list[Column], when: Column, name: str) -> DataFrame:
+            return df.withColumns({f"__{name}{c}": v for c, v in zip("xyz", flow.velocity(*at, when), strict=True)})
+
+        def moved(name: str, h: float) -> list[Column]:
+            return [F.col(c) + h * F.col(f"__{name}{c}") for c in "xyz"]
+
+        out = staged(out, p, t, "a")
+        if scheme == "euler":
+            new = moved("a", dt)
+        elif scheme == "expl_trap":
+            out = staged(out, moved("a", dt), t + dt, "b")
+            new = [F.col(c) + dt / 2 * (F.col(f"__a{c}") + F.col(f"__b{c}")) for c in "xyz"]
+        elif scheme == "rk4":
+            out = staged(out, moved("a", dt / 2), t + dt / 2, "b")
+            out = staged(out, moved("b", dt / 2), t + dt / 2, "c")
+            out = staged(out, moved("c", dt), t + dt, "d")
+            new = [F.col(c) + dt / 6 * (F.col(f"__a{c}") + 2 * F.col(f"__b{c}") + 2 * F.col(f"__c{c}") + F.col(f"__d{c}")) for c in "xyz"]
+        else:
+            raise ValueError(f"no column form of {scheme!r}")
+        out = out.select(*(c for c in state.columns if c not in ("x", "y", "z", "time")), *(n.alias(c) for n, c in zip(new, "xyz", strict=True)), (t + dt).alias("time"))
+    return out
+
+
+def trace_chunk(state: DataFrame, flow, times: list[float], scheme: str = "impl_trap", records_only_last: bool = False, **options) -> DataFrame:
+    """TRAJ rows of every tracer through ``times``: those that wait (their time is later in the chunk's
+    direction) start at theirs, those that are done stay so. ``flow`` is pickled to tasks; large gridded flows
+    should read their snapshots from shared storage inside ``velocity_np``."""
+    step = SCHEMES[scheme]
+    forward = times[-1] >= times[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, p, t0 = batch["tracer_id"].to_numpy(), batch[["x", "y", "z"]].to_numpy(float).T.copy(), batch["time"].to_numpy(float)
+            done = (batch["status"] == "done").to_numpy()
+            rows = []
+
+            def record(mask, t, final=False):
+                if mask.any() and (final or not records_only_last):
+                    rows.append(pd.DataFrame({"tracer_id": ids[mask], "time": t if np.ndim(t) == 0 else t[mask], "x": p[0, mask], "y": p[1, mask], "z": p[2, mask], "status": np.where(done[mask], "done", "active")}))
+
+            last = t0.copy()
+            for a, b in zip(times[:-1], times[1:], strict=True):
+                on = ~done & ((t0 <= a) if forward else (t0 >= a))
+                if not on.any():
+                    continue
+                new = step(flow.velocity_np, p[:, on], a, b - a, **options)
+                fine = np.isfinite(new).all(0)
+                at = np.flatnonzero(on)
+                p[:, at[fine]] = new[:, fine]
+                done[at[~fine]] = True
+                last[at[fine]] = b
+                moved = np.zeros(len(ids), bool)
+                moved[at[fine]] = True
+                record(moved, b)
+            if records_only_last:
+                record(np.ones(len(ids), bool), last, True)
+            if rows:
+                yield pd.concat(rows)
+
+    return state.select("tracer_id", "x", "y", "z", "time", "status").mapInPandas(run, SCHEMA)
+
+
+def seed_state(seeds: DataFrame, t0: Column | None = None) -> DataFrame:
+    """STATE of seeds (tracer_id, x, y, z): active from ``t0`` (or their own column t0) on."""
+    return seeds.select("tracer_id", "x", "y", "z", (F.col("t0") if t0 is None else t0).cast("double").alias("time"), F.lit("active").alias("status"))
+
+
+def trace(seeds: DataFrame, flow, times: list[float], folder: str, scheme: str = "impl_trap", chunk: int = 10, **options) -> DataFrame:
+    """TRAJ(tracer_id, time, x, y, z, status) of seeds (tracer_id, x, y, z, t0) through all ``times``, written chunk by
+    chunk below ``folder``: the seeds' own rows first, then a table a chunk."""
+    spark = seeds.sparkSession
+    seed_state(seeds).write.parquet(f"{folder}/chunk=0")
+    parts = [f"{folder}/chunk=0"]
+    schema = spark.read.parquet(parts[0]).schema
+    read = lambda p: spark.read.schema(schema).parquet(p).select("tracer_id", "time", "x", "y", "z", "status")
+    state = read(parts[0])
+    for n, at in enumerate(range(0, len(times) - 1, chunk), 1):
+        span = times[at : at + chunk + 1]
+        path = f"{folder}/chunk={n}"
+        trace_chunk(state, flow, span, scheme, **options).write.parquet(path)
+        parts.append(path)
+        ahead = F.max_by(F.struct("time", "x", "y", "z", "status"), F.col("time") if times[-1] >= times[0] else -F.col("time")).alias("s")
+        next_state = state.unionByName(read(path)).groupBy("tracer_id").agg(ahead).select("tracer_id", "s.*")
+        next_state.write.parquet(f"{folder}/state={n}")
+        state = spark.read.parquet(f"{folder}/state={n}").select("tracer_id", "time", "x", "y", "z", "status")
+        if state.where("status = 'active'").isEmpty():
+            break
+    out = read(parts[0])
+    for path in parts[1:]:
+        out = out.unionByName(read(path))
+    return out
+
+
+def status_counts(traj: DataFrame, seeds: DataFrame) -> DataFrame:
+    """status, n: not started (no record but its seed), done or active, by each tracer's records."""
+    last = traj.groupBy("tracer_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("status", "time").alias("s"))
+    named = seeds.select("tracer_id").join(last, "tracer_id", "left").select(F.when(F.coalesce("n", F.lit(0)) <= 1, F.lit("not started")).otherwise(F.col("s")).alias("status"))
+    return named.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def located(state: DataFrame, n_parts: int, width: float = 0.1) -> DataFrame:
+    """``state`` dealt and sorted by direction, so that neighbours read the same cells."""
+    bins = {"__a": F.floor(F.atan2("y", "x") / width), "__b": F.floor(F.col("z") / (F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")) + 1e-300) / width)}
+    return state.withColumns(bins).repartitionByRange(n_parts, "__b", "__a").sortWithinPartitions("__b", "__a").drop("__a", "__b")

@@ -1,10 +1,607 @@
-"""Registered queries of the particle library."""
+"""Registered queries of the particle library, each over whole tables, with the SQL that says the same.
+
+The tables stand in for a simulation's: ``events`` are histories (a user is a tracer, the value its temperature
+and radius), ``orders`` give tracers their masses, ``embeddings`` are positions, ``lineitem`` weighted samples,
+``supplier`` and ``customer`` specifications of seeds. Floats are rounded, as two engines add in two orders.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eddyline.functions import geometry as g
+from eddyline.functions import stencil
+from eddyline.functions.flows import BlastWave, DiskWind
+from eddyline.operators import catalog, gather, history, seeding, tracing
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+EPOCH = 1_704_067_200_000_000  # 2024-01-01 in microseconds
+DAY = 86_400.0
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TRAJ(tracer_id, seq, time, r, temp, rho, ye, status)."""
+    e = read(spark, sf_dir, "events")
+    n = F.col("event_id")
+    return e.select(
+        F.col("user_id").alias("tracer_id"), n.alias("seq"), ((F.unix_micros(F.col("ts").cast("timestamp")) - EPOCH) / 1e6).alias("time"), F.col("value").alias("r"), F.col("value").alias("temp"),
+        (1 + (n * 7919 % 1000) / 1000).alias("rho"), ((n * 31 % 100) / 100).alias("ye"), F.col("event_type").alias("status"),
+    )
+
+
+TRAJ = f"""traj as (select user_id as tracer_id, event_id as seq, (epoch_us(ts) - {EPOCH}) / 1e6 as time, value as r, value as temp,
+  1 + (event_id * 7919 % 1000) / 1000 as rho, (event_id * 31 % 100) / 100 as ye, event_type as status from events)"""
+
+
+def masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PROPS(tracer_id, mass, dV)."""
+    o = read(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_custkey").alias("tracer_id")).agg((F.round(F.sum("o_totalprice"), 2) / 1e6).alias("mass"), F.count(F.lit(1)).cast("double").alias("dV"))
+
+
+PROPS = "props as (select o_custkey as tracer_id, round(sum(o_totalprice), 2) / 1e6 as mass, cast(count(*) as double) as dV from orders group by 1)"
+
+
+def positions(spark: SparkSession, sf_dir: str, scale: float = 10.0) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("tracer_id"), *((F.element_at("embedding", i).cast("double") * scale).alias(c) for i, c in enumerate("xyz", 1)))
+
+
+def _pos(scale: float = 10.0) -> str:
+    return f"pos as (select vec_id as tracer_id, cast(embedding[1] as double) * {scale} as x, cast(embedding[2] as double) * {scale} as y, cast(embedding[3] as double) * {scale} as z from embeddings)"
+
+
+def rounded(c: Column | str, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+# ---- coordinates and fields ------------------------------------------------------------------------------
+
+
+@query(f"""with {_pos()} select tracer_id, round(sqrt(x*x+y*y+z*z), 8) as r, round(acos(z / sqrt(x*x+y*y+z*z)), 8) as theta, round(z / sqrt(x*x+y*y+z*z), 8) as mu,
+  round(case when atan2(y, x) < 0 then atan2(y, x) + 2*pi() else atan2(y, x) end, 8) as phi from pos""")
+def p2_spherical_coordinates(spark, sf_dir):
+    p, (x, y, z) = positions(spark, sf_dir), map(F.col, "xyz")
+    return p.select("tracer_id", rounded(g.radius(x, y, z), 8).alias("r"), rounded(g.polar(x, y, z), 8).alias("theta"), rounded(g.polar(x, y, z, "mu"), 8).alias("mu"), rounded(g.azimuth(x, y), 8).alias("phi"))
+
+
+@query("select l_orderkey, l_linenumber, round(log10(l_extendedprice), 8) as log_r, round(asinh(l_extendedprice / 1000), 8) as asinh_r from lineitem")
+def p1_radial_transforms(spark, sf_dir):
+    r = F.col("l_extendedprice")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rounded(g.transformed(r, "log"), 8).alias("log_r"), rounded(g.transformed(r, "asinh", 1000.0), 8).alias("asinh_r"))
+
+
+_ANGLE = "(temp - 6.283185307179586 * floor(temp / 6.283185307179586))"
+
+
+@query(f"""with {TRAJ}, a as (select tracer_id, seq, time, {_ANGLE} as phi from traj),
+  d as (select *, phi - lag(phi) over (partition by tracer_id order by time, seq) as step from a)
+  select tracer_id, seq, round((phi + 2*pi() * sum(case when step > pi() then -1 when step < -pi() then 1 else 0 end) over (partition by tracer_id order by time, seq rows unbounded preceding)) * 180 / pi(), 6) as phi_deg from d""")
+def p4_unwrapped_angle(spark, sf_dir):
+    t = histories(spark, sf_dir)
+    phi = F.col("temp") - g.TWO_PI * F.floor(F.col("temp") / g.TWO_PI)
+    t = t.withColumn("phi", phi)
+    return t.select("tracer_id", "seq", rounded(g.unwrapped(F.col("phi"), "tracer_id", ["time", "seq"]) * (180 / math.pi)).alias("phi_deg"))
+
+
+@query("""select l_orderkey, l_linenumber, l_discount + l_tax as flux,
+  round(case when l_discount + l_tax > 0 then (l_discount * l_quantity + l_tax * l_extendedprice) / (l_discount + l_tax) else 0 end, 6) as energy from lineitem""")
+def p7_heavy_species(spark, sf_dir):
+    wa, wb = F.col("l_discount"), F.col("l_tax")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", g.summed_flux(wa, wb).alias("flux"), rounded(g.mean_energy(wa, F.col("l_quantity"), wb, F.col("l_extendedprice"))).alias("energy"))
+
+
+@query("""with d as (select event_id, case when event_id % 11 = 0 then 'nan'::double when event_id % 13 = 0 then 'infinity'::double when event_id % 17 = 0 then value * 1e6 else value end as v from events)
+  select event_id, case when not isnan(v) and abs(v) < 'infinity'::double and abs(v) <= 10000 then v else 0 end as v, not (not isnan(v) and abs(v) < 'infinity'::double and abs(v) <= 10000) as bad from d""")
+def p8_sanitised(spark, sf_dir):
+    n, v = F.col("event_id"), F.col("value")
+    e = read(spark, sf_dir, "events").select(n, F.when(n % 11 == 0, F.lit(float("nan"))).when(n % 13 == 0, F.lit(float("inf"))).when(n % 17 == 0, v * 1e6).otherwise(v).alias("v"))
+    return e.select(n, g.sanitised(F.col("v"), g.ENERGY_LIMIT).alias("v"), (~g.is_sane(F.col("v"), g.ENERGY_LIMIT)).alias("bad"))
+
+
+@query("""select l_orderkey, l_linenumber, case when l_linenumber <> 0 then round(l_extendedprice / l_linenumber, 6) end as eps, case when l_quantity <> 0 then round(l_linenumber / l_quantity, 8) end as flux from lineitem""")
+def p9_moment_reduction(spark, sf_dir):
+    n = F.col("l_linenumber").cast("double")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rounded(g.moment_energy(F.col("l_extendedprice"), n)).alias("eps"), rounded(g.moment_density(n, F.col("l_quantity")), 8).alias("flux"))
+
+
+@query(f"""with {_pos()}, s as (select tracer_id, 3 + sqrt(x*x+y*y+z*z) as r, acos(z / sqrt(x*x+y*y+z*z)) as th, atan2(y, x) as ph, x / 10 as u1, y / 100 as u2, z / 100 as u3 from pos),
+  f as (select *, sqrt(1 - 2 / r) / sqrt(1 + u1*u1 / (1 - 2/r) + (r*u2)*(r*u2) + (r*sin(th)*u3)*(r*sin(th)*u3)) as w from s),
+  c as (select *, w*u1 as vr, w*r*u2 as vt, w*r*sin(th)*u3 as vp from f)
+  select tracer_id, round(vr*sin(th)*cos(ph) + vt*cos(th)*cos(ph) - vp*sin(ph), 8) as vx, round(vr*sin(th)*sin(ph) + vt*cos(th)*sin(ph) + vp*cos(ph), 8) as vy, round(vr*cos(th) - vt*sin(th), 8) as vz from c""")
+def p11_transport_velocity(spark, sf_dir):
+    x, y, z = map(F.col, "xyz")
+    r = g.radius(x, y, z)
+    s = positions(spark, sf_dir).select("tracer_id", (r + 3).alias("r"), g.polar(x, y, z).alias("th"), F.atan2(y, x).alias("ph"), (x / 10).alias("u1"), (y / 100).alias("u2"), (z / 100).alias("u3"))
+    v = g.transport_velocity(*(F.col(c) for c in ("u1", "u2", "u3", "r", "th", "ph")), 1.0)
+    return s.select("tracer_id", *(rounded(c, 8).alias(n) for c, n in zip(v, ("vx", "vy", "vz"), strict=True)))
+
+
+@query("select event_id, case when value / 50 > 1 then round(sqrt(1 - 1 / ((value/50)*(value/50))), 8) else -1 end as v_inf from events")
+def p16_asymptotic_velocity(spark, sf_dir):
+    v = g.asymptotic_velocity(F.col("value") / 50)
+    return read(spark, sf_dir, "events").select("event_id", F.when(F.isnan(v), F.lit(-1.0)).otherwise(rounded(v, 8)).alias("v_inf"))
+
+
+@query("select o_orderkey, o_orderkey % 16 as i, 11 - (o_orderkey // 16) % 12 as j, o_orderkey // 192 as k, abs(o_totalprice - 200000) as mass from orders")
+def p20_grid_index(spark, sf_dir):
+    i, j, k = g.grid_index(F.col("o_orderkey"), 16, 12, flip=True)
+    return read(spark, sf_dir, "orders").select("o_orderkey", i.alias("i"), j.alias("j"), k.alias("k"), F.abs(F.col("o_totalprice") - 200000).alias("mass"))
+
+
+@query("""with c as (select o_orderkey, o_orderkey % 14 - 3 as j, o_orderkey % 26 - 5 as k from orders)
+  select o_orderkey, j, k, case when j < 0 then -j - 1 when j > 7 then 15 - j else j end as row_, (k + case when j < 0 or j > 7 then 8 else 0 end + 16) % 16 as col_ from c""")
+def i7_ghost_cells(spark, sf_dir):
+    j, k = F.col("o_orderkey") % 14 - 3, F.col("o_orderkey") % 26 - 5
+    row, col = g.ghost_cell(j, k, 8, 16)
+    return read(spark, sf_dir, "orders").select("o_orderkey", j.alias("j"), k.alias("k"), row.alias("row_"), col.alias("col_"))
+
+
+# ---- filters and the catalog -----------------------------------------------------------------------------
+
+
+def _files(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    day = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6 / DAY).alias("time")
+    return o.select(F.when(F.col("o_orderkey") % 97 == 0, F.lit("")).otherwise(F.concat(F.lit("f"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))).alias("path"), day, F.array("o_orderpriority").alias("keys"))
+
+
+_FILES = "files as (select case when o_orderkey % 97 = 0 then '' else 'f' || lpad(cast(o_orderkey as varchar), 9, '0') end as path, epoch_us(o_orderdate) / 1e6 / 86400.0 as time, o_orderpriority as key from orders)"
+
+
+@query(f"with {_FILES} select row_number() over (order by time) - 1 as time_idx, time, count(*) as n_files, min(path) as first_path, max(path) as last_path from files where path <> '' group by time")
+def s2_snapshot_catalog(spark, sf_dir):
+    return catalog.snapshots(_files(spark, sf_dir)).select(F.col("time_idx").cast("long").alias("time_idx"), "time", "n_files", F.array_min("paths").alias("first_path"), F.array_max("paths").alias("last_path"))
+
+
+@query(f"""with {_FILES}, k as (select distinct key from files), t as (select distinct time from files)
+  select t.time, k.key from t, k where not exists (select 1 from files f where f.time = t.time and f.key = k.key)""")
+def s2_incomplete_keys(spark, sf_dir):
+    keys = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return catalog.incomplete(_files(spark, sf_dir), keys)
+
+
+@query(f"with {_FILES} select time, key, max(path) as path from files group by 1, 2")
+def s12_latest_path_wins(spark, sf_dir):
+    f = _files(spark, sf_dir).select("time", F.explode("keys").alias("key"), "path")
+    return catalog.latest_path(f).select("time", "key", "path")
+
+
+@query(f"""with {_FILES}, t as (select row_number() over (order by time) - 1 as time_idx, time from (select distinct time from files)),
+  s as (select o_orderkey as seed_id, epoch_us(o_orderdate) / 1e6 / 86400.0 + (o_orderkey % 7) / 7.0 as t0 from orders)
+  select seed_id, (select arg_min(time_idx, abs(time - t0) + time * 1e-12) from t where time between t0 - 1.5 and t0 + 1.5) as time_idx from s""")
+def f4_nearest_snapshot(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    times = catalog.snapshots(f.withColumn("path", F.lit("f"))).select("time_idx", "time")
+    o = read(spark, sf_dir, "orders")
+    seeds = o.select(F.col("o_orderkey").alias("seed_id"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6 / DAY + (F.col("o_orderkey") % 7) / 7.0).alias("t0"))
+    return catalog.nearest_time(seeds, times, 1.5).select("seed_id", F.col("time_idx").cast("long").alias("time_idx"))
+
+
+@query(f"with {_FILES}, t as (select distinct time from files where time between 9000 and 10000), n as (select time, row_number() over (order by time desc) - 1 as step from t) select time, step from n where step % 3 = 0")
+def f5_every_nth_snapshot(spark, sf_dir):
+    times = _files(spark, sf_dir).select("time").distinct()
+    return catalog.every_nth(times, 10000.0, 9000.0, 3).select("time", F.col("step").cast("long").alias("step"))
+
+
+@query(f"with {_FILES}, t as (select distinct time from files) select * from (select time as t_b, lag(time) over (order by time) as t_a, lead(time) over (order by time) as t_c, lead(time, 2) over (order by time) as t_d from t) where t_c is not null")
+def j3_step_windows(spark, sf_dir):
+    times = catalog.snapshots(_files(spark, sf_dir).withColumn("path", F.lit("f")))
+    return catalog.step_windows(times).select("t_a", "t_b", "t_c", "t_d")
+
+
+@query(f"""with {_FILES}, t as (select distinct time from files), b as (select min(time) as lo, max(time) as hi from t),
+  s as (select time, cast(least(floor((time - lo) / ((hi - lo) / 12)), 11) as integer) as slot, (hi - lo) / 12 as dt from t, b)
+  select slot, time, count(*) over (partition by slot) as n_files, round(dt, 9) as dt from s""")
+def j6_slot_windows(spark, sf_dir):
+    times = catalog.snapshots(_files(spark, sf_dir).withColumn("path", F.lit("f"))).select("time_idx", "time")
+    return catalog.slots(times, 12).join(times, "time_idx").select("slot", "time", "n_files", rounded("dt", 9).alias("dt"))
+
+
+@query(f"with {TRAJ} select tracer_id, seq from traj where status in ('view', 'purchase')")
+def f6_status_filter(spark, sf_dir):
+    return histories(spark, sf_dir).where(F.col("status").isin("view", "purchase")).select("tracer_id", "seq")
+
+
+@query(f"with {TRAJ}, m as (select tracer_id, min(r * r) as r2 from traj group by 1) select t.tracer_id, t.seq from traj t join m using (tracer_id) where m.r2 >= 0.09")
+def f7_never_within_radius(spark, sf_dir):
+    t = histories(spark, sf_dir)
+    far = t.groupBy("tracer_id").agg(F.min(F.col("r") * F.col("r")).alias("r2")).where("r2 >= 0.09")
+    return t.join(far, "tracer_id", "left_semi").select("tracer_id", "seq")
+
+
+@query(f"with {TRAJ} select tracer_id, count(*) as n from traj group by 1 having min(r) < 0.3")
+def f8_reaching_inside(spark, sf_dir):
+    return histories(spark, sf_dir).groupBy("tracer_id").agg(F.min("r").alias("least"), F.count(F.lit(1)).alias("n")).where("least < 0.3").select("tracer_id", "n")
+
+
+@query("select vec_id from embeddings order by (vec_id * 2654435761 + 97) % 4294967296, vec_id limit 200")
+def f11_hash_sample(spark, sf_dir):
+    order = (F.col("vec_id") * F.lit(2654435761) + 97) % F.lit(4294967296)
+    return read(spark, sf_dir, "embeddings").orderBy(order, "vec_id").limit(200).select("vec_id")
+
+
+@query(f"""with {TRAJ}, m as (select tracer_id, max(temp) as v from traj group by 1), b as (select min(v) as lo, max(v) as hi from m),
+  s as (select tracer_id, v, floor((v - lo) / ((hi - lo) / 19) + 1e-12) as t from m, b) select tracer_id, v from (select *, row_number() over (partition by t order by v, tracer_id) as r from s) where r = 1""")
+def f12_even_by_value(spark, sf_dir):
+    m = histories(spark, sf_dir).groupBy("tracer_id").agg(F.max("temp").alias("v"))
+    return history.even_by_value(m, "v", 20).select("tracer_id", "v")
+
+
+# ---- interpolation ---------------------------------------------------------------------------------------
+
+_D = "case when s{a}*s{b} > 0 then 3*(h{a}+h{b}) / ((2*h{b}+h{a})/s{a} + (h{b}+2*h{a})/s{b}) else 0 end"
+
+
+@query(f"""with {TRAJ}, n as (select tracer_id, seq, temp as v0, time as x0, lead(temp, 1) over w as v1, lead(time, 1) over w as x1, lead(temp, 2) over w as v2, lead(time, 2) over w as x2, lead(temp, 3) over w as v3, lead(time, 3) over w as x3
+    from traj window w as (partition by tracer_id order by time, seq)),
+  s as (select *, x1-x0 as h0, x2-x1 as h1, x3-x2 as h2, (v1-v0)/(x1-x0) as s0, (v2-v1)/(x2-x1) as s1, (v3-v2)/(x3-x2) as s2 from n where v3 is not null),
+  d as (select *, {_D.format(a=0, b=1)} as d1, {_D.format(a=1, b=2)} as d2 from s)
+  select tracer_id, seq, round(v1*(1+2*0.3)*0.7*0.7 + v2*(3-2*0.3)*0.3*0.3 + h1*(d1*0.3*0.7*0.7 - d2*0.3*0.3*0.7), 6) as value from d""")
+def i1_monotone_cubic(spark, sf_dir):
+    w = history.by_time("seq")
+    t = histories(spark, sf_dir)
+    n = t.select("tracer_id", "seq", *(F.lead("temp", i).over(w).alias(f"v{i}") for i in range(4)), *(F.lead("time", i).over(w).alias(f"x{i}") for i in range(4))).where("v3 is not null")
+    x = [F.col(f"x{i}") for i in range(4)]
+    return n.select("tracer_id", "seq", rounded(stencil.pchip4(x, [F.col(f"v{i}") for i in range(4)], x[1] + 0.3 * (x[2] - x[1]))).alias("value"))
+
+
+def _lag(i: int) -> str:
+    return " * ".join(f"((x1+x2)/2 - x{j})/(x{i} - x{j})" for j in range(4) if j != i)
+
+
+@query(f"""with {TRAJ}, n as (select tracer_id, seq, time as x0, lead(time, 1) over w as x1, lead(time, 2) over w as x2, lead(time, 3) over w as x3 from traj window w as (partition by tracer_id order by time, seq))
+  select tracer_id, seq, {', '.join(f'round({_lag(i)}, 6) as w{i}' for i in range(4))} from n where x3 is not null""")
+def i8_midpoint_weights(spark, sf_dir):
+    w = history.by_time("seq")
+    n = histories(spark, sf_dir).select("tracer_id", "seq", *(F.lead("time", i).over(w).alias(f"x{i}") for i in range(4))).where("x3 is not null")
+    return n.select("tracer_id", "seq", *(rounded(c).alias(f"w{i}") for i, c in enumerate(stencil.midpoint_weight_columns([F.col(f"x{i}") for i in range(4)]))))
+
+
+def _grid(spark, sf_dir, n=12):
+    """A field on n x n x n cells, its values averages of line items dealt to the cells."""
+    li = read(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey") % n, F.col("l_partkey") % n, F.col("l_suppkey") % n
+    cells = li.groupBy(*(k.cast("int").alias(a) for k, a in zip(key, "ijk", strict=True))).agg(F.round(F.avg("l_quantity"), 6).alias("v"))
+    return cells.withColumn("time_idx", F.lit(0))
+
+
+_GRID = "cells as (select cast(l_orderkey % 12 as integer) as i, cast(l_partkey % 12 as integer) as j, cast(l_suppkey % 12 as integer) as k, round(avg(l_quantity), 6) as v from lineitem group by 1, 2, 3)"
+
+
+def _points(spark, sf_dir):
+    at = lambda c: 5.5 + F.least(F.greatest(F.col(c), F.lit(-4.0)), F.lit(4.0))
+    p = positions(spark, sf_dir)
+    return p.select(F.col("tracer_id").alias("point_id"), F.lit(0).alias("time_idx"), *(at(c).alias(f"f{a}") for c, a in zip("xyz", "ijk", strict=True)), *(at(c).alias(f"q_{a}") for c, a in zip("xyz", "ijk", strict=True)))
+
+
+@query(f"""with {_GRID}, {_pos()}, q as (select tracer_id as point_id, 5.5 + least(greatest(x, -4), 4) as fi, 5.5 + least(greatest(y, -4), 4) as fj, 5.5 + least(greatest(z, -4), 4) as fk from pos),
+  o as (select unnest([0, 1]) as d), c as (select q.*, a.d as di, b.d as dj, e.d as dk from q, o a, o b, o e),
+  w as (select point_id, cast(floor(fi) + di as integer) as i, cast(floor(fj) + dj as integer) as j, cast(floor(fk) + dk as integer) as k,
+    (case when di = 0 then 1 - (fi - floor(fi)) else fi - floor(fi) end) * (case when dj = 0 then 1 - (fj - floor(fj)) else fj - floor(fj) end) * (case when dk = 0 then 1 - (fk - floor(fk)) else fk - floor(fk) end) as w from c)
+  select point_id, case when sum(case when v is not null then w end) > 1 - 1e-9 then round(sum(w * v), 6) else -1 end as v from w left join cells using (i, j, k) group by 1""")
+def j1_linear_gather(spark, sf_dir):
+    out = gather.gather_linear(_points(spark, sf_dir), _grid(spark, sf_dir), ["v"])
+    return out.select("point_id", F.when(F.isnan("v"), F.lit(-1.0)).otherwise(rounded("v")).alias("v"))
+
+
+@query(f"""with {_GRID}, {_pos()} select tracer_id as point_id, v from pos left join cells on i = floor(5.5 + least(greatest(x, -4), 4) + 0.5) and j = floor(5.5 + least(greatest(y, -4), 4) + 0.5) and k = floor(5.5 + least(greatest(z, -4), 4) + 0.5)""")
+def i4_nearest_gather(spark, sf_dir):
+    return gather.gather_nearest(_points(spark, sf_dir), _grid(spark, sf_dir), ["v"])
+
+
+@query()
+def i2_monotone_gather(spark, sf_dir):
+    axis = [float(i) for i in range(12)]
+    return gather.gather_monotone(_points(spark, sf_dir), _grid(spark, sf_dir), "v", axis, axis, axis).select("point_id", rounded("v").alias("v"))
+
+
+@query(f"""with {_pos()}, s as (select tracer_id, floor((x + 8) / 16 * 8) as a, floor((y + 8) / 16 * 8) as b, floor((z + 8) / 16 * 8) as c from pos where abs(x) <= 8 and abs(y) <= 8 and abs(z) <= 8)
+  select tracer_id, cast(case when a < 2 and b < 2 and c < 2 then 1000 + a*4 + b*2 + c else (a // 2)*16 + (b // 2)*4 + c // 2 end as bigint) as block_id from s""")
+def j2_block_location(spark, sf_dir):
+    """Blocks of two cells; the corner root cell is refined once more (its slots are blocks of their own)."""
+    p = positions(spark, sf_dir).where("abs(x) <= 8 and abs(y) <= 8 and abs(z) <= 8").select("tracer_id", F.col("x").alias("x1"), F.col("y").alias("x2"), F.col("z").alias("x3"))
+    slots = spark.range(512).select(*(F.floor(F.col("id") / d).cast("int").bitwiseAND(F.lit(7)).alias(f"s{n}") for n, d in ((1, 64), (2, 8), (3, 1))))
+    fine = F.greatest("s1", "s2", "s3") < 2
+    block = F.when(fine, 1000 + F.col("s1") * 4 + F.col("s2") * 2 + F.col("s3")).otherwise(F.floor(F.col("s1") / 2) * 16 + F.floor(F.col("s2") / 2) * 4 + F.floor(F.col("s3") / 2))
+    faces = [-8.0, -4.0, 0.0, 4.0, 8.0]
+    found = gather.locate_blocks(p, slots.withColumn("block_id", block.cast("long")), {a: faces for a in ("x1", "x2", "x3")}, 1, {a: 1 for a in ("x1", "x2", "x3")})
+    return found.select("tracer_id", "block_id")
+
+
+# ---- seeds -----------------------------------------------------------------------------------------------
+
+
+def _shells(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spec_id"), F.lit(1.0).alias("r_min"), (2 + F.col("s_suppkey") % 5).cast("double").alias("r_max"))
+
+
+_CELLS = """cells as (select s_suppkey as spec_id, ir, ith, iph, pow(2.0 + s_suppkey % 5, ir / 4.0) as r0, pow(2.0 + s_suppkey % 5, (ir + 1) / 4.0) as r1, acos(1 - 2 * ith / 3.0) as th0, acos(greatest(1 - 2 * (ith + 1) / 3.0, -1)) as th1,
+  2*pi()*iph/6 as ph0, 2*pi()*(iph+1)/6 as ph1, s_suppkey * 72 + (ir * 3 + ith) * 6 + iph as tracer_id from supplier, range(4) a(ir), range(3) b(ith), range(6) c(iph))"""
+
+
+@query(f"""with {_CELLS} select tracer_id, round((r0+r1)/2 * sin((th0+th1)/2) * cos((ph0+ph1)/2), 8) as x, round((r0+r1)/2 * sin((th0+th1)/2) * sin((ph0+ph1)/2), 8) as y, round((r0+r1)/2 * cos((th0+th1)/2), 8) as z,
+  round((r0+r1)/2*(r0+r1)/2 * sin((th0+th1)/2) * (r1-r0)*(th1-th0)*(ph1-ph0), 8) as dV from cells""")
+def g1_volume_seeds(spark, sf_dir):
+    cells = seeding.volume_cells(_shells(spark, sf_dir), 4, 3, 6)
+    return cells.select("tracer_id", *(rounded(c, 8).alias(c) for c in ("x", "y", "z", "dV")))
+
+
+_GL = "gl as (select * from (values (-0.5773502691896257, 1.0), (0.5773502691896257, 1.0)) v(q, w))"
+
+
+@query(f"""with {_CELLS}, {_GL}, n as (select tracer_id, (r0+r1)/2 + (r1-r0)/2*a.q as r, (th0+th1)/2 + (th1-th0)/2*b.q as th, (ph0+ph1)/2 + (ph1-ph0)/2*c.q as ph,
+    a.w*b.w*c.w*(r1-r0)/2*(th1-th0)/2*(ph1-ph0)/2 as w from cells, gl a, gl b, gl c)
+  select tracer_id, round(sum(w*r*r*sin(th)*(1 + 0.5*sin(2*ph + 0.8))*4/(1 + r*r)), 7) as mass from n group by 1""")
+def g3_volume_masses(spark, sf_dir):
+    density = lambda r, th, ph: (1 + 0.5 * F.sin(2 * ph + 0.8)) * 4 / (1 + r * r)
+    return seeding.volume_masses(seeding.volume_cells(_shells(spark, sf_dir), 4, 3, 6), density).select("tracer_id", rounded("mass", 7).alias("mass"))
+
+
+@query(f"""with {_GL}, s as (select s_suppkey as spec_id, 2.0 + s_suppkey % 3 as radius from supplier),
+  c as (select s.*, 1 - 2*ith/3.0 as mu0, 1 - 2*(ith+1)/3.0 as mu1, 2*pi()*iph/4 as ph0, 2*pi()*(iph+1)/4 as ph1, spec_id*12 + ith*4 + iph as tracer_id from s, range(3) a(ith), range(4) b(iph)),
+  t as (select c_custkey % (select count(*) from supplier) as spec_id, c_custkey % 4 as slot, c_acctbal / 1000 as time, count(*) over (partition by c_custkey % (select count(*) from supplier), c_custkey % 4) as n_files from customer),
+  n as (select tracer_id, slot, radius, (mu0+mu1)/2 + (mu0-mu1)/2*a.q as mu, (ph0+ph1)/2 + (ph1-ph0)/2*b.q as ph, a.w*b.w*(mu0-mu1)/2*(ph1-ph0)/2 as w, time, n_files from c join t using (spec_id), gl a, gl b)
+  select tracer_id, slot, round(sum(w*radius*radius*(1 + mu*mu)*(2 + sin(ph))*(1 + time/100) * 0.5 / n_files), 6) as mass from n group by 1, 2""")
+def g2_surface_masses(spark, sf_dir):
+    suppliers = read(spark, sf_dir, "supplier")
+    n = suppliers.count()
+    specs = suppliers.select(F.col("s_suppkey").alias("spec_id"), (2.0 + F.col("s_suppkey") % 3).alias("radius"))
+    from pyspark.sql import Window
+
+    c = read(spark, sf_dir, "customer").select((F.col("c_custkey") % n).alias("spec_id"), (F.col("c_custkey") % 4).alias("slot"), (F.col("c_acctbal") / 1000).alias("time"), F.lit(0.5).alias("dt"))
+    slots = c.withColumn("n_files", F.count(F.lit(1)).over(Window.partitionBy("spec_id", "slot")))
+    flux = lambda r, mu, ph, t: (1 + mu * mu) * (2 + F.sin(ph)) * (1 + t / 100)
+    return seeding.surface_masses(seeding.surface_cells(specs, 3, 4), slots, flux, 2).select("tracer_id", "slot", rounded("mass").alias("mass"))
+
+
+@query("""with s as (select p_partkey as spec_id, 0.5 + p_size / 10.0 as radius, 0.1 as width, p_retailprice / 1000 as rho from part)
+  select spec_id * 6 + iph as tracer_id, round(radius * cos(2*pi()*iph/6), 8) as x, round(radius * sin(2*pi()*iph/6), 8) as y, round(rho*radius*width*(2*pi()/6), 8) as mass from s, range(6) a(iph)""")
+def g9_rings(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("spec_id"), (0.5 + F.col("p_size") / 10.0).alias("radius"), F.lit(0.1).alias("width"), (F.col("p_retailprice") / 1000).alias("rho"))
+    return seeding.rings(p, 6).select("tracer_id", *(rounded(c, 8).alias(c) for c in ("x", "y", "mass")))
+
+
+# ---- tracing ---------------------------------------------------------------------------------------------
+
+_WIND = DiskWind()
+_SPIN = "0.4 * pow(0.75 / greatest(sqrt(({x})*({x})+({y})*({y})+({z})*({z})), 1e-12), 2)"
+
+
+def _v(x: str, y: str, z: str, t: str) -> tuple[str, str, str]:
+    spin = _SPIN.format(x=x, y=y, z=z)
+    return f"(({x})/(({t})+15.0) - {spin}*({y}))", f"(({y})/(({t})+15.0) + {spin}*({x}))", f"(({z})/(({t})+15.0))"
+
+
+def _state(spark, sf_dir):
+    return positions(spark, sf_dir).withColumn("time", F.lit(0.0))
+
+
+def _recursive(body: str) -> str:
+    return f"with recursive {_pos()}, s(tracer_id, x, y, z, n) as (select tracer_id, x, y, z, 0 from pos union all {body}) select tracer_id, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from s where n = 4"
+
+
+_V0 = _v("x", "y", "z", "n*0.5")
+
+
+@query(_recursive(f"select tracer_id, x + 0.5*{_V0[0]}, y + 0.5*{_V0[1]}, z + 0.5*{_V0[2]}, n + 1 from s where n < 4"))
+def t4_forward_euler(spark, sf_dir):
+    return _final(tracing.column_steps(_state(spark, sf_dir), _WIND, "euler", 0.5, 4))
+
+
+_V1 = _v("x + 0.5*a", "y + 0.5*b", "z + 0.5*c", "n*0.5 + 0.5")
+
+
+@query(_recursive(f"""select tracer_id, x + 0.25*(a + {_V1[0]}), y + 0.25*(b + {_V1[1]}), z + 0.25*(c + {_V1[2]}), n + 1
+  from (select *, {_V0[0]} as a, {_V0[1]} as b, {_V0[2]} as c from s where n < 4) q"""))
+def t1_explicit_trapezoid(spark, sf_dir):
+    return _final(tracing.column_steps(_state(spark, sf_dir), _WIND, "expl_trap", 0.5, 4))
+
+
+_K2 = _v("x + 0.25*a", "y + 0.25*b", "z + 0.25*c", "n*0.5 + 0.25")
+_K3 = _v("x + 0.25*a2", "y + 0.25*b2", "z + 0.25*c2", "n*0.5 + 0.25")
+_K4 = _v("x + 0.5*a3", "y + 0.5*b3", "z + 0.5*c3", "n*0.5 + 0.5")
+
+
+@query(_recursive(f"""select tracer_id, x + 0.5/6*(a + 2*a2 + 2*a3 + {_K4[0]}), y + 0.5/6*(b + 2*b2 + 2*b3 + {_K4[1]}), z + 0.5/6*(c + 2*c2 + 2*c3 + {_K4[2]}), n + 1
+  from (select *, {_K3[0]} as a3, {_K3[1]} as b3, {_K3[2]} as c3 from (select *, {_K2[0]} as a2, {_K2[1]} as b2, {_K2[2]} as c2 from (select *, {_V0[0]} as a, {_V0[1]} as b, {_V0[2]} as c from s where n < 4) q) q) q"""))
+def t3_runge_kutta(spark, sf_dir):
+    return _final(tracing.column_steps(_state(spark, sf_dir), _WIND, "rk4", 0.5, 4))
+
+
+def _final(df: DataFrame) -> DataFrame:
+    return df.select("tracer_id", *(rounded(c).alias(c) for c in "xyz"))
+
+
+def _traced(spark, sf_dir, flow, scheme: str, times: list[float], **options) -> DataFrame:
+    state = tracing.seed_state(positions(spark, sf_dir), F.lit(times[0]))
+    return tracing.trace_chunk(state, flow, times, scheme, records_only_last=True, **options)
+
+
+@query()
+def t2_implicit_trapezoid(spark, sf_dir):
+    return _final(_traced(spark, sf_dir, _WIND, "impl_trap", [0.1 * n for n in range(31)]))
+
+
+@query()
+def t6_blast_wave_chunk(spark, sf_dir):
+    return _final(_traced(spark, sf_dir, BlastWave(), "rk4", [1 + 0.1 * n for n in range(31)], mode="monotone"))
+
+
+@query()
+def t11_backward(spark, sf_dir):
+    return _final(_traced(spark, sf_dir, _WIND, "rk4", [3 - 0.1 * n for n in range(31)]))
+
+
+# ---- analysis of histories -------------------------------------------------------------------------------
+
+
+@query("""select cast(least(floor((l_quantity - 1) / (49.0 / 39)) + 1, 39) as integer) as bin, round(sum(l_extendedprice), 2) as mass, count(*) as n from lineitem group by 1""")
+def a1_weighted_histogram(spark, sf_dir):
+    h = history.weighted_histogram(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 1.0, 50.0, 39)
+    return h.select("bin", rounded("mass", 2).alias("mass"), "n")
+
+
+@query("""select cast(least(floor((log10(l_extendedprice) - 2.5) / (3.0 / 40)) + 1, 40) as integer) as bin, round(sum(l_quantity), 4) as mass, count(*) as n from lineitem where l_extendedprice between pow(10, 2.5) and pow(10, 5.5) group by 1""")
+def a1_log_histogram(spark, sf_dir):
+    h = history.weighted_histogram(read(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", 10**2.5, 10**5.5, 40, log=True)
+    return h.select("bin", rounded("mass", 4).alias("mass"), "n")
+
+
+@query("""with h as (select cast(least(floor((l_extendedprice - 900) / (110000.0 / 80)) + 1, 80) as integer) as bin, sum(l_quantity) as mass from lineitem where l_extendedprice between 900 and 110900 group by 1)
+  select bin, round(mass, 4) as mass, round(sum(mass) over (order by bin rows unbounded preceding), 4) as enclosed from h""")
+def a3_enclosed_mass(spark, sf_dir):
+    h = history.weighted_histogram(read(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", 900.0, 110900.0, 80)
+    return history.cumulative(h).select("bin", rounded("mass", 4).alias("mass"), rounded("enclosed", 4).alias("enclosed"))
+
+
+@query(f"with {TRAJ}, m as (select tracer_id, max(temp) as peak from traj group by 1) select t.tracer_id, min(t.time) as t_peak, m.peak from traj t join m on t.tracer_id = m.tracer_id and t.temp = m.peak group by t.tracer_id, m.peak")
+def a5_peak(spark, sf_dir):
+    return history.peak(histories(spark, sf_dir))
+
+
+@query(f"""with {TRAJ}, m as (select tracer_id, max(temp) as peak from traj group by 1), p as (select t.tracer_id, min(t.time) as t_peak from traj t join m on t.tracer_id = m.tracer_id and t.temp = m.peak group by 1)
+  select t.tracer_id, t.seq from traj t join p using (tracer_id) where t.time >= p.t_peak""")
+def a5_after_peak(spark, sf_dir):
+    return history.after_peak(histories(spark, sf_dir)).select("tracer_id", "seq")
+
+
+@query(f"""with {TRAJ}, g as (select tracer_id, seq, rho, lag(rho) over w as f0, lead(rho) over w as f2, time - lag(time) over w as hs, lead(time) over w - time as hd from traj window w as (partition by tracer_id order by time, seq)),
+  d as (select *, case when f0 is null then (f2 - rho)/hd when f2 is null then (rho - f0)/hs else (hs*hs*f2 + (hd*hd - hs*hs)*rho - hd*hd*f0)/(hs*hd*(hd+hs)) end as df from g)
+  select tracer_id, seq, case when df is null then -1 when abs(df) < 1e-9 then -2 else round(rho / (abs(df) + 1e-300), 1) end as tau from d""")
+def a6_expansion_time(spark, sf_dir):
+    t = histories(spark, sf_dir)
+    slope = history.gradient(F.col("rho"), F.col("time"), history.by_time("seq"))
+    out = t.select("tracer_id", "seq", "rho", slope.alias("df"))
+    tau = F.when(F.isnan("df"), F.lit(-1.0)).when(F.abs("df") < 1e-9, F.lit(-2.0)).otherwise(rounded(F.col("rho") / (F.abs("df") + 1e-300), 1))
+    return out.select("tracer_id", "seq", tau.alias("tau"))
+
+
+@query(f"""with {TRAJ}, m as (select tracer_id, max(temp) as peak from traj group by 1), p as (select t.tracer_id, min(t.time) as t_peak from traj t join m on t.tracer_id = m.tracer_id and t.temp = m.peak group by 1),
+  s as (select t.tracer_id, t.time, t.seq, temp as b, ye as vb, lag(temp) over w as a, lag(ye) over w as va from traj t join p using (tracer_id) where t.time >= p.t_peak window w as (partition by t.tracer_id order by t.time, t.seq)),
+  f as (select *, row_number() over (partition by tracer_id order by time, seq) as r from s where a > 50 and b <= 50)
+  select tracer_id, round(va + (vb - va) * (50 - a) / (b - a), 8) as value from f where r = 1""")
+def a7_value_when_cooled(spark, sf_dir):
+    return history.value_when_cooled(histories(spark, sf_dir), 50.0, "ye", ties=("seq",)).select("tracer_id", rounded("value", 8).alias("value"))
+
+
+@query(f"""with {TRAJ}, s as (select tracer_id, time, seq, r, ye, lag(time) over w as t0, lag(r) over w as r0, lag(ye) over w as y0 from traj window w as (partition by tracer_id order by time, seq)),
+  f as (select *, row_number() over (partition by tracer_id order by time, seq) as n from s where r >= 120)
+  select tracer_id, round(case when r0 is null then time else t0 + (time - t0)*(120 - r0)/(r - r0) end, 4) as t_cross, round(case when r0 is null then ye else y0 + (ye - y0)*(120 - r0)/(r - r0) end, 8) as ye from f where n = 1""")
+def a8_first_crossing(spark, sf_dir):
+    c = history.first_crossing(histories(spark, sf_dir), 120.0, values=("ye",), ties=("seq",))
+    return c.select("tracer_id", rounded("t_cross", 4).alias("t_cross"), rounded("ye", 8).alias("ye"))
+
+
+@query(f"with {TRAJ} select tracer_id, time, temp, ye from (select *, row_number() over (partition by tracer_id order by time desc, seq desc) as n from traj) where n = 1")
+def a10_final_state(spark, sf_dir):
+    return history.final_state(histories(spark, sf_dir), ["temp", "ye"], ("seq",))
+
+
+def _daily(spark, sf_dir):
+    t = histories(spark, sf_dir).withColumn("day", F.floor(F.col("time") / DAY).cast("double"))
+    return t.groupBy("tracer_id", F.col("day").alias("time")).agg(F.max("r").alias("r"))
+
+
+_DAILY = "daily as (select tracer_id, cast(floor(time / 86400) as double) as time, max(r) as r from traj group by 1, 2)"
+_HELD = "held as (select tracer_id, max(time) as t_last, arg_max(r, time) as r_last from daily group by 1)"
+
+
+@query(f"""with {TRAJ}, {_DAILY}, {_HELD}, t as (select distinct time from daily)
+  select h.tracer_id, t.time, case when t.time >= t_last then r_last else coalesce(d.r, 0) end as r from held h cross join t left join daily d on d.tracer_id = h.tracer_id and d.time = t.time""")
+def j8_held_to_times(spark, sf_dir):
+    d = _daily(spark, sf_dir)
+    return history.held_to_times(d, d.select("time"))
+
+
+_OUTSIDE = f"""{TRAJ}, {PROPS}, {_DAILY}, {_HELD}, t as (select distinct time from daily),
+  g as (select h.tracer_id, t.time, case when t.time >= t_last then r_last else coalesce(d.r, 0) end as r from held h cross join t left join daily d on d.tracer_id = h.tracer_id and d.time = t.time),
+  m as (select time, sum(case when r >= 60 then mass else 0 end) as mass from g join props using (tracer_id) group by 1)"""
+
+
+@query(f"with {_OUTSIDE} select time, round(mass, 9) as mass from m")
+def a11_mass_outside(spark, sf_dir):
+    return history.mass_outside(_daily(spark, sf_dir), masses(spark, sf_dir), 60.0).select("time", rounded("mass", 9).alias("mass"))
+
+
+@query(f"with {_OUTSIDE}, q as (select time, round(mass, 9) as mass from m) select time, mass, round(coalesce((mass - lag(mass) over (order by time)) / (time - lag(time) over (order by time)), 0), 8) as rate from q")
+def a12_mass_rate(spark, sf_dir):
+    m = history.mass_outside(_daily(spark, sf_dir), masses(spark, sf_dir), 60.0).select("time", rounded("mass", 9).alias("mass"))
+    return history.rate(m).select("time", "mass", rounded("rate", 8).alias("rate"))
+
+
+@query(f"""with {TRAJ}, {PROPS}, l as (select tracer_id, temp, ye from (select *, row_number() over (partition by tracer_id order by time desc, seq desc) as n from traj) where n = 1)
+  select round(sum(case when temp / 50 > 1 then mass else 0 end) / sum(mass), 9) as unbound, count(*) as n from l join props using (tracer_id)""")
+def a13_unbound_fraction(spark, sf_dir):
+    last = history.final_state(histories(spark, sf_dir), ["temp"], ("seq",)).join(masses(spark, sf_dir), "tracer_id")
+    return last.agg(rounded(F.sum(F.when(F.col("temp") / 50 > 1, F.col("mass")).otherwise(0.0)) / F.sum("mass"), 9).alias("unbound"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {TRAJ} select tracer_id, round(avg(temp), 8) as mean, max(temp) as peak, count(*) as n from traj group by 1")
+def a14_tracer_means(spark, sf_dir):
+    return histories(spark, sf_dir).groupBy("tracer_id").agg(rounded(F.avg("temp"), 8).alias("mean"), F.max("temp").alias("peak"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""with e as (select l_linenumber, case when l_orderkey % 19 = 0 then 'nan'::double else l_discount - l_tax end as e from lineitem) select l_linenumber, round(sqrt(avg(case when isnan(e) then null else e * e end)), 9) as rms from e group by 1""")
+def a15_rms_error(spark, sf_dir):
+    e = F.when(F.col("l_orderkey") % 19 == 0, F.lit(float("nan"))).otherwise(F.col("l_discount") - F.col("l_tax"))
+    li = read(spark, sf_dir, "lineitem").select("l_linenumber", e.alias("e"))
+    return li.groupBy("l_linenumber").agg(rounded(F.sqrt(F.avg(F.when(~F.isnan("e"), F.col("e") * F.col("e")))), 9).alias("rms"))
+
+
+@query("""with e as (select l_linenumber as k, avg(l_extendedprice) / pow(2, 2 * l_linenumber) as err from lineitem group by 1) select k, round(log2(lag(err) over (order by k) / err), 6) as order_ from e""")
+def a16_convergence_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    e = read(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_extendedprice").alias("m")).withColumn("err", F.col("m") / F.pow(F.lit(2.0), 2 * F.col("k")))
+    return e.select("k", rounded(F.log2(F.lag("err").over(Window.orderBy("k")) / F.col("err"))).alias("order_"))
+
+
+@query("select l_orderkey, l_linenumber, cast((l_quantity >= 1)::int + (l_quantity >= 5)::int + (l_quantity >= 12.5)::int + (l_quantity >= 30)::int + (l_quantity >= 50)::int as integer) as idx from lineitem")
+def a20_searchsorted(spark, sf_dir):
+    edges = F.array(*map(F.lit, (1.0, 5.0, 12.5, 30.0, 50.0)))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", stencil.searchsorted(edges, F.col("l_quantity")).alias("idx"))
+
+
+@query(f"with {TRAJ}, n as (select tracer_id, arg_max(status, (time, seq)) as status from traj group by 1) select status, count(*) as n from n group by 1")
+def a22_status_counts(spark, sf_dir):
+    last = histories(spark, sf_dir).groupBy("tracer_id").agg(F.max_by("status", F.struct("time", "seq")).alias("status"))
+    return last.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select p.p_size as zone, round(avg(abs(l_discount - l_tax)), 9) as mean, round(max(abs(l_discount - l_tax)), 9) as most from lineitem join part p on l_partkey = p_partkey group by 1")
+def a24_disagreement_by_zone(spark, sf_dir):
+    d = F.abs(F.col("l_discount") - F.col("l_tax"))
+    li = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return li.groupBy(F.col("p_size").alias("zone")).agg(rounded(F.avg(d), 9).alias("mean"), rounded(F.max(d), 9).alias("most"))
+
+
+@query(f"""with {TRAJ}, {PROPS}, l as (select tracer_id, arg_max(rho, (time, seq)) as rho from traj group by 1)
+  select p.tracer_id, round(coalesce(dV * rho, mass), 9) as mass, mass as mass_quad from props p left join l using (tracer_id)""")
+def k2_latest_density_mass(spark, sf_dir):
+    m = history.latest_density_mass(histories(spark, sf_dir), masses(spark, sf_dir), ties=("seq",))
+    return m.select("tracer_id", rounded("mass", 9).alias("mass"), "mass_quad")
 
 
-def flagship(spark):
-    raise NotImplementedError
+def flagship(spark: SparkSession) -> DataFrame:
+    """A disk wind traced by the implicit scheme from the embeddings' positions, and where its tracers end."""
+    return t2_implicit_trapezoid(spark, "/root/testdata/sf0.001")
