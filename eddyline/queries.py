@@ -316,7 +316,7 @@ def i2_monotone_gather(spark, sf_dir):
 
 
 @query(f"""with {_pos()}, s as (select tracer_id, floor((x + 8) / 16 * 8) as a, floor((y + 8) / 16 * 8) as b, floor((z + 8) / 16 * 8) as c from pos where abs(x) <= 8 and abs(y) <= 8 and abs(z) <= 8)
-  select tracer_id, cast(case when a < 2 and b < 2 and c < 2 then 1000 + a*4 + b*2 + c else (a // 2)*16 + (b // 2)*4 + c // 2 end as bigint) as block_id from s""")
+  select tracer_id, cast(case when a < 2 and b < 2 and c < 2 then 1000 + a*4 + b*2 + c else floor(a / 2)*16 + floor(b / 2)*4 + floor(c / 2) end as bigint) as block_id from s""")
 def j2_block_location(spark, sf_dir):
     """Blocks of two cells; the corner root cell is refined once more (its slots are blocks of their own)."""
     p = positions(spark, sf_dir).where("abs(x) <= 8 and abs(y) <= 8 and abs(z) <= 8").select("tracer_id", F.col("x").alias("x1"), F.col("y").alias("x2"), F.col("z").alias("x3"))

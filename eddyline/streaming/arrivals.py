@@ -1,0 +1,22 @@
+"""Histories as they arrive: a stream of records, kept up by tracer.
+
+Watermarked windows give masses and means by time as records come in; peaks per tracer are a running
+aggregation. Both are plain streaming aggregations, so state lives in Spark's store and survives a restart.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def windowed_means(records: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """window_start, status, mean, n of a stream (ts, status, value), each window once it is past the watermark."""
+    out = records.withWatermark("ts", late).groupBy(F.window("ts", length), "status").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("window.start").alias("window_start"), "status", "mean", "n")
+
+
+def running_peaks(records: DataFrame) -> DataFrame:
+    """tracer_id, peak, t_peak (the first of equal peaks) of a stream (tracer_id, ts, value)."""
+    best = F.max_by("ts", F.struct("value", -F.unix_micros("ts")))
+    return records.groupBy("tracer_id").agg(F.max("value").alias("peak"), best.alias("t_peak"))
