@@ -1,0 +1,110 @@
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from eddyline.functions.flows import DiskWind, Rotation, Uniform
+from eddyline.functions.stencil import end_slope, midpoint_weights, pchip4, pchip4_np
+from eddyline.jobs.trace import Engine
+from eddyline.operators import catalog, tracing
+
+
+class Decay:
+    def velocity_np(self, p, t):
+        return -p
+
+
+class Wall:
+    def velocity_np(self, p, t):
+        return np.where(p > 2, np.nan, 1.0)
+
+
+def seeds(spark, points):
+    return spark.createDataFrame([(i, *map(float, p), 0.0, "active") for i, p in enumerate(points)], "tracer_id long, x double, y double, z double, time double, status string")
+
+
+@pytest.mark.parametrize(("scheme", "least"), [("euler", 0.9), ("expl_trap", 1.9), ("impl_trap", 1.9), ("rk4", 3.9)])
+def test_convergence_order(scheme, least):
+    errors = []
+    for k in range(3, 7):
+        p, n = np.ones((3, 1)), 2**k
+        for i in range(n):
+            p = tracing.SCHEMES[scheme](Decay().velocity_np, p, i / n, 1 / n)
+        errors.append(abs(p[0, 0] - math.exp(-1)))
+    assert all(math.log2(a / b) > least for a, b in zip(errors, errors[1:]))
+
+
+@pytest.mark.parametrize("mode", ["lagrange", "monotone"])
+def test_snapshot_modes_of_runge_kutta(mode):
+    flow, p = DiskWind(), np.array([[1.0, 0.8], [0.2, -0.9], [0.0, 0.0]])
+    q = p
+    for i in range(30):
+        q = tracing.runge_kutta(flow.velocity_np, q, i * 0.1, 0.1, mode)
+    assert np.allclose(q, flow.exact(p, 3.0), atol=1e-4)
+
+
+def test_exact_disk_wind_and_columns_agree_with_tasks(spark):
+    flow, points = DiskWind(), [(1, 0, 0), (0.5, 1, 0), (-1.2, 0.4, 0)]
+    s, times = seeds(spark, points), [0.1 * i for i in range(11)]
+    got = tracing.trace_chunk(s, flow, times, "rk4", records_only_last=True).toPandas().sort_values("tracer_id")
+    want = flow.exact(np.array(points, float).T, 1.0)
+    assert np.allclose(got[["x", "y", "z"]].to_numpy().T, want, atol=1e-7)
+    for scheme in ("euler", "expl_trap", "rk4"):
+        a = tracing.trace_chunk(s, flow, times[:4], scheme, records_only_last=True).toPandas().sort_values("tracer_id")
+        b = tracing.column_steps(s, flow, scheme, 0.1, 3).toPandas().sort_values("tracer_id")
+        assert np.allclose(a[["x", "y", "z"]], b[["x", "y", "z"]], atol=1e-12)
+
+
+def test_partitions_and_chunks_change_nothing(spark, tmp_path):
+    points = [(math.cos(a), math.sin(a), 0.1) for a in np.linspace(0, 6, 20)]
+    s = seeds(spark, points).drop("time", "status")
+    out = []
+    for n, (parts, chunk) in enumerate([(1, 10), (5, 10), (3, 4), (2, 1)]):
+        t = Engine(spark, f"{tmp_path}/{n}").integrate(s.repartition(parts), DiskWind(), 0.0, 1.0, 0.1, "impl_trap", chunk)
+        out.append(t.toPandas().sort_values(["tracer_id", "time"]).reset_index(drop=True))
+    for other in out[1:]:
+        pd.testing.assert_frame_equal(out[0], other)
+    assert len(out[0]) == 20 * 11
+
+
+def test_forward_then_backward(spark):
+    s = seeds(spark, [(1, 0.5, 0.2)])
+    ahead = tracing.trace_chunk(s, Rotation(), [0.05 * i for i in range(21)], "rk4", records_only_last=True)
+    back = tracing.trace_chunk(ahead, Rotation(), [1 - 0.05 * i for i in range(21)], "rk4", records_only_last=True).first()
+    assert np.allclose([back.x, back.y, back.z], [1, 0.5, 0.2], atol=1e-6)
+
+
+def test_late_seeds_and_ends(spark):
+    s = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0, "active"), (1, 0.0, 0.0, 0.0, 2.0, "active"), (2, 0.0, 0.0, 0.0, 9.0, "active")], "tracer_id long, x double, y double, z double, time double, status string")
+    rows = tracing.trace_chunk(s, Uniform((1, 0, 0)), [0.0, 1.0, 2.0, 3.0], "euler").toPandas()
+    assert rows.groupby("tracer_id").size().to_dict() == {0: 3, 1: 1}
+    end = tracing.trace_chunk(seeds(spark, [(0, 0, 0)]), Wall(), [0.0, 1.0, 2.0, 3.0, 4.0, 5.0], "euler", records_only_last=True).first()
+    assert end.status == "done" and end.time == 3.0
+
+
+def test_cubic_forms_agree(spark):
+    rng = np.random.default_rng(1)
+    x, v = np.cumsum(rng.uniform(0.1, 1, (4, 50)), 0), rng.normal(size=(4, 50))
+    q = x[1] + rng.uniform(0, 1, 50) * (x[2] - x[1])
+    df = spark.createDataFrame(pd.DataFrame({**{f"x{i}": x[i] for i in range(4)}, **{f"v{i}": v[i] for i in range(4)}, "q": q, "n": range(50)}))
+    got = df.select("n", pchip4([F.col(f"x{i}") for i in range(4)], [F.col(f"v{i}") for i in range(4)], F.col("q")).alias("r")).orderBy("n").toPandas()["r"]
+    assert np.allclose(got, pchip4_np(x, v, q), atol=1e-12)
+    spike = pchip4_np(np.arange(4.0)[:, None], np.array([[4.0, 0, 0, 0]]).T, np.array([1.5]))
+    assert spike[0] == 0
+    assert np.isnan(pchip4_np(np.arange(4.0)[:, None], np.array([[np.nan, 0, 0, 0]]).T, np.array([1.5])))[0]
+
+
+def test_weights_and_end_slopes():
+    assert np.allclose(midpoint_weights([0, 1, 2, 3]), np.array([-1, 9, 9, -1]) / 16)
+    assert abs(sum(midpoint_weights([-0.2, 0, 0.1, 0.3])) - 1) < 1e-12
+    assert end_slope(1.0, 1.0, 1.0, 1.0) == 1 and end_slope(1.0, 1.0, 1.0, 4.0) == 0 and end_slope(1.0, 1.0, 1.0, -10.0) == 3
+
+
+def test_chunks_cover_every_step_once():
+    for start, end, size, need in [(0, 50, 10, 2), (50, 0, 10, 2), (0, 7, 3, 2), (3, 20, 6, 4)]:
+        steps = [s for a, b in catalog.chunks(start, end, size, need) for s in range(a, b, 1 if end > start else -1)]
+        assert set(steps) == set(range(start, end, 1 if end > start else -1))
+    with pytest.raises(ValueError):
+        catalog.chunks(0, 5, 2, 4)
