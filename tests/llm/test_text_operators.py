@@ -286,7 +286,7 @@ def test_mixing_targets_and_counts(spark, docs, odd, empty):
 
 @pytest.mark.parametrize("n", [1, 2, 5, 64, 777])
 def test_permutations_are_permutations(spark, n):
-    df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("key")).alias("p"))
+    df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long")).alias("p"))
     got = [r.p for r in df.collect()]
     assert sorted(got) == list(range(n)) and (n < 50 or got != sorted(got))
 
