@@ -8,11 +8,15 @@ while the field is small and shuffles otherwise; points outside the radial range
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.functions.geometry import ghost_cell
-from eddyline.functions.stencil import pchip4, searchsorted
+from eddyline.functions.stencil import pchip4_np, searchsorted
 
 
 def uniform_coordinate(q: Column, first: float, step: float) -> Column:
@@ -58,26 +62,34 @@ def gather_nearest(points: DataFrame, field: DataFrame, keys: list[str], point:
 
 def gather_monotone(points: DataFrame, field: DataFrame, key: str, axis_i: list[float], axis_j: list[float], axis_k: list[float], point: str = "point_id", n_theta: int | None = None, n_phi: int | None = None, node_centred: bool = False) -> DataFrame:
     """point, <key>: the four-point monotone cubic along r, then the polar angle, then phi (the order counts, as
-    limiters aren't linear). Points carry q_i, q_j, q_k besides; axes are node positions, short beside the
+    limiters aren't linear), contracted in numpy on the joined 64 values of each point. Points carry q_i, q_j, q_k besides; axes are node positions, short beside the
     field. A point whose stencil leaves the grid is NaN."""
     rows = _corner_rows(points.select(point, "time_idx", "fi", "fj", "fk", "q_i", "q_j", "q_k"), 4)
     place = (F.col("__i") - F.floor("fi") + 1) + 4 * ((F.col("__j") - F.floor("fj") + 1) + 4 * (F.col("__k") - F.floor("fk") + 1))
     found = _cells(rows.withColumn("__p", place.cast("int")), field, [key], n_theta, n_phi, node_centred)
     full = found.groupBy(point, "fi", "fj", "fk", "q_i", "q_j", "q_k").agg(F.sort_array(F.collect_list(F.struct("__p", F.col(key).alias("v")))).alias("s")).where(F.size("s") == 64)
 
-    def node(axis: list[float], f: str, d: int) -> Column:
-        """Evenly spaced beyond the ends, as polar and azimuthal ghosts are."""
-        at = (F.floor(f) + d).cast("int")
-        inside = F.element_at(F.array(*map(F.lit, map(float, axis))), F.least(F.greatest(at, F.lit(0)), F.lit(len(axis) - 1)) + 1)
-        step = axis[1] - axis[0]
-        return inside + step * (F.when(at < 0, at).when(at > len(axis) - 1, at - (len(axis) - 1)).otherwise(F.lit(0)))
-
-    now = full.select(point, "q_i", "q_j", "q_k", "s", *(node(ax, f"f{a}", d).alias(f"x{a}{d + 1}") for a, ax in (("i", axis_i), ("j", axis_j), ("k", axis_k)) for d in range(-1, 3)))
-    axis = lambda a: [F.col(f"x{a}{d}") for d in range(4)]
-    now = now.select("*", *(F.element_at("s", i + 4 * m + 1)["v"].alias(f"v{i}_{m}") for m in range(16) for i in range(4)))
-    now = now.select(point, "q_j", "q_k", *(f"x{a}{d}" for a in "jk" for d in range(4)), *(pchip4(axis("i"), [F.col(f"v{i}_{m}") for i in range(4)], F.col("q_i")).alias(f"u{m}") for m in range(16)))
-    now = now.select(point, "q_k", *(f"xk{d}" for d in range(4)), *(pchip4(axis("j"), [F.col(f"u{4 * m + j}") for j in range(4)], F.col("q_j")).alias(f"t{m}") for m in range(4)))
-    now = now.select(point, pchip4(axis("k"), [F.col(f"t{m}") for m in range(4)], F.col("q_k")).alias(key))
+    axes = {a: np.array(v, float) for a, v in (("i", axis_i), ("j", axis_j), ("k", axis_k))}
+
+    def nodes(a: str, f: np.ndarray) -> np.ndarray:
+        """Positions (4, n) of a stencil's nodes; evenly spaced beyond the ends, as polar and azimuthal ghosts are."""
+        axis, at = axes[a], np.floor(f).astype(int) + np.arange(-1, 3)[:, None]
+        inside = np.clip(at, 0, len(axis) - 1)
+        return axis[inside] + (at - inside) * (axis[1] - axis[0])
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            column = lambda c: np.asarray(batch[c], float)  # noqa: E731, B023
+            v = np.asarray(batch["values"].flatten(), float).reshape(n, 4, 4, 4).transpose(3, 2, 1, 0)  # i, j, k, point
+            for a in "ijk":
+                x = nodes(a, column(f"f{a}")).reshape(4, *[1] * (v.ndim - 2), n) * np.ones(v.shape)
+                v = pchip4_np(x, v, np.broadcast_to(column(f"q_{a}"), v.shape[1:]))
+            yield pa.RecordBatch.from_arrays([batch[point], pa.array(v)], [point, key])
+
+    cubes = full.select(point, "fi", "fj", "fk", "q_i", "q_j", "q_k", F.transform("s", lambda c: c["v"].cast("double")).alias("values"))
+    kind = points.schema[point].dataType.simpleString()
+    now = cubes.mapInArrow(contract, f"`{point}` {kind}, `{key}` double")
     return points.select(point).join(now, point, "left").select(point, F.coalesce(key, F.lit(float("nan"))).alias(key))
 
 

@@ -602,6 +602,64 @@ def k2_latest_density_mass(spark, sf_dir):
     return m.select("tracer_id", rounded("mass", 9).alias("mass"), "mass_quad")
 
 
+@query("select o_orderkey, case when o_orderkey % 5 = 0 then o_totalprice when o_orderkey % 5 = 1 then o_totalprice * 2 else o_totalprice + o_custkey end as v, o_orderkey % 3 = 0 as has_all from orders")
+def p6_key_specs(spark, sf_dir):
+    """A combined key takes all of its parts; a file that lacks one doesn't have it."""
+    from eddyline.functions.keys import key_specs, missing
+
+    o = read(spark, sf_dir, "orders")
+    k, price = F.col("o_orderkey") % 5, F.col("o_totalprice")
+    raw = o.select("o_orderkey", price.alias("f:2"), F.when(k == 0, F.lit(0.0)).when(k == 1, price).otherwise(F.col("o_custkey").cast("double")).alias("f:3"))
+    spec = key_specs(["F_nux"], {})
+    have = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("f:2"), F.lit("f:3"))).otherwise(F.array(F.lit("f:2")))
+    return raw.select("o_orderkey", spec[0].column().alias("v"), (F.size(missing(spec, have)) == 0).alias("has_all"))
+
+
+@query("""with s as (select c_custkey as tracer_id, c_custkey % 30 as t0 from customer), e as (select distinct cast(floor((epoch_us(ts) - 1704067200000000) / 86400e6) as bigint) as t from events)
+  select t as time, count(*) as starting from s join e on s.t0 = e.t group by 1""")
+def j4_seed_activation(spark, sf_dir):
+    """How many waiting seeds start at each snapshot."""
+    days = histories(spark, sf_dir).select(F.floor(F.col("time") / DAY).alias("time")).distinct()
+    seeds = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tracer_id"), (F.col("c_custkey") % 30).alias("time"))
+    return seeds.join(days, "time").groupBy("time").agg(F.count(F.lit(1)).alias("starting"))
+
+
+@query("""select l_returnflag, l_linestatus, arg_min(l_linenumber, abs(l_linenumber - 3.4)) as idx from lineitem group by 1, 2""")
+def j9_nearest_radius(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.min_by("l_linenumber", F.abs(F.col("l_linenumber") - 3.4)).alias("idx"))
+
+
+@query(f"with {TRAJ}, v as (select tracer_id, seq, case when temp / 50 > 1 then sqrt(1 - 1 / ((temp/50)*(temp/50))) else null end as v from traj) select cast(least(floor(v * 40) + 1, 40) as integer) as bin, count(*) as n from v where v is not null group by 1")
+def a2_velocity_histogram(spark, sf_dir):
+    t = histories(spark, sf_dir).select(g.asymptotic_velocity(F.col("temp") / 50).alias("v"), F.lit(1.0).alias("w"))
+    return history.weighted_histogram(t, "v", "w", 0.0, 1.0, 40).select("bin", "n")
+
+
+@query("""with v as (select event_id, case when event_id % 7 = 0 then 'nan'::double when event_id % 23 = 0 then '-infinity'::double else value end as x from events)
+  select event_id, case when not isnan(x) and abs(x) < 'infinity'::double then 'active' else 'done' end as status from v""")
+def f1_finite_positions(spark, sf_dir):
+    n = F.col("event_id")
+    x = F.when(n % 7 == 0, F.lit(float("nan"))).when(n % 23 == 0, F.lit(float("-inf"))).otherwise(F.col("value"))
+    return read(spark, sf_dir, "events").select(n, F.when(g.is_sane(x), F.lit("active")).otherwise(F.lit("done")).alias("status"))
+
+
+@query()
+def i5_block_gather(spark, sf_dir):
+    """Points in blocks of their own nodes, two ghosts a side; the field is linear, which the cubic meets."""
+    from eddyline.operators.meshblock import gather_blocks
+
+    p = positions(spark, sf_dir).where("abs(x) < 8 and abs(y) < 8 and abs(z) < 8")
+    place = [F.floor((F.col(c) + 8) / 4).cast("int") for c in "xyz"]
+    points = p.select(F.col("tracer_id").alias("point_id"), *(F.col(c).alias(f"x{n}") for n, c in enumerate("xyz", 1)), (place[0] + 4 * place[1] + 16 * place[2]).alias("block_id"))
+    ids = points.select("block_id").distinct()
+    axis = lambda d: F.expr(f"transform(sequence(0, 7), i -> double(-8 + 4 * (floor(block_id / {d}) % 4) + i) - 1.5)")
+    blocks = ids.select("block_id", axis(1).alias("x1v"), axis(4).alias("x2v"), axis(16).alias("x3v"))
+    data = F.expr("flatten(flatten(transform(x3v, z -> transform(x2v, y -> transform(x1v, x -> x + 2 * y + 3 * z)))))")
+    got = gather_blocks(points, blocks.withColumn("data", data))
+    return got.join(points, "point_id").select("point_id", rounded("value", 8).alias("value"), rounded(F.col("x1") + 2 * F.col("x2") + 3 * F.col("x3"), 8).alias("want"))
+
+
 def flagship(spark: SparkSession) -> DataFrame:
     """A disk wind traced by the implicit scheme from the embeddings' positions, and where its tracers end."""
     return t2_implicit_trapezoid(spark, "/root/testdata/sf0.001")
