@@ -145,15 +145,17 @@ def mixed_texts(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataF
     """Pipeline stage: the mix as documents. A document has a row for each pass that takes words of it, with
     its whole text where the pass takes all, else the words taken, in order, joined by spaces; ``n_chars``
     follows. Wordless documents have no words to take and leave no row."""
-    same = F.xxhash64("doc_id", "source", "text").alias("same")
-    copy = F.row_number().over(Window.partitionBy("same", "doc_id").orderBy(F.lit(1))).alias("copy")
-    docs, dealt = plan(saved(sized(documents, same).select("*", copy), "mix-sizes"))
+    same = F.xxhash64("doc_id", "source", "text")
+    numbered = lambda name: F.row_number().over(Window.partitionBy(name, "doc_id").orderBy(F.lit(1)))
+    copy = numbered("__same")
+    docs, dealt = plan(saved(sized(documents, same.alias("same")).select("*", numbered("same").alias("copy")), "mix-sizes"))
     takes = dealt.select("rank", "block", "pass")
-    runs = _pieces(docs).join(takes, ["rank", "block"]).groupBy("rank", "start", F.col("doc_id").alias("its_id"), "size", "same", "copy", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "n"))).alias("runs"), F.sum("n").alias("words"))
-    whole = documents.withColumn("same", same).withColumn("copy", copy)
-    joined = whole.join(runs.drop("rank", "start"), ["same", "copy"]).where(F.col("doc_id").eqNullSafe(F.col("its_id")))
+    pieces = _pieces(docs).join(takes, ["rank", "block"]).groupBy("rank", "start", "doc_id", "size", "same", "copy", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "n"))).alias("runs"), F.sum("n").alias("words"))
+    runs = pieces.select("runs", *(F.col(c).alias(f"__{c}") for c in ("doc_id", "same", "copy")), (F.col("words") == F.col("size")).alias("__all")).withColumnRenamed("runs", "__runs")
+    whole = documents.withColumn("__same", same).withColumn("__copy", copy)
+    joined = whole.join(runs, ["__same", "__copy"]).where(F.col("doc_id").eqNullSafe(F.col("__doc_id")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["n"].cast("int")))), " ")
-    joined = joined.withColumn("all", F.col("words") == F.col("size")).withColumn("text", F.when(F.col("all"), F.col("text")).otherwise(cut))
-    joined = joined.withColumn("n_chars", F.when(F.col("all"), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
+    cut = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["n"].cast("int")))), " ")
+    joined = joined.withColumn("text", F.when(F.col("__all"), F.col("text")).otherwise(cut))
+    joined = joined.withColumn("n_chars", F.when(F.col("__all"), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
     return joined.select(*documents.columns)

@@ -162,5 +162,10 @@ def keep_good(spark: SparkSession, documents: DataFrame, sf_dir: str, threshold:
     """Pipeline stage: documents that the classifier doesn't reject, with their own columns."""
     labels = table(spark, sf_dir, "labels")
     model = train(documents, labels.where(~held_out(F.col("doc_id"), 5, 0)))
-    columns = tuple(documents.columns)
-    return score_documents(documents, model, threshold, columns).where("predicted = 1").select(*columns)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch["text"], shared.value) >= threshold))
+
+    return documents.mapInArrow(keep, documents.schema)
