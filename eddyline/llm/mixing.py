@@ -155,7 +155,8 @@ def mixed_texts(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataF
     whole = documents.withColumn("__same", same).withColumn("__copy", copy)
     joined = whole.join(runs, ["__same", "__copy"]).where(F.col("doc_id").eqNullSafe(F.col("__doc_id")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(words, (r["from"] + 1).cast("int"), r["n"].cast("int")))), " ")
+    taken = lambda w: F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(w, (r["from"] + 1).cast("int"), r["n"].cast("int")))), " ")
+    cut = F.element_at(F.transform(F.array(words), taken), 1)  # words bound once, not split anew for each run
     joined = joined.withColumn("text", F.when(F.col("__all"), F.col("text")).otherwise(cut))
     joined = joined.withColumn("n_chars", F.when(F.col("__all"), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
     return joined.select(*documents.columns)
