@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 from eddyline.functions.geometry import mean_energy, summed_flux
 
-#: The names that snapshot files use, and ours.
-FIELD_NAMES = {"e:0": "eps_nue", "e:1": "eps_anue", "f:0": "F_nue", "f:1": "F_anue"}
+#: Our keys and the names that snapshot files on a spherical grid use for them.
+GRID_NAMES = {
+    "rho": "dens", "T": "temperature", "r_0": "s_00", "u_t": "u_t", "V_u_x": "win_Vx", "V_u_y": "win_Vy", "V_u_z": "win_Vz",
+    "F_nue": "|F|:0", "F_anue": "|F|:1", "F_nux": "|F|:2", "F_anux": "|F|:3", "eps_nue": "e:0", "eps_anue": "e:1", "eps_nux": "e:2", "eps_anux": "e:3",
+}
+#: The same for files of mesh blocks.
+BLOCK_NAMES = {"rho": "rho", "press": "press", "r_0": "rYE", "s": "rENT", "T": "Temperature", "u_t": "u_t", "h": "h"}
 HEAVY = ("sum", "drop", "separate")
 
 
@@ -32,19 +37,22 @@ class KeySpec:
         return c[0].alias(self.key)
 
 
-def key_specs(keys: list[str], raw_of: dict[str, str], heavy: str = "sum", flux: tuple[str, str] = ("f:2", "f:3"), energy: tuple[str, str] = ("e:2", "e:3"), flux_key: str = "F_nux", energy_key: str = "eps_nux") -> list[KeySpec]:
-    """How to make each of ``keys``: by its raw name, or from two heavy species by ``heavy``: flux and energy
-    together (sum), of the first alone (drop), or each by its own name (separate)."""
+def key_specs(keys: list[str], names: dict[str, str] = GRID_NAMES, heavy: str = "sum") -> list[KeySpec]:
+    """How to make each of ``keys`` that there is; names that aren't listed are raw ones. The two heavy species
+    are one by ``sum`` (fluxes added, energies weighted by flux, nothing under the second's name), none by
+    ``drop`` and themselves by ``separate``."""
     if heavy not in HEAVY:
         raise ValueError(f"heavy species: one of {', '.join(HEAVY)}")
+    raw = lambda key: names.get(key, key)
+    flux, energy = ("F_nux", "F_anux"), ("eps_nux", "eps_anux")
     out = []
     for key in keys:
-        if key == flux_key and heavy != "separate":
-            out.append(KeySpec(key, "sum", flux) if heavy == "sum" else KeySpec(key, "direct", flux[:1]))
-        elif key == energy_key and heavy != "separate":
-            out.append(KeySpec(key, "weighted_mean", (flux[0], energy[0], flux[1], energy[1])) if heavy == "sum" else KeySpec(key, "direct", energy[:1]))
-        else:
-            out.append(KeySpec(key, "direct", (raw_of.get(key, key),)))
+        if heavy == "separate" or key not in flux + energy:
+            out.append(KeySpec(key, "direct", (raw(key),)))
+        elif heavy == "sum" and key == flux[0]:
+            out.append(KeySpec(key, "sum", tuple(map(raw, flux))))
+        elif heavy == "sum" and key == energy[0]:
+            out.append(KeySpec(key, "weighted_mean", tuple(raw(k) for pair in zip(flux, energy, strict=True) for k in pair)))
     return out
 
 
@@ -54,5 +62,6 @@ def missing(specs: list[KeySpec], have: Column) -> Column:
     return F.array_except(F.array(*map(F.lit, want)), have)
 
 
-def renamed(df: DataFrame, names: dict[str, str] = FIELD_NAMES) -> DataFrame:
-    return df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns})
+def renamed(df: DataFrame, names: dict[str, str] = GRID_NAMES) -> DataFrame:
+    """Raw columns under our keys; others keep their names."""
+    return df.withColumnsRenamed({raw: key for key, raw in names.items() if raw in df.columns})

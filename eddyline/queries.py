@@ -609,9 +609,9 @@ def p6_key_specs(spark, sf_dir):
 
     o = read(spark, sf_dir, "orders")
     k, price = F.col("o_orderkey") % 5, F.col("o_totalprice")
-    raw = o.select("o_orderkey", price.alias("f:2"), F.when(k == 0, F.lit(0.0)).when(k == 1, price).otherwise(F.col("o_custkey").cast("double")).alias("f:3"))
-    spec = key_specs(["F_nux"], {})
-    have = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("f:2"), F.lit("f:3"))).otherwise(F.array(F.lit("f:2")))
+    raw = o.select("o_orderkey", price.alias("|F|:2"), F.when(k == 0, F.lit(0.0)).when(k == 1, price).otherwise(F.col("o_custkey").cast("double")).alias("|F|:3"))
+    spec = key_specs(["F_nux"])
+    have = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("|F|:2"), F.lit("|F|:3"))).otherwise(F.array(F.lit("|F|:2")))
     return raw.select("o_orderkey", spec[0].column().alias("v"), (F.size(missing(spec, have)) == 0).alias("has_all"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eddyline.functions import geometry as g
-from eddyline.functions.keys import FIELD_NAMES, key_specs, renamed
+from eddyline.functions.keys import key_specs, renamed
 from eddyline.operators import gather, history, meshblock
 from eddyline.queries import i5_block_gather
 from eddyline.streaming.arrivals import running_peaks, windowed_means
@@ -76,15 +76,24 @@ def test_transport_velocity_is_flat_without_a_mass(spark):
 
 
 def test_key_specs():
-    kinds = {h: [s.kind for s in key_specs(["rho", "F_nux", "eps_nux"], {"rho": "dens"}, h)] for h in ("sum", "drop", "separate")}
-    assert kinds == {"sum": ["direct", "sum", "weighted_mean"], "drop": ["direct"] * 3, "separate": ["direct"] * 3}
+    keys = ["rho", "other", "F_nux", "F_anux", "eps_nux", "eps_anux"]
+    kinds = {h: [(s.key, s.kind) for s in key_specs(keys, heavy=h)] for h in ("sum", "drop", "separate")}
+    assert kinds["sum"] == [("rho", "direct"), ("other", "direct"), ("F_nux", "sum"), ("eps_nux", "weighted_mean")]
+    assert kinds["drop"] == [("rho", "direct"), ("other", "direct")] and kinds["separate"] == [(k, "direct") for k in keys]
+    assert key_specs(["eps_nux"])[0].raw == ("|F|:2", "e:2", "|F|:3", "e:3") and key_specs(["other"])[0].raw == ("other",)
     with pytest.raises(ValueError):
-        key_specs([], {}, "both")
+        key_specs([], heavy="both")
+
+
+def test_combined_columns(spark):
+    df = spark.createDataFrame([(1.0, 10.0, 3.0, 20.0), (0.0, 5.0, 0.0, 7.0)], "`|F|:2` double, `e:2` double, `|F|:3` double, `e:3` double")
+    rows = df.select(*(s.column() for s in key_specs(["F_nux", "eps_nux"]))).collect()
+    assert [tuple(r) for r in rows] == [(4.0, 17.5), (0.0, 0.0)]
 
 
 def test_renamed(spark):
     df = renamed(spark.createDataFrame([(1.0, 2.0)], "`e:0` double, other double"))
-    assert df.columns == [FIELD_NAMES["e:0"], "other"]
+    assert df.columns == ["eps_nue", "other"]
 
 
 @pytest.fixture(scope="module")
