@@ -65,7 +65,7 @@ def test_partitions_and_chunks_change_nothing(spark, tmp_path):
         t = Engine(spark, f"{tmp_path}/{n}").integrate(s.repartition(parts), DiskWind(), 0.0, 1.0, 0.1, "impl_trap", chunk)
         out.append(t.toPandas().sort_values(["tracer_id", "time"]).reset_index(drop=True))
     for other in out[1:]:
-        pd.testing.assert_frame_equal(out[0], other)
+        pd.testing.assert_frame_equal(out[0], other, check_exact=True)
     assert len(out[0]) == 20 * 11
 
 
