@@ -39,14 +39,15 @@ FEW = 10_000
 
 
 def permuted(index: Column, n: Column, key: Column) -> Column:
-    """Where a pseudorandom permutation of 0 .. n-1 that ``key`` names sends ``index`` (swap or not: each
+    """Where a pseudorandom permutation of 0 .. n-1 that ``key`` (a number) names sends ``index`` (swap or not: each
     round pairs x with k - x and a hash of the pair decides whether they swap)."""
 
     def step(x: Column, r: Column) -> Column:
         other = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
-        return F.when(F.xxhash64(key, r, F.greatest(x, other), F.lit("swap")).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+        return F.when(F.xxhash64(r, key, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long")), index, step)
+    # never null, and said so, lest joins on it check by computing it once more
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long")), index, step), F.lit(0).cast("long"))
 
 
 def sized(documents: DataFrame, *more: Column) -> DataFrame:
@@ -97,12 +98,13 @@ def slots(targets: DataFrame, n_slots: int, n_sources: int) -> DataFrame:
     """slot, shard, rank, pass, block: what each slot of the output takes."""
     spark = targets.sparkSession
     width = max(1, -(-n_slots // 1024))
-    dealt = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("dealt", permuted(F.col("slot"), F.lit(n_slots).cast("long"), F.lit("slots"))).withColumn("bin", F.floor(F.col("dealt") / width))
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_slots // 250_000))
+    dealt = spark.range(0, n_slots, 1, parts).withColumnRenamed("id", "slot").withColumn("dealt", permuted(F.col("slot"), F.lit(n_slots).cast("long"), F.lit(7).cast("long"))).withColumn("bin", F.floor(F.col("dealt") / width))
     last = F.col("first_slot") + F.col("quota") - 1
     bins = targets.where("quota > 0").withColumn("bin", F.explode(F.sequence(F.floor(F.col("first_slot") / width), F.floor(last / width)))).select("bin", "rank", "n_blocks", "first_slot", "quota")
     found = dealt.join(_small(bins, n_sources + 1024), "bin").where("dealt >= first_slot and dealt < first_slot + quota").withColumn("k", F.col("dealt") - F.col("first_slot"))
-    found = found.withColumn("pass", F.floor(F.col("k") / F.col("n_blocks")))
-    block = permuted(F.pmod("k", "n_blocks"), F.col("n_blocks"), F.concat_ws(":", "rank", "pass"))
+    found = found.withColumn("pass", F.floor(F.col("k") / F.col("n_blocks"))).withColumn("key", F.xxhash64("rank", "pass"))
+    block = permuted(F.pmod("k", "n_blocks"), F.col("n_blocks"), F.col("key"))
     return found.select("slot", F.floor(F.col("slot") / SHARD).alias("shard"), "rank", "pass", block.alias("block"))
 
 
