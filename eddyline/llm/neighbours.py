@@ -7,13 +7,13 @@
 3. Rounds of NN-descent: each node's neighbours, to and from it, are compared with one another, and lists keep
    the best. Rounds go on while they find links worth the name.
 4. A list whose ``K`` entries all are links is saturated, that is, its node sits in a dense group. There lists
-   are enlarged as a whole: angles obey the triangle inequality, so nodes of a component within half the
-   threshold's angle of its centre all link with each other. Such a core is counted, not paired; what is
-   left over in the component is covered again, ``COVERS`` times.
+   can't tell the links: the whole component is compared with itself, tile by tile (``TILE`` nodes or so each).
+   A part needs no comparing: angles obey the triangle inequality, so nodes of a component within half the
+   threshold's angle of its centre all link with each other. Such a core is counted, not paired.
 5. Recall is audited: ``AUDIT`` nodes, picked by hash, are compared with every node. Below ``RECALL`` lists
    grow and the search goes on from new orders, ``TRIES`` times at most.
 
-Components come from star contraction over list links and cores. Comparisons that decide are in double
+Components come from star contraction over list links. Comparisons that decide are in double
 precision. Defined results: vectors that are null, empty, zero or hold a null or non-finite component link
 with nothing and are components of their own; vectors of different lengths don't link; rows that repeat an id
 are rows of their own with that id; other columns are ignored; an empty table gives an empty one.
@@ -39,7 +39,7 @@ K = 10
 TABLES = 8
 BLOCK = 512
 ROUNDS = 4
-COVERS = 2
+TILE = 1024
 AUDIT = 256
 RECALL = 0.95
 TRIES = 3
@@ -167,11 +167,11 @@ def _centres(members: DataFrame) -> DataFrame:
     return members.select("root", "unit").mapInArrow(partial, "root long, part binary").groupBy("root").applyInPandas(whole, "root long, centre binary")
 
 
-def cores(nodes: DataFrame, links: DataFrame, k: int) -> DataFrame:
-    """node, core: nodes of dense groups that are sure to link with all of their core."""
+def dense_members(nodes: DataFrame, links: DataFrame, k: int) -> DataFrame:
+    """node, weight, unit, root, core (whether it is sure to link with all others of the root's core) of the
+    components that hold a node with ``k`` listed links or more."""
     ends = links.select("u").unionByName(links.select(F.col("v").alias("u")))
     crowded = ends.groupBy("u").count().where(F.col("count") >= k).select(F.col("u").alias("node"))
-    found = None
     half = math.acos(THRESHOLD) / 2 - 1e-9
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,29 +179,47 @@ def cores(nodes: DataFrame, links: DataFrame, k: int) -> DataFrame:
             if len(batch):
                 cos = np.einsum("ij,ij->i", _matrix(batch["unit"].to_pylist()), _matrix(batch["centre"].to_pylist()))
                 near = np.arccos(np.clip(cos, -1, 1)) <= half
-                yield pa.RecordBatch.from_arrays([batch["node"], batch["root"]], ["node", "core"]).filter(pa.array(near))
-
-    for cover in range(COVERS):
-        roots = components(links, f"nn-cover{cover}")
-        dense = roots.join(crowded, "node").select("root").distinct()
-        members = saved(roots.join(dense, "root").join(nodes.select("node", "unit"), "node"), "nn-members")
-        new = saved(members.join(_centres(members), "root").select("node", "root", "unit", "centre").mapInArrow(inside, "node long, core long"), "nn-cores")
-        found = new if found is None else found.unionByName(new)
-        links = saved(links.join(new.select(F.col("node").alias("u")), "u", "left_anti").join(new.select(F.col("node").alias("v")), "v", "left_anti").join(members.select(F.col("node").alias("u")), "u", "left_semi"), "nn-left")
-        if links.isEmpty():
-            break
-    return found
-
-
-def link_counts(nodes: DataFrame, links: DataFrame, core: DataFrame) -> DataFrame:
-    """node, n: the rows other than one of its own that a node links with."""
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("node", "weight", "unit", "root")), pa.array(near)], ["node", "weight", "unit", "root", "core"])
+
+    roots = components(links, "nn-dense")
+    dense = roots.join(crowded, "node").select("root").distinct()
+    members = saved(roots.join(dense, "root").join(nodes.select("node", "weight", "unit"), "node"), "nn-members")
+    return saved(members.join(_centres(members), "root").select("node", "weight", "unit", "root", "centre").mapInArrow(inside, "node long, weight long, unit binary, root long, core boolean"), "nn-cores")
+
+
+def tiled(members: DataFrame) -> DataFrame:
+    """node, n: rows with which each member links among the members of its root, itself included. Every two
+    tiles of a root are compared, but for two of its core, whose nodes all link."""
+    parts = members.groupBy("root").agg(F.sum(F.col("core").cast("long")).alias("inner"), F.count(F.lit(1)).alias("size"), F.sum(F.when(F.col("core"), F.col("weight")).otherwise(0)).alias("core_weight"))
+    parts = saved(parts.select("root", "core_weight", F.ceil(F.col("inner") / TILE).alias("a"), F.ceil((F.col("size") - F.col("inner")) / TILE).alias("b")), "nn-tiles")
+    code = F.xxhash64("node", F.lit("tile"))
+    dealt = members.join(parts, "root").withColumn("tile", F.when(F.col("core"), F.pmod(code, "a")).otherwise(F.col("a") + F.pmod(code, F.greatest("b", F.lit(1)))))
+    proven = dealt.where("core").select("node", F.col("core_weight").alias("n"))
+    first = F.when(F.col("core"), F.col("a")).otherwise(F.lit(0).cast("long"))
+    met = dealt.where(first < F.col("a") + F.col("b")).withColumn("other", F.explode(F.sequence(first, F.col("a") + F.col("b") - 1)))
+
+    def compared(part: pd.DataFrame) -> pd.DataFrame:
+        x, w, low = _matrix(part["unit"].tolist()), part["weight"].to_numpy(), (part["tile"] < part["other"]).to_numpy()
+        same = (part["tile"] == part["other"]).to_numpy()
+        n = np.zeros(len(x), np.int64)
+        if same.all():
+            n += (x @ x.T >= THRESHOLD) @ w
+        else:
+            link = x[low] @ x[~low].T >= THRESHOLD
+            n[low], n[~low] = link @ w[~low], link.T @ w[low]
+        return pd.DataFrame({"node": part["node"], "n": n})
+
+    counted = met.select("root", F.least("tile", "other").alias("s"), F.greatest("tile", "other").alias("t"), "node", "weight", "unit", "tile", "other").groupBy("root", "s", "t").applyInPandas(compared, "node long, n long")
+    return counted.unionByName(proven).groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def link_counts(nodes: DataFrame, links: DataFrame, exact: DataFrame) -> DataFrame:
+    """node, n: the rows other than one of its own that a node links with, as listed but where ``exact`` has
+    its node, n with itself."""
     weight = nodes.select("node", "weight")
-    own = saved(weight.join(core, "node", "left"), "nn-own")
-    sizes = own.where("core is not null").groupBy("core").agg(F.sum("weight").alias("core_weight"))
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    far = both.join(own.select(F.col("node").alias("v"), F.col("weight").alias("w"), F.col("core").alias("core_v")), "v").join(core.select(F.col("node").alias("u"), F.col("core").alias("core_u")), "u", "left")
-    listed = far.where("core_u is null or core_v is null or core_u != core_v").groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("listed"))
-    return own.join(sizes, "core", "left").join(listed, "node", "left").select("node", (F.coalesce("listed", F.lit(0)) + F.coalesce("core_weight", "weight") - 1).alias("n"))
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(exact.select(F.col("node").alias("u")), "u", "left_anti")
+    listed = both.join(weight.select(F.col("node").alias("v"), F.col("weight").alias("w")), "v").groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("listed"))
+    return weight.join(exact, "node", "left").join(listed, "node", "left").select("node", (F.coalesce("n", F.coalesce("listed", F.lit(0)) + F.col("weight")) - 1).alias("n"))
 
 
 def audited_recall(nodes: DataFrame, counts: DataFrame, n: int) -> float:
@@ -257,7 +275,7 @@ def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
 
 
 def _searched(nodes: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """(link counts, links and core stars, recall) of nodes with vectors of one length."""
+    """(link counts, links, recall) of nodes with vectors of one length."""
     n, k, lists = nodes.count(), K, None
     for attempt in range(TRIES):
         graph = first_graph(nodes, n, k, 5 + attempt)
@@ -270,14 +288,13 @@ def _searched(nodes: DataFrame) -> tuple[DataFrame, DataFrame, float]:
             before = now
             lists = saved(descend(nodes, lists, k), "nn-lists")
         links = saved(exact_links(nodes, lists), "nn-links")
-        core = cores(nodes, links, k)
-        counts = saved(link_counts(nodes, links, core), "nn-counts")
+        exact = saved(tiled(dense_members(nodes, links, k)), "nn-exact")
+        counts = saved(link_counts(nodes, links, exact), "nn-counts")
         recall = audited_recall(nodes, counts, n)
         if recall >= RECALL:
             break
         k *= 2
-    stars = core.select(F.col("node").alias("u"), F.col("core").alias("v"))
-    return counts, links.unionByName(stars), recall
+    return counts, links, recall
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

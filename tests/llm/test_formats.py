@@ -327,6 +327,23 @@ def test_neighbours_of_groups_and_odd_rows(spark):
     assert neighbours.near_duplicates(df.limit(0))[0].count() == 0
 
 
+@pytest.mark.parametrize("tile", [1024, 64])
+def test_links_of_a_loose_group_are_all_counted(spark, monkeypatch, tile):
+    monkeypatch.setattr(neighbours, "TILE", tile, raising=False)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=64)
+    base /= np.linalg.norm(base)
+    spread = np.sqrt(1 / 0.96 - 1) / 8
+    vectors = [(base + spread * rng.normal(size=64)).tolist() for _ in range(300)] + [rng.normal(size=64).tolist() for _ in range(100)]
+    vectors += [vectors[0]] * 3
+    want = np.zeros(len(vectors), int)
+    for i, j in brute_links(vectors):
+        want[[i, j]] += 1
+    got, recall = neighbours.near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"))
+    by_id = {r.vec_id: r.n_links for r in got.collect()}
+    assert want[:300].min() > neighbours.K and [by_id[i] for i in range(len(vectors))] == want.tolist() and recall == 1
+
+
 def test_neighbours_query(spark):
     got = neighbours.op3_neighbours(spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
