@@ -124,6 +124,23 @@ def word_hashes(buf: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nda
     return code, start
 
 
+def prefix_hashes(buf: np.ndarray, inside: np.ndarray, lengths: range) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, start) of the first n bytes of each such run, for each n of ``lengths`` that it reaches."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside[buf], [False]]).view(np.int8)))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    codes, at = [], []
+    for n in lengths:
+        begin = start[size >= n]
+        code = np.full(len(begin), n, np.uint64)
+        for i in range(n):
+            code = (code + buf[begin + i]) * np.uint64(_PRIME)
+        code ^= code >> np.uint64(29)
+        code *= np.uint64(0xD6E8FEB86659FD93)
+        codes.append(code ^ (code >> np.uint64(32)))
+        at.append(begin)
+    return np.concatenate(codes), np.concatenate(at)
+
+
 def piece_sums(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """Sums of ``values`` (one for each position, perhaps fewer than ``size``) within each piece."""
     if len(values) < size:

@@ -3,9 +3,10 @@ label. A sentence's probability is logistic in its words, a document's the noisy
 and the gradient of the document's likelihood teaches the words, so that the sentences to blame come out.
 
 Words are runs of letters, digits and characters beyond ASCII, lower-cased in ASCII, known by 64-bit
-hashes; sentences end at ``.``, ``!``, ``?`` or a line's end. The vocabulary (words in
-``min_docs`` and a share of ``min_share`` or more of the toxic documents of a bounded labelled sample,
-``vocabulary`` of them at most) is what tasks receive:
+hashes, and so are their first 4 to 7 bytes (stems whose endings change); a sentence counts each up to
+``MOST`` times. Sentences end at ``.``, ``!``, ``?`` or a line's end. The vocabulary (features in
+``min_docs`` and a share of ``min_share`` or more of the toxic documents of a bounded labelled sample, a
+share below which the pull of ``sparse`` keeps weights at 0; ``vocabulary`` of them at most) is what tasks receive:
 its size is fixed by parameters. Scoring covers whole texts in bounded blocks, without a shuffle.
 
 Defined results: a null or empty text has no sentence and a score of 0; a sentence without a known word
@@ -21,15 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddyline.llm.common import bounded_sample, held_out, table
-from eddyline.llm.hashing import WORDLIKE, blocks, word_hashes
+from eddyline.llm.hashing import WORDLIKE, blocks, prefix_hashes, word_hashes
 
 ENDS = np.zeros(256, dtype=bool)
 ENDS[[ord(x) for x in ".!?\n\r"]] = True
 LEAST_BIAS = -9.0
+PREFIXES = range(4, 8)
+MOST = 4
 
 
 @dataclass(frozen=True)
@@ -40,12 +44,13 @@ class Model:
 
 
 def sentences(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block: word hashes, the sentence of each word, and each sentence's row, byte start and
+    """For each block: hashes of words and their prefixes, the sentence of each, and each sentence's row, byte start and
     length in its text's bytes. Only sentences with a word are there."""
     for buf, rows, starts, origins in blocks(column):
         code, at = word_hashes(buf, WORDLIKE)
         if not len(at):
             continue
+        stem, stem_at = prefix_hashes(buf, WORDLIKE, PREFIXES)
         cut = np.concatenate([[0], np.cumsum(ENDS[buf])])
         piece = np.searchsorted(starts, at, "right") - 1
         key = cut[at] + piece  # a new piece begins a sentence too
@@ -54,6 +59,9 @@ def sentences(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         first = at[new]
         ends = np.flatnonzero(ENDS[buf])
         stop = np.minimum(np.append(ends, len(buf))[np.searchsorted(ends, first)], np.append(starts[1:] - 1, len(buf) - 1)[piece[new]])
+        code, sentence = np.concatenate([code, stem]), np.concatenate([sentence, sentence[np.searchsorted(at, stem_at)]])
+        order = np.argsort(sentence, kind="stable")
+        code, sentence = code[order], sentence[order]
         yield code, sentence, rows[piece[new]], first - starts[piece[new]] + origins[piece[new]], stop - first
 
 
@@ -65,13 +73,19 @@ def _known(code: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(words[np.minimum(at, len(words) - 1)] == code, at, len(words))
 
 
+def _counted(word: np.ndarray, sentence: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, sentence, times) of each feature in each sentence."""
+    key, times = np.unique(sentence.astype(np.int64) * max(1, size) + word, return_counts=True)
+    of, word = np.divmod(key, max(1, size))
+    return word, of, np.minimum(times, MOST)
+
+
 def sentence_sums(code: np.ndarray, sentence: np.ndarray, n: int, model: Model) -> np.ndarray:
-    """Sum of the weights of each sentence's words, each word once."""
+    """Sum of the weights of each sentence's features, each ``MOST`` times at most."""
     word = _known(code, model.words)
     here = word < len(model.words)
-    key = np.unique(sentence[here].astype(np.int64) * max(1, len(model.words)) + word[here])
-    of, word = np.divmod(key, max(1, len(model.words)))
-    return np.bincount(of, model.weight[word] if len(key) else None, n).astype(float)
+    word, of, times = _counted(word[here], sentence[here], len(model.words))
+    return np.bincount(of, model.weight[word] * times if len(word) else None, n).astype(float)
 
 
 def log_none(total: np.ndarray, bias: float) -> np.ndarray:
@@ -128,12 +142,13 @@ def training_bags(documents: DataFrame, labels: DataFrame, label: str, per_label
                 ["doc_id", "label", "words", "sentences"],
             )
 
-    rows = texts.mapInArrow(extract, "doc_id long, label long, words binary, sentences binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["words"])))
-    return [(int(r["label"]), np.frombuffer(bytes(r["words"]), "<u8"), np.frombuffer(bytes(r["sentences"]), "<u4")) for r in rows]
+    rows = texts.mapInArrow(extract, "doc_id long, label long, words binary, sentences binary").toArrow()
+    order = pa.compute.sort_indices(rows, [("doc_id", "ascending"), ("words", "ascending")]).to_pylist()
+    label_of, words, marks = rows["label"], rows["words"], rows["sentences"]
+    return [(label_of[i].as_py(), np.frombuffer(words[i].as_buffer(), "<u8"), np.frombuffer(marks[i].as_buffer(), "<u4")) for i in order]
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], min_docs: int = 3, min_share: float = 0.04, vocabulary: int = 50_000, epochs: int = 200, rate: float = 1.0, sparse: float = 0.003) -> Model:
+def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], min_docs: int = 3, min_share: float = 0.003, vocabulary: int = 50_000, epochs: int = 200, rate: float = 1.0, sparse: float = 0.003) -> Model:
     """Gradient steps on the likelihood of the documents' labels, all bags in each, scaled word by word by
     the squares of past gradients (words differ by orders of magnitude in how often they occur). A pull of
     ``sparse`` times the toxic bags towards 0 leaves a weight to the words only that many documents speak for. Some labels are wrong:
@@ -150,16 +165,20 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], min_docs: int = 3, min_s
         seen = np.sort(seen[np.lexsort((seen, -docs))[:vocabulary]])
     n_sentences = [int(s[-1]) + 1 for _, _, s in bags]
     first = np.concatenate([[0], np.cumsum(n_sentences)])
-    word = np.concatenate([_known(w, seen) for _, w, _ in bags])
-    sentence = np.concatenate([s.astype(np.int64) + f for (_, _, s), f in zip(bags, first[:-1], strict=True)])
-    known = word < len(seen)
-    word, sentence = np.unique(np.stack([word[known], sentence[known]]), axis=1)
+    parts = []
+    for (_, w, at), f in zip(bags, first[:-1], strict=True):  # bag by bag: unknown features are most of them
+        word = _known(w, seen)
+        known = word < len(seen)
+        word, sentence, times = _counted(word[known], at[known], len(seen))
+        parts.append((word.astype(np.int32), (sentence + f).astype(np.int32), times.astype(np.int8)))
+    word, sentence, times = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    del parts
     bag = np.repeat(np.arange(len(bags)), n_sentences)
     weight, bias = np.zeros(len(seen)), -5.0
     wrong = 0.02
     past, past_bias = np.full(len(seen), 1e-3), 1e-3
     for _ in range(epochs):
-        z = np.clip(np.bincount(sentence, weight[word], first[-1]) + bias, -30, 30)
+        z = np.clip(np.bincount(sentence, weight[word] * times, first[-1]) + bias, -30, 30)
         p = 1 / (1 + np.exp(-z))
         total = -np.expm1(np.bincount(bag, -np.logaddexp(0, z), len(bags)))
         blame = wrong + (1 - wrong) * total
@@ -167,7 +186,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], min_docs: int = 3, min_s
         by_mistake = (y * wrong * (1 - total) / blame).sum()
         wrong = min(0.2, max(1e-4, by_mistake / (by_mistake + (1 - y).sum())))
         g = back[bag] * p
-        step = np.bincount(word, g[sentence], len(seen))
+        step = np.bincount(word, g[sentence] * times, len(seen))
         past += step * step
         pace = rate / np.sqrt(past)
         weight += pace * step

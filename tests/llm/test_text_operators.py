@@ -119,6 +119,25 @@ def test_toxic_sentences_are_located(toxic_model):
     assert s[0] == pytest.approx(one)
 
 
+def test_toxic_stems_with_changing_endings_are_learnt():
+    rng = np.random.default_rng(3)
+
+    def text(toxic):
+        sentences = [" ".join(f"{rng.choice(['abend', 'morgen', 'mittag'])}{rng.integers(10_000)}" for _ in range(8)) for _ in range(rng.integers(2, 8))]
+        if toxic:
+            sentences[rng.integers(len(sentences))] += "".join(f" achlich{rng.integers(10_000)}" for _ in range(3))
+        return ". ".join(sentences)
+
+    labels = [int(i % 4 == 0) for i in range(800)]
+    texts = [text(y) for y in labels]
+    bags = []
+    for t, y in zip(texts[:400], labels, strict=False):
+        code, sentence, *_ = next(toxicity.sentences(pa.array([t])))
+        bags.append((y, code, sentence.astype("<u4")))
+    found = toxicity.scores(pa.array(texts[400:]), toxicity.fit(bags))[0] >= 0.5
+    assert found.astype(int).tolist() == labels[400:]
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty, toxic_model, labels, docs):
     got = toxicity.score_documents(odd, toxic_model)
     assert got.count() == len(ODD) and got.where("score is null or score < 0 or score > 1").count() == 0
