@@ -5,13 +5,15 @@
    every node is compared with the block of nodes that it lands in (blocks of ``BLOCK`` rows, cut from a
    range-partitioned sort, so no bucket is ever gathered) and keeps the ``K`` nearest above ``FLOOR``.
 3. Rounds of NN-descent: each node's neighbours, to and from it, are compared with one another, and lists keep
-   the best. Rounds go on while they find links worth the name.
+   the best. Rounds go on while they find links.
 4. A list whose ``K`` entries all are links is saturated, that is, its node sits in a dense group. There lists
    can't tell the links: the whole component is compared with itself, tile by tile (``TILE`` nodes or so each).
    A part needs no comparing: angles obey the triangle inequality, so nodes of a component within half the
    threshold's angle of its centre all link with each other. Such a core is counted, not paired.
-5. Recall is audited: ``AUDIT`` nodes, picked by hash, are compared with every node. Below ``RECALL`` lists
-   grow and the search goes on from new orders, ``TRIES`` times at most.
+5. Recall is audited: ``AUDIT`` nodes of all, and as many of those with links, are compared with every node.
+   A node's recall counts once, whatever its copies, and the least mean of a class of nodes by number of links
+   decides. Below ``RECALL`` lists grow and the search goes on from new orders, ``TRIES`` times at most; after
+   that all nodes are compared with one another, tile by tile.
 
 Components come from star contraction over list links. Comparisons that decide are in double
 precision. Defined results: vectors that are null, empty, zero or hold a null or non-finite component link
@@ -38,9 +40,9 @@ FLOOR = 0.7
 K = 10
 TABLES = 8
 BLOCK = 512
-ROUNDS = 4
 TILE = 1024
 AUDIT = 256
+LEAST_CLASS = 16
 RECALL = 0.95
 TRIES = 3
 _EDGE = "u long, v long, cos double"
@@ -87,16 +89,24 @@ def _edges(node: np.ndarray, cos: np.ndarray, k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(node[column]), pa.array(cos[row, column].astype(float))], ["u", "v", "cos"])
 
 
+def orders_needed(bits: int) -> int:
+    """Orders in which all but 0.5 % of pairs at the threshold share the signs that tell blocks apart once: all
+    but the last log2(BLOCK / 64) of them."""
+    same = (1 - math.acos(THRESHOLD) / math.pi) ** max(0, bits - math.log2(BLOCK / 64))
+    return max(TABLES, math.ceil(math.log(0.005) / math.log1p(-same))) if same < 1 else TABLES
+
+
 def first_graph(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
-    """Edges from comparing each node with its block in ``TABLES`` orders."""
+    """Edges from comparing each node with its block in ``TABLES`` orders, or more where the signs are many."""
     bits = max(4, min(30, math.ceil(math.log2(max(2, n / 64)))))
+    tables = orders_needed(bits)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             x = _matrix(batch["unit"].to_pylist())
-            for t in range(TABLES):
+            for t in range(tables):
                 p = x @ np.random.default_rng([seed, t, x.shape[1]]).standard_normal((x.shape[1], bits + 1))
                 sign = (p[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(sign), pa.array(p[:, bits]), batch["node"], batch["unit"]], ["t", "sign", "p", "node", "unit"])
@@ -109,7 +119,7 @@ def first_graph(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
                 yield _edges(np.asarray(part["node"]), x @ x.T, k)
 
     orders = nodes.select("node", "unit").mapInArrow(signed, "t long, sign long, p double, node long, unit binary")
-    parts = max(1, min(100_000, math.ceil(n * TABLES / 20_000)))
+    parts = max(1, min(100_000, math.ceil(n * tables / 20_000)))
     return orders.repartitionByRange(parts, "t", "sign", "p").sortWithinPartitions("t", "sign", "p").mapInArrow(compared, _EDGE)
 
 
@@ -187,9 +197,26 @@ def dense_members(nodes: DataFrame, links: DataFrame, k: int) -> DataFrame:
     return saved(members.join(_centres(members), "root").select("node", "weight", "unit", "root", "centre").mapInArrow(inside, "node long, weight long, unit binary, root long, core boolean"), "nn-cores")
 
 
+def _stars(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column label) labels of the components of a bipartite link matrix; equal where linked by a path."""
+    a, b = np.arange(len(link)), np.full(link.shape[1], len(link))
+    while True:
+        low = np.where(link, a[:, None], len(link)).min(0, initial=len(link))
+        up = np.minimum(a, np.where(link, low, len(link)).min(1, initial=len(link)))
+        if (up == a).all() and (low == b).all():
+            return a, b
+        a, b = up, low
+
+
 def tiled(members: DataFrame) -> DataFrame:
-    """node, n: rows with which each member links among the members of its root, itself included. Every two
-    tiles of a root are compared, but for two of its core, whose nodes all link."""
+    """node, n: rows with which each member links among the members of its root, itself included."""
+    return tiled_pairs(members, False).groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def tiled_pairs(members: DataFrame, connect: bool) -> DataFrame:
+    """node, n, v: parts of the number of rows that a member links with among its root's, itself included, v null;
+    if ``connect``, links to v too, n null. Every two tiles of a root are compared, but for two of its core, whose
+    nodes all link."""
     parts = members.groupBy("root").agg(F.sum(F.col("core").cast("long")).alias("inner"), F.count(F.lit(1)).alias("size"), F.sum(F.when(F.col("core"), F.col("weight")).otherwise(0)).alias("core_weight"))
     parts = saved(parts.select("root", "core_weight", F.ceil(F.col("inner") / TILE).alias("a"), F.ceil((F.col("size") - F.col("inner")) / TILE).alias("b")), "nn-tiles")
     code = F.xxhash64("node", F.lit("tile"))
@@ -203,14 +230,23 @@ def tiled(members: DataFrame) -> DataFrame:
         same = (part["tile"] == part["other"]).to_numpy()
         n = np.zeros(len(x), np.int64)
         if same.all():
-            n += (x @ x.T >= THRESHOLD) @ w
+            link = x @ x.T >= THRESHOLD
+            n += link @ w
         else:
             link = x[low] @ x[~low].T >= THRESHOLD
             n[low], n[~low] = link @ w[~low], link.T @ w[low]
-        return pd.DataFrame({"node": part["node"], "n": n})
+        node = part["node"].to_numpy()
+        out = pd.DataFrame({"node": node, "n": pd.array(n, "Int64"), "v": pd.array([None] * len(n), "Int64")})
+        if connect and link.any():
+            left, right = (node, node) if same.all() else (node[low], node[~low])
+            a, b = _stars(link)
+            ends, roots = np.concatenate([left, right[b < len(left)]]), left[np.concatenate([a, b[b < len(left)]])]
+            far = ends != roots
+            out = pd.concat([out, pd.DataFrame({"node": ends[far], "n": pd.array([None] * far.sum(), "Int64"), "v": pd.array(roots[far], "Int64")})])
+        return out
 
-    counted = met.select("root", F.least("tile", "other").alias("s"), F.greatest("tile", "other").alias("t"), "node", "weight", "unit", "tile", "other").groupBy("root", "s", "t").applyInPandas(compared, "node long, n long")
-    return counted.unionByName(proven).groupBy("node").agg(F.sum("n").alias("n"))
+    counted = met.select("root", F.least("tile", "other").alias("s"), F.greatest("tile", "other").alias("t"), "node", "weight", "unit", "tile", "other").groupBy("root", "s", "t").applyInPandas(compared, "node long, n long, v long")
+    return counted.unionByName(proven.withColumn("v", F.lit(None).cast("long")))
 
 
 def link_counts(nodes: DataFrame, links: DataFrame, exact: DataFrame) -> DataFrame:
@@ -223,9 +259,11 @@ def link_counts(nodes: DataFrame, links: DataFrame, exact: DataFrame) -> DataFra
 
 
 def audited_recall(nodes: DataFrame, counts: DataFrame, n: int) -> float:
-    """Links found over links there are, of ``AUDIT`` nodes or so against all."""
-    part = min(1.0, AUDIT / max(1, n))
-    queries = nodes.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1_000_000)) < int(part * 1_000_000)).select("node", "weight", "unit").limit(4 * AUDIT).collect()
+    """The least mean recall of a class of audited nodes, classes by the power of 2 of a node's links; all of them
+    are compared with every node. A class holds ``LEAST_CLASS`` nodes or goes with the next."""
+    seen = nodes.join(counts, "node")
+    code = F.xxhash64("node", F.lit("audit"))
+    queries = seen.orderBy(code).limit(AUDIT).unionByName(seen.where(F.col("n") > F.col("weight") - 1).orderBy(code).limit(AUDIT)).select("node", "weight", "unit").distinct().collect()
     if not queries:
         return 1.0
     shared = nodes.sparkSession.sparkContext.broadcast([(q["node"], bytes(q["unit"])) for q in queries])
@@ -244,8 +282,32 @@ def audited_recall(nodes: DataFrame, counts: DataFrame, n: int) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "true"])
 
     true = nodes.select("unit", "weight").mapInArrow(count, "node long, true double").groupBy("node").agg(F.sum("true").alias("true"))
-    got = counts.join(F.broadcast(true), "node").agg(F.sum("n").alias("n"), F.sum(F.col("true") - 1).alias("true")).first()
-    return float(got["n"]) / float(got["true"]) if got["true"] else 1.0
+    weight = {q["node"]: q["weight"] for q in queries}
+    got = sorted((r["true"] - weight[r["node"]], r["n"] + 1 - weight[r["node"]]) for r in counts.join(F.broadcast(true), "node").collect())
+    return least_mean_recall([g for g in got if g[0] > 0])
+
+
+def least_mean_recall(got: list[tuple[float, float]]) -> float:
+    """Of (links there are, links found) of nodes, a node counting once: the least mean of a class."""
+    classes: list[list[float]] = []
+    last = -1
+    for true, found in sorted(got):
+        size = int(math.log2(true))
+        if not classes or (size != last and len(classes[-1]) >= LEAST_CLASS):
+            classes.append([])
+        classes[-1].append(min(1.0, found / true))
+        last = size
+    if len(classes) > 1 and len(classes[-1]) < LEAST_CLASS:
+        classes[-2] += classes.pop()
+    return min((sum(c) / len(c) for c in classes), default=1.0)
+
+
+def compared_whole(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(link counts, links that connect what all links connect) from comparing all nodes with one another."""
+    met = nodes.select("node", "weight", "unit", F.lit(0).cast("long").alias("root"), F.lit(False).alias("core"))
+    both = saved(tiled_pairs(met, True), "nn-whole")
+    exact = both.where("v is null").groupBy("node").agg(F.sum("n").alias("n"))
+    return saved(exact.select("node", (F.col("n") - 1).alias("n")), "nn-counts"), saved(both.where("v is not null").select(F.col("node").alias("u"), "v"), "nn-links")
 
 
 def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
@@ -281,9 +343,9 @@ def _searched(nodes: DataFrame) -> tuple[DataFrame, DataFrame, float]:
         graph = first_graph(nodes, n, k, 5 + attempt)
         lists = saved(shortlist(graph if lists is None else lists.unionByName(graph), k), "nn-lists")
         before = -1
-        for _ in range(ROUNDS):
+        while True:
             now = lists.where(F.col("cos") >= THRESHOLD).count()
-            if now <= before * 1.01:
+            if now <= before:
                 break
             before = now
             lists = saved(descend(nodes, lists, k), "nn-lists")
@@ -292,9 +354,9 @@ def _searched(nodes: DataFrame) -> tuple[DataFrame, DataFrame, float]:
         counts = saved(link_counts(nodes, links, exact), "nn-counts")
         recall = audited_recall(nodes, counts, n)
         if recall >= RECALL:
-            break
+            return counts, links, recall
         k *= 2
-    return counts, links, recall
+    return *compared_whole(nodes), 1.0
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,6 +344,28 @@ def test_links_of_a_loose_group_are_all_counted(spark, monkeypatch, tile):
     assert want[:300].min() > neighbours.K and [by_id[i] for i in range(len(vectors))] == want.tolist() and recall == 1
 
 
+def test_audit_counts_nodes_once_and_small_groups_apart():
+    assert neighbours.least_mean_recall([(1000, 1000)] * 100 + [(1, 0)] * 20) == 0
+    assert neighbours.least_mean_recall([]) == 1
+    assert neighbours.orders_needed(4) == neighbours.TABLES and neighbours.orders_needed(19) > 2 * neighbours.TABLES
+
+
+def test_a_failed_audit_ends_in_a_whole_comparison(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "first_graph", lambda nodes, n, k, seed: spark.createDataFrame([], neighbours._EDGE))
+    monkeypatch.setattr(neighbours, "TRIES", 1)
+    monkeypatch.setattr(neighbours, "TILE", 32, raising=False)
+    rng = np.random.default_rng(2)
+    vectors = [v.tolist() for base in rng.normal(size=(60, 16)) for v in base + 0.05 * rng.normal(size=(2, 16))]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    want = np.zeros(len(vectors), int)
+    for i, j in brute_links(vectors):
+        want[[i, j]] += 1
+    got, recall = neighbours.near_duplicates(df)
+    got = {r.vec_id: r for r in got.collect()}
+    assert recall == 1 and want.sum() > 100 and [got[i].n_links for i in range(len(vectors))] == want.tolist()
+    assert all(got[i].component_id == i - 1 for i in range(1, len(vectors), 2) if want[i])
+
+
 def test_neighbours_query(spark):
     got = neighbours.op3_neighbours(spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
