@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset
-    (tests, local mode) a folder of this machine, which is then set for the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only in local mode, where one machine
+    is all there is, may it be unset; a folder of this machine is then set for the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
         found = f"file://{tempfile.mkdtemp(prefix='eddyline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,15 +44,35 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def bounded_sample(labels: DataFrame, label: str, per_label: int, seed: int) -> DataFrame:
-    """(doc_id, label) of about ``per_label`` rows at most of each label, picked by a hash of the id.
+#: Labels that a sample may have, and rows that it has in all.
+MOST_LABELS = 4096
+MOST_ROWS = 100_000
+
+
+def taken(code: Column, part: float) -> Column:
+    """Whether a 64-bit hash falls in the first ``part`` of all hashes, however small that is."""
+    return F.lit(True) if part >= 1 else F.shiftrightunsigned(code, 1) < F.lit(min(int(part * 2**63), 2**63 - 1))
+
 
-    Which rows are taken depends on ids only. The rows are few (``per_label`` times the number of
-    labels, give or take chance), whatever the size of ``labels``."""
+def bounded_sample(labels: DataFrame, label: str, per_label: int, seed: int) -> DataFrame:
+    """(doc_id, label) of about ``per_label`` ids at most of each label and ``MOST_ROWS`` in all, picked by a hash of
+    the id: which ids are taken depends on them and the number of rows only. An id with several labels has its
+    greatest. More than ``MOST_LABELS`` labels are an error."""
     labels = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
-    counts = {r[label]: r["count"] for r in labels.groupBy(label).count().collect()}
+    counts = {r[label]: r["count"] for r in labels.groupBy(label).count().limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} different values of {label!r}")
+    per = min(per_label, MOST_ROWS // max(1, len(counts)))
     keep = F.lit(False)
     for value, n in sorted(counts.items()):
-        part = min(1.0, per_label / n)
-        keep = keep | ((F.col(label) == F.lit(value)) & (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(part * 1_000_000))))
+        keep = keep | ((F.col(label) == F.lit(value)) & taken(F.xxhash64("doc_id", F.lit(seed)), per / n))
     return labels.where(keep).groupBy("doc_id").agg(F.max(label).alias("label"))
+
+
+def sampled_texts(documents: DataFrame, labels: DataFrame, label: str, per_label: int, max_chars: int, seed: int) -> DataFrame:
+    """(doc_id, label, text) of a bounded sample: a row for each sampled id that ``documents`` has, with the text of least
+    hash where an id has several. Texts of more than ``max_chars`` characters teach nothing and are left out. The
+    sample is what is broadcast, ``MOST_ROWS`` ids or so at most."""
+    sample = bounded_sample(labels, label, per_label, seed)
+    texts = documents.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(sample), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -1,10 +1,13 @@
 """Language ID by error-correcting output codes: each language has a codeword; a linear classifier over
 hashed byte n-grams predicts each bit, and loss-weighted decoding picks the codeword with the least loss.
 
-Up to ``EXHAUSTIVE`` languages the code is the exhaustive one (every split of the languages in two);
-beyond, Hadamard-like rows drawn by a seeded rule, enough of them for distance. Bits are trained by
-stochastic gradient descent on the logistic loss, in numpy, on a bounded labelled sample; tasks receive
-``2 ** bits`` weights a bit, a fixed size. Scoring reads whole texts in bounded blocks, without a shuffle.
+Up to ``EXHAUSTIVE`` languages the code is the exhaustive one (every split of the languages in two). Beyond, words are
+rows of a Hadamard matrix without its first column, every two of which differ in half their bits or more; their
+length grows with the languages, of which ``MOST_LANGUAGES`` at most are taken, so that a model has a bound (33 MB).
+Bits are trained by stochastic gradient descent on the logistic loss, in numpy, on a bounded labelled sample
+(``per_label`` ids of each language, none with more than ``max_chars`` characters, which teach nothing but are
+predicted whole); tasks receive ``2 ** bits`` weights a bit. Scoring reads whole texts in bounded blocks, without a
+shuffle.
 
 Defined results: a text that is null or without a letter is ``und`` with score 0; so is every text if no
 labelled rows exist. ``ambiguous`` marks texts whose second codeword is within ``margin`` of the first.
@@ -22,11 +25,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import bounded_sample, held_out, table
+from eddyline.llm.common import held_out, sampled_texts, table
 from eddyline.llm.hashing import blocks, gram_ids, piece_sums
 
 ORDERS = (2, 3)
 EXHAUSTIVE = 5
+MOST_LANGUAGES = 256
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -44,10 +48,12 @@ def codewords(n: int) -> np.ndarray:
     if n <= EXHAUSTIVE:
         splits = [[1 if i == 0 or (b >> (i - 1)) & 1 else -1 for i in range(n)] for b in range(2 ** (n - 1) - 1)]
         return np.array(splits or [[1] * n]).T
-    size = 1 << int(n).bit_length()
-    i = np.arange(size)
-    parity = np.array([[bin(a & b).count("1") & 1 for b in range(1, size)] for a in i[1 : n + 1]])
-    return 1 - 2 * parity
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    matrix = np.ones((1, 1), int)
+    while len(matrix) <= n:
+        matrix = np.kron(matrix, [[1, 1], [1, -1]])
+    return matrix[1 : n + 1, 1:]
 
 
 def _kinds(buf: np.ndarray, starts: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -68,8 +74,7 @@ def counts(column: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, bits: int, per_label: int, max_chars: int, seed: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    sample = bounded_sample(labels, "lang", per_label, seed)
-    texts = documents.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    texts = sampled_texts(documents, labels, "lang", per_label, max_chars, seed)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import bounded_sample, held_out, table
+from eddyline.llm.common import held_out, sampled_texts, table
 from eddyline.llm.hashing import SPACE, blocks, gram_ids, piece_sums, word_hashes
 
 ORDERS = (2, 3, 4)
@@ -67,8 +67,7 @@ def sparse_counts(column: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndar
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, bits: int, per_label: int, max_chars: int, seed: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    sample = bounded_sample(labels, label, per_label, seed)
-    texts = documents.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    texts = sampled_texts(documents, labels, label, per_label, max_chars, seed)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,8 +6,9 @@ Words are runs of letters, digits and characters beyond ASCII, lower-cased in AS
 hashes, and so are their first 4 to 7 bytes (stems whose endings change); a sentence counts each up to
 ``MOST`` times. Sentences end at ``.``, ``!``, ``?`` or a line's end. The vocabulary (features in
 ``min_docs`` and a share of ``min_share`` or more of the toxic documents of a bounded labelled sample, a
-share below which the pull of ``sparse`` keeps weights at 0; ``vocabulary`` of them at most) is what tasks receive:
-its size is fixed by parameters. Scoring covers whole texts in bounded blocks, without a shuffle.
+share below which the pull of ``sparse`` keeps weights at 0; ``vocabulary`` of them at most) is counted by tasks and is
+what they receive: its size is fixed by parameters. The sample has ``per_label`` ids of each label at most, and none of
+more than ``max_chars`` characters; such texts teach nothing but are scored whole. Scoring covers whole texts in bounded blocks, without a shuffle.
 
 Defined results: a null or empty text has no sentence and a score of 0; a sentence without a known word
 still has the bias, a small chance. Rows with a null id are in no fold and are scored; repeated rows are
@@ -26,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import bounded_sample, held_out, table
+from eddyline.llm.common import held_out, sampled_texts, saved, table
 from eddyline.llm.hashing import WORDLIKE, blocks, prefix_hashes, word_hashes
 
 ENDS = np.zeros(256, dtype=bool)
@@ -119,10 +120,8 @@ def offending(column: pa.Array, model: Model, least: float = 0.5) -> list[list[t
     return out
 
 
-def training_bags(documents: DataFrame, labels: DataFrame, label: str, per_label: int, max_chars: int, seed: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, word hashes, sentence of each word) of a bounded sample; tasks extract, the driver gets hashes."""
-    sample = bounded_sample(labels, label, per_label, seed)
-    texts = documents.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+def _hashes(texts: DataFrame) -> DataFrame:
+    """doc_id, label, n_sentences and, as bytes, the hashes of a text's features and the sentence of each."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,35 +137,72 @@ def training_bags(documents: DataFrame, labels: DataFrame, label: str, per_label
                     marks[row].append((own - own[0] + total[row]).astype("<u4"))
                     total[row] = int(marks[row][-1][-1]) + 1
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["label"].cast(pa.int64()), pa.array([b"".join(x.astype("<u8").tobytes() for x in w) for w in words], pa.binary()), pa.array([b"".join(x.tobytes() for x in m) for m in marks], pa.binary())],
-                ["doc_id", "label", "words", "sentences"],
+                [batch["doc_id"], batch["label"].cast(pa.int64()), pa.array(total), pa.array([b"".join(x.astype("<u8").tobytes() for x in w) for w in words], pa.binary()), pa.array([b"".join(x.tobytes() for x in m) for m in marks], pa.binary())],
+                ["doc_id", "label", "n_sentences", "words", "sentences"],
             )
 
-    rows = texts.mapInArrow(extract, "doc_id long, label long, words binary, sentences binary").toArrow()
+    return texts.select("doc_id", "label", "text").mapInArrow(extract, "doc_id long, label long, n_sentences long, words binary, sentences binary")
+
+
+def _vocabulary(bags: DataFrame, least: float, most: int) -> np.ndarray:
+    """Sorted hashes of the features in ``least`` toxic texts or more, the ``most`` most frequent of them."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.unique(np.frombuffer(w.as_buffer(), "<u8")) for w in batch["words"] if w.is_valid]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each or [np.zeros(0, np.uint64)]).view(np.int64))], ["code"])
+
+    often = bags.where("label = 1").select("words").mapInArrow(distinct, "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["code"] for r in often.orderBy(F.desc("n"), "code").limit(most).collect()], np.int64).view(np.uint64))
+
+
+def training_bags(texts: DataFrame, min_docs: int, min_share: float, vocabulary: int) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(label, known features' hashes, sentence of each, number of sentences) of a bounded sample (doc_id, label, text).
+    Tasks extract, count and choose the vocabulary; the driver gets it and where sampled texts hold it."""
+    bags = saved(_hashes(texts), "toxic-bags")
+    toxic = bags.where("label = 1").count()
+    known = _vocabulary(bags, max(min_docs, min_share * toxic), vocabulary)
+    shared = bags.sparkSession.sparkContext.broadcast(known)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, marks = [], []
+            for w, m in zip(batch["words"], batch["sentences"], strict=True):
+                code, mark = np.frombuffer(w.as_buffer(), "<u8"), np.frombuffer(m.as_buffer(), "<u4")
+                here = _known(code, shared.value) < len(shared.value)
+                words.append(code[here].tobytes())
+                marks.append(mark[here].tobytes())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], batch["n_sentences"], pa.array(words, pa.binary()), pa.array(marks, pa.binary())], batch.schema.names)
+
+    rows = bags.mapInArrow(keep, bags.schema).toArrow()
     order = pa.compute.sort_indices(rows, [("doc_id", "ascending"), ("words", "ascending")]).to_pylist()
-    label_of, words, marks = rows["label"], rows["words"], rows["sentences"]
-    return [(label_of[i].as_py(), np.frombuffer(words[i].as_buffer(), "<u8"), np.frombuffer(marks[i].as_buffer(), "<u4")) for i in order]
+    label_of, size, words, marks = (rows[c] for c in ("label", "n_sentences", "words", "sentences"))
+    return [(label_of[i].as_py(), np.frombuffer(words[i].as_buffer(), "<u8"), np.frombuffer(marks[i].as_buffer(), "<u4"), size[i].as_py()) for i in order]
+
+
+#: A feature's least number of toxic documents and share of them, and how many features there are at most.
+MIN_DOCS, MIN_SHARE, VOCABULARY = 3, 0.003, 50_000
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], min_docs: int = 3, min_share: float = 0.003, vocabulary: int = 50_000, epochs: int = 200, rate: float = 1.0, sparse: float = 0.003) -> Model:
-    """Gradient steps on the likelihood of the documents' labels, all bags in each, scaled word by word by
+def fit(bags: list[tuple], min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, vocabulary: int = VOCABULARY, epochs: int = 200, rate: float = 1.0, sparse: float = 0.0005, most_wrong: float = 0.005) -> Model:
+    """Of (label, features, sentence of each and, where features may lack at the end, number of sentences). Gradient steps on the likelihood of the documents' labels, all bags in each, scaled word by word by
     the squares of past gradients (words differ by orders of magnitude in how often they occur). A pull of
     ``sparse`` times the toxic bags towards 0 leaves a weight to the words only that many documents speak for. Some labels are wrong:
-    a document without a toxic sentence is labelled toxic with a chance that is estimated along (by EM), so
-    such documents needn't be explained by their words."""
-    bags = [b for b in bags if len(b[1])]
+    a document without a toxic sentence is labelled toxic with a chance that is estimated along (by EM) and is
+    ``most_wrong`` at most: a greater one would explain short toxic documents away, whose few words speak softly."""
+    bags = [(*b[:3], b[3] if len(b) > 3 else int(b[2][-1]) + 1) for b in bags if (b[3] if len(b) > 3 else len(b[1]))]
     y = np.array([b[0] for b in bags], float)
     if not len(bags) or y.min() == y.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), LEAST_BIAS)
-    seen, docs = np.unique(np.concatenate([np.unique(w) for label, w, _ in bags if label == 1]), return_counts=True)
+    seen, docs = np.unique(np.concatenate([np.unique(w) for label, w, _, _ in bags if label == 1]), return_counts=True)
     often = docs >= max(min_docs, min_share * y.sum())
     seen, docs = seen[often], docs[often]
     if len(seen) > vocabulary:
         seen = np.sort(seen[np.lexsort((seen, -docs))[:vocabulary]])
-    n_sentences = [int(s[-1]) + 1 for _, _, s in bags]
+    n_sentences = [n for *_, n in bags]
     first = np.concatenate([[0], np.cumsum(n_sentences)])
     parts = []
-    for (_, w, at), f in zip(bags, first[:-1], strict=True):  # bag by bag: unknown features are most of them
+    for (_, w, at, _), f in zip(bags, first[:-1], strict=True):  # bag by bag: unknown features are most of them
         word = _known(w, seen)
         known = word < len(seen)
         word, sentence, times = _counted(word[known], at[known], len(seen))
@@ -175,7 +211,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], min_docs: int = 3, min_s
     del parts
     bag = np.repeat(np.arange(len(bags)), n_sentences)
     weight, bias = np.zeros(len(seen)), -5.0
-    wrong = 0.02
+    wrong = min(0.02, most_wrong)
     past, past_bias = np.full(len(seen), 1e-3), 1e-3
     for _ in range(epochs):
         z = np.clip(np.bincount(sentence, weight[word] * times, first[-1]) + bias, -30, 30)
@@ -184,15 +220,15 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], min_docs: int = 3, min_s
         blame = wrong + (1 - wrong) * total
         back = np.where(y == 1, (1 - wrong) * (1 - total) / blame, -1.0)  # of log-likelihood, by -log(1 - p) of a sentence
         by_mistake = (y * wrong * (1 - total) / blame).sum()
-        wrong = min(0.2, max(1e-4, by_mistake / (by_mistake + (1 - y).sum())))
+        wrong = min(most_wrong, max(1e-4, by_mistake / (by_mistake + (1 - y).sum())))
         g = back[bag] * p
         step = np.bincount(word, g[sentence] * times, len(seen))
         past += step * step
         pace = rate / np.sqrt(past)
         weight += pace * step
         weight = np.sign(weight) * np.maximum(np.abs(weight) - pace * sparse * y.sum(), 0)
-        past_bias += g.sum() ** 2
-        bias = max(LEAST_BIAS, bias + rate * g.sum() / np.sqrt(past_bias))
+        past_bias = 0.9 * past_bias + 0.1 * g.sum() ** 2  # forgets the first steps, whose gradients are far greater
+        bias = max(LEAST_BIAS, bias + 0.1 * rate * g.sum() / np.sqrt(past_bias))
     used = weight != 0
     seen, weight = seen[used], weight[used]
     return Model(seen, weight, float(bias))
@@ -200,7 +236,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], min_docs: int = 3, min_s
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 2500, max_chars: int = 200_000, seed: int = 13) -> Model:
     """Fits on the labelled rows given; which rows those are is the caller's business."""
-    return fit(training_bags(documents, labels, label, per_label, max_chars, seed))
+    return fit(training_bags(sampled_texts(documents, labels, label, per_label, max_chars, seed), MIN_DOCS, MIN_SHARE, VOCABULARY))
 
 
 def score_documents(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

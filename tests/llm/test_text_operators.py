@@ -371,3 +371,43 @@ def test_bpe_of_odd_rows(spark, odd, empty, docs):
     assert bpe.encode(empty, bpe.vocabulary_path()).count() == 0
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs, bpe.vocabulary_path()), bpe.vocabulary_path()).collect()}
     assert all(back[r.doc_id] == (r.text or "") for r in docs.collect())
+
+
+def held_out_rates(spark, sf, query, label, more=""):
+    """(language, label's rows and those predicted so, other rows and those predicted so) of rows that weren't learnt from."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    seen = query(spark, f"{DATA}/{sf}").where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    for lang, rows in [("all", seen), *seen.groupby("lang")]:
+        one = rows[label] == 1
+        yield lang, int(one.sum()), int((rows.predicted[one] == 1).sum()), int((~one).sum()), int((rows.predicted[~one] == 1).sum())
+
+
+def test_toxicity_of_rows_that_were_not_learnt_from(spark):
+    for lang, toxic, caught, clean, alarms in held_out_rates(spark, "sf0.1", toxicity.op4_toxicity, "toxic"):
+        assert caught >= (0.8 if lang == "all" else 0.65) * toxic and alarms <= 0.02 * clean + 1, lang
+
+
+def test_quality_of_rows_that_were_not_learnt_from(spark):
+    for lang, good, kept, bad, wrong in held_out_rates(spark, "sf0.1", quality.op1_quality, "quality"):
+        assert kept >= 0.97 * good and wrong <= 0.1 * bad + 1, lang
+
+
+def test_samples_of_forged_counts_keep_their_share(spark):
+    from eddyline.llm.common import bounded_sample, taken
+
+    ids = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    assert 0 < ids.where(taken(F.col("h"), 1e-4)).count() < 60 and ids.where(taken(F.col("h"), 1.0)).count() == 200_000
+    tiny = ids.where(F.shiftrightunsigned(F.col("h"), 1) < int(1e-9 * 2**63)).count()
+    assert ids.where(taken(F.col("h"), 1e-9)).count() == tiny and int(1e-12 * 2**63) > 0
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("y"))
+    got = bounded_sample(labels.unionByName(labels), "y", 100, 1).groupBy("label").count().collect()
+    assert len(got) == 2 and all(10 < r["count"] < 160 for r in got)
+
+
+def test_sampled_texts_have_a_row_an_id(spark):
+    from eddyline.llm.common import sampled_texts
+
+    docs = spark.range(0, 3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, None)], "doc_id long, y int")
+    rows = sampled_texts(docs, labels, "y", 10, 100, 1).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(0, 1), (1, 0)]
