@@ -5,9 +5,9 @@ and the gradient of the document's likelihood teaches the words, so that the sen
 Words are runs of letters, digits and characters beyond ASCII, lower-cased in ASCII, known by 64-bit
 hashes, and so are their first 4 to 7 bytes (stems whose endings change); a sentence counts each up to
 ``MOST`` times. Sentences end at ``.``, ``!``, ``?`` or a line's end. The vocabulary (features in
-``min_docs`` and a share of ``min_share`` or more of the toxic documents of a bounded labelled sample, a
-share below which the pull of ``sparse`` keeps weights at 0; ``vocabulary`` of them at most) is counted by tasks and is
-what they receive: its size is fixed by parameters. The sample has ``per_label`` ids of each label at most, and none of
+``MIN_DOCS`` and a share of ``MIN_SHARE`` or more of the toxic documents of a bounded labelled sample, a
+share below which the pull of ``sparse`` keeps weights at 0, and ``MIN_RATIO`` times their share of the clean ones or
+more; ``VOCABULARY`` of them at most) is counted by tasks and is what they receive: its size is fixed by parameters. The sample has ``per_label`` ids of each label at most, and none of
 more than ``max_chars`` characters; such texts teach nothing but are scored whole. Scoring covers whole texts in bounded blocks, without a shuffle.
 
 Defined results: a null or empty text has no sentence and a score of 0; a sentence without a known word
@@ -35,6 +35,14 @@ ENDS[[ord(x) for x in ".!?\n\r"]] = True
 LEAST_BIAS = -9.0
 PREFIXES = range(4, 8)
 MOST = 4
+#: A feature's least number of toxic documents, their least share, how many times its share of the clean ones that must
+#: be, and how many features there are at most.
+MIN_DOCS, MIN_SHARE, MIN_RATIO, VOCABULARY = 3, 0.003, 1.0, 50_000
+
+
+def speaks(n1, n0, toxic: int, clean: int):
+    """Whether a feature in n1 of the toxic and n0 of the clean documents may tell them apart (arrays or Columns)."""
+    return (n1 >= max(MIN_DOCS, MIN_SHARE * toxic)) & (n1 * max(1, clean) >= MIN_RATIO * max(1, toxic) * n0)
 
 
 @dataclass(frozen=True)
@@ -144,24 +152,26 @@ def _hashes(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "label", "text").mapInArrow(extract, "doc_id long, label long, n_sentences long, words binary, sentences binary")
 
 
-def _vocabulary(bags: DataFrame, least: float, most: int) -> np.ndarray:
-    """Sorted hashes of the features in ``least`` toxic texts or more, the ``most`` most frequent of them."""
+def _vocabulary(bags: DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """Sorted hashes of the features that ``speaks`` holds of, the ``VOCABULARY`` most frequent of them."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [np.unique(np.frombuffer(w.as_buffer(), "<u8")) for w in batch["words"] if w.is_valid]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each or [np.zeros(0, np.uint64)]).view(np.int64))], ["code"])
+            each = [np.unique(np.frombuffer(w.as_buffer(), "<u8")) for w in batch["words"]]
+            label = np.repeat(np.asarray(batch["label"]), [len(e) for e in each])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each or [np.zeros(0, np.uint64)]).view(np.int64)), pa.array((label == 1).astype(np.int64))], ["code", "toxic"])
 
-    often = bags.where("label = 1").select("words").mapInArrow(distinct, "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r["code"] for r in often.orderBy(F.desc("n"), "code").limit(most).collect()], np.int64).view(np.uint64))
+    counted = bags.select("label", "words").mapInArrow(distinct, "code long, toxic long").groupBy("code").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+    chosen = counted.where(speaks(F.col("n1"), F.col("n0"), toxic, clean)).orderBy(F.desc("n1"), "code").limit(VOCABULARY)
+    return np.sort(np.array([r["code"] for r in chosen.collect()], np.int64).view(np.uint64))
 
 
-def training_bags(texts: DataFrame, min_docs: int, min_share: float, vocabulary: int) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+def training_bags(texts: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
     """(label, known features' hashes, sentence of each, number of sentences) of a bounded sample (doc_id, label, text).
     Tasks extract, count and choose the vocabulary; the driver gets it and where sampled texts hold it."""
     bags = saved(_hashes(texts), "toxic-bags")
-    toxic = bags.where("label = 1").count()
-    known = _vocabulary(bags, max(min_docs, min_share * toxic), vocabulary)
+    toxic, clean = (bags.where(f"label {sign} 1").count() for sign in ("=", "!="))
+    known = _vocabulary(bags, toxic, clean)
     shared = bags.sparkSession.sparkContext.broadcast(known)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +190,9 @@ def training_bags(texts: DataFrame, min_docs: int, min_share: float, vocabulary:
     return [(label_of[i].as_py(), np.frombuffer(words[i].as_buffer(), "<u8"), np.frombuffer(marks[i].as_buffer(), "<u4"), size[i].as_py()) for i in order]
 
 
-#: A feature's least number of toxic documents and share of them, and how many features there are at most.
-MIN_DOCS, MIN_SHARE, VOCABULARY = 3, 0.003, 50_000
 
 
-def fit(bags: list[tuple], min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, vocabulary: int = VOCABULARY, epochs: int = 200, rate: float = 1.0, sparse: float = 0.0005, most_wrong: float = 0.005) -> Model:
+def fit(bags: list[tuple], epochs: int = 200, rate: float = 1.0, sparse: float = 0.0005, most_wrong: float = 0.005) -> Model:
     """Of (label, features, sentence of each and, where features may lack at the end, number of sentences). Gradient steps on the likelihood of the documents' labels, all bags in each, scaled word by word by
     the squares of past gradients (words differ by orders of magnitude in how often they occur). A pull of
     ``sparse`` times the toxic bags towards 0 leaves a weight to the words only that many documents speak for. Some labels are wrong:
@@ -194,11 +202,14 @@ def fit(bags: list[tuple], min_docs: int = MIN_DOCS, min_share: float = MIN_SHAR
     y = np.array([b[0] for b in bags], float)
     if not len(bags) or y.min() == y.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), LEAST_BIAS)
-    seen, docs = np.unique(np.concatenate([np.unique(w) for label, w, _, _ in bags if label == 1]), return_counts=True)
-    often = docs >= max(min_docs, min_share * y.sum())
+    each = [np.unique(w) for _, w, _, _ in bags]
+    seen, of = np.unique(np.concatenate(each), return_inverse=True)
+    label = np.repeat(y, [len(e) for e in each])
+    docs, clean = np.bincount(of, label, len(seen)), np.bincount(of, 1 - label, len(seen))
+    often = speaks(docs, clean, int(y.sum()), int((1 - y).sum()))
     seen, docs = seen[often], docs[often]
-    if len(seen) > vocabulary:
-        seen = np.sort(seen[np.lexsort((seen, -docs))[:vocabulary]])
+    if len(seen) > VOCABULARY:
+        seen = np.sort(seen[np.lexsort((seen, -docs))[:VOCABULARY]])
     n_sentences = [n for *_, n in bags]
     first = np.concatenate([[0], np.cumsum(n_sentences)])
     parts = []
@@ -236,7 +247,7 @@ def fit(bags: list[tuple], min_docs: int = MIN_DOCS, min_share: float = MIN_SHAR
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 2500, max_chars: int = 200_000, seed: int = 13) -> Model:
     """Fits on the labelled rows given; which rows those are is the caller's business."""
-    return fit(training_bags(sampled_texts(documents, labels, label, per_label, max_chars, seed), MIN_DOCS, MIN_SHARE, VOCABULARY))
+    return fit(training_bags(sampled_texts(documents, labels, label, per_label, max_chars, seed)))
 
 
 def score_documents(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
