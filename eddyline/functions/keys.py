@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eddyline.functions.geometry import mean_energy, summed_flux
+from eddyline.functions.geometry import mean_energy, moment_density, moment_energy, summed_flux
 
 #: Our keys and the names that snapshot files on a spherical grid use for them.
 GRID_NAMES = {
@@ -65,3 +65,46 @@ def missing(specs: list[KeySpec], have: Column) -> Column:
 def renamed(df: DataFrame, names: dict[str, str] = GRID_NAMES) -> DataFrame:
     """Raw columns under our keys; others keep their names."""
     return df.withColumnsRenamed({raw: key for key, raw in names.items() if raw in df.columns})
+
+
+@dataclass(frozen=True)
+class Preset:
+    """What a kind of snapshot file is read with unless told otherwise."""
+
+    names: dict[str, str]
+    pattern: str
+    transform: str | None
+    method: str
+    keys: tuple[str, ...]
+
+
+_NEUTRINOS = tuple(f"{q}_{s}" for q in ("F", "eps") for s in ("nue", "anue", "nux"))
+_COMMON = ("V_u_x", "V_u_y", "V_u_z", "rho", "T", "r_0", "u_t")
+#: Kinds of snapshot data: spherical grids in VTK files, surfaces and mesh blocks landed as tables.
+PRESETS = {
+    "grid": Preset(GRID_NAMES, ".vtk", "log", "pchip", _COMMON + _NEUTRINOS),
+    "surface": Preset({}, ".parquet", "log", "pchip", _COMMON + ("hu_t",) + _NEUTRINOS),
+    "blocks": Preset(BLOCK_NAMES, ".parquet", None, "blocks", _COMMON + ("press", "h")),
+}
+
+
+def reduced_moments(df: DataFrame) -> DataFrame:
+    """Neutrino number fluxes and mean energies in place of the moments they come from, which go, as do the momenta. A
+    table that lacks one of the moments or the metric stays as it is, whole."""
+    species = {"00": "nue", "01": "anue", "02": "nux"}
+    needed = [*(f"{m}_{n}" for m in ("J", "n") for n in species), "sc_sqrt_det_g"]
+    if not set(needed) <= set(df.columns):
+        return df
+    new = {f"F_{s}": moment_density(F.col(f"n_{n}"), F.col("sc_sqrt_det_g")) for n, s in species.items()}
+    new |= {f"eps_{s}": moment_energy(F.col(f"J_{n}"), F.col(f"n_{n}")) for n, s in species.items()}
+    return df.withColumns(new).drop(*needed, *(f"st_H_u_{c}_{n}" for c in "txyz" for n in species), "s")
+
+
+def relaid(raw: DataFrame) -> DataFrame:
+    """FIELD(time, i, j, k, key, value) of surfaces that are stored radius by radius: ``raw`` (time, radius_key, name, j, k,
+    value) has a row a point; radii are numbered by their keys as numbers, of dotted names the last part counts, and
+    coordinates among the fields are left out."""
+    radii = raw.select("time", "radius_key").distinct().withColumn("i", F.dense_rank().over(Window.partitionBy("time").orderBy(F.col("radius_key").cast("long"))) - 1)
+    key = F.element_at(F.split("name", r"\."), -1)
+    kept = raw.where(~F.col("name").isin("r", "th", "ph", "time"))
+    return kept.join(radii, ["time", "radius_key"]).select("time", F.col("i").cast("int"), F.col("j").cast("int"), F.col("k").cast("int"), key.alias("key"), F.col("value").cast("double"))

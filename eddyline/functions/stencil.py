@@ -40,10 +40,14 @@ def pchip4_np(x: np.ndarray, v: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.where(sa * sb > 0, d, 0.0)
 
     d1, d2 = slope(s[0], s[1], h[0], h[1]), slope(s[1], s[2], h[1], h[2])
-    a = (q - x[1]) / h[1]
+    return np.where(np.isnan(v).any(0), np.nan, hermite(x[1], h[1], v[1], v[2], d1, d2, q))
+
+
+def hermite(x1: np.ndarray, h: np.ndarray, v1: np.ndarray, v2: np.ndarray, d1: np.ndarray, d2: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The cubic of two values and slopes, ``h`` apart."""
+    a = (q - x1) / h
     b = 1 - a
-    out = v[1] * (1 + 2 * a) * b * b + v[2] * (3 - 2 * a) * a * a + h[1] * (d1 * a * b * b - d2 * a * a * b)
-    return np.where(np.isnan(v).any(0), np.nan, out)
+    return v1 * (1 + 2 * a) * b * b + v2 * (3 - 2 * a) * a * a + h * (d1 * a * b * b - d2 * a * a * b)
 
 
 def end_slope(h0: np.ndarray, h1: np.ndarray, m0: np.ndarray, m1: np.ndarray) -> np.ndarray:

@@ -1,26 +1,19 @@
-"""Values of a gridded field at points: the stencil's cells are computed, joined by their index, and contracted.
+"""Values of a gridded field at points in DataFrame functions: the stencil's cells are computed and joined by index.
 
 FIELD(time_idx, i, j, k, <keys>) is a table of cells; points carry fractional grid coordinates (fi, fj, fk: 2.25 is
 a quarter of the way from cell 2 to cell 3). Cells beyond a pole or the seam are the stored ones they mirror
 (``ghost_cell``), so nothing is copied. The join is an equi-join on the cell's index, which Spark broadcasts
-while the field is small and shuffles otherwise; points outside the radial range come out as NaN.
+while the field is small and shuffles otherwise; points outside the grid come out as NaN. For many points or the
+cubic stencils of 64 cells see ``tiles.gather``, which moves a row a point.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.functions.geometry import ghost_cell
-from eddyline.functions.stencil import pchip4_np, searchsorted
-
-
-def uniform_coordinate(q: Column, first: float, step: float) -> Column:
-    return (q - first) / step
+from eddyline.functions.stencil import searchsorted
 
 
 def _corner_rows(points: DataFrame, width: int) -> DataFrame:
@@ -60,39 +53,6 @@ def gather_nearest(points: DataFrame, field: DataFrame, keys: list[str], point:
     return points.select(point).join(_cells(rows, field, keys, None, None, False).select(point, *keys), point, "left")
 
 
-def gather_monotone(points: DataFrame, field: DataFrame, key: str, axis_i: list[float], axis_j: list[float], axis_k: list[float], point: str = "point_id", n_theta: int | None = None, n_phi: int | None = None, node_centred: bool = False) -> DataFrame:
-    """point, <key>: the four-point monotone cubic along r, then the polar angle, then phi (the order counts, as
-    limiters aren't linear), contracted in numpy on the joined 64 values of each point. Points carry q_i, q_j, q_k besides; axes are node positions, short beside the
-    field. A point whose stencil leaves the grid is NaN."""
-    rows = _corner_rows(points.select(point, "time_idx", "fi", "fj", "fk", "q_i", "q_j", "q_k"), 4)
-    place = (F.col("__i") - F.floor("fi") + 1) + 4 * ((F.col("__j") - F.floor("fj") + 1) + 4 * (F.col("__k") - F.floor("fk") + 1))
-    found = _cells(rows.withColumn("__p", place.cast("int")), field, [key], n_theta, n_phi, node_centred)
-    full = found.groupBy(point, "fi", "fj", "fk", "q_i", "q_j", "q_k").agg(F.sort_array(F.collect_list(F.struct("__p", F.col(key).alias("v")))).alias("s")).where(F.size("s") == 64)
-
-    axes = {a: np.array(v, float) for a, v in (("i", axis_i), ("j", axis_j), ("k", axis_k))}
-
-    def nodes(a: str, f: np.ndarray) -> np.ndarray:
-        """Positions (4, n) of a stencil's nodes; evenly spaced beyond the ends, as polar and azimuthal ghosts are."""
-        axis, at = axes[a], np.floor(f).astype(int) + np.arange(-1, 3)[:, None]
-        inside = np.clip(at, 0, len(axis) - 1)
-        return axis[inside] + (at - inside) * (axis[1] - axis[0])
-
-    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = len(batch)
-            column = lambda c: np.asarray(batch[c], float)  # noqa: E731, B023
-            v = np.asarray(batch["values"].flatten(), float).reshape(n, 4, 4, 4).transpose(3, 2, 1, 0)  # i, j, k, point
-            for a in "ijk":
-                x = nodes(a, column(f"f{a}")).reshape(4, *[1] * (v.ndim - 2), n) * np.ones(v.shape)
-                v = pchip4_np(x, v, np.broadcast_to(column(f"q_{a}"), v.shape[1:]))
-            yield pa.RecordBatch.from_arrays([batch[point], pa.array(v)], [point, key])
-
-    cubes = full.select(point, "fi", "fj", "fk", "q_i", "q_j", "q_k", F.transform("s", lambda c: c["v"].cast("double")).alias("values"))
-    kind = points.schema[point].dataType.simpleString()
-    now = cubes.mapInArrow(contract, f"`{point}` {kind}, `{key}` double")
-    return points.select(point).join(now, point, "left").select(point, F.coalesce(key, F.lit(float("nan"))).alias(key))
-
-
 def locate_blocks(points: DataFrame, block_map: DataFrame, faces: dict[str, list[float]], level: int, interior: dict[str, int]) -> DataFrame:
     """``points`` (x1, x2, x3) and the block_id that holds each: the root cell by its faces, the slot of the
     finest level in it, and an equi-join with BLOCK_MAP(s1, s2, s3, block_id). Outside: null."""

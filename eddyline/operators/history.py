@@ -145,3 +145,55 @@ def even_by_value(metrics: DataFrame, value: str, n: int) -> DataFrame:
     best = Window.partitionBy("__t").orderBy(value, *[c for c in metrics.columns if c != value])
     between = metrics.withColumn("__t", F.floor((F.col(value) - low) / step + 1e-12))
     return between.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r", "__t")
+
+
+def running(series: DataFrame, value: str, name: str = "total") -> DataFrame:
+    """``series`` with the running sum of ``value`` times the time to the next record (0 at the last)."""
+    w = Window.orderBy("time")
+    dt = F.coalesce(F.lead("time").over(w) - F.col("time"), F.lit(0.0))
+    return series.withColumn(name, F.sum(F.col(value) * dt).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def of_status(traj: DataFrame, statuses: list[str]) -> DataFrame:
+    return traj.where(F.col("status").isin(statuses))
+
+
+def never_within(traj: DataFrame, radius: float, key: str = "r") -> DataFrame:
+    """The records of tracers that never come within ``radius``."""
+    far = traj.groupBy("tracer_id").agg(F.min(F.col(key) * F.col(key)).alias("r2")).where(F.col("r2") >= radius * radius)
+    return traj.join(far, "tracer_id", "left_semi")
+
+
+def reaching(traj: DataFrame, radius: float, key: str = "r") -> DataFrame:
+    """tracer_id, n of the tracers that come within ``radius`` and how many records they have."""
+    return traj.groupBy("tracer_id").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("least") < radius).select("tracer_id", "n")
+
+
+def sampled(tracers: DataFrame, n: int, seed: int, key: str = "tracer_id") -> DataFrame:
+    """``n`` rows picked by a hash of their key, the same in every rerun."""
+    order = (F.col(key) * F.lit(2654435761) + seed) % F.lit(4294967296)
+    return tracers.orderBy(order, key).limit(n)
+
+
+def means(traj: DataFrame, key: str) -> DataFrame:
+    return traj.groupBy("tracer_id").agg(F.avg(key).alias("mean"), F.max(key).alias("peak"), F.count(F.lit(1)).alias("n"))
+
+
+def rms(errors: DataFrame, error: str, *by: str) -> DataFrame:
+    """<by>, rms of ``error``, what is NaN left out."""
+    return errors.groupBy(*by).agg(F.sqrt(F.avg(F.when(~F.isnan(error), F.col(error) * F.col(error)))).alias("rms"))
+
+
+def convergence_order(errors: DataFrame, level: str = "k", error: str = "err") -> DataFrame:
+    """level, order: log2 of each level's error over the next finer one's; a handful of rows."""
+    return errors.select(level, F.log2(F.lag(error).over(Window.orderBy(level)) / F.col(error)).alias("order_"))
+
+
+def disagreement(pairs: DataFrame, distance: Column, *by: str) -> DataFrame:
+    """<by>, the mean and greatest distance."""
+    return pairs.groupBy(*by).agg(F.avg(distance).alias("mean"), F.max(distance).alias("most"))
+
+
+def unbound_fraction(final: DataFrame, energy: Column, mass: str = "mass") -> DataFrame:
+    """unbound (the share of the mass whose ``energy``, -u_t or -h u_t, is above 1) and n."""
+    return final.agg((F.sum(F.when(energy > 1, F.col(mass)).otherwise(0.0)) / F.sum(mass)).alias("unbound"), F.count(F.lit(1)).alias("n"))

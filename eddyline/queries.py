@@ -10,13 +10,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eddyline.functions import geometry as g
 from eddyline.functions import stencil
+from eddyline.functions import fields, keys
 from eddyline.functions.flows import BlastWave, DiskWind
-from eddyline.operators import catalog, gather, history, seeding, tracing
+from eddyline.functions.grid import Grid
+from eddyline.operators import advance, catalog, gather, history, seeding, tiles
+from eddyline.shared import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,7 +173,7 @@ _FILES = "files as (select case when o_orderkey % 97 = 0 then '' else 'f' || lpa
 
 @query(f"with {_FILES} select row_number() over (order by time) - 1 as time_idx, time, count(*) as n_files, min(path) as first_path, max(path) as last_path from files where path <> '' group by time")
 def s2_snapshot_catalog(spark, sf_dir):
-    return catalog.snapshots(_files(spark, sf_dir)).select(F.col("time_idx").cast("long").alias("time_idx"), "time", "n_files", F.array_min("paths").alias("first_path"), F.array_max("paths").alias("last_path"))
+    return catalog.snapshots(_files(spark, sf_dir)).select(F.col("time_idx").cast("long").alias("time_idx"), "time", "n_files", "first_path", "last_path")
 
 
 @query(f"""with {_FILES}, k as (select distinct key from files), t as (select distinct time from files)
@@ -209,35 +212,47 @@ def j3_step_windows(spark, sf_dir):
     return catalog.step_windows(times).select("t_a", "t_b", "t_c", "t_d")
 
 
-@query(f"""with {_FILES}, t as (select distinct time from files), b as (select min(time) as lo, max(time) as hi from t),
-  s as (select time, cast(least(floor((time - lo) / ((hi - lo) / 12)), 11) as integer) as slot, (hi - lo) / 12 as dt from t, b)
-  select slot, time, count(*) over (partition by slot) as n_files, round(dt, 9) as dt from s""")
+@query(f"""with {_FILES}, t as (select row_number() over (order by time) - 1 as i, time from (select distinct time from files)), n as (select count(*) as n from t),
+  b as (select row_number() over (order by time) - 1 as slot, time + 0.3 as t_start from t, n where i % 7 = 2 and i < n - 1), a as (select slot, (select arg_min(i, abs(t.time - b.t_start)) from t) as i from b),
+  p as (select slot, i as a, lead(i) over (order by slot) as b from a)
+  select p.slot, t.i as time_idx, p.b - p.a as n_files, round(u.time - v.time, 9) as dt from p join t on t.i >= p.a and t.i < p.b join t u on u.i = p.b join t v on v.i = p.a""")
 def j6_slot_windows(spark, sf_dir):
+    """Slots that begin a little after every seventh snapshot."""
     times = catalog.snapshots(_files(spark, sf_dir).withColumn("path", F.lit("f"))).select("time_idx", "time")
-    return catalog.slots(times, 12).join(times, "time_idx").select("slot", "time", "n_files", rounded("dt", 9).alias("dt"))
+    last = times.agg(F.max("time_idx").alias("last"))
+    chosen = times.join(F.broadcast(last), F.lit(True)).where("time_idx % 7 = 2 and time_idx < last")
+    starts = chosen.select((F.row_number().over(Window.orderBy("time")) - 1).alias("order"), (F.col("time") + 0.3).alias("t_start"))
+    return catalog.slot_windows(times, starts).select(F.col("slot").cast("long"), F.col("time_idx").cast("long"), "n_files", rounded("dt", 9).alias("dt"))
+
+
+@query(f"""with {_FILES}, t as (select distinct time from files), s as (select o_orderkey as seed_id, epoch_us(o_orderdate) / 1e6 / 86400.0 + case when o_orderkey % 3 = 0 then 0.4 else (o_orderkey % 3) * 1e-3 end as t0 from orders)
+  select seed_id, exists (select 1 from t where abs(t0 - t.time) <= 1e-8 + 1e-5 * abs(t.time)) as starts from s""")
+def f3_seed_meets_a_snapshot(spark, sf_dir):
+    times = catalog.snapshots(_files(spark, sf_dir).withColumn("path", F.lit("f"))).select("time_idx", "time")
+    n = F.col("o_orderkey") % 3
+    t0 = F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6 / DAY + F.when(n == 0, F.lit(0.4)).otherwise(n * 1e-3)
+    near = catalog.nearest_time(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seed_id"), t0.alias("t0")), times, 1.5)
+    return near.select("seed_id", F.coalesce(catalog.is_close(F.col("t0"), F.col("time")), F.lit(False)).alias("starts"))
 
 
 @query(f"with {TRAJ} select tracer_id, seq from traj where status in ('view', 'purchase')")
 def f6_status_filter(spark, sf_dir):
-    return histories(spark, sf_dir).where(F.col("status").isin("view", "purchase")).select("tracer_id", "seq")
+    return history.of_status(histories(spark, sf_dir), ["view", "purchase"]).select("tracer_id", "seq")
 
 
 @query(f"with {TRAJ}, m as (select tracer_id, min(r * r) as r2 from traj group by 1) select t.tracer_id, t.seq from traj t join m using (tracer_id) where m.r2 >= 0.09")
 def f7_never_within_radius(spark, sf_dir):
-    t = histories(spark, sf_dir)
-    far = t.groupBy("tracer_id").agg(F.min(F.col("r") * F.col("r")).alias("r2")).where("r2 >= 0.09")
-    return t.join(far, "tracer_id", "left_semi").select("tracer_id", "seq")
+    return history.never_within(histories(spark, sf_dir), 0.3).select("tracer_id", "seq")
 
 
 @query(f"with {TRAJ} select tracer_id, count(*) as n from traj group by 1 having min(r) < 0.3")
 def f8_reaching_inside(spark, sf_dir):
-    return histories(spark, sf_dir).groupBy("tracer_id").agg(F.min("r").alias("least"), F.count(F.lit(1)).alias("n")).where("least < 0.3").select("tracer_id", "n")
+    return history.reaching(histories(spark, sf_dir), 0.3)
 
 
 @query("select vec_id from embeddings order by (vec_id * 2654435761 + 97) % 4294967296, vec_id limit 200")
 def f11_hash_sample(spark, sf_dir):
-    order = (F.col("vec_id") * F.lit(2654435761) + 97) % F.lit(4294967296)
-    return read(spark, sf_dir, "embeddings").orderBy(order, "vec_id").limit(200).select("vec_id")
+    return history.sampled(read(spark, sf_dir, "embeddings"), 200, 97, "vec_id").select("vec_id")
 
 
 @query(f"""with {TRAJ}, m as (select tracer_id, max(temp) as v from traj group by 1), b as (select min(v) as lo, max(v) as hi from m),
@@ -289,43 +304,109 @@ _GRID = "cells as (select cast(l_orderkey % 12 as integer) as i, cast(l_partkey
 
 
 def _points(spark, sf_dir):
-    at = lambda c: 5.5 + F.least(F.greatest(F.col(c), F.lit(-4.0)), F.lit(4.0))
-    p = positions(spark, sf_dir)
-    return p.select(F.col("tracer_id").alias("point_id"), F.lit(0).alias("time_idx"), *(at(c).alias(f"f{a}") for c, a in zip("xyz", "ijk", strict=True)), *(at(c).alias(f"q_{a}") for c, a in zip("xyz", "ijk", strict=True)))
+    """Points of which some lie outside the grid's 0 to 11."""
+    p = positions(spark, sf_dir, 16.0)
+    return p.select(F.col("tracer_id").alias("point_id"), F.lit(0).alias("time_idx"), *((F.col(c) + 5.5).alias(f"f{a}") for c, a in zip("xyz", "ijk", strict=True)))
 
 
-@query(f"""with {_GRID}, {_pos()}, q as (select tracer_id as point_id, 5.5 + least(greatest(x, -4), 4) as fi, 5.5 + least(greatest(y, -4), 4) as fj, 5.5 + least(greatest(z, -4), 4) as fk from pos),
+_AXIS = tuple(float(i) for i in range(12))
+_CUBE = Grid((_AXIS, _AXIS, _AXIS), spherical=False)
+_POINTS = f"{_pos(16.0)}, q as (select tracer_id as point_id, x + 5.5 as fi, y + 5.5 as fj, z + 5.5 as fk from pos)"
+_LINEAR = f"""with {_GRID}, {_POINTS},
   o as (select unnest([0, 1]) as d), c as (select q.*, a.d as di, b.d as dj, e.d as dk from q, o a, o b, o e),
   w as (select point_id, cast(floor(fi) + di as integer) as i, cast(floor(fj) + dj as integer) as j, cast(floor(fk) + dk as integer) as k,
     (case when di = 0 then 1 - (fi - floor(fi)) else fi - floor(fi) end) * (case when dj = 0 then 1 - (fj - floor(fj)) else fj - floor(fj) end) * (case when dk = 0 then 1 - (fk - floor(fk)) else fk - floor(fk) end) as w from c)
-  select point_id, case when sum(case when v is not null then w end) > 1 - 1e-9 then round(sum(w * v), 6) else -1 end as v from w left join cells using (i, j, k) group by 1""")
+  select point_id, case when sum(case when v is not null then w end) > 1 - 1e-9 then round(sum(w * v), 6) else -1 end as v from w left join cells using (i, j, k) group by 1"""
+
+
+def _shown(df: DataFrame, *names: str) -> list[Column]:
+    """Rounded columns with -1 for NaN."""
+    return [F.when(F.isnan(n), F.lit(-1.0)).otherwise(rounded(n)).alias(n) for n in names]
+
+
+@query(_LINEAR)
 def j1_linear_gather(spark, sf_dir):
     out = gather.gather_linear(_points(spark, sf_dir), _grid(spark, sf_dir), ["v"])
-    return out.select("point_id", F.when(F.isnan("v"), F.lit(-1.0)).otherwise(rounded("v")).alias("v"))
+    return out.select("point_id", *_shown(out, "v"))
 
 
-@query(f"""with {_GRID}, {_pos()} select tracer_id as point_id, v from pos left join cells on i = floor(5.5 + least(greatest(x, -4), 4) + 0.5) and j = floor(5.5 + least(greatest(y, -4), 4) + 0.5) and k = floor(5.5 + least(greatest(z, -4), 4) + 0.5)""")
+def _by_tiles(spark, sf_dir, method: str) -> DataFrame:
+    return tiles.gather(_points(spark, sf_dir), _grid(spark, sf_dir), _CUBE, ["v"], method, place=("fi", "fj", "fk"), kind="coordinates", size=4)
+
+
+@query(_LINEAR)
+def i4_linear_by_tiles(spark, sf_dir):
+    out = _by_tiles(spark, sf_dir, "linear")
+    return out.select("point_id", *_shown(out, "v"))
+
+
+@query(f"""with {_GRID}, {_POINTS} select point_id, case when v is not null and fi between 0 and 11 and fj between 0 and 11 and fk between 0 and 11 then v else -1 end as v from q left join cells on i = floor(fi + 0.5) and j = floor(fj + 0.5) and k = floor(fk + 0.5)""")
 def i4_nearest_gather(spark, sf_dir):
-    return gather.gather_nearest(_points(spark, sf_dir), _grid(spark, sf_dir), ["v"])
+    out = _by_tiles(spark, sf_dir, "nearest")
+    return out.select("point_id", *_shown(out, "v"))
 
 
-@query()
+def _inner(a: str, b: str) -> str:
+    return f"case when ({a})*({b}) > 0 then 2*({a})*({b})/(({a})+({b})) else 0 end"
+
+
+def _end(a: str, b: str) -> str:
+    d = f"((3*({a})-({b}))/2)"
+    return f"case when sign({d}) <> sign({a}) then 0 when sign({a}) <> sign({b}) and abs({d}) > 3*abs({a}) then 3*({a}) else {d} end"
+
+
+def _cubic(part: str, first: str, last: str) -> str:
+    """SQL of the monotone cubic of v0 .. v3, a unit apart, with end slopes where ``first`` or ``last`` holds."""
+    d1 = f"(case when {first} then {_end('v2-v1', 'v3-v2')} else {_inner('v1-v0', 'v2-v1')} end)"
+    d2 = f"(case when {last} then {_end('v2-v1', 'v1-v0')} else {_inner('v2-v1', 'v3-v2')} end)"
+    whole = f"v1 is not null and v2 is not null and (v0 is not null or {first}) and (v3 is not null or {last})"
+    return f"case when {whole} then v1*(1+2*{part})*(1-{part})*(1-{part}) + v2*(3-2*{part})*{part}*{part} + {d1}*{part}*(1-{part})*(1-{part}) - {d2}*{part}*{part}*(1-{part}) end"
+
+
+def _pivot(by: str, axis: str, cell: str, value: str) -> str:
+    return ", ".join(f"max(case when {axis} = {cell} + {d - 1} then {value} end) as v{d}" for d in range(4))
+
+
+def _monotone(ends: bool) -> str:
+    """SQL of the cubic along i with end slopes, then j and k, there with end slopes only if ``ends``."""
+    edge = lambda c: (f"{c} = 0", f"{c} = 10") if ends else ("false", "false")
+    return f"""with {_GRID}, {_POINTS}, c as (select *, least(floor(fi), 10) as ci, least(floor(fj), 10) as cj, least(floor(fk), 10) as ck from q where fi between 0 and 11 and fj between 0 and 11 and fk between 0 and 11),
+  s as (select point_id, fi - ci as pi, fj - cj as pj, fk - ck as pk, ci, cj, ck, j, k, {_pivot("", "i", "ci", "v")} from c left join cells on i between ci - 1 and ci + 2 and j between cj - 1 and cj + 2 and k between ck - 1 and ck + 2 group by all),
+  a as (select point_id, pj, pk, cj, ck, j, k, {_cubic("pi", "ci = 0", "ci = 10")} as v from s),
+  t as (select point_id, pj, pk, cj, ck, k, {_pivot("", "j", "cj", "v")} from a group by all), b as (select point_id, pk, ck, k, {_cubic("pj", *edge("cj"))} as v from t),
+  u as (select point_id, pk, ck, {_pivot("", "k", "ck", "v")} from b group by all), e as (select point_id, {_cubic("pk", *edge("ck"))} as v from u)
+  select q.point_id, coalesce(round(e.v, 6), -1) as v from q left join e using (point_id)"""
+
+
+@query(_monotone(False))
 def i2_monotone_gather(spark, sf_dir):
-    axis = [float(i) for i in range(12)]
-    return gather.gather_monotone(_points(spark, sf_dir), _grid(spark, sf_dir), "v", axis, axis, axis).select("point_id", rounded("v").alias("v"))
+    out = _by_tiles(spark, sf_dir, "pchip")
+    return out.select("point_id", *_shown(out, "v"))
+
 
+@query(_monotone(True))
+def i4_regular_cubic_gather(spark, sf_dir):
+    out = _by_tiles(spark, sf_dir, "regular_pchip")
+    return out.select("point_id", *_shown(out, "v"))
 
-@query(f"""with {_pos()}, s as (select tracer_id, floor((x + 8) / 16 * 8) as a, floor((y + 8) / 16 * 8) as b, floor((z + 8) / 16 * 8) as c from pos where abs(x) <= 8 and abs(y) <= 8 and abs(z) <= 8)
-  select tracer_id, cast(case when a < 2 and b < 2 and c < 2 then 1000 + a*4 + b*2 + c else floor(a / 2)*16 + floor(b / 2)*4 + floor(c / 2) end as bigint) as block_id from s""")
+
+@query(f"""with {_POINTS} select point_id, case when fi between 0 and 11 and fj between 0 and 11 and fk between 0 and 11 then cast(floor(least(fi, 10) / 4) * 9 + floor(least(fj, 10) / 4) * 3 + floor(least(fk, 10) / 4) as bigint) else -1 end as tile from q""")
+def t9_locality_tiles(spark, sf_dir):
+    """Where particles are dealt to, so that neighbours read the same part of the field."""
+    return tiles.located(_points(spark, sf_dir), _CUBE, 4, ["fi", "fj", "fk"], "coordinates").select("point_id", "tile")
+
+
+@query(f"""with {_pos(30.0)}, s as (select tracer_id, floor((x + 8) / 16 * 8) as a, floor((y + 8) / 16 * 8) as b, floor((z + 8) / 16 * 8) as c from pos)
+  select tracer_id, cast(case when least(a, b, c) < 0 or greatest(a, b, c) > 7 then -1 when a < 2 and b < 2 and c < 2 then 1000 + a*4 + b*2 + c else floor(a / 2)*16 + floor(b / 2)*4 + floor(c / 2) end as bigint) as block_id from s""")
 def j2_block_location(spark, sf_dir):
     """Blocks of two cells; the corner root cell is refined once more (its slots are blocks of their own)."""
-    p = positions(spark, sf_dir).where("abs(x) <= 8 and abs(y) <= 8 and abs(z) <= 8").select("tracer_id", F.col("x").alias("x1"), F.col("y").alias("x2"), F.col("z").alias("x3"))
+    p = positions(spark, sf_dir, 30.0).select("tracer_id", F.col("x").alias("x1"), F.col("y").alias("x2"), F.col("z").alias("x3"))
     slots = spark.range(512).select(*(F.floor(F.col("id") / d).cast("int").bitwiseAND(F.lit(7)).alias(f"s{n}") for n, d in ((1, 64), (2, 8), (3, 1))))
     fine = F.greatest("s1", "s2", "s3") < 2
     block = F.when(fine, 1000 + F.col("s1") * 4 + F.col("s2") * 2 + F.col("s3")).otherwise(F.floor(F.col("s1") / 2) * 16 + F.floor(F.col("s2") / 2) * 4 + F.floor(F.col("s3") / 2))
     faces = [-8.0, -4.0, 0.0, 4.0, 8.0]
     found = gather.locate_blocks(p, slots.withColumn("block_id", block.cast("long")), {a: faces for a in ("x1", "x2", "x3")}, 1, {a: 1 for a in ("x1", "x2", "x3")})
-    return found.select("tracer_id", "block_id")
+    return found.select("tracer_id", F.coalesce("block_id", F.lit(-1)).alias("block_id"))
 
 
 # ---- seeds -----------------------------------------------------------------------------------------------
@@ -366,8 +447,6 @@ def g2_surface_masses(spark, sf_dir):
     suppliers = read(spark, sf_dir, "supplier")
     n = suppliers.count()
     specs = suppliers.select(F.col("s_suppkey").alias("spec_id"), (2.0 + F.col("s_suppkey") % 3).alias("radius"))
-    from pyspark.sql import Window
-
     c = read(spark, sf_dir, "customer").select((F.col("c_custkey") % n).alias("spec_id"), (F.col("c_custkey") % 4).alias("slot"), (F.col("c_acctbal") / 1000).alias("time"), F.lit(0.5).alias("dt"))
     slots = c.withColumn("n_files", F.count(F.lit(1)).over(Window.partitionBy("spec_id", "slot")))
     flux = lambda r, mu, ph, t: (1 + mu * mu) * (2 + F.sin(ph)) * (1 + t / 100)
@@ -381,7 +460,7 @@ def g9_rings(spark, sf_dir):
     return seeding.rings(p, 6).select("tracer_id", *(rounded(c, 8).alias(c) for c in ("x", "y", "mass")))
 
 
-# ---- tracing ---------------------------------------------------------------------------------------------
+# ---- steps -----------------------------------------------------------------------------------------------
 
 _WIND = DiskWind()
 _SPIN = "0.4 * pow(0.75 / greatest(sqrt(({x})*({x})+({y})*({y})+({z})*({z})), 1e-12), 2)"
@@ -405,7 +484,7 @@ _V0 = _v("x", "y", "z", "n*0.5")
 
 @query(_recursive(f"select tracer_id, x + 0.5*{_V0[0]}, y + 0.5*{_V0[1]}, z + 0.5*{_V0[2]}, n + 1 from s where n < 4"))
 def t4_forward_euler(spark, sf_dir):
-    return _final(tracing.column_steps(_state(spark, sf_dir), _WIND, "euler", 0.5, 4))
+    return _final(advance.column_steps(_state(spark, sf_dir), _WIND, "euler", 0.5, 4))
 
 
 _V1 = _v("x + 0.5*a", "y + 0.5*b", "z + 0.5*c", "n*0.5 + 0.5")
@@ -414,7 +493,7 @@ _V1 = _v("x + 0.5*a", "y + 0.5*b", "z + 0.5*c", "n*0.5 + 0.5")
 @query(_recursive(f"""select tracer_id, x + 0.25*(a + {_V1[0]}), y + 0.25*(b + {_V1[1]}), z + 0.25*(c + {_V1[2]}), n + 1
   from (select *, {_V0[0]} as a, {_V0[1]} as b, {_V0[2]} as c from s where n < 4) q"""))
 def t1_explicit_trapezoid(spark, sf_dir):
-    return _final(tracing.column_steps(_state(spark, sf_dir), _WIND, "expl_trap", 0.5, 4))
+    return _final(advance.column_steps(_state(spark, sf_dir), _WIND, "expl_trap", 0.5, 4))
 
 
 _K2 = _v("x + 0.25*a", "y + 0.25*b", "z + 0.25*c", "n*0.5 + 0.25")
@@ -425,31 +504,79 @@ _K4 = _v("x + 0.5*a3", "y + 0.5*b3", "z + 0.5*c3", "n*0.5 + 0.5")
 @query(_recursive(f"""select tracer_id, x + 0.5/6*(a + 2*a2 + 2*a3 + {_K4[0]}), y + 0.5/6*(b + 2*b2 + 2*b3 + {_K4[1]}), z + 0.5/6*(c + 2*c2 + 2*c3 + {_K4[2]}), n + 1
   from (select *, {_K3[0]} as a3, {_K3[1]} as b3, {_K3[2]} as c3 from (select *, {_K2[0]} as a2, {_K2[1]} as b2, {_K2[2]} as c2 from (select *, {_V0[0]} as a, {_V0[1]} as b, {_V0[2]} as c from s where n < 4) q) q) q"""))
 def t3_runge_kutta(spark, sf_dir):
-    return _final(tracing.column_steps(_state(spark, sf_dir), _WIND, "rk4", 0.5, 4))
+    return _final(advance.column_steps(_state(spark, sf_dir), _WIND, "rk4", 0.5, 4))
 
 
 def _final(df: DataFrame) -> DataFrame:
     return df.select("tracer_id", *(rounded(c).alias(c) for c in "xyz"))
 
 
-def _traced(spark, sf_dir, flow, scheme: str, times: list[float], **options) -> DataFrame:
-    state = tracing.seed_state(positions(spark, sf_dir), F.lit(times[0]))
-    return tracing.trace_chunk(state, flow, times, scheme, records_only_last=True, **options)
+def _carried(spark, sf_dir, flow, scheme: str, times: list[float], **options) -> DataFrame:
+    state = advance.seed_state(positions(spark, sf_dir), F.lit(times[0]))
+    return advance.advance_chunk(state, flow, times, scheme, records_only_last=True, **options)
 
 
 @query()
 def t2_implicit_trapezoid(spark, sf_dir):
-    return _final(_traced(spark, sf_dir, _WIND, "impl_trap", [0.1 * n for n in range(31)]))
+    return _final(_carried(spark, sf_dir, _WIND, "impl_trap", [0.1 * n for n in range(31)]))
 
 
 @query()
 def t6_blast_wave_chunk(spark, sf_dir):
-    return _final(_traced(spark, sf_dir, BlastWave(), "rk4", [1 + 0.1 * n for n in range(31)], mode="monotone"))
+    return _final(_carried(spark, sf_dir, BlastWave(), "rk4", [1 + 0.1 * n for n in range(31)], mode="monotone"))
 
 
 @query()
 def t11_backward(spark, sf_dir):
-    return _final(_traced(spark, sf_dir, _WIND, "rk4", [3 - 0.1 * n for n in range(31)]))
+    return _final(_carried(spark, sf_dir, _WIND, "rk4", [3 - 0.1 * n for n in range(31)]))
+
+
+_SIDE = tuple(float(i) for i in range(6))
+_BOX = Grid((_SIDE, _SIDE, _SIDE), spherical=False)
+_FLOW = """flow as (select cast(l_linenumber % 2 as integer) as time_idx, cast(l_orderkey % 6 as integer) as i, cast(l_partkey % 6 as integer) as j, cast(l_suppkey % 6 as integer) as k,
+  round((avg(l_discount) - 0.05) * 20, 6) as vx, round((avg(l_tax) - 0.04) * 20, 6) as vy, round((avg(l_quantity) - 25) / 20, 6) as vz, round(avg(l_extendedprice) / 1000, 6) as rho from lineitem group by 1, 2, 3, 4), o as (select unnest([0, 1]) as d)"""
+
+
+def _flow(spark, sf_dir) -> DataFrame:
+    """FIELD of two snapshots on 6 x 6 x 6 cells, its values averages of line items dealt to the cells."""
+    li = read(spark, sf_dir, "lineitem")
+    key = (F.col("l_linenumber") % 2, F.col("l_orderkey") % 6, F.col("l_partkey") % 6, F.col("l_suppkey") % 6)
+    value = {"vx": (F.avg("l_discount") - 0.05) * 20, "vy": (F.avg("l_tax") - 0.04) * 20, "vz": (F.avg("l_quantity") - 25) / 20, "rho": F.avg("l_extendedprice") / 1000}
+    return li.groupBy(*(k.cast("int").alias(a) for k, a in zip(key, ("time_idx", "i", "j", "k"), strict=True))).agg(*(rounded(v).alias(n) for n, v in value.items()))
+
+
+def _trilinear(name: str, points: str, time: str, ids: str = "id") -> str:
+    """SQL of ``name``: id and the flow's values at ``points`` (id, x, y, z), null outside."""
+    place = lambda c, d: f"cast(floor({c}) + {d}.d as integer)"
+    part = lambda c, d: f"(case when {d}.d = 0 then 1 - ({c} - floor({c})) else {c} - floor({c}) end)"
+    found = "sum(case when f.i is not null then w end) > 1 - 1e-9"
+    values = ", ".join(f"case when {found} then sum(w * {v}) end as {v}" for v in ("vx", "vy", "vz", "rho"))
+    return f"""{name}w as (select p.id, {time} as time_idx, {place('x', 'a')} as i, {place('y', 'b')} as j, {place('z', 'c')} as k, {part('x', 'a')} * {part('y', 'b')} * {part('z', 'c')} as w from {points} p, o a, o b, o c),
+  {name} as (select w.id, {values} from {name}w w left join flow f using (time_idx, i, j, k) group by 1)"""
+
+
+@query(f"""with {_FLOW}, {_pos(8.0)}, p0 as (select tracer_id as id, x + 2.5 as x, y + 2.5 as y, z + 2.5 as z from pos), {_trilinear('g0', 'p0', '0')},
+  p1 as (select id, x + 0.5*vx as x, y + 0.5*vy as y, z + 0.5*vz as z from p0 join g0 using (id) where vx is not null), {_trilinear('g1', 'p1', '1')},
+  p2 as (select p0.id, x + 0.25*(g0.vx + g1.vx) as x, y + 0.25*(g0.vy + g1.vy) as y, z + 0.25*(g0.vz + g1.vz) as z from p0 join g0 using (id) join g1 using (id) where g1.vx is not null), {_trilinear('g2', 'p2', '1')}
+  select id as tracer_id, 0 as time_idx, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, coalesce(round(rho, 6), -1) as rho from p0 left join g0 using (id)
+  union all select id, 1, round(x, 6), round(y, 6), round(z, 6), coalesce(round(rho, 6), -1) from p2 left join g2 using (id)""")
+def t7_step_through_snapshots(spark, sf_dir):
+    """An explicit trapezoid through two snapshots of a gridded field, density read at both records."""
+    seeds = positions(spark, sf_dir, 8.0).select("tracer_id", *((F.col(c) + 2.5).alias(c) for c in "xyz"), F.lit(0.0).alias("t0"))
+    out = advance.advance_snapshots(seeds, _flow(spark, sf_dir), _BOX, [0.0, 0.5], 0, 1, scratch_path(spark, "steps"), ["rho"], ["vx", "vy", "vz"], "expl_trap", "linear", size=3)
+    return out.select("tracer_id", "time_idx", *(rounded(c).alias(c) for c in "xyz"), *_shown(out, "rho"))
+
+
+@query(f"""with {_FLOW}, {_GL}, c as (select s_suppkey as spec_id, ir, ith, iph, 0.5 * pow(4.0, ir / 2.0) as r0, 0.5 * pow(4.0, (ir + 1) / 2.0) as r1, acos(1 - 2 * ith / 2.0) as th0, acos(greatest(1 - 2 * (ith + 1) / 2.0, -1)) as th1,
+    2*pi()*iph/3 as ph0, 2*pi()*(iph+1)/3 as ph1 from supplier, range(2) a(ir), range(2) b(ith), range(3) d(iph)),
+  n as (select row_number() over () as id, spec_id * 12 + (ir * 2 + ith) * 3 + iph as tracer_id, (r0+r1)/2 + (r1-r0)/2*a.q as r, (th0+th1)/2 + (th1-th0)/2*b.q as th, (ph0+ph1)/2 + (ph1-ph0)/2*d.q as ph, a.w*b.w*d.w*(r1-r0)/2*(th1-th0)/2*(ph1-ph0)/2 as w from c, gl a, gl b, gl d),
+  p as (select id, tracer_id, w*r*r*sin(th) as weight, 2.5 + r*sin(th)*cos(ph) as x, 2.5 + r*sin(th)*sin(ph) as y, 2.5 + r*cos(th) as z from n), {_trilinear('f0', 'p', '0')}
+  select tracer_id, case when count(rho) = count(*) then round(sum(weight * rho), 5) else -1 end as mass from p join f0 using (id) group by 1""")
+def g3_masses_on_a_grid(spark, sf_dir):
+    """Cells' masses by quadrature of a gridded density."""
+    specs = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("spec_id"), F.lit(0.5).alias("r_min"), F.lit(2.0).alias("r_max"))
+    nodes = seeding.volume_nodes(seeding.volume_cells(specs, 2, 2, 3), 2).select("tracer_id", *((F.col(c) + 2.5).alias(c) for c in "xyz"), "w", F.lit(0).alias("time_idx"))
+    return seeding.summed(nodes, _flow(spark, sf_dir), _BOX, "rho", method="linear", size=3).select("tracer_id", F.when(F.isnan("mass"), F.lit(-1.0)).otherwise(rounded("mass", 5)).alias("mass"))
 
 
 # ---- analysis of histories -------------------------------------------------------------------------------
@@ -553,27 +680,25 @@ def a12_mass_rate(spark, sf_dir):
   select round(sum(case when temp / 50 > 1 then mass else 0 end) / sum(mass), 9) as unbound, count(*) as n from l join props using (tracer_id)""")
 def a13_unbound_fraction(spark, sf_dir):
     last = history.final_state(histories(spark, sf_dir), ["temp"], ("seq",)).join(masses(spark, sf_dir), "tracer_id")
-    return last.agg(rounded(F.sum(F.when(F.col("temp") / 50 > 1, F.col("mass")).otherwise(0.0)) / F.sum("mass"), 9).alias("unbound"), F.count(F.lit(1)).alias("n"))
+    return history.unbound_fraction(last, F.col("temp") / 50).select(rounded("unbound", 9).alias("unbound"), "n")
 
 
 @query(f"with {TRAJ} select tracer_id, round(avg(temp), 8) as mean, max(temp) as peak, count(*) as n from traj group by 1")
 def a14_tracer_means(spark, sf_dir):
-    return histories(spark, sf_dir).groupBy("tracer_id").agg(rounded(F.avg("temp"), 8).alias("mean"), F.max("temp").alias("peak"), F.count(F.lit(1)).alias("n"))
+    return history.means(histories(spark, sf_dir), "temp").select("tracer_id", rounded("mean", 8).alias("mean"), "peak", "n")
 
 
 @query("""with e as (select l_linenumber, case when l_orderkey % 19 = 0 then 'nan'::double else l_discount - l_tax end as e from lineitem) select l_linenumber, round(sqrt(avg(case when isnan(e) then null else e * e end)), 9) as rms from e group by 1""")
 def a15_rms_error(spark, sf_dir):
     e = F.when(F.col("l_orderkey") % 19 == 0, F.lit(float("nan"))).otherwise(F.col("l_discount") - F.col("l_tax"))
     li = read(spark, sf_dir, "lineitem").select("l_linenumber", e.alias("e"))
-    return li.groupBy("l_linenumber").agg(rounded(F.sqrt(F.avg(F.when(~F.isnan("e"), F.col("e") * F.col("e")))), 9).alias("rms"))
+    return history.rms(li, "e", "l_linenumber").select("l_linenumber", rounded("rms", 9).alias("rms"))
 
 
 @query("""with e as (select l_linenumber as k, avg(l_extendedprice) / pow(2, 2 * l_linenumber) as err from lineitem group by 1) select k, round(log2(lag(err) over (order by k) / err), 6) as order_ from e""")
 def a16_convergence_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     e = read(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.avg("l_extendedprice").alias("m")).withColumn("err", F.col("m") / F.pow(F.lit(2.0), 2 * F.col("k")))
-    return e.select("k", rounded(F.log2(F.lag("err").over(Window.orderBy("k")) / F.col("err"))).alias("order_"))
+    return history.convergence_order(e).select("k", rounded("order_").alias("order_"))
 
 
 @query("select l_orderkey, l_linenumber, cast((l_quantity >= 1)::int + (l_quantity >= 5)::int + (l_quantity >= 12.5)::int + (l_quantity >= 30)::int + (l_quantity >= 50)::int as integer) as idx from lineitem")
@@ -592,7 +717,7 @@ def a22_status_counts(spark, sf_dir):
 def a24_disagreement_by_zone(spark, sf_dir):
     d = F.abs(F.col("l_discount") - F.col("l_tax"))
     li = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return li.groupBy(F.col("p_size").alias("zone")).agg(rounded(F.avg(d), 9).alias("mean"), rounded(F.max(d), 9).alias("most"))
+    return history.disagreement(li.withColumnRenamed("p_size", "zone"), d, "zone").select("zone", rounded("mean", 9).alias("mean"), rounded("most", 9).alias("most"))
 
 
 @query(f"""with {TRAJ}, {PROPS}, l as (select tracer_id, arg_max(rho, (time, seq)) as rho from traj group by 1)
@@ -618,16 +743,100 @@ def p6_key_specs(spark, sf_dir):
 @query("""with s as (select c_custkey as tracer_id, c_custkey % 30 as t0 from customer), e as (select distinct cast(floor((epoch_us(ts) - 1704067200000000) / 86400e6) as bigint) as t from events)
   select t as time, count(*) as starting from s join e on s.t0 = e.t group by 1""")
 def j4_seed_activation(spark, sf_dir):
-    """How many waiting seeds start at each snapshot."""
-    days = histories(spark, sf_dir).select(F.floor(F.col("time") / DAY).alias("time")).distinct()
-    seeds = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tracer_id"), (F.col("c_custkey") % 30).alias("time"))
-    return seeds.join(days, "time").groupBy("time").agg(F.count(F.lit(1)).alias("starting"))
+    """How many waiting seeds start at each snapshot, where their time is a snapshot's."""
+    days = histories(spark, sf_dir).select(F.floor(F.col("time") / DAY).cast("double").alias("time")).distinct()
+    times = days.withColumn("time_idx", F.row_number().over(Window.orderBy("time")) - 1)
+    seeds = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tracer_id"), (F.col("c_custkey") % 30).cast("double").alias("t0"))
+    near = catalog.nearest_time(seeds, times, 1.0).where(catalog.is_close(F.col("t0"), F.col("time")))
+    return near.groupBy(F.col("time").cast("long").alias("time")).agg(F.count(F.lit(1)).alias("starting"))
 
 
-@query("""select l_returnflag, l_linestatus, arg_min(l_linenumber, abs(l_linenumber - 3.4)) as idx from lineitem group by 1, 2""")
+@query("select arg_min(p_partkey, (abs(p_retailprice - 1234.5), p_partkey)) as irad, arg_min(p_retailprice, (abs(p_retailprice - 1234.5), p_partkey)) as r from part")
 def j9_nearest_radius(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.min_by("l_linenumber", F.abs(F.col("l_linenumber") - 3.4)).alias("idx"))
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("irad"), F.col("p_retailprice").alias("r"))
+    return catalog.nearest_index(p, 1234.5)
+
+
+@query(f"""with {TRAJ}, m as (select cast(floor(time / 3600) as double) as time, round(sum(temp), 6) as mdot from traj group by 1)
+  select time, round(sum(mdot * dt) over (order by time rows unbounded preceding), 3) as total from (select *, coalesce(lead(time) over (order by time) - time, 0) as dt from m)""")
+def a21_running_mass(spark, sf_dir):
+    m = histories(spark, sf_dir).groupBy(F.floor(F.col("time") / 3600).cast("double").alias("time")).agg(rounded(F.sum("temp")).alias("mdot"))
+    return history.running(m, "mdot").select("time", rounded("total", 3).alias("total"))
+
+
+@query("""select l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 9) as eps_nue, round(l_tax / l_quantity, 8) as eps_anue, round(l_discount / l_quantity, 8) as eps_nux,
+  round(l_quantity / (1 + l_linenumber), 8) as "F_nue", round(l_quantity / (1 + l_linenumber), 8) as "F_anue", round(l_quantity / (1 + l_linenumber), 8) as "F_nux", l_tax as hu_t from lineitem""")
+def p9_reduced_surface(spark, sf_dir):
+    """Moments become fluxes and energies, and go with the momenta; what else there is stays."""
+    li, q = read(spark, sf_dir, "lineitem"), F.col("l_quantity")
+    raw = li.select("l_orderkey", "l_linenumber", *(c.alias(f"J_0{n}") for n, c in enumerate((F.col("l_extendedprice"), F.col("l_tax"), F.col("l_discount")))), *(q.alias(f"n_0{n}") for n in range(3)), (1.0 + F.col("l_linenumber")).alias("sc_sqrt_det_g"), q.alias("st_H_u_t_00"), q.alias("s"), F.col("l_tax").alias("hu_t"))
+    out = keys.reduced_moments(raw)
+    return out.select("l_orderkey", "l_linenumber", rounded("eps_nue", 9).alias("eps_nue"), *(rounded(c, 8).alias(c) for c in ("eps_anue", "eps_nux", "F_nue", "F_anue", "F_nux")), "hu_t")
+
+
+@query("""with r as (select epoch_us(ts) // 86400000000 as time, cast(user_id % 12 as varchar) as radius_key, 'group.' || event_type as name, cast(user_id % 5 as integer) as j, cast(event_id % 3 as integer) as k, value from events),
+  i as (select time, radius_key, cast(dense_rank() over (partition by time order by cast(radius_key as bigint)) - 1 as integer) as i from (select distinct time, radius_key from r))
+  select r.time, i.i, j, k, split_part(name, '.', 2) as key, count(*) as n, round(sum(value), 6) as value from r join i using (time, radius_key) group by all""")
+def p10_relaid_surface(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
+    raw = e.select(day.alias("time"), (F.col("user_id") % 12).cast("string").alias("radius_key"), F.concat(F.lit("group."), "event_type").alias("name"), (F.col("user_id") % 5).alias("j"), (F.col("event_id") % 3).alias("k"), "value")
+    return keys.relaid(raw).groupBy("time", "i", "j", "k", "key").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value")).alias("value"))
+
+
+@query(f"""with {_pos()} select tracer_id, round(sqrt(x*x+y*y+z*z) * 1.5, 8) as q_r, round(x * pow(sqrt(x*x+y*y+z*z), 3), 6) as q_rho_r3, round(y * 2, 8) as "q_T" from pos""")
+def p17_quantities(spark, sf_dir):
+    p = positions(spark, sf_dir).withColumn("rho", F.col("x")).withColumn("T", F.col("y"))
+    out = fields.with_quantities(p, ["r", "rho_r3", "T"], fields.Units(length_km=1.5, temperature_gk=2.0))
+    return out.select("tracer_id", rounded("q_r", 8).alias("q_r"), rounded("q_rho_r3").alias("q_rho_r3"), rounded("q_T", 8).alias("q_T"))
+
+
+@query(f"""with {TRAJ}, n as (select tracer_id, seq, temp as v0, lead(temp, 1) over w as v1, lead(temp, 2) over w as v2, lead(temp, 3) over w as v3, time as x0, lead(time, 1) over w as x1, lead(time, 2) over w as x2, lead(time, 3) over w as x3
+    from traj window w as (partition by tracer_id order by time, seq)),
+  s as (select *, x1-x0 as h0, x2-x1 as h1, x3-x2 as h2, (v1-v0)/(x1-x0) as s0, (v2-v1)/(x2-x1) as s1, (v3-v2)/(x3-x2) as s2 from n where v3 is not null),
+  d as (select *, {_D.format(a=0, b=1)} as d1, {_D.format(a=1, b=2)} as d2 from s)
+  select tracer_id, seq, round((v1 + v2) / 2 + h1 * (d1 - d2) / 8, 6) as value from d""")
+def i9_midpoint_cubic(spark, sf_dir):
+    w = history.by_time("seq")
+    n = histories(spark, sf_dir).select("tracer_id", "seq", *(F.lead("temp", i).over(w).alias(f"v{i}") for i in range(4)), *(F.lead("time", i).over(w).alias(f"x{i}") for i in range(4))).where("v3 is not null")
+    x = [F.col(f"x{i}") for i in range(4)]
+    return n.select("tracer_id", "seq", rounded(stencil.pchip4(x, [F.col(f"v{i}") for i in range(4)], (x[1] + x[2]) / 2)).alias("value"))
+
+
+@query(f"""with {TRAJ}, n as (select tracer_id, seq, temp as v0, lead(temp) over w as v1, time as x0, lead(time) over w as x1 from traj window w as (partition by tracer_id order by time, seq))
+  select tracer_id, seq, round(v0 + (v1 - v0) * 0.25, 6) as value from n where v1 is not null""")
+def i10_linear_in_time(spark, sf_dir):
+    w = history.by_time("seq")
+    n = histories(spark, sf_dir).select("tracer_id", "seq", F.col("temp").alias("v0"), F.lead("temp").over(w).alias("v1"), F.col("time").alias("x0"), F.lead("time").over(w).alias("x1")).where("v1 is not null")
+    c = {k: F.col(k) for k in ("x0", "v0", "x1", "v1")}
+    return n.select("tracer_id", "seq", rounded(stencil.linear(*c.values(), c["x0"] + 0.25 * (c["x1"] - c["x0"]))).alias("value"))
+
+
+@query(f"""with {TRAJ}, l as (select tracer_id, count(*) as n, max(time) as t from traj where tracer_id % 5 <> 0 group by 1), e as (select max(time) as t_end from traj)
+  select c_custkey as tracer_id, case when coalesce(n, 0) <= 1 then 'not started' when t = t_end then 'active' else 'done' end as status from customer left join l on c_custkey = tracer_id, e""")
+def t8_statuses(spark, sf_dir):
+    t = histories(spark, sf_dir)
+    end = t.agg(F.max("time")).first()[0]
+    return advance.statuses(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tracer_id")), t.where("tracer_id % 5 <> 0"), end)
+
+
+@query("select s_suppkey * 72 + n as tracer_id, true as inside from supplier, range(72) r(n)")
+def g6_jittered_seeds(spark, sf_dir):
+    """Seeds shifted by a hash stay in their cells."""
+    c = seeding.volume_cells(_shells(spark, sf_dir), 4, 3, 6, jitter=5)
+    x, y, z = (F.col(n) for n in "xyz")
+    r = g.radius(x, y, z)
+    th, ph = g.polar(x, y, z), g.azimuth(x, y)
+    inside = [v.between(F.col(a) - 1e-9, F.col(b) + 1e-9) for v, a, b in ((r, "r0", "r1"), (th, "th0", "th1"), (ph, "ph0", "ph1"))]
+    return c.select("tracer_id", (inside[0] & inside[1] & inside[2]).alias("inside"))
+
+
+@query("""select s_suppkey * 8 + ith * 4 + iph as tracer_id, round((acos(cos(radians(30)) - (cos(radians(30)) - cos(radians(90))) * ith / 2) + acos(cos(radians(30)) - (cos(radians(30)) - cos(radians(90))) * (ith + 1) / 2)) / 2, 8) as theta,
+  round((radians(45) + radians(90) * iph / 4 + radians(45) + radians(90) * (iph + 1) / 4) / 2, 8) as phi from supplier, range(2) a(ith), range(4) b(iph)""")
+def g1_angle_limits(spark, sf_dir):
+    c = seeding.volume_cells(_shells(spark, sf_dir), 1, 2, 4, (30.0, 90.0, 45.0, 135.0))
+    x, y, z = (F.col(n) for n in "xyz")
+    return c.select("tracer_id", rounded(g.polar(x, y, z), 8).alias("theta"), rounded(g.azimuth(x, y), 8).alias("phi"))
 
 
 @query(f"with {TRAJ}, v as (select tracer_id, seq, case when temp / 50 > 1 then sqrt(1 - 1 / ((temp/50)*(temp/50))) else null end as v from traj) select cast(least(floor(v * 40) + 1, 40) as integer) as bin, count(*) as n from v where v is not null group by 1")
@@ -644,22 +853,23 @@ def f1_finite_positions(spark, sf_dir):
     return read(spark, sf_dir, "events").select(n, F.when(g.is_sane(x), F.lit("active")).otherwise(F.lit("done")).alias("status"))
 
 
-@query()
+@query(f"with {_pos(30.0)} select tracer_id as point_id, case when greatest(abs(x), abs(y), abs(z)) < 8 then round(x + 2*y + 3*z, 8) else -1 end as value from pos")
 def i5_block_gather(spark, sf_dir):
-    """Points in blocks of their own nodes, two ghosts a side; the field is linear, which the cubic meets."""
+    """Points in and outside blocks of their own nodes, two ghosts a side; the field is linear, which the cubic meets."""
     from eddyline.operators.meshblock import gather_blocks
 
-    p = positions(spark, sf_dir).where("abs(x) < 8 and abs(y) < 8 and abs(z) < 8")
+    p = positions(spark, sf_dir, 30.0)
     place = [F.floor((F.col(c) + 8) / 4).cast("int") for c in "xyz"]
-    points = p.select(F.col("tracer_id").alias("point_id"), *(F.col(c).alias(f"x{n}") for n, c in enumerate("xyz", 1)), (place[0] + 4 * place[1] + 16 * place[2]).alias("block_id"))
-    ids = points.select("block_id").distinct()
+    inside = F.greatest(*(F.abs(F.col(c)) for c in "xyz")) < 8
+    points = p.select(F.col("tracer_id").alias("point_id"), *(F.col(c).alias(f"x{n}") for n, c in enumerate("xyz", 1)), F.when(inside, place[0] + 4 * place[1] + 16 * place[2]).alias("block_id"))
+    ids = points.where("block_id is not null").select("block_id").distinct()
     axis = lambda d: F.expr(f"transform(sequence(0, 7), i -> double(-8 + 4 * (floor(block_id / {d}) % 4) + i) - 1.5)")
     blocks = ids.select("block_id", axis(1).alias("x1v"), axis(4).alias("x2v"), axis(16).alias("x3v"))
     data = F.expr("flatten(flatten(transform(x3v, z -> transform(x2v, y -> transform(x1v, x -> x + 2 * y + 3 * z)))))")
-    got = gather_blocks(points, blocks.withColumn("data", data))
-    return got.join(points, "point_id").select("point_id", rounded("value", 8).alias("value"), rounded(F.col("x1") + 2 * F.col("x2") + 3 * F.col("x3"), 8).alias("want"))
+    got = gather_blocks(points, blocks.withColumn("data", data)).withColumnRenamed("data", "value")
+    return got.select("point_id", F.when(F.isnan("value"), F.lit(-1.0)).otherwise(rounded("value", 8)).alias("value"))
 
 
-def flagship(spark: SparkSession) -> DataFrame:
-    """A disk wind traced by the implicit scheme from the embeddings' positions, and where its tracers end."""
-    return t2_implicit_trapezoid(spark, "/root/testdata/sf0.001")
+def flagship(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
+    """A disk wind followed by the implicit scheme from the embeddings' positions, and where its particles end."""
+    return t2_implicit_trapezoid(spark, sf_dir)

@@ -18,17 +18,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_trajectories(spark: SparkSession, path: str, keys: list[str], statuses: list[str] | None = None) -> DataFrame:
-    """filename, props (map of strings), time and ``keys`` (the last part of dotted names counts); files whose
-    properties or names don't parse, or that lack a key, are left out, as are other statuses."""
+def _whole_files(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """filename, props, names, rows, parsed: a row a file; ``parsed`` is whether it is a trajectory with all ``keys``."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("filename"), F.split("value", "\r?\n").alias("lines"))
-    head = F.regexp_replace(F.col("lines")[0], r"^#\s*", "")
-    names = F.transform(F.split(F.trim(F.regexp_replace(F.col("lines")[1], r"^#\s*", "")), r"\s+"), lambda n: F.element_at(F.split(n, r"\."), -1))
-    files = lines.where((F.size("lines") > 2) & F.col("lines")[0].contains("=")).select("filename", F.str_to_map(head, F.lit("; *"), F.lit("=")).alias("props"), names.alias("names"), F.slice("lines", 3, F.size("lines")).alias("rows"))
+    line = lambda n: F.coalesce(F.try_element_at("lines", F.lit(n)), F.lit(""))
+    head = F.regexp_replace(line(1), r"^#\s*", "")
+    names = F.transform(F.split(F.trim(F.regexp_replace(line(2), r"^#\s*", "")), r"\s+"), lambda n: F.element_at(F.split(n, r"\."), -1))
+    files = lines.select("filename", "lines", F.when(head.contains("="), F.str_to_map(head, F.lit("; *"), F.lit("="))).alias("props"), names.alias("names"))
+    wanted = F.array(*map(F.lit, ["time", *keys]))
+    parsed = (F.size("lines") > 2) & F.col("props").isNotNull() & (F.size(F.array_except(wanted, F.col("names"))) == 0)
+    return files.select("filename", "props", "names", F.when(F.size("lines") > 2, F.slice("lines", 3, F.size("lines"))).alias("rows"), parsed.alias("parsed"))
+
+
+def broken_files(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """filename of what ``read_trajectories`` leaves out because its properties or names don't parse or a key lacks."""
+    return _whole_files(spark, path, keys).where(~F.col("parsed")).select("filename")
+
+
+def read_trajectories(spark: SparkSession, path: str, keys: list[str], statuses: list[str] | None = None, some: bool = False) -> DataFrame:
+    """filename, props (map of strings), time and ``keys`` (the last part of dotted names counts) of the files that parse (see
+    ``broken_files``) and have one of ``statuses``. With ``some``, that there are none is an error."""
     wanted = ["time", *keys]
-    files = files.where(F.size(F.array_except(F.array(*map(F.lit, wanted)), F.col("names"))) == 0)
+    files = _whole_files(spark, path, keys).where("parsed")
     if statuses:
         files = files.where(F.col("props")["status"].isin(statuses))
+    if some and files.isEmpty():
+        raise ValueError(f"no trajectory with {', '.join(wanted)} at {path}")
     rows = files.select("filename", "props", "names", F.explode("rows").alias("row")).where(F.trim("row") != "").withColumn("cells", F.split(F.trim("row"), r"\s+"))
     return rows.select("filename", "props", *(F.element_at("cells", F.array_position("names", k).cast("int")).try_cast("double").alias(k) for k in wanted))
 
