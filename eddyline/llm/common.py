@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eddyline.shared import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only in local mode, where one machine
-    is all there is, may it be unset; a folder of this machine is then set for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
-        found = f"file://{tempfile.mkdtemp(prefix='eddyline-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/eddyline/{tag}-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: ``df`` as a Parquet table in the shared folder, so a lost executor costs no
     more than the task that was reading it."""
@@ -39,6 +20,22 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``per_key`` (key, n and more; a row a key, n the rows that have it, a written table). Keys
+    that more than one row in ``PARTS`` has are dealt in parts by a hash of the row, and their ``per_key`` row is copied to
+    each part: no task gets all rows of a hot key. Such keys number ``PARTS`` at most, so they are broadcast."""
+    total = per_key.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(64, total // PARTS)
+    hot = per_key.where(F.col("n") > limit).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / limit).alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__part", F.pmod(F.xxhash64(*rows.columns), F.coalesce("__parts", F.lit(1)))).drop("__hot", "__parts")
+    copies = per_key.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / limit), F.lit(1)) - 1))).drop("n")
+    return dealt.join(copies, [key, "__part"], how).drop("__part")
+
+
+#: The share of rows from which a key counts as hot is one in this number.
+PARTS = 500
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id's decimal text; a null id is in no fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import saved, table
+from eddyline.llm.common import saved, spread_join, table
 from eddyline.llm.components import components
 
 THRESHOLD = 0.95
@@ -312,9 +312,13 @@ def compared_whole(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
     """(vec_id, n_links, component_id, kept for every row; the audited recall)."""
-    rows = saved(unit_rows(vectors).withColumn("node", F.xxhash64("unit")), "nn-rows")
+    rows = saved(unit_rows(vectors).withColumn("code", F.xxhash64("unit")), "nn-rows")
     valid = rows.where("unit is not null")
-    everything = saved(valid.groupBy("node").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"), F.max(F.octet_length("unit")).alias("size")), "nn-nodes")
+    folded = valid.groupBy("code", "unit").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
+    # vectors that share a hash, should there be any, are numbered apart
+    place = F.row_number().over(Window.partitionBy("code").orderBy("unit")) - 1
+    numbered = folded.withColumn("node", F.when(place == 0, F.col("code")).otherwise(F.xxhash64("code", place)))
+    everything = saved(numbered.withColumn("size", F.octet_length("unit")), "nn-nodes")
     found = []
     recall = 1.0
     for size in sorted(r["size"] for r in everything.select("size").distinct().collect()):
@@ -328,10 +332,11 @@ def near_duplicates(vectors: DataFrame) -> tuple[DataFrame, float]:
     for c, e in found[1:]:
         counts, links = counts.unionByName(c), links.unionByName(e)
     roots = components(links, "nn-cc")
-    named = saved(everything.select("node", "least").join(roots, "node", "left").join(counts, "node").select("node", "least", "n", F.coalesce("root", "node").alias("root")), "nn-named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = named.join(least, "root").select("node", "n", "component_id")
-    whole = rows.where("unit is not null").join(by_node, "node").select("vec_id", F.col("n").cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = everything.select("node", "code", "unit", "least", "weight").join(roots, "node", "left").join(counts, "node")
+    named = saved(named.select("code", "unit", "least", "weight", F.col("n").cast("long").alias("n_links"), F.coalesce("root", "node").alias("root")), "nn-named")
+    least = saved(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "nn-least")
+    by_node = saved(spread_join(named, least, "root").select("code", F.col("unit").alias("own"), "n_links", "component_id", F.col("weight").alias("n")), "nn-by-node")
+    whole = spread_join(rows.where("unit is not null"), by_node, "code").where("unit = own").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
     alone = rows.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return whole.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), recall
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import saved, table
+from eddyline.llm.common import saved, spread_join, table
 from eddyline.llm.components import components
 
 DISTANCE = 2
@@ -63,14 +63,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long), a row for each row."""
+    """doc_id, code (a hash of the text as it is), fp (the fingerprint's 64 bits as a long), a row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t.as_py()) for t in batch["text"]], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["code"], pa.array(fp, pa.int64())], ["doc_id", "code", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("code"), "text").mapInArrow(run, "doc_id long, code long, fp long")
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -147,27 +147,26 @@ def near_links(fps: DataFrame) -> DataFrame:
     """(u, v) between distinct fingerprints ``fps`` (fp) that connect just what links within ``DISTANCE``
     bits connect: pairs where keys are shared by few, stars around a shared word where by many."""
     keys = _exploded(fps, "fp long, key long", _keys)
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = saved(keys.join(sizes, "key"), "simhash-keys")
+    sizes = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("sharing")).where("n > 1"), "simhash-sizes")
+    shared = saved(spread_join(keys, sizes, "key").withColumnRenamed("sharing", "n"), "simhash-keys")
     few = shared.where(F.col("n") <= CROWD)
     a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
     pairs = a.join(b, "key").where((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)).select("u", "v")
     crowded = _exploded(shared.where(F.col("n") > CROWD).select("fp").distinct(), "fp long, key long", _near_words)
-    least = crowded.groupBy("key").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "v")
-    stars = crowded.join(least, "key").where("fp != v").select(F.col("fp").alias("u"), "v")
+    least = saved(crowded.groupBy("key").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-crowds")
+    stars = spread_join(crowded, least, "key").where("fp != v").select(F.col("fp").alias("u"), "v")
     return pairs.unionByName(stars).distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (least id reachable), a row for each row of ``documents``."""
+    """doc_id, code, fp, component_id (least id reachable), a row for each row of ``documents``."""
     docs = saved(fingerprints(documents), "simhash-fp")
-    classes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = saved(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "simhash-classes")
     roots = components(near_links(classes), "simhash-cc")
-    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = saved(named, "simhash-classes")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(ids, "root").select("fp", "component_id")
-    return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    named = saved(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "simhash-named")
+    ids = saved(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-roots")
+    by_fp = saved(spread_join(named, ids, "root").select("fp", "component_id", F.col("rows").alias("n")), "simhash-components")
+    return spread_join(docs, by_fp, "fp").select("doc_id", "code", "fp", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +175,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the rows with the least id, of which rows with the same id and
-    text count once; documents without an id stay."""
-    keep = near_duplicates(documents).where("doc_id = component_id").select("doc_id").distinct()
-    one = documents.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(documents.where("doc_id is null")).select(*documents.columns)
+    """Pipeline stage: of each component one row, that of least id (of rows with that id and different texts in one
+    component the one with the least hash of its text); documents without an id stay. Rows that share an id but not a
+    component are documents of their own."""
+    found = near_duplicates(documents).where("doc_id is not null")
+    keep = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "code")).alias("__k")).select(F.col("__k.doc_id").alias("__id"), F.col("__k.code").alias("__code")).distinct()
+    coded = documents.where("doc_id is not null").withColumns({"__id": F.col("doc_id").cast("long"), "__code": F.xxhash64("text")})
+    one = coded.join(saved(keep, "simhash-keep"), ["__id", "__code"], "left_semi").dropDuplicates(["__id", "__code"])
+    return one.select(*documents.columns).unionByName(documents.where("doc_id is null")).select(*documents.columns)

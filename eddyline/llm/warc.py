@@ -28,7 +28,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import saved, scratch_path, table
+from eddyline.llm.common import saved, spread_join, table
+from eddyline.shared import scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 4 << 20
@@ -83,11 +84,18 @@ def parsed(record: bytes) -> dict:
 
 
 def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html and refers_to: the least page_id with an equal payload, if that is another."""
+    """page_id, url, html and refers_to: the least page_id with an equal payload, if that is another. Ids and digests alone
+    settle that; pages then meet their id and digest in a plain join, which Spark splits where one id has many rows,
+    and those without an id stay where they are."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    first = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    return rows.join(first, "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html")).withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    long = rows.where((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull())
+    first = saved(long.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-first")
+    again = saved(spread_join(long.select("page_id", "sha"), first, "sha").where("page_id > first").distinct(), "warc-again")
+    named = rows.where("page_id is not null").join(again, ["page_id", "sha"], "left")
+    alone = rows.where("page_id is null").withColumn("first", F.lit(None).cast("long"))
+    names = ["page_id", "url", "html", F.col("first").alias("refers_to")]
+    return named.select(*names).unionByName(alone.select(*names))
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "2020-01-01T00:00:00Z", least_bytes: int = 0) -> DataFrame:
