@@ -328,6 +328,44 @@ def test_mixed_texts_hold_the_words_that_the_mix_takes(spark, docs, odd):
     assert mixed.columns == clash.columns and mixed.where("text is null or text = ''").count() == 0
 
 
+def test_packed_slots_are_the_mix(spark, docs, odd):
+    for table in (docs, odd.withColumn("text", F.substring("text", 1, 5000))):
+        plan_docs, dealt = mixing.plan(mixing.saved(mixing.sized(table), "t"))
+        slots = {r.slot: r for r in dealt.collect()}
+        rows = mixing.packed(table).collect()
+        assert sorted(slots) == list(range(len(slots))) and {r.slot for r in rows} == set(slots) and len(rows) == len(slots)
+        counts = {}
+        for r in slots.values():
+            counts[(r.shard, r.rank)] = counts.get((r.shard, r.rank), 0) + 1
+            assert r.slot // mixing.SHARD == r.shard
+        taken = sum(r.taken for r in mixing.mix(table).collect())
+        assert sum(len(r.words) for r in rows) == taken and all(len(r.words) <= mixing.BLOCK for r in rows)
+        per = {}
+        for r in slots.values():  # each block once a pass, passes in order
+            per.setdefault((r.rank, r["pass"]), []).append(r.block)
+        assert all(len(b) == len(set(b)) for b in per.values())
+        # brute force: each source's stream, cut in blocks, slot by slot
+        order = plan_docs.orderBy("rank", "start").collect()
+        texts = {}
+        for r in table.withColumn("code", F.xxhash64("doc_id", "source", "text")).collect():
+            texts[r.code] = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        streams = {}
+        for r in order:
+            streams.setdefault(r["rank"], []).extend(texts[r.code])
+        for r in rows:
+            at = slots[r.slot]
+            assert list(r.words) == streams[at["rank"]][at.block * mixing.BLOCK : (at.block + 1) * mixing.BLOCK]
+
+
+def test_shard_counts_are_drawn_without_bias(spark):
+    targets = spark.createDataFrame([(0, 0, 30_000), (1, 30_000, 10_000)], "rank long, first_slot long, quota long")
+    got = mixing.shard_counts(targets, 40_000, 2).toPandas().pivot(index="shard", columns="rank", values="n")
+    full = got.iloc[:9]
+    assert got.sum().tolist() == [30_000, 10_000] and (full.sum(axis=1) == mixing.SHARD).all()
+    spread = np.sqrt(mixing.SHARD * 0.75 * 0.25)
+    assert (abs(full[0] - 0.75 * mixing.SHARD) < 5 * spread).all() and full[0].nunique() > 3
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
