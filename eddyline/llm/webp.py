@@ -6,9 +6,13 @@ subtract-green and palette transforms. Where one group of codes has bits in gree
 decoded in numpy: a table look-up at every bit position gives each position's symbol and successor, successors
 are composed eight deep, and only every eighth symbol is walked in Python.
 
-The encoder writes grey images, ``WIDTH`` samples a row: subtract-green, one fixed prefix code (bytes ranked by
-how common they are in text, so every byte has a code), and a back-reference for the run that pads the last
-row. Payloads beyond an image's greatest height go into further images, one file after another.
+The encoder writes grey images, ``WIDTH`` samples a row. Repeats of ``LEAST_MATCH`` bytes and more become
+back-references (found in numpy: each position's last earlier place with the same bytes, runs of one distance
+together), and a payload of 16 values or fewer a palette of packed indices. The green and distance codes are
+derived from what is left, none longer than ``LONGEST`` bits. Each image is measured with and without
+back-references and palette, and with a fixed code that spends its bits alike on common bytes, which saves a short
+text its code's description; the shortest is written. Payloads beyond an image's greatest height go into further
+images, one file after another.
 
 Defined results: a null or empty text is a payload of one row of padding; equal texts give equal bytes;
 repeated rows are stored each; other columns are ignored.
@@ -18,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -379,68 +382,204 @@ def decode_file(data: bytes, at: int = 0) -> tuple[int, int, np.ndarray, int]:
     return *decode_stream(data[at + 20 : at + 20 + size]), at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
 
 
-def _text_lengths() -> list[int]:
-    """Code lengths of the encoder's green code: symbols ranked by use in text, with falling weights."""
-    common = b" etanihorsdlu\xc3c.gb,fwym\xa9pvkzqx\xb3\xa8\nETA|OISNRHDLCMWFBPGUYVKXJZQj\xa0\xaa\xbc\xa4\xb6\xad\x9f\xb1\xa7-'\"!?:;()$%&*#/0123456789=_+<>@[]\\"
-    rank = {b: r for r, b in enumerate(dict.fromkeys([*common[:24], 255, *(256 + i for i in range(10, 19)), *common[24:], *range(280)]))}
-    heap = [(0.15 * math.exp(-rank[s] / 6) + 0.006 / (1 + rank[s] / 10), s, (s,)) for s in range(280)]
-    lengths = [0] * 280
-    heapq.heapify(heap)
-    while len(heap) > 1:
-        (a, i, s), (b, j, t) = heapq.heappop(heap), heapq.heappop(heap)
-        for k in s + t:
-            lengths[k] += 1
-        heapq.heappush(heap, (a + b, min(i, j), s + t))
-    return lengths
-
-
-class _Encoder:
-    def __init__(self):
-        lengths = _text_lengths()
-        self.length, self.code = np.zeros(280, np.int64), np.zeros(280, np.int64)
-        for symbol, n, code in canonical(lengths):
-            self.length[symbol], self.code[symbol] = n, code
-        # the lengths of the green code, in a code-length code of 4 bits for 13 of the symbols and 5 for 6
-        own = {s: 4 if s < 13 else 5 for s in range(19)}
-        bits = [(0, 1), (15, 4), *((own[s], 3) for s in LENGTH_ORDER), (0, 1)]
-        codes = {s: (c, n) for s, n, c in canonical([own[s] for s in range(19)])}
-        i = 0
-        while i < 280:
-            bits.append(codes[lengths[i]])
-            run = 1
-            while i + run < 280 and lengths[i + run] == lengths[i]:
-                run += 1
-            i, run = i + 1, run - 1
-            while run >= 3:
-                k = min(run, 6)
-                bits += [codes[16], (k - 3, 2)]
-                i, run = i + k, run - k
-        # subtract-green and no other transform; no cache, no groups; red and blue 0, alpha 255, distance 2
-        self.head = self._bits([(1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1), *bits, (0b0001, 4), (0b0001, 4), (0b101, 3), (255, 8), (0b1001, 4)])
-
-    @staticmethod
-    def _bits(pairs: list[tuple[int, int]]) -> np.ndarray:
-        return np.array([v >> k & 1 for v, n in pairs for k in range(n)], np.uint8)
-
-    def stream(self, samples: np.ndarray, height: int) -> bytes:
-        """``samples`` less the run of their last value at their end, which becomes a back-reference."""
-        changes = np.flatnonzero(samples[-4096:][:-1] != samples[-1])
-        tail = min(len(samples), 4096) - (int(changes[-1]) + 1 if len(changes) else 0)
-        run = tail - 1 if tail > 4 else 0
-        body = samples[: len(samples) - run]
-        n = self.length[body]
-        of = np.repeat(np.arange(len(body)), n)
-        place = np.arange(len(of)) - (np.cumsum(n) - n)[of]
-        parts = [self._bits([(0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 4)]), self.head, (self.code[body][of] >> place & 1).astype(np.uint8)]
-        if run:
-            high = (run - 1).bit_length() - 1
-            symbol = run - 1 if run <= 4 else 2 * high + ((run - 1) >> (high - 1) & 1)
-            extra = [((run - 1) & ((1 << (high - 1)) - 1), high - 1)] if run > 4 else []
-            parts.append(self._bits([(int(self.code[256 + symbol]), int(self.length[256 + symbol])), *extra]))
-        return np.packbits(np.concatenate(parts), bitorder="little").tobytes()
-
-
-_encoder: list[_Encoder] = []
+#: Bytes that a repeat must have to be a back-reference, and how many of them are hashed to find one.
+LEAST_MATCH, HASHED = 24, 8
+LONGEST = 10
+
+
+def code_lengths(counts: np.ndarray, most: int = LONGEST) -> list[int]:
+    """Lengths of a prefix code for symbols that occur so often, 0 for those that don't; a rare symbol counts as if it
+    weren't so rare until no length is above ``most``."""
+    used = np.flatnonzero(counts)
+    lengths = [0] * len(counts)
+    if len(used) < 2:
+        for s in used:
+            lengths[s] = 1
+        return lengths
+    least, total = 1, int(counts.sum())
+    while True:
+        heap = [(max(least, int(counts[s])), int(s), None) for s in used]
+        heapq.heapify(heap)
+        place = len(counts)
+        while len(heap) > 1:
+            low, high = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (low[0] + high[0], place, (low, high)))
+            place += 1
+        open_, deepest = [(heap[0], 0)], 0
+        while open_:
+            (_, symbol, pair), depth = open_.pop()
+            if pair:
+                open_ += [(pair[0], depth + 1), (pair[1], depth + 1)]
+            else:
+                lengths[symbol] = depth
+                deepest = max(deepest, depth)
+        if deepest <= most:
+            return lengths
+        least = max(2 * least, total >> (most + 3))
+
+
+def _described(lengths: list[int]) -> list[tuple[int, int]]:
+    """(value, bits) of a code's description."""
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) <= 2 and all(s < 256 for s in used):
+        first, second = [*used, 0, 0][:2] if used else (0, 0)
+        short = first < 2
+        return [(1, 1), (int(len(used) == 2), 1), (int(not short), 1), (first, 1 if short else 8), *([(second, 8)] if len(used) == 2 else [])]
+    tokens: list[tuple[int, int, int]] = []  # symbol of the code of lengths, extra, its bits
+    i, before = 0, 8
+    last = max(used) + 1
+    while i < last:
+        n, run = lengths[i], 1
+        while i + run < last and lengths[i + run] == n:
+            run += 1
+        i += run
+        if n and n != before:
+            tokens.append((n, 0, 0))
+            before, run = n, run - 1
+        while run >= 3:
+            k = min(run, 6 if n else 138)
+            tokens.append((16, k - 3, 2) if n else (17, k - 3, 3) if k <= 10 else (18, k - 11, 7))
+            run -= k
+        tokens += [(n, 0, 0)] * run
+    own = code_lengths(np.bincount([t for t, _, _ in tokens], minlength=19), 7)
+    codes = {s: (c, n) for s, n, c in canonical(own)} if sum(map(bool, own)) > 1 else {s: (0, 0) for s in range(19)}
+    n_own = max(4, max(k + 1 for k, s in enumerate(LENGTH_ORDER) if own[s]))
+    bits = [(0, 1), (n_own - 4, 4), *((own[s], 3) for s in LENGTH_ORDER[:n_own])]
+    if last < len(lengths):
+        size = max(1, (len(tokens) - 2).bit_length() + 1 >> 1) if len(tokens) > 2 else 1
+        bits += [(1, 1), (size - 1, 3), (len(tokens) - 2, 2 * size)] if len(tokens) >= 2 else [(0, 1)]
+        if len(tokens) < 2:
+            tokens += [(0, 0, 0)] * (len(lengths) - last)
+    else:
+        bits.append((0, 1))
+    for symbol, extra, n in tokens:
+        bits += [codes.get(symbol, (0, 0)), *([(extra, n)] if n else [])]
+    return bits
+
+
+def _prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits' value, their number) of lengths or distances from 1 up."""
+    v = value - 1
+    high = np.frexp(np.maximum(v, 1).astype(float))[1] - 1
+    n = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), np.where(v < 4, 0, v & (1 << n) - 1), n
+
+
+def matches(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of repeats, rising and apart from one another."""
+    n = len(samples) - HASHED + 1
+    if n <= LEAST_MATCH:
+        return []
+    code = np.zeros(n, np.uint64)
+    for k in range(HASHED):
+        code |= samples[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    order = np.argsort(code, kind="stable")
+    same = code[order[1:]] == code[order[:-1]]
+    back = np.zeros(n, np.int64)
+    back[order[1:][same]] = order[1:][same] - order[:-1][same]
+    edge = np.flatnonzero(np.diff(back, prepend=-1))
+    size = np.diff(np.append(edge, n)) + HASHED - 1
+    out, at = [], 0
+    good = (back[edge] > 0) & (size >= LEAST_MATCH)
+    for place, length, distance in zip(edge[good].tolist(), size[good].tolist(), back[edge][good].tolist(), strict=True):
+        begin = max(place, at)
+        while place + length - begin >= LEAST_MATCH:
+            part = min(place + length - begin, 4096)
+            out.append((begin, part, distance))
+            begin += part
+        at = max(at, begin)
+    return out
+
+
+class _Tokens:
+    """Literals and back-references of an image, in order, and what they cost."""
+
+    def __init__(self, samples: np.ndarray, found: list[tuple[int, int, int]], fixed: list[int] | None = None):
+        n = len(samples)
+        place, length, distance = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        covered = np.zeros(n + 1, np.int64)
+        np.add.at(covered, place, 1)
+        np.add.at(covered, place + length, -1)
+        literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+        symbol, extra, extra_n = _prefixed(length)
+        far, self_extra, self_n = _prefixed(distance + 120)
+        at = np.concatenate([literal, place])
+        order = np.argsort(at, kind="stable")
+        zero = np.zeros(len(literal), np.int64)
+        self.green = np.concatenate([samples[literal].astype(np.int64), 256 + symbol])[order]
+        counts = np.bincount(self.green, minlength=280)
+        self.lengths = fixed or code_lengths(counts)
+        self.far = code_lengths(np.bincount(far, minlength=40))
+        self.parts = [np.concatenate([zero, x])[order] for x in (extra, extra_n, far, self_extra, self_n)]
+        self.has = np.concatenate([zero, zero[:0] + 0, np.ones(len(place), np.int64)])[order]
+        empty = [0] * 256
+        self.head = [*_described(self.lengths), *_described(empty), *_described(empty), *_described([*empty[:-1], 1]), *_described(self.far)]
+        one = sum(map(bool, self.lengths)) == 1
+        bits = int((np.array(self.lengths)[self.green] * (not one) + self.parts[1] + self.parts[4] + self.has * np.array(self.far)[self.parts[2]]).sum())
+        self.bits = bits + sum(k for _, k in self.head)
+
+    def written(self) -> np.ndarray:
+        def table(lengths):
+            value, n = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            used = canonical(lengths)
+            for symbol, k, code in used if len(used) > 1 else ():
+                value[symbol], n[symbol] = code, k
+            return value, n
+
+        (gv, gn), (fv, fn) = table(self.lengths), table(self.far)
+        extra, extra_n, far, self_extra, self_n = self.parts
+        values = np.stack([gv[self.green], extra, fv[far], self_extra], 1).ravel()
+        sizes = np.stack([gn[self.green], extra_n, self.has * fn[far], self_n], 1).ravel()
+        values, sizes = values[sizes > 0], sizes[sizes > 0]
+        of = np.repeat(np.arange(len(values)), sizes)
+        place = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+        return np.concatenate([_bits(self.head), (values[of] >> place & 1).astype(np.uint8)])
+
+
+def _bits(pairs: list[tuple[int, int]]) -> np.ndarray:
+    return np.array([v >> k & 1 for v, n in pairs for k in range(n)], np.uint8)
+
+
+#: Fixed code of short texts: bytes that text in Latin letters uses most are short, and every symbol has a code.
+_PLAIN = code_lengths(np.array([*(64 if chr(b) in " etaoinshrdlu" else 16 if chr(b).islower() and b < 128 else 4 if 32 <= b < 127 or b in (10, 255) or 0x80 <= b < 0xC4 else 1 for b in range(256)), *[4] * 24]))
+
+
+def _packed_samples(samples: np.ndarray, height: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(indices, packed, row by row; bits of the palette's transform) of an image of 16 values or fewer."""
+    values = np.flatnonzero(np.bincount(samples, minlength=256))
+    packing = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+    index = np.zeros(256, np.int64)
+    index[values] = np.arange(len(values))
+    per, depth = 1 << packing, 8 >> packing
+    rows = index[samples].reshape(height, -1, per)
+    packed = (rows << np.arange(per) * depth).sum(2).ravel()
+    steps = np.diff(values, prepend=0) & 255
+    # the palette's colours, each the difference from the last: grey of opaque alpha, then steps with none
+    channel = code_lengths(np.bincount(steps, minlength=280)), code_lengths(np.bincount(steps, minlength=256)), code_lengths(np.bincount([255, *[0] * (len(values) - 1)], minlength=256))
+    bits = [(1, 1), (PALETTE, 2), (len(values) - 1, 8), (0, 1)]
+    for lengths in (channel[0], channel[1], channel[1], channel[2], [0] * 40):
+        bits += _described(lengths)
+    codes = [{s: (c, n) for s, n, c in canonical(x)} if sum(map(bool, x)) > 1 else {} for x in channel]
+    for k, step in enumerate(steps.tolist()):
+        bits += [codes[0].get(step, (0, 0)), codes[1].get(step, (0, 0)), codes[1].get(step, (0, 0)), codes[2].get(255 if k == 0 else 0, (0, 0))]
+    return packed, bits
+
+
+def encoded_stream(samples: np.ndarray, height: int) -> bytes:
+    """The shortest of the ways to write an image of grey ``samples``."""
+    ways = []
+    grey, few = [(1, 1), (SUBTRACT_GREEN, 2), (0, 1)], len(np.unique(samples)) <= 16
+    found = matches(samples)
+    for fixed in (None, _PLAIN):
+        ways.append((grey, _Tokens(samples, found, fixed)))
+    if found:
+        ways.append((grey, _Tokens(samples, [])))
+    if few:
+        packed, head = _packed_samples(samples, height)
+        ways.append(([*head, (0, 1)], _Tokens(packed, matches(packed))))
+    head, tokens = min(ways, key=lambda w: sum(n for _, n in w[0]) + w[1].bits)
+    first = _bits([(0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 4), *head, (0, 1), (0, 1)])
+    return np.packbits(np.concatenate([first, tokens.written()]), bitorder="little").tobytes()
 
 
 def payload_of(text: bytes) -> bytes:
@@ -449,12 +588,10 @@ def payload_of(text: bytes) -> bytes:
 
 def encode_payload(payload: bytes) -> bytes:
     """One or more WebP files, one after another; the payload's length is a multiple of ``WIDTH``."""
-    if not _encoder:
-        _encoder.append(_Encoder())
     out, samples = [], np.frombuffer(payload, np.uint8)
     for at in range(0, len(samples), WIDTH * MOST_ROWS):
         part = samples[at : at + WIDTH * MOST_ROWS]
-        data = _encoder[0].stream(part, len(part) // WIDTH)
+        data = encoded_stream(part, len(part) // WIDTH)
         body = b"WEBPVP8L" + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) & 1)
         out.append(b"RIFF" + len(body).to_bytes(4, "little") + body)
     return b"".join(out)

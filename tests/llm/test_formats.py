@@ -397,3 +397,37 @@ def test_stages_return_the_columns_of_documents(spark):
         out = stage(spark, none, SF)
         assert out.count() == 0, name
         assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns
+
+
+def test_code_lengths_are_complete_and_bounded():
+    rng = np.random.default_rng(0)
+    for n in (2, 3, 40, 280):
+        counts = (1.7 ** rng.uniform(0, 40, n)).astype(np.int64) * rng.integers(0, 2, n)
+        counts[:2] = 1, 10**9
+        lengths = webp.code_lengths(counts)
+        assert max(lengths) <= webp.LONGEST and sum(2.0**-k for k in lengths if k) == 1 and all((k > 0) == (c > 0) for k, c in zip(lengths, counts, strict=True))
+    assert webp.code_lengths(np.array([0, 5])) == [0, 1] and webp.code_lengths(np.zeros(3, int)) == [0, 0, 0]
+
+
+def test_matches_are_repeats():
+    rng = np.random.default_rng(5)
+    base = rng.bytes(300)
+    data = np.frombuffer(base + rng.bytes(50) + base[20:200] + b"z" * 9000 + base[:23], np.uint8)
+    found = webp.matches(data)
+    end = 0
+    for place, length, distance in found:
+        assert place >= end and distance <= place and webp.LEAST_MATCH <= length <= 4096 and all(data[i] == data[i - distance] for i in range(place, place + length))
+        end = place + length
+    assert sum(n for _, n, _ in found) > 9000 + 150
+
+
+def test_the_encoder_uses_what_is_shorter():
+    kinds = {"palette": np.random.default_rng(3).integers(0, 3, 3000).astype(np.uint8).tobytes(), "repeats": b"".join(b"%04d some words that come again and again, line by line\n" % i for i in range(60)), "text": b"short text"}
+    heads = {}
+    for name, t in kinds.items():
+        stream = webp.encode_payload(webp.payload_of(t))[20:]
+        bits = webp.Bits(stream, 40)
+        heads[name] = bits.read(1) and bits.read(2)
+    assert heads == {"palette": webp.PALETTE, "repeats": webp.SUBTRACT_GREEN, "text": webp.SUBTRACT_GREEN}
+    long = webp.payload_of(kinds["repeats"])
+    assert len(webp.encode_payload(long)) < 0.35 * len(long)
