@@ -9,8 +9,8 @@ are composed eight deep, and only every eighth symbol is walked in Python.
 The encoder writes grey images, ``WIDTH`` samples a row. Repeats of ``LEAST_MATCH`` bytes and more become
 back-references (found in numpy: each position's last earlier place with the same bytes, runs of one distance
 together), and a payload of 16 values or fewer a palette of packed indices. The green and distance codes are
-derived from what is left, none longer than ``LONGEST`` bits. Each image is measured with and without
-back-references and palette, and with a fixed code that spends its bits alike on common bytes, which saves a short
+derived from what is left, none longer than ``LONGEST`` bits. Each image is measured with and without a
+palette, and with a fixed code that spends its bits alike on common bytes, which saves a short
 text its code's description; the shortest is written. Payloads beyond an image's greatest height go into further
 images, one file after another.
 
@@ -21,9 +21,9 @@ repeated rows are stored each; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,12 +86,18 @@ class Code:
         for symbol, n, code in used:
             self.symbol[code :: 1 << n], self.length[code :: 1 << n] = symbol, n
         self.only = used[0][0] if self.bits == 0 else None
-        self._table = list(zip(self.symbol.tolist(), self.length.tolist(), strict=True))
+        self._table: list[tuple[int, int]] = []
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
         low = bits.at >> 3
+        if self.bits > 8:  # few symbols are read one by one, not worth a list
+            place = int.from_bytes(bits.data[low : low + 4], "little") >> (bits.at & 7) & ((1 << self.bits) - 1)
+            bits.at += int(self.length[place])
+            return int(self.symbol[place])
+        if not self._table:
+            self._table = list(zip(self.symbol.tolist(), self.length.tolist(), strict=True))
         symbol, n = self._table[int.from_bytes(bits.data[low : low + 4], "little") >> (bits.at & 7) & ((1 << self.bits) - 1)]
         bits.at += n
         return symbol
@@ -383,7 +389,7 @@ def decode_file(data: bytes, at: int = 0) -> tuple[int, int, np.ndarray, int]:
 
 
 #: Bytes that a repeat must have to be a back-reference, and how many of them are hashed to find one.
-LEAST_MATCH, HASHED = 24, 8
+LEAST_MATCH, HASHED = 48, 8
 LONGEST = 10
 
 
@@ -396,30 +402,39 @@ def code_lengths(counts: np.ndarray, most: int = LONGEST) -> list[int]:
         for s in used:
             lengths[s] = 1
         return lengths
-    least, total = 1, int(counts.sum())
+    used = used[np.argsort(counts[used], kind="stable")]
+    leaves, least, n = counts[used].tolist(), 1, len(used)
     while True:
-        heap = [(max(least, int(counts[s])), int(s), None) for s in used]
-        heapq.heapify(heap)
-        place = len(counts)
-        while len(heap) > 1:
-            low, high = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (low[0] + high[0], place, (low, high)))
-            place += 1
-        open_, deepest = [(heap[0], 0)], 0
-        while open_:
-            (_, symbol, pair), depth = open_.pop()
-            if pair:
-                open_ += [(pair[0], depth + 1), (pair[1], depth + 1)]
-            else:
-                lengths[symbol] = depth
-                deepest = max(deepest, depth)
-        if deepest <= most:
+        # the two lightest of sorted leaves and of the sums so far, which come out sorted, again and again
+        weight = [max(least, x) for x in leaves]
+        parent, leaf, node = [0] * (2 * n - 1), 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (node >= new or weight[leaf] <= weight[node]):
+                    child, leaf = leaf, leaf + 1
+                else:
+                    child, node = node, node + 1
+                parent[child] = new
+                total += weight[child]
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for x in range(2 * n - 3, -1, -1):
+            depth[x] = depth[parent[x]] + 1
+        if depth[0] <= most:
+            for s, d in zip(used.tolist(), depth[:n], strict=True):
+                lengths[s] = d
             return lengths
-        least = max(2 * least, total >> (most + 3))
+        least = max(2 * least, sum(leaves) >> (most + 3))
 
 
 def _described(lengths: list[int]) -> list[tuple[int, int]]:
     """(value, bits) of a code's description."""
+    return _description(tuple(lengths))
+
+
+@lru_cache(1024)
+def _description(lengths: tuple[int, ...]) -> list[tuple[int, int]]:
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 2 and all(s < 256 for s in used):
         first, second = [*used, 0, 0][:2] if used else (0, 0)
@@ -473,7 +488,7 @@ def matches(samples: np.ndarray) -> list[tuple[int, int, int]]:
     code = np.zeros(n, np.uint64)
     for k in range(HASHED):
         code |= samples[k : k + n].astype(np.uint64) << np.uint64(8 * k)
-    order = np.argsort(code, kind="stable")
+    order = np.argsort((code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
     same = code[order[1:]] == code[order[:-1]]
     back = np.zeros(n, np.int64)
     back[order[1:][same]] = order[1:][same] - order[:-1][same]
@@ -492,56 +507,70 @@ def matches(samples: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 class _Tokens:
-    """Literals and back-references of an image, in order, and what they cost."""
-
-    def __init__(self, samples: np.ndarray, found: list[tuple[int, int, int]], fixed: list[int] | None = None):
-        n = len(samples)
-        place, length, distance = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        covered = np.zeros(n + 1, np.int64)
-        np.add.at(covered, place, 1)
-        np.add.at(covered, place + length, -1)
-        literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
-        symbol, extra, extra_n = _prefixed(length)
-        far, self_extra, self_n = _prefixed(distance + 120)
-        at = np.concatenate([literal, place])
-        order = np.argsort(at, kind="stable")
-        zero = np.zeros(len(literal), np.int64)
-        self.green = np.concatenate([samples[literal].astype(np.int64), 256 + symbol])[order]
-        counts = np.bincount(self.green, minlength=280)
-        self.lengths = fixed or code_lengths(counts)
-        self.far = code_lengths(np.bincount(far, minlength=40))
-        self.parts = [np.concatenate([zero, x])[order] for x in (extra, extra_n, far, self_extra, self_n)]
-        self.has = np.concatenate([zero, zero[:0] + 0, np.ones(len(place), np.int64)])[order]
-        empty = [0] * 256
-        self.head = [*_described(self.lengths), *_described(empty), *_described(empty), *_described([*empty[:-1], 1]), *_described(self.far)]
-        one = sum(map(bool, self.lengths)) == 1
-        bits = int((np.array(self.lengths)[self.green] * (not one) + self.parts[1] + self.parts[4] + self.has * np.array(self.far)[self.parts[2]]).sum())
-        self.bits = bits + sum(k for _, k in self.head)
-
-    def written(self) -> np.ndarray:
+    """Literals and back-references of an image, in order, and what each code for them costs."""
+
+    def __init__(self, samples: np.ndarray, found: list[tuple[int, int, int]]):
+        self.green = samples.astype(np.int64)
+        self.at, self.more = np.zeros(0, np.int64), np.zeros((0, 3, 2), np.int64)
+        far_counts = np.zeros(40, np.int64)
+        if found:
+            place, length, distance = (np.array(x, np.int64) for x in zip(*found, strict=True))
+            symbol, extra, extra_n = _prefixed(length)
+            far, far_extra, far_n = _prefixed(distance + 120)
+            covered = np.zeros(len(samples) + 1, np.int64)
+            np.add.at(covered, place, 1)
+            np.add.at(covered, place + length, -1)
+            literal = np.cumsum(covered[:-1]) == 0
+            self.green[place] = 256 + symbol
+            literal[place] = True
+            self.at = np.cumsum(literal)[place] - 1
+            self.green = self.green[literal]
+            far_counts = np.bincount(far, minlength=40)
+            # behind a length: its extra bits, the distance's symbol (whose code comes later) and its extra bits
+            self.more = np.stack([np.stack([extra, extra_n], 1), np.stack([far, 0 * far], 1), np.stack([far_extra, far_n], 1)], 1)
+        self.counts = np.bincount(self.green, minlength=280)
+        self.far = code_lengths(far_counts)
+        self.rest = [*_PLAIN_HEADS, *_described(self.far)]
+        far_bits = int((far_counts * self.far).sum()) if sum(map(bool, self.far)) > 1 else 0
+        self.fixed_bits = sum(n for _, n in self.rest) + far_bits + int(self.more[:, :, 1].sum())
+
+    def priced(self, lengths: list[int], head: list[tuple[int, int]]) -> int:
+        """Bits that the image takes with a green code of these lengths, described by ``head``."""
+        return self.fixed_bits + sum(n for _, n in head) + (int((self.counts * lengths).sum()) if sum(map(bool, lengths)) > 1 else 0)
+
+    def written(self, lengths: list[int], head: list[tuple[int, int]]) -> np.ndarray:
         def table(lengths):
-            value, n = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            out = np.zeros((len(lengths), 2), np.int64)
             used = canonical(lengths)
             for symbol, k, code in used if len(used) > 1 else ():
-                value[symbol], n[symbol] = code, k
-            return value, n
-
-        (gv, gn), (fv, fn) = table(self.lengths), table(self.far)
-        extra, extra_n, far, self_extra, self_n = self.parts
-        values = np.stack([gv[self.green], extra, fv[far], self_extra], 1).ravel()
-        sizes = np.stack([gn[self.green], extra_n, self.has * fn[far], self_n], 1).ravel()
-        values, sizes = values[sizes > 0], sizes[sizes > 0]
-        of = np.repeat(np.arange(len(values)), sizes)
-        place = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
-        return np.concatenate([_bits(self.head), (values[of] >> place & 1).astype(np.uint8)])
-
-
-def _bits(pairs: list[tuple[int, int]]) -> np.ndarray:
-    return np.array([v >> k & 1 for v, n in pairs for k in range(n)], np.uint8)
-
-
+                out[symbol] = code, k
+            return out
+
+        pairs = table(lengths)[self.green]
+        if len(self.at):
+            more = self.more.copy()
+            more[:, 1] = table(self.far)[more[:, 1, 0]]
+            pairs = np.insert(pairs, np.repeat(self.at + 1, 3), more.reshape(-1, 2), 0)
+        return np.concatenate([np.array([*head, *self.rest], np.int64), pairs])
+
+
+def _packed_bits(pairs: np.ndarray) -> bytes:
+    """Values of so many bits (32 at most) one after another, in 32-bit words: bits don't overlap, so sums put them together."""
+    value, size = pairs[:, 0].astype(np.uint64), pairs[:, 1]
+    end = np.cumsum(size)
+    at = end - size
+    word, moved = at >> 5, value << (at & 31).astype(np.uint64)
+    total = int(end[-1])
+    n = (total >> 5) + 2
+    words = np.bincount(word, (moved & np.uint64(0xFFFFFFFF)).astype(float), n) + np.bincount(word + 1, (moved >> np.uint64(32)).astype(float), n)
+    return words.astype("<u4").tobytes()[: (total + 7) >> 3]
+
+
+#: Descriptions of the red, blue and alpha codes of a grey image: 0, 0 and 255.
+_PLAIN_HEADS = [*_described([0] * 256), *_described([0] * 256), *_described([*[0] * 255, 1])]
 #: Fixed code of short texts: bytes that text in Latin letters uses most are short, and every symbol has a code.
 _PLAIN = code_lengths(np.array([*(64 if chr(b) in " etaoinshrdlu" else 16 if chr(b).islower() and b < 128 else 4 if 32 <= b < 127 or b in (10, 255) or 0x80 <= b < 0xC4 else 1 for b in range(256)), *[4] * 24]))
+_PLAIN_CODE = (_PLAIN, _described(_PLAIN))
 
 
 def _packed_samples(samples: np.ndarray, height: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -567,19 +596,18 @@ def _packed_samples(samples: np.ndarray, height: int) -> tuple[np.ndarray, list[
 
 def encoded_stream(samples: np.ndarray, height: int) -> bytes:
     """The shortest of the ways to write an image of grey ``samples``."""
-    ways = []
-    grey, few = [(1, 1), (SUBTRACT_GREEN, 2), (0, 1)], len(np.unique(samples)) <= 16
-    found = matches(samples)
-    for fixed in (None, _PLAIN):
-        ways.append((grey, _Tokens(samples, found, fixed)))
-    if found:
-        ways.append((grey, _Tokens(samples, [])))
-    if few:
+    grey = [(1, 1), (SUBTRACT_GREEN, 2), (0, 1)]
+    tokens = _Tokens(samples, matches(samples))
+    own = code_lengths(tokens.counts)
+    ways = [(grey, tokens, own, _described(own)), (grey, tokens, *_PLAIN_CODE)]
+    if np.count_nonzero(tokens.counts[:256]) <= 16:
         packed, head = _packed_samples(samples, height)
-        ways.append(([*head, (0, 1)], _Tokens(packed, matches(packed))))
-    head, tokens = min(ways, key=lambda w: sum(n for _, n in w[0]) + w[1].bits)
-    first = _bits([(0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 4), *head, (0, 1), (0, 1)])
-    return np.packbits(np.concatenate([first, tokens.written()]), bitorder="little").tobytes()
+        small = _Tokens(packed, matches(packed))
+        own = code_lengths(small.counts)
+        ways.append(([*head, (0, 1)], small, own, _described(own)))
+    head, tokens, lengths, described = min(ways, key=lambda w: sum(n for _, n in w[0]) + w[1].priced(w[2], w[3]))
+    first = np.array([(0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 4), *head, (0, 1), (0, 1)], np.int64)
+    return _packed_bits(np.concatenate([first, tokens.written(lengths, described)]))
 
 
 def payload_of(text: bytes) -> bytes:

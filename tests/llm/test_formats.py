@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from eddyline.llm import neighbours, quality, secrets, simhash, warc, webp
+from eddyline.llm import neighbours, quality, secrets, warc, webp
 from tests.conftest import DATA
 
 SF = f"{DATA}/sf0.001"
@@ -372,21 +372,53 @@ def test_neighbours_query(spark):
 
 
 def test_pipeline(spark):
+    """Each stage against brute force on what the one before it kept, and the run against the stages."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    from eddyline.llm import bpe, mixing
+    from tests.llm.test_text_operators import brute_sets, brute_spans, union
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    after = {}
+    frame = docs
+    for name in list(stage)[:-1]:
+        frame = corpus_pipeline.saved(stage[name](spark, frame, SF), "test")
+        after[name] = {r.doc_id: r for r in frame.collect()} if not name.startswith("mixing") else frame.collect()
+    good, one, clean, mixed = after.values()
+    assert set(good) == {r.doc_id for r in quality.op1_quality(spark, SF).where("predicted = 1").collect()}
+
+    ids = sorted(good)
+    sets = brute_sets([good[i].text for i in ids])
+    similar = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    roots = union(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if similar(a, b)])
+    want = {ids[r] for r in roots}
+    assert want <= set(one) and len(one) - len(want) <= 0.1 * (len(good) - len(want))  # what goes has a similar text that stays
+
+    assert set(clean) == set(one)
+    for i, r in clean.items():
+        spans = secrets.scan(pa.array([one[i].text]), secrets.BASE + secrets.EXTRA)[0]
+        assert not brute_spans(r.text) and (r.text == one[i].text) == (not spans) and (not brute_spans(one[i].text) or spans)
+        assert r.n_chars == (len(r.text) if spans else one[i].n_chars)
+
+    frame = spark.createDataFrame(list(clean.values()), docs.schema)
+    words, whole = Counter(), {i: r.text.split() for i, r in clean.items()}
+    for r in mixed:
+        mine, at = r.text.split(), iter(whole[r.doc_id])
+        words[r.doc_id] += len(mine)
+        assert all(w in at for w in mine)
+    plan = mixing.mix(frame).agg({"taken": "sum", "size": "sum"}).first()
+    assert abs(sum(words.values()) - plan["sum(taken)"]) <= 0.02 * plan["sum(taken)"] and all(n <= 2 * len(whole[i]) for i, n in words.items())
+
+    library = Tokenizer.from_file(bpe.vocabulary_path())
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     got = rows.collect()
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    good = quality.keep_good(spark, docs, SF)
-    texts = {r.doc_id: r.text for r in good.collect()}
-    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
-    least: dict[int, int] = {}
-    for i in sorted(prints):
-        least.setdefault(next((b for a, b in least.items() if (a ^ prints[i]).bit_count() <= 2), prints[i]), i)
-    assert {r.doc_id for r in got} <= set(texts) and len({r.doc_id for r in got}) <= len(texts)
-    secret = {i for i, (s,) in zip(texts, [(x,) for x in secrets.scan(pa.array(list(texts.values())), secrets.BASE)], strict=True) if s}
-    whole = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
-    full = [r for r in got if r.decoded_sha256 == whole[r.doc_id]]
-    assert full and not {r.doc_id for r in full} & secret
+    encoded = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch([r.text for r in mixed], add_special_tokens=False)]
+    want = Counter((r.doc_id, len(e) // 4, hashlib.sha256(e).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()) for r, e in zip(mixed, encoded, strict=True))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert all(len(r.ids) == 4 * r.n_tokens and hashlib.sha256(bytes(r.ids)).hexdigest() == r.ids_sha256 for r in got)
 
 
