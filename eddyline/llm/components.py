@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 
 from eddyline.llm.common import PARTS, saved
 
+#: Edge rows of which no hub is worth a part of its own.
+FEW = 8192
+
 
 def _with_least(edges: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
     """``edges`` (u, v) with m of ``least`` (u, m, n rows of u among ``n_rows``). Hubs, of which there are ``PARTS`` at most, are
     broadcast; their edges are dealt by v and their least copied to each part."""
+    if n_rows <= FEW:
+        return edges.join(least.select("u", "m"), "u")
     limit = max(64, n_rows // PARTS)
     hubs = least.where(F.col("n") > limit).select(F.col("u").alias("hub"), F.ceil(F.col("n") / limit).alias("parts"))
     dealt = edges.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1)))).drop("hub", "parts")

@@ -20,9 +20,9 @@ The pipeline's stage (``keep_one``) has no such contract and takes documents tha
 whose 64-bit fingerprints differ in many bits. It makes keys for those in the same way, from a wider fingerprint
 of word pairs: of three 23-bit segments two differ in two bits or so, and each choice of two gives the pairs of
 their codeword indices, 24 bits, as keys. Candidates within ``NEAR_BITS`` are verified by their exact Jaccard similarity.
-Classes of texts then merge in rounds: each class picks one other that shares a key with it, by turns the closest and
-a random one, and merges with it if the two texts that met are similar. A round so verifies no more pairs than there are
-classes, however large a group of near copies is; rounds end when one of each kind has merged nothing. In a key of more
+Classes of texts then merge in rounds: each class picks two others that share a key with it, the closest and a random
+one, and merges with those of which the two texts that met are similar. A round so verifies two pairs a class at most,
+however large a group of near copies is; rounds end when one has merged nothing. In a key of more
 than ``TOGETHER`` texts those meet that a round's random order puts together. Two classes may stay apart though some
 texts of theirs are similar, if those never were the ones that met.
 
@@ -300,12 +300,14 @@ def partners(key: np.ndarray, ids: np.ndarray, w: np.ndarray, own: np.ndarray, r
 
 
 def met(keys: DataFrame, turn: int) -> DataFrame:
-    """class, score, u, v: for each row of ``keys`` that has one its partner in the ``turn``-th round."""
+    """class, close, score, u, v: for each row of ``keys`` that has any its closest partner and a random one of round ``turn``."""
 
     def chosen(key, ids, w, own) -> pa.RecordBatch:
-        rank = None if turn % 2 == 0 else (((ids.view(np.uint64) ^ np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64)
-        row, other, score = partners(key, ids, w, own, rank)
-        return pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(score), pa.array(ids[row]), pa.array(ids[other])], ["class", "score", "u", "v"])
+        rank = (((ids.view(np.uint64) ^ np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64)
+        both = [(True, *partners(key, ids, w, own, None)), (False, *partners(key, ids, w, own, rank))]
+        row, other, score = (np.concatenate([b[k] for b in both]) for k in (1, 2, 3))
+        close = np.concatenate([np.full(len(b[1]), b[0]) for b in both])
+        return pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(close), pa.array(score), pa.array(ids[row]), pa.array(ids[other])], ["class", "close", "score", "u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
@@ -323,14 +325,14 @@ def met(keys: DataFrame, turn: int) -> DataFrame:
 
     n = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = F.xxhash64("id", F.lit(turn))
-    return keys.repartition(n, "key").sortWithinPartitions("key", order).mapInArrow(run, "class long, score long, u long, v long")
+    return keys.repartition(n, "key").sortWithinPartitions("key", order).mapInArrow(run, "class long, close boolean, score long, u long, v long")
 
 
 def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
     """Those of ``pairs`` (u, v, a written table) whose texts' shingle sets are ``SIMILAR``."""
-    ids = saved(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), f"{tag}-ids")
+    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     wanted = nodes.join(ids, "id").select("id", "doc_id", "code")
-    wanted = F.broadcast(wanted) if ids.count() <= FEW else wanted
+    wanted = F.broadcast(wanted) if 2 * pairs.count() <= FEW else wanted
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("code"), "text").join(wanted, ["doc_id", "code"]).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,17 +356,18 @@ def similar_texts(documents: DataFrame) -> DataFrame:
     folded = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "code")).alias("k"), F.min("w").alias("w"), F.min("x").alias("x"))
     place = F.row_number().over(Window.partitionBy("h1").orderBy("h2")) - 1  # words that share half a digest are apart
     nodes = saved(folded.select(F.when(place == 0, F.col("h1")).otherwise(F.xxhash64("h1", place)).alias("id"), "h1", "h2", F.col("k.doc_id").alias("doc_id"), F.col("k.code").alias("code"), "w", "x"), "wide-nodes")
-    links, active, turn, idle = None, nodes.withColumn("class", F.col("id")), 0, 0
-    while idle < 2:
-        seen = met(_wide_keys(active), turn).groupBy("class", "u").agg(F.min(F.struct("score", "v")).alias("s"))
-        seen = saved(seen.select("class", "u", "s.score", "s.v"), "wide-met")
+    links, active, turn, roots = None, nodes.withColumn("class", F.col("id")), 0, None
+    while True:
+        seen = met(_wide_keys(active), turn)
+        seen = saved(seen.groupBy("class", "close", "u").agg(F.min(F.struct("score", "v")).alias("s")).select("class", "close", "u", "s.score", "s.v"), "wide-met")
         if turn == 0:  # who meets nobody now never will
-            company = saved(seen.select(F.col("u").alias("id")).distinct(), "wide-company")
-        pick = seen.groupBy("class").agg(F.min(F.struct("score", "u", "v")).alias("s"))
+            company = seen.select(F.col("u").alias("id")).distinct()
+        pick = seen.groupBy("class", "close").agg(F.min(F.struct("score", "u", "v")).alias("s"))
         pairs = saved(pick.select(F.greatest("s.u", "s.v").alias("u"), F.least("s.u", "s.v").alias("v")).distinct(), "wide-pairs")
         new = _verified(documents, nodes, pairs, "wide")
-        idle = idle + 1 if new.isEmpty() else 0
         links = new if links is None else links.unionByName(new)
+        if turn and new.isEmpty():
+            break
         roots = components(links, "wide-cc")
         member = nodes.join(company, "id").join(roots, F.col("id") == F.col("node"), "left")
         active = saved(member.select("id", "w", "x", F.coalesce("root", "id").alias("class")), "wide-active")

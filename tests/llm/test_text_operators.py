@@ -287,7 +287,8 @@ def test_rows_of_a_key_meet_as_brute_force_says(spark, monkeypatch):
         by.setdefault(k, []).append((i, w, c))
     far = lambda a, b: bin(a ^ b).count("1")
     want = {i: min((far(w, x) for _, x, d in m if c != d and far(w, x) <= simhash.NEAR_BITS), default=None) for m in by.values() for i, w, c in m}
-    close, any_of = ({r.u: r for r in simhash.met(df, turn).collect()} for turn in (0, 1))
+    met = simhash.met(df, 1).collect()
+    close, any_of = ({r.u: r for r in met if r.close == kind} for kind in (True, False))
     value = {i: (w, c, k) for k, i, w, c in rows}
     for found in (close, any_of):
         for r in found.values():
