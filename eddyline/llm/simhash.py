@@ -20,8 +20,8 @@ The pipeline's stage (``keep_one``) has no such contract and takes documents tha
 whose 64-bit fingerprints differ in many bits. It makes keys for those in the same way, from a wider fingerprint
 of word pairs: of three 23-bit segments two differ in two bits or so, and each choice of two gives the pairs of
 their codeword indices, 24 bits, as keys. Candidates within ``NEAR_BITS`` are verified by their exact Jaccard similarity.
-Classes of texts then merge in rounds: each class picks two others that share a key with it, the closest and a random
-one, and merges with those of which the two texts that met are similar. A round so verifies two pairs a class at most,
+Classes of texts then merge in rounds: each text picks two of other classes that share a key with it, the closest and a
+random one, and its class merges with theirs where the texts are similar. A round so verifies two pairs a text at most,
 however large a group of near copies is; rounds end when one has merged nothing. In a key of more
 than ``TOGETHER`` texts those meet that a round's random order puts together. Two classes may stay apart though some
 texts of theirs are similar, if those never were the ones that met.
@@ -358,12 +358,10 @@ def similar_texts(documents: DataFrame) -> DataFrame:
     nodes = saved(folded.select(F.when(place == 0, F.col("h1")).otherwise(F.xxhash64("h1", place)).alias("id"), "h1", "h2", F.col("k.doc_id").alias("doc_id"), F.col("k.code").alias("code"), "w", "x"), "wide-nodes")
     links, active, turn, roots = None, nodes.withColumn("class", F.col("id")), 0, None
     while True:
-        seen = met(_wide_keys(active), turn)
-        seen = saved(seen.groupBy("class", "close", "u").agg(F.min(F.struct("score", "v")).alias("s")).select("class", "close", "u", "s.score", "s.v"), "wide-met")
+        seen = met(_wide_keys(active), turn).groupBy("u", "close").agg(F.min(F.struct("score", "v")).alias("s"))
+        pairs = saved(seen.select(F.greatest("u", "s.v").alias("u"), F.least("u", "s.v").alias("v")).distinct(), "wide-pairs")
         if turn == 0:  # who meets nobody now never will
-            company = seen.select(F.col("u").alias("id")).distinct()
-        pick = seen.groupBy("class", "close").agg(F.min(F.struct("score", "u", "v")).alias("s"))
-        pairs = saved(pick.select(F.greatest("s.u", "s.v").alias("u"), F.least("s.u", "s.v").alias("v")).distinct(), "wide-pairs")
+            company = saved(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "wide-company")
         new = _verified(documents, nodes, pairs, "wide")
         links = new if links is None else links.unionByName(new)
         if turn and new.isEmpty():
