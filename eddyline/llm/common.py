@@ -17,7 +17,16 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     more than the task that was reading it."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table that ``saved`` wrote and nothing reads any more."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(table.scratch)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def spread_join(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import PARTS, saved
+from eddyline.llm.common import PARTS, discard, saved
 
 #: Edge rows of which no hub is worth a part of its own.
 FEW = 8192
@@ -49,7 +49,8 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     edges = saved(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), tag)
     before, n = None, edges.count()
     while n:
-        edges = saved(_small_star(_large_star(edges, n), n), tag)
+        old, edges = edges, saved(_small_star(_large_star(edges, n), n), tag)
+        discard(old)
         # stars only: no node is both above another and below a third; the sums settle it with equal edges
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import saved, spread_join, table
+from eddyline.llm.common import discard, saved, spread_join, table
 from eddyline.llm.components import components
 
 DISTANCE = 2
@@ -220,14 +220,15 @@ def wide_fingerprint(text: str | None) -> tuple[bytes, int, int]:
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted hashes of the text's different five-word shingles; of fewer words, their whole sequence."""
+    """Sorted 32-bit hashes of the text's different five-word shingles; of fewer words, their whole sequence. Two of a pair's
+    few hundred shingles share one with a chance of one in thousands, and then shift its similarity by a hair."""
     joined, starts, ends = _joined_words(text)
     if not len(ends):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     k = min(WORDS, len(ends))
-    digest = xxhash.xxh64_digest
+    digest = xxhash.xxh32_digest
     hashed = b"".join([digest(joined[i:j]) for i, j in zip(starts[: len(ends) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)])
-    return np.unique(np.frombuffer(hashed, ">i8").astype(np.int64))
+    return np.unique(np.frombuffer(hashed, ">i4").astype(np.int32))
 
 
 def _wide_rows(documents: DataFrame) -> DataFrame:
@@ -244,8 +245,8 @@ def _wide_rows(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, code long, h1 long, h2 long, w long, x long")
 
 
-def _wide_keys(nodes: DataFrame) -> DataFrame:
-    """key, id, w, class: for each two of the three segments the pairs of their codeword indices."""
+def _wide_keys(nodes: DataFrame, alone: bool) -> DataFrame:
+    """key, id, w and, unless each text is still ``alone`` in its class, class: for each two of the three segments the pairs of their codeword indices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,9 +260,10 @@ def _wide_keys(nodes: DataFrame) -> DataFrame:
                     both = (index[a][:, :, None] >= 0) & (index[b][:, None, :] >= 0)
                     row, i, j = np.nonzero(both)
                     key = n << 24 | index[a][row, i] << 12 | index[b][row, j]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(w[row]), pa.array(own[row])], ["key", "id", "w", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(ids[row]), pa.array(w[row]), pa.array(own[row])], ["key", "id", "w", "class"])
 
-    return nodes.select("id", "w", "x", "class").mapInArrow(run, "key long, id long, w long, class long")
+    keys = nodes.select("id", "w", "x", "class").mapInArrow(run, "key int, id long, w long, class long")
+    return keys.drop("class") if alone else keys
 
 
 def partners(key: np.ndarray, ids: np.ndarray, w: np.ndarray, own: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -314,7 +316,8 @@ def met(keys: DataFrame, turn: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            rows = [np.concatenate([h, np.asarray(batch[c])]) for h, c in zip(held, ("key", "id", "w", "class"), strict=True)]
+            names = ("key", "id", "w", "class" if "class" in batch.schema.names else "id")
+            rows = [np.concatenate([h, np.asarray(batch[c])]) for h, c in zip(held, names, strict=True)]
             last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key's rows may go on
             cut = last + (len(rows[0]) - last) // TOGETHER * TOGETHER
             if cut:
@@ -341,12 +344,14 @@ def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, tag: str
                 batch = whole.slice(at, 512)
                 sets = [shingle_set(t.as_py()) for t in batch["text"]]
                 ends = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int32)])))], ["id", "s"])
 
-    sets = saved(texts.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"]), f"{tag}-sets")
+    sets = saved(texts.mapInArrow(run, "id long, s array<int>").dropDuplicates(["id"]), f"{tag}-sets")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return saved(both.where(common >= SIMILAR * (F.size("a") + F.size("b") - common)).select("u", "v"), f"{tag}-links")
+    links = saved(both.where(common >= SIMILAR * (F.size("a") + F.size("b") - common)).select("u", "v"), f"{tag}-links")
+    discard(sets)
+    return links
 
 
 def similar_texts(documents: DataFrame) -> DataFrame:
@@ -358,7 +363,7 @@ def similar_texts(documents: DataFrame) -> DataFrame:
     nodes = saved(folded.select(F.when(place == 0, F.col("h1")).otherwise(F.xxhash64("h1", place)).alias("id"), "h1", "h2", F.col("k.doc_id").alias("doc_id"), F.col("k.code").alias("code"), "w", "x"), "wide-nodes")
     links, active, turn, roots = None, nodes.withColumn("class", F.col("id")), 0, None
     while True:
-        seen = met(_wide_keys(active), turn).groupBy("u", "close").agg(F.min(F.struct("score", "v")).alias("s"))
+        seen = met(_wide_keys(active, turn == 0), turn).groupBy("u", "close").agg(F.min(F.struct("score", "v")).alias("s"))
         pairs = saved(seen.select(F.greatest("u", "s.v").alias("u"), F.least("u", "s.v").alias("v")).distinct(), "wide-pairs")
         if turn == 0:  # who meets nobody now never will
             company = saved(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "wide-company")

@@ -366,6 +366,19 @@ def test_a_failed_audit_ends_in_a_whole_comparison(spark, monkeypatch):
     assert all(got[i].component_id == i - 1 for i in range(1, len(vectors), 2) if want[i])
 
 
+@pytest.mark.parametrize(("dim", "n"), [(3, 700), (5, 700), (8, 700)])
+def test_links_of_a_continuum_are_found(spark, dim, n):
+    x = np.random.default_rng(dim).normal(size=(n, dim))
+    vectors = (x / np.linalg.norm(x, axis=1)[:, None]).tolist()
+    want = np.zeros(n, int)
+    for i, j in brute_links(vectors):
+        want[[i, j]] += 1
+    result, recall = neighbours.near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"))
+    got = {r.vec_id: r.n_links for r in result.collect()}
+    found = np.array([got[i] for i in range(n)])
+    assert recall >= 0.95 and (found <= want).all() and (found[want > 0] / want[want > 0]).mean() >= 0.95
+
+
 def test_neighbours_query(spark):
     got = neighbours.op3_neighbours(spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
