@@ -16,16 +16,6 @@ copies is one row whatever its size. Fingerprints within ``DISTANCE`` = 2 bits a
 
 Components of the links come from star contraction (see components.py).
 
-The pipeline's stage (``keep_one``) has no such contract and takes documents that share 80 % of their five-word shingles,
-whose 64-bit fingerprints differ in many bits. It makes keys for those in the same way, from a wider fingerprint
-of word pairs: of three 23-bit segments two differ in two bits or so, and each choice of two gives the pairs of
-their codeword indices, 24 bits, as keys. Candidates within ``NEAR_BITS`` are verified by their exact Jaccard similarity.
-Classes of texts then merge in rounds: each text picks two of other classes that share a key with it, the closest and a
-random one, and its class merges with theirs where the texts are similar. A round so verifies two pairs a text at most,
-however large a group of near copies is; rounds end when one has merged nothing. In a key of more
-than ``TOGETHER`` texts those meet that a round's random order puts together. Two classes may stay apart though some
-texts of theirs are similar, if those never were the ones that met.
-
 Defined results: a null, empty or wordless text has fingerprint 0 and links like any other; fewer than
 three words are one shingle; rows with equal ids are one node; a null id never is a component's least
 unless it is alone with its fingerprint's component; other columns of the input are ignored.
@@ -33,16 +23,15 @@ unless it is alone with its fingerprint's component; other columns of the input
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddyline.llm.common import discard, saved, spread_join, table
+from eddyline.llm.common import saved, spread_join, table
 from eddyline.llm.components import components
 
 DISTANCE = 2
@@ -170,14 +159,15 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, code, fp, component_id (least id reachable), a row for each row of ``documents``."""
+    """doc_id, code, fp, component_id (least id reachable) and root (a fingerprint that names the component), a row for each
+    row of ``documents``."""
     docs = saved(fingerprints(documents), "simhash-fp")
     classes = saved(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "simhash-classes")
     roots = components(near_links(classes), "simhash-cc")
     named = saved(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "simhash-named")
     ids = saved(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-roots")
-    by_fp = saved(spread_join(named, ids, "root").select("fp", "component_id", F.col("rows").alias("n")), "simhash-components")
-    return spread_join(docs, by_fp, "fp").select("doc_id", "code", "fp", "component_id")
+    by_fp = saved(spread_join(named, ids, "root").select("fp", "component_id", "root", F.col("rows").alias("n")), "simhash-components")
+    return spread_join(docs, by_fp, "fp").select("doc_id", "code", "fp", "component_id", "root")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,207 +175,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-SIMILAR = 0.8
-WORDS = 5
-#: Bits of 64 in which fingerprints of word pairs differ at most: those of texts at ``SIMILAR`` differ in 6, give or take 2.4.
-NEAR_BITS = 15
-#: Texts of one key that meet in a round.
-TOGETHER = 512
-#: Texts up to which their ids are broadcast to find them again.
-FEW = 200_000
-
-
-def _joined_words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(words joined by spaces, where each begins, where each ends)."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    return b" ".join(words), np.concatenate([[0], ends[:-1] + 1]) if words else ends, ends
-
-
-def wide_fingerprint(text: str | None) -> tuple[bytes, int, int]:
-    """(digest of the words, 64 bits and 5 more of the fingerprint of the text's different word pairs)."""
-    joined, starts, ends = _joined_words(text)
-    if not len(ends):
-        return hashlib.md5(joined).digest(), 0, 0
-    k = min(2, len(ends))
-    digest = xxhash.xxh3_128_digest
-    pairs = {joined[i:j] for i, j in zip(starts[: len(ends) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)}
-    ones = np.zeros(72, np.int64)
-    hashed = b"".join(digest(x)[:9] for x in pairs)
-    rows = np.frombuffer(hashed, np.uint8).reshape(-1, 9)
-    for at in range(0, len(rows), 65536):
-        ones += np.unpackbits(rows[at : at + 65536], axis=1).sum(0, dtype=np.int64)
-    bits = 2 * ones > len(rows)
-    return hashlib.md5(joined).digest(), int.from_bytes(np.packbits(bits[:64]).tobytes(), "big"), int(np.packbits(bits[64:69])[0]) >> 3
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted 32-bit hashes of the text's different five-word shingles; of fewer words, their whole sequence. Two of a pair's
-    few hundred shingles share one with a chance of one in thousands, and then shift its similarity by a hair."""
-    joined, starts, ends = _joined_words(text)
-    if not len(ends):
-        return np.zeros(0, np.int32)
-    k = min(WORDS, len(ends))
-    digest = xxhash.xxh32_digest
-    hashed = b"".join([digest(joined[i:j]) for i, j in zip(starts[: len(ends) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)])
-    return np.unique(np.frombuffer(hashed, ">i4").astype(np.int32))
-
-
-def _wide_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, code, h1, h2 (of the words), w, x (of the wide fingerprint) of rows with an id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [wide_fingerprint(t.as_py()) for t in batch["text"]]
-            both = np.frombuffer(b"".join(d for d, _, _ in found), "<i8").reshape(-1, 2)
-            w = np.array([w for _, w, _ in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["code"], pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(w), pa.array([x for _, _, x in found], pa.int64())], ["doc_id", "code", "h1", "h2", "w", "x"])
-
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("code"), "text")
-    return rows.mapInArrow(run, "doc_id long, code long, h1 long, h2 long, w long, x long")
-
-
-def _wide_keys(nodes: DataFrame, alone: bool) -> DataFrame:
-    """key, id, w and, unless each text is still ``alone`` in its class, class: for each two of the three segments the pairs of their codeword indices."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                ids, w, x, own = (np.asarray(part[c]) for c in ("id", "w", "x", "class"))
-                u = w.view(np.uint64)
-                segments = [(u & np.uint64((1 << 23) - 1)).astype(np.int64), (u >> np.uint64(23) & np.uint64((1 << 23) - 1)).astype(np.int64), (u >> np.uint64(46)).astype(np.int64) | x << 18]
-                index = [codeword_indices(s) for s in segments]
-                for n, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-                    both = (index[a][:, :, None] >= 0) & (index[b][:, None, :] >= 0)
-                    row, i, j = np.nonzero(both)
-                    key = n << 24 | index[a][row, i] << 12 | index[b][row, j]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(ids[row]), pa.array(w[row]), pa.array(own[row])], ["key", "id", "w", "class"])
-
-    keys = nodes.select("id", "w", "x", "class").mapInArrow(run, "key int, id long, w long, class long")
-    return keys.drop("class") if alone else keys
-
-
-def partners(key: np.ndarray, ids: np.ndarray, w: np.ndarray, own: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, its partner's row, score) of rows that have one: of the rows with the same key (in stretches of ``TOGETHER``),
-    another class and within ``NEAR_BITS`` the closest or, by ``rank`` of the rows, the first."""
-    n = len(key)
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    begin = np.flatnonzero(new)
-    since = np.arange(n) - begin[np.cumsum(new) - 1]
-    block = np.cumsum(new | (since % TOGETHER == 0)) - 1
-    size = np.bincount(block)
-    best, other = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
-    bits = w.view(np.uint64)
-
-    def meet(a: np.ndarray, b: np.ndarray) -> None:
-        far = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
-        ok = (far <= NEAR_BITS) & (own[a] != own[b])
-        a, b, far = a[ok], b[ok], far[ok]
-        for x, y in ((a, b), (b, a)):
-            score = far if rank is None else rank[y]
-            less = score < best[x]
-            best[x[less]], other[x[less]] = score[less], y[less]
-
-    short = size[block] <= 32
-    for d in range(1, 32):
-        a = np.flatnonzero((block[d:] == block[:-d]) & short[d:])
-        if not len(a):
-            break
-        meet(a, a + d)
-    for k in np.flatnonzero(size > 32).tolist():
-        at = np.flatnonzero(block == k) if n < 4096 else np.arange(np.searchsorted(block, k), np.searchsorted(block, k, "right"))
-        for d in range(1, len(at)):
-            meet(at[:-d], at[d:])
-    row = np.flatnonzero(other >= 0)
-    return row, other[row], best[row]
-
-
-def met(keys: DataFrame, turn: int) -> DataFrame:
-    """class, close, score, u, v: for each row of ``keys`` that has any its closest partner and a random one of round ``turn``."""
-
-    def chosen(key, ids, w, own) -> pa.RecordBatch:
-        rank = (((ids.view(np.uint64) ^ np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64)
-        both = [(True, *partners(key, ids, w, own, None)), (False, *partners(key, ids, w, own, rank))]
-        row, other, score = (np.concatenate([b[k] for b in both]) for k in (1, 2, 3))
-        close = np.concatenate([np.full(len(b[1]), b[0]) for b in both])
-        return pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(close), pa.array(score), pa.array(ids[row]), pa.array(ids[other])], ["class", "close", "score", "u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            if not len(batch):
-                continue
-            names = ("key", "id", "w", "class" if "class" in batch.schema.names else "id")
-            rows = [np.concatenate([h, np.asarray(batch[c])]) for h, c in zip(held, names, strict=True)]
-            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key's rows may go on
-            cut = last + (len(rows[0]) - last) // TOGETHER * TOGETHER
-            if cut:
-                yield chosen(*(r[:cut] for r in rows))
-            held = [r[cut:] for r in rows]
-        if len(held[0]):
-            yield chosen(*held)
-
-    n = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = F.xxhash64("id", F.lit(turn))
-    return keys.repartition(n, "key").sortWithinPartitions("key", order).mapInArrow(run, "class long, close boolean, score long, u long, v long")
-
-
-def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
-    """Those of ``pairs`` (u, v, a written table) whose texts' shingle sets are ``SIMILAR``."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    wanted = nodes.join(ids, "id").select("id", "doc_id", "code")
-    wanted = F.broadcast(wanted) if 2 * pairs.count() <= FEW else wanted
-    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("code"), "text").join(wanted, ["doc_id", "code"]).select("id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                sets = [shingle_set(t.as_py()) for t in batch["text"]]
-                ends = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int32)])))], ["id", "s"])
-
-    sets = saved(texts.mapInArrow(run, "id long, s array<int>").dropDuplicates(["id"]), f"{tag}-sets")
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    links = saved(both.where(common >= SIMILAR * (F.size("a") + F.size("b") - common)).select("u", "v"), f"{tag}-links")
-    discard(sets)
-    return links
-
-
-def similar_texts(documents: DataFrame) -> DataFrame:
-    """doc_id, code, class: of each row with an id the class of texts that its own is similar to; ``class`` is shared by just
-    those. A row is known by its id and the hash of its text."""
-    rows = saved(_wide_rows(documents), "wide-rows")
-    folded = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "code")).alias("k"), F.min("w").alias("w"), F.min("x").alias("x"))
-    place = F.row_number().over(Window.partitionBy("h1").orderBy("h2")) - 1  # words that share half a digest are apart
-    nodes = saved(folded.select(F.when(place == 0, F.col("h1")).otherwise(F.xxhash64("h1", place)).alias("id"), "h1", "h2", F.col("k.doc_id").alias("doc_id"), F.col("k.code").alias("code"), "w", "x"), "wide-nodes")
-    links, active, turn, roots = None, nodes.withColumn("class", F.col("id")), 0, None
-    while True:
-        seen = met(_wide_keys(active, turn == 0), turn).groupBy("u", "close").agg(F.min(F.struct("score", "v")).alias("s"))
-        pairs = saved(seen.select(F.greatest("u", "s.v").alias("u"), F.least("u", "s.v").alias("v")).distinct(), "wide-pairs")
-        if turn == 0:  # who meets nobody now never will
-            company = saved(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "wide-company")
-        new = _verified(documents, nodes, pairs, "wide")
-        links = new if links is None else links.unionByName(new)
-        if turn and new.isEmpty():
-            break
-        roots = components(links, "wide-cc")
-        member = nodes.join(company, "id").join(roots, F.col("id") == F.col("node"), "left")
-        active = saved(member.select("id", "w", "x", F.coalesce("root", "id").alias("class")), "wide-active")
-        turn += 1
-    named = nodes.join(roots, F.col("id") == F.col("node"), "left").select("h1", F.col("h2").alias("own"), F.coalesce("root", "id").alias("class"))
-    sizes = rows.groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
-    by_words = saved(named.join(sizes, "h1"), "wide-named")
-    return spread_join(rows, by_words, "h1").where("h2 = own").select("doc_id", "code", "class")
-
-
 def keep_one(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of similar texts one row, that of least id (of rows with that id and different texts in
-    one class the one with the least hash of its text); documents without an id stay. Rows that share an id but not a
-    class are documents of their own."""
-    keep = similar_texts(documents).groupBy("class").agg(F.min(F.struct("doc_id", "code")).alias("__k")).select(F.col("__k.doc_id").alias("__id"), F.col("__k.code").alias("__code")).distinct()
+    """Pipeline stage: of each component one row, that of least id (of rows with that id and different texts in one
+    component the one with the least hash of its text); documents without an id stay. Rows that share an id but not a
+    component are documents of their own."""
+    found = near_duplicates(documents).where("doc_id is not null")
+    keep = found.groupBy("root").agg(F.min(F.struct("doc_id", "code")).alias("__k")).select(F.col("__k.doc_id").alias("__id"), F.col("__k.code").alias("__code")).distinct()
     coded = documents.where("doc_id is not null").withColumns({"__id": F.col("doc_id").cast("long"), "__code": F.xxhash64("text")})
     one = coded.join(saved(keep, "simhash-keep"), ["__id", "__code"], "left_semi").dropDuplicates(["__id", "__code"])
     return one.select(*documents.columns).unionByName(documents.where("doc_id is null")).select(*documents.columns)

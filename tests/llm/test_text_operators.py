@@ -237,71 +237,6 @@ def test_simhash_of_odd_rows(spark, odd, empty):
     assert simhash.keep_one(spark, odd, "").columns == odd.columns
 
 
-def brute_sets(texts):
-    out = []
-    for t in texts:
-        words = brute_words((t or "").encode())
-        k = min(5, len(words))
-        out.append({b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set())
-    return out
-
-
-def test_similar_texts_fall_in_one_class(spark):
-    rng = np.random.default_rng(8)
-    vocabulary = [f"w{i}" for i in range(4000)]
-    texts = []
-    for n, copies in enumerate([300, 40, *[3] * 40, *[0] * 150]):
-        base = rng.choice(vocabulary, rng.integers(60, 300)).tolist()
-        texts.append(base)
-        for _ in range(copies):
-            other = list(base)
-            for at in rng.choice(len(base), max(1, int(rng.uniform(0, 0.022) * len(base))), replace=False):
-                other[at] = rng.choice(vocabulary)
-            texts.append(other)
-    texts = [" ".join(t) for t in texts] + ["", None, "one two", "One  two", "one two three"]
-    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
-    got = {r.doc_id: r["class"] for r in simhash.similar_texts(df).collect()}
-    sets = brute_sets(texts)
-    similar = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if similar(i, j)]
-    want = union(len(texts), links)
-    assert len(got) == len(texts) and got[len(texts) - 5] == got[len(texts) - 4] and got[len(texts) - 3] == got[len(texts) - 2] != got[len(texts) - 1]
-    assert np.mean([got[i] == got[j] for i, j in links]) >= 0.97  # recall of pairs
-    together = {}
-    for i, c in got.items():
-        together.setdefault(c, set()).add(want[i])
-    assert all(len(x) == 1 for x in together.values())  # classes hold nothing that links don't connect
-    least = {}
-    for i in sorted(got):
-        least.setdefault(got[i], i)
-    assert sorted(r.doc_id for r in simhash.keep_one(spark, df, "").collect()) == sorted(least.values())
-
-
-def test_rows_of_a_key_meet_as_brute_force_says(spark, monkeypatch):
-    rng = np.random.default_rng(2)
-    rows = [(int(k), n, int(w), int(c)) for n, (k, w, c) in enumerate(zip(rng.choice([1, 2, 3, *range(10, 900)], 2500, p=[0.1, 0.1, 0.1, *[0.7 / 890] * 890]), rng.integers(0, 1 << 44, 2500), rng.integers(0, 900, 2500), strict=True))]
-    df = spark.createDataFrame(rows, "key long, id long, w long, class long").repartition(3)
-    by = {}
-    for k, i, w, c in rows:
-        by.setdefault(k, []).append((i, w, c))
-    far = lambda a, b: bin(a ^ b).count("1")
-    want = {i: min((far(w, x) for _, x, d in m if c != d and far(w, x) <= simhash.NEAR_BITS), default=None) for m in by.values() for i, w, c in m}
-    met = simhash.met(df, 1).collect()
-    close, any_of = ({r.u: r for r in met if r.close == kind} for kind in (True, False))
-    value = {i: (w, c, k) for k, i, w, c in rows}
-    for found in (close, any_of):
-        for r in found.values():
-            a, b = value[r.u], value[r.v]
-            assert a[2] == b[2] and a[1] != b[1] and far(a[0], b[0]) <= simhash.NEAR_BITS and r["class"] == a[1]
-    assert {i: r.score for i, r in close.items()} == {i: d for i, d in want.items() if d is not None} and set(any_of) == set(close)
-    monkeypatch.setattr(simhash, "TOGETHER", 40)
-    key, ids, w, own = (np.array(c) for c in zip(*sorted(rows), strict=True))
-    row, other, score = simhash.partners(key, ids, w, own, None)
-    assert all(key[a] == key[b] and own[a] != own[b] and far(int(w[a]), int(w[b])) == d <= simhash.NEAR_BITS for a, b, d in zip(row, other, score, strict=True))
-    assert 0.3 * len(close) < len(row) < len(close)
-
-
 def test_components_of_paths_and_stars(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (300, 300)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
