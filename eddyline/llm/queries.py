@@ -1,9 +1,9 @@
-"""The registered queries of this subpackage. Only op8 has SQL: fingerprints of shingles, trained models,
-permutations and image formats are beyond it, so tests compare the others with brute force."""
+"""The registered queries of this subpackage. op8 and op13 have SQL: fingerprints of shingles, trained models, permutations,
+lattices, agendas and image formats are beyond it, so tests compare the others with brute force."""
 
 from __future__ import annotations
 
-from eddyline.llm import bpe, language, mixing, neighbours, quality, secrets, simhash, toxicity, warc, webp
+from eddyline.llm import bpe, language, lattice, mixing, neighbours, quality, repair, secrets, simhash, toxicity, trie, warc, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,5 +16,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_language": language.op9_language,
     "op10_secrets": secrets.op10_secrets,
+    "op11_lattice": lattice.op11_lattice,
+    "op12_repair": repair.op12_repair,
+    "op13_trie": trie.op13_trie,
 }
-ORACLES: dict[str, str] = {"op8_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op8_warc": warc.SQL, "op13_trie": trie.SQL}
