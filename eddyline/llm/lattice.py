@@ -41,6 +41,8 @@ FREQUENT = 1 << 17
 SHORT = 64
 #: Characters of words whose lattices are summed side by side, and the length from which a word is summed alone.
 AREA, LONG = 1 << 16, 512
+#: Texts whose words a task holds at a time when it scores.
+ROWS = 512
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 
@@ -206,8 +208,16 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= SHORT else b" " + hashlib.sha256(word).hexdigest()[: SHORT - 2].encode()
 
 
-def _split(column: pa.Array) -> list[list[bytes]]:
-    return [(x or b"").lower().split() for x in column.cast(pa.binary()).to_pylist()]  # bytes: ASCII letters and white space only
+def _split(column: pa.Array) -> Iterator[list[bytes]]:
+    """The words of each text, one text at a time."""
+    for x in column.cast(pa.binary()):
+        yield (x.as_py() or b"").lower().split()  # bytes: ASCII letters and white space only
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def word_counts(documents: DataFrame, training: str) -> DataFrame:
@@ -280,7 +290,7 @@ def score_documents(documents: DataFrame, model: Model, keep: list[str]) -> Data
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for batch in batches:
+        for batch in _in_parts(batches):
             n_tokens, n_known, bases, logs, offsets, rest, times = [], [], [], [], [0], [], []
             for words in _split(batch["text"]):
                 have, by_base, by_log = end_known, end_base, end
