@@ -7,13 +7,14 @@ hashes, and so are their first 4 to 7 bytes (stems whose endings change); a sent
 ``MOST`` times. Sentences end at ``.``, ``!``, ``?`` or a line's end. The vocabulary (features in
 ``MIN_DOCS`` and a share of ``MIN_SHARE`` or more of the toxic documents of a bounded labelled sample, a
 share below which the pull of ``sparse`` keeps weights at 0, and ``MIN_RATIO`` times their share of the clean ones or
-more; ``VOCABULARY`` of them at most) is counted by tasks and is what they receive: its size is fixed by parameters. The sample has ``per_label`` ids of each label at most, and none of
-more than ``max_chars`` characters; such texts teach nothing but are scored whole. Scoring covers whole texts in bounded blocks, without a shuffle.
+more; ``VOCABULARY`` of them at most) is counted by tasks and is what they receive: its size is fixed by parameters. The
+sample has ``per_label`` ids of each label at most, and none of more than ``max_chars`` characters; such texts teach nothing
+but are scored whole. Scoring covers whole texts in bounded blocks, without a shuffle.
 
 Defined results: a null or empty text has no sentence and a score of 0; a sentence without a known word
 still has the bias, a small chance. Rows with a null id are in no fold and are scored; repeated rows are
 scored each; ties for the worst sentence go to the first; other columns of the input are ignored.
-Without labelled rows of both kinds every sentence's weight is 0 and its bias the least one.
+Without labelled rows of both kinds every sentence's weight is 0 and its bias ``LEAST_BIAS``.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ class Model:
     words: np.ndarray  # sorted hashes
     weight: np.ndarray
     bias: float
+    power: float = 1.0  # of each sentence's chance to be clean
 
 
 def sentences(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -109,8 +111,9 @@ def scores(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.n
     count, bad = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
     for code, sentence, rows, _, _ in sentences(column):
         z = sentence_sums(code, sentence, len(rows), model)
-        p = 1 / (1 + np.exp(-np.clip(z + model.bias, -30, 30)))
-        np.add.at(none, rows, log_none(z, model.bias))
+        clean = model.power * log_none(z, model.bias)
+        p = -np.expm1(clean)
+        np.add.at(none, rows, clean)
         np.maximum.at(worst, rows, p)
         np.add.at(count, rows, 1)
         np.add.at(bad, rows, p >= 0.5)
@@ -122,7 +125,7 @@ def offending(column: pa.Array, model: Model, least: float = 0.5) -> list[list[t
     text's UTF-8, end exclusive."""
     out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(column))]
     for code, sentence, rows, start, length in sentences(column):
-        p = 1 / (1 + np.exp(-np.clip(sentence_sums(code, sentence, len(rows), model) + model.bias, -30, 30)))
+        p = -np.expm1(model.power * log_none(sentence_sums(code, sentence, len(rows), model), model.bias))
         for i in np.flatnonzero(p >= least):
             out[rows[i]].append((int(start[i]), int(start[i] + length[i]), float(p[i])))
     return out
@@ -190,42 +193,38 @@ def training_bags(texts: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, i
     return [(label_of[i].as_py(), np.frombuffer(words[i].as_buffer(), "<u8"), np.frombuffer(marks[i].as_buffer(), "<u4"), size[i].as_py()) for i in order]
 
 
+def _laid(bags: list[tuple], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, sentence, times) of the known ``words`` in all bags, and the bag of each sentence."""
+    n_sentences = [n for *_, n in bags]
+    first = np.concatenate([[0], np.cumsum(n_sentences)])
+    parts = []
+    for (_, w, at, _), f in zip(bags, first[:-1], strict=True):  # bag by bag: unknown features are most of them
+        word = _known(w, words)
+        known = word < len(words)
+        word, sentence, times = _counted(word[known], at[known], len(words))
+        parts.append((word.astype(np.int32), (sentence + f).astype(np.int32), times.astype(np.int8)))
+    word, sentence, times = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    return word, sentence, times, np.repeat(np.arange(len(bags)), n_sentences)
 
 
-def fit(bags: list[tuple], epochs: int = 200, rate: float = 1.0, sparse: float = 0.0005, most_wrong: float = 0.005) -> Model:
-    """Of (label, features, sentence of each and, where features may lack at the end, number of sentences). Gradient steps on the likelihood of the documents' labels, all bags in each, scaled word by word by
-    the squares of past gradients (words differ by orders of magnitude in how often they occur). A pull of
-    ``sparse`` times the toxic bags towards 0 leaves a weight to the words only that many documents speak for. Some labels are wrong:
-    a document without a toxic sentence is labelled toxic with a chance that is estimated along (by EM) and is
-    ``most_wrong`` at most: a greater one would explain short toxic documents away, whose few words speak softly."""
-    bags = [(*b[:3], b[3] if len(b) > 3 else int(b[2][-1]) + 1) for b in bags if (b[3] if len(b) > 3 else len(b[1]))]
-    y = np.array([b[0] for b in bags], float)
-    if not len(bags) or y.min() == y.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), LEAST_BIAS)
+def _chosen(bags: list[tuple], y: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the features that may speak."""
     each = [np.unique(w) for _, w, _, _ in bags]
     seen, of = np.unique(np.concatenate(each), return_inverse=True)
     label = np.repeat(y, [len(e) for e in each])
     docs, clean = np.bincount(of, label, len(seen)), np.bincount(of, 1 - label, len(seen))
     often = speaks(docs, clean, int(y.sum()), int((1 - y).sum()))
     seen, docs = seen[often], docs[often]
-    if len(seen) > VOCABULARY:
-        seen = np.sort(seen[np.lexsort((seen, -docs))[:VOCABULARY]])
-    n_sentences = [n for *_, n in bags]
-    first = np.concatenate([[0], np.cumsum(n_sentences)])
-    parts = []
-    for (_, w, at, _), f in zip(bags, first[:-1], strict=True):  # bag by bag: unknown features are most of them
-        word = _known(w, seen)
-        known = word < len(seen)
-        word, sentence, times = _counted(word[known], at[known], len(seen))
-        parts.append((word.astype(np.int32), (sentence + f).astype(np.int32), times.astype(np.int8)))
-    word, sentence, times = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    del parts
-    bag = np.repeat(np.arange(len(bags)), n_sentences)
-    weight, bias = np.zeros(len(seen)), -5.0
+    return seen if len(seen) <= VOCABULARY else np.sort(seen[np.lexsort((seen, -docs))[:VOCABULARY]])
+
+
+def _climbed(bags, y, words, weight, bias, epochs, rate, most_wrong, sparse=0.0, ridge=0.0, least_bias=-np.inf):
+    """(weights, bias) after gradient steps on the likelihood of the bags' labels, all bags in each."""
+    word, sentence, times, bag = _laid(bags, words)
     wrong = min(0.02, most_wrong)
-    past, past_bias = np.full(len(seen), 1e-3), 1e-3
+    past, past_bias = np.full(len(words), 1e-3), 1e-3
     for _ in range(epochs):
-        z = np.clip(np.bincount(sentence, weight[word] * times, first[-1]) + bias, -30, 30)
+        z = np.clip(np.bincount(sentence, weight[word] * times, len(bag)) + bias, -30, 30)
         p = 1 / (1 + np.exp(-z))
         total = -np.expm1(np.bincount(bag, -np.logaddexp(0, z), len(bags)))
         blame = wrong + (1 - wrong) * total
@@ -233,16 +232,62 @@ def fit(bags: list[tuple], epochs: int = 200, rate: float = 1.0, sparse: float =
         by_mistake = (y * wrong * (1 - total) / blame).sum()
         wrong = min(most_wrong, max(1e-4, by_mistake / (by_mistake + (1 - y).sum())))
         g = back[bag] * p
-        step = np.bincount(word, g[sentence] * times, len(seen))
+        step = np.bincount(word, g[sentence] * times, len(words)) - ridge * weight
         past += step * step
         pace = rate / np.sqrt(past)
-        weight += pace * step
-        weight = np.sign(weight) * np.maximum(np.abs(weight) - pace * sparse * y.sum(), 0)
+        weight = weight + pace * step
+        if sparse:
+            weight = np.sign(weight) * np.maximum(np.abs(weight) - pace * sparse * y.sum(), 0)
         past_bias = 0.9 * past_bias + 0.1 * g.sum() ** 2  # forgets the first steps, whose gradients are far greater
-        bias = max(LEAST_BIAS, bias + 0.1 * rate * g.sum() / np.sqrt(past_bias))
-    used = weight != 0
-    seen, weight = seen[used], weight[used]
-    return Model(seen, weight, float(bias))
+        bias = max(least_bias, bias + 0.1 * rate * g.sum() / np.sqrt(past_bias))
+    return weight, float(bias)
+
+
+def _uncalibrated(bags: list[tuple], epochs: int, rate: float, sparse: float, ridge: float, most_wrong: float) -> Model:
+    y = np.array([b[0] for b in bags], float)
+    if not len(bags) or y.min() == y.max():
+        return Model(np.zeros(0, np.uint64), np.zeros(0), LEAST_BIAS)
+    words = _chosen(bags, y)
+    weight, bias = _climbed(bags, y, words, np.zeros(len(words)), -5.0, epochs, rate, most_wrong, sparse=sparse, least_bias=LEAST_BIAS)
+    words, weight = words[weight != 0], weight[weight != 0]
+    return Model(words, *_climbed(bags, y, words, weight, bias, epochs // 2, rate / 2, most_wrong, ridge=ridge))
+
+
+def best_power(none: np.ndarray, y: np.ndarray) -> float:
+    """The power of the noisy-or by which 0.5 parts documents best (by F1), of their log(1 - p) and labels. 1 where
+    one label is lacking."""
+    if not len(y) or y.min() == y.max():
+        return 1.0
+    order = np.argsort(none, kind="stable")
+    found, alarms = np.cumsum(y[order]), np.cumsum(1 - y[order])
+    # a cut between documents of equal scores can't be made
+    cuts = np.flatnonzero(np.append(np.diff(none[order]) > 0, True))
+    f1 = 2 * found[cuts] / (found[cuts] + alarms[cuts] + y.sum())
+    at = cuts[int(np.argmax(f1))]
+    low, high = -none[order[at]], -none[order[min(at + 1, len(order) - 1)]]
+    return float(np.clip(np.log(2) / np.sqrt(max(low, 1e-9) * max(high, 1e-9)), 0.1, 10))
+
+
+def fit(bags: list[tuple], epochs: int = 200, rate: float = 1.0, sparse: float = 0.0005, ridge: float = 0.3, most_wrong: float = 0.005, folds: int = 3) -> Model:
+    """Of (label, features, sentence of each and, where features may lack at the end, number of sentences). Steps are scaled word
+    by word by the squares of past gradients (words differ by orders of magnitude in how often they occur). A pull of
+    ``sparse`` times the toxic bags towards 0 chooses the words that many documents speak for; their weights and the bias are then
+    fitted again without it, held by a slight ``ridge`` only. Some labels are wrong: a document without a toxic sentence is
+    labelled toxic with a chance that is estimated along (by EM) and is ``most_wrong`` at most: a greater one would explain
+    short toxic documents away, whose few words speak softly. Models of all but one of ``folds`` parts of the bags score that
+    one, and the noisy-or's power is what parts those scores best at 0.5."""
+    bags = [(*b[:3], b[3] if len(b) > 3 else int(b[2][-1]) + 1) for b in bags if (b[3] if len(b) > 3 else len(b[1]))]
+    how = (epochs, rate, sparse, ridge, most_wrong)
+    model = _uncalibrated(bags, *how)
+    if not len(model.words):
+        return model
+    y, none = np.array([b[0] for b in bags], float), np.zeros(len(bags))
+    for f in range(folds):
+        part = _uncalibrated([b for i, b in enumerate(bags) if i % folds != f], *how)
+        for i in range(f, len(bags), folds):
+            _, words, marks, n = bags[i]
+            none[i] = log_none(sentence_sums(words, marks, n, part), part.bias).sum()
+    return Model(model.words, model.weight, model.bias, best_power(none, y))
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 2500, max_chars: int = 200_000, seed: int = 13) -> Model:

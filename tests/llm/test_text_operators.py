@@ -451,3 +451,31 @@ def test_sampled_texts_have_a_row_an_id(spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, None)], "doc_id long, y int")
     rows = sampled_texts(docs, labels, "y", 10, 100, 1).collect()
     assert sorted((r.doc_id, r.label) for r in rows) == [(0, 1), (1, 0)]
+
+
+def test_toxic_scores_by_a_plain_loop(toxic_model):
+    texts = ["w1 w2 w3. You vile and nasty w7! w5 w6.\nw8 vile vile vile vile vile vile", "", None, "awful. awful? w3"]
+    weight = dict(zip(toxic_model.words.tolist(), toxic_model.weight.tolist(), strict=True))
+    want = []
+    for text in texts:
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n\r]", text or ""):
+            if not re.search(r"[\w]", sentence):
+                continue
+            counts = {}
+            for word in re.findall(r"[a-z0-9]+", sentence.lower()):
+                buf = np.frombuffer(f" {word} ".encode(), np.uint8)
+                codes = [*hashing.word_hashes(buf, hashing.WORDLIKE)[0].tolist(), *hashing.prefix_hashes(buf, hashing.WORDLIKE, toxicity.PREFIXES)[0].tolist()]
+                for c in codes:
+                    counts[c] = counts.get(c, 0) + 1
+            z = toxic_model.bias + sum(weight.get(c, 0.0) * min(n, toxicity.MOST) for c, n in counts.items())
+            clean *= (1 - 1 / (1 + np.exp(-z))) ** toxic_model.power
+        want.append(1 - clean)
+    assert np.allclose(toxicity.scores(pa.array(texts), toxic_model)[0], want, atol=1e-9)
+
+
+def test_the_power_parts_scores_at_one_half():
+    none, y = -np.array([3.0, 2.0, 0.2, 0.1, 0.05, 0.01, 0.2]), np.array([1, 1, 1, 0, 0, 0, 1.0])
+    power = toxicity.best_power(none, y)
+    assert ((-np.expm1(power * none) >= 0.5) == (y == 1)).all()
+    assert toxicity.best_power(none, np.ones(7)) == 1 and toxicity.best_power(none[:0], y[:0]) == 1
