@@ -18,6 +18,7 @@ from eddyline.functions.geometry import ENERGY_LIMIT, is_sane, sanitised
 from eddyline.functions.grid import Grid
 from eddyline.functions.keys import GRID_NAMES, PRESETS, key_specs, missing
 from eddyline.operators import catalog
+from eddyline.shared import content_of, exists, plain, record, recorded
 from eddyline.sources import vtk
 
 
@@ -34,7 +35,7 @@ def grid_of(spark: SparkSession, path: str, transform: str | None = "log", scale
 def land(spark: SparkSession, path: str, keys: list[str], output: str, heavy: str = "sum", names: dict[str, str] = GRID_NAMES, flipped: bool = False, n_theta: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(TIMES(time_idx, time), FIELD as written to ``output``) of VTK files: raw values are sanitised and combined to
     ``keys``; of files that give the same scalar at the same time the lexically last counts; polar rows rise. A time that
-    lacks a part of a key is an error."""
+    lacks a part of a key is an error. A table that was landed from the same files in the same way is taken as it is."""
     spark.dataSource.register(vtk.SnapshotVtk)
     specs = key_specs(keys, names, heavy)
     raw = sorted({r for s in specs for r in s.raw})
@@ -45,6 +46,9 @@ def land(spark: SparkSession, path: str, keys: list[str], output: str, heavy: st
     lacks = have.where(F.size(missing(specs, F.col("have"))) > 0).limit(1).collect()
     if lacks:
         raise KeyError(f"time {lacks[0]['time']} lacks a part of {', '.join(keys)}")
+    made_of = plain({"files": content_of(files.select("path", "time", "keys")), "keys": keys, "heavy": heavy, "names": names, "flipped": flipped, "n_theta": n_theta})
+    if exists(spark, f"{output}/_SUCCESS") and recorded(spark, f"{output}.from") == made_of:
+        return times, spark.read.parquet(output)
     last = files.select("time", "path", F.explode("keys").alias("key")).where(F.col("key").isin(raw)).groupBy("time", "key").agg(F.max("path").alias("path"))
     rows = spark.read.format("snapshot_vtk").option("keys", ",".join(raw)).load(path)
     rows = rows.join(F.broadcast(last), ["time", "key", "path"]) if last.limit(100_001).count() <= 100_000 else rows.join(last, ["time", "key", "path"])
@@ -53,6 +57,7 @@ def land(spark: SparkSession, path: str, keys: list[str], output: str, heavy: st
     wide = rows.select("time", "i", j.alias("j"), "k", "key", sane.alias("value")).groupBy("time", "i", "j", "k").agg(*(F.max(F.when(F.col("key") == r, F.col("value"))).alias(r) for r in raw))
     field = wide.join(times, "time").select(F.col("time_idx").cast("int"), "i", "j", "k", *(s.column() for s in specs))
     field.write.mode("overwrite").partitionBy("time_idx").parquet(output)
+    record(spark, f"{output}.from", made_of)
     return times, spark.read.parquet(output)
 
 

@@ -83,6 +83,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFram
     grid, flipped = grid_of(spark, f"{a.data_dir}/{pattern}", a.rad_transform, a.rad_scale)
     times_table, field = land(spark, f"{a.data_dir}/{pattern}", a.keys, f"{a.output_dir}/field", a.heavy_neutrinos, flipped=flipped, n_theta=grid.shape[1])
     rows = times_table.orderBy("time_idx").limit(history.MOST_TIMES + 1).collect()
+    if len(rows) > history.MOST_TIMES:
+        raise ValueError(f"more than {history.MOST_TIMES} snapshots in {a.data_dir}: narrow --file-pattern")
     times = [r["time"] for r in rows]
     near = lambda t: min(range(len(times)), key=lambda i: (abs(times[i] - t), i))
     start, end = near(a.start_t), near(a.end_t)

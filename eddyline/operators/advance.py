@@ -16,6 +16,7 @@ aren't finite end a particle. Integration runs either way in time.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from eddyline.functions.grid import Grid
 from eddyline.functions.stencil import midpoint_weights, pchip4_np
 from eddyline.operators import catalog, tiles as tiling
+from eddyline.shared import OtherRun, claim, content_of, exists, recorded, source_of
 
 SCHEMA = "tracer_id long, time double, x double, y double, z double, status string"
 
@@ -174,23 +176,29 @@ def snapped(seeds: DataFrame, times: list[float]) -> DataFrame:
     return near.withColumn("time_idx", F.when(fits, F.col("time_idx")).otherwise(F.raise_error(F.concat(F.lit("no snapshot at a seed's time "), F.coalesce(F.col("t0").cast("string"), F.lit("null")))).cast("int"))).drop("time")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` as a table at ``path``; one that is complete there already, from a run that was broken off, is taken."""
     spark = df.sparkSession
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    if not exists(spark, f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _named(flow) -> str:
+    return f"{type(flow).__qualname__}({', '.join(f'{k}={v!r}' for k, v in sorted(vars(flow).items()))})"
+
+
 def advance(seeds: DataFrame, flow, times: list[float], folder: str, scheme: str = "impl_trap", chunk: int = 10, **options) -> DataFrame:
     """TRAJ(tracer_id, time, x, y, z, status) of seeds (tracer_id, x, y, z, t0) through all ``times`` of a closed-form flow,
-    written chunk by chunk below ``folder``: the seeds' own rows first, then a table a chunk."""
+    written chunk by chunk below ``folder``: the seeds' own rows first, then a table a chunk. Chunks that are there already
+    are taken if they come from the same seeds, flow, scheme and times, which may go on behind whole chunks; else it
+    is an error (``OtherRun``)."""
     spark = seeds.sparkSession
+    made_of = {"seeds": content_of(seeds.select("tracer_id", "x", "y", "z", "t0")), "flow": _named(flow), "scheme": scheme, "options": options, "chunk": chunk, "times": [float(t) for t in times]}
+    before = (recorded(spark, folder) or {}).get("times", times)
+    if len(before) < len(times) and (len(before) - 1) % chunk:
+        raise OtherRun(f"{folder} ends within a chunk of {chunk} steps, after {len(before) - 1}: it can't go on")
+    claim(spark, folder, made_of, "times")
     start = spark.createDataFrame([(n, float(t)) for n, t in enumerate(times)], "time_idx int, __t double")
     names = "tracer_id", "time", "x", "y", "z", "status"
     own = seed_state(snapped(seeds, times).join(F.broadcast(start), "time_idx").withColumn("t0", F.col("__t")))
@@ -270,8 +278,11 @@ def stepped(particles: DataFrame, tiles: DataFrame, grid: Grid, times: list[floa
 def advance_snapshots(seeds: DataFrame, field: DataFrame, grid: Grid, times: list[float], start: int, end: int, folder: str, keys: list[str], vel_keys: list[str], scheme: str = "impl_trap", method: str = "pchip", size: int = tiling.SIZE, **options) -> DataFrame:
     """TRAJ(tracer_id, time_idx, time, x, y, z, <keys>) of seeds (tracer_id, x, y, z, t0) through the snapshots ``start`` to
     ``end`` (indices in ``times``, either may be the later) of FIELD(time_idx, i, j, k, ...), all keys read at every
-    record, the first included. A row's position may lie where its values are NaN: the particle has just left."""
+    record, the first included. A row's position may lie where its values are NaN: the particle has just left. Steps that
+    lie in ``folder`` already are taken if all these, seeds and field included, were the same; else it is an error (``OtherRun``)."""
     spark = seeds.sparkSession
+    made_of = {"seeds": content_of(seeds.select("tracer_id", "x", "y", "z", "t0")), "field": source_of(field), "grid": hashlib.sha256(repr(grid).encode()).hexdigest()[:16], "times": [float(t) for t in times]}
+    claim(spark, folder, made_of | {"start": start, "end": end, "keys": keys, "vel_keys": vel_keys, "scheme": scheme, "method": method, "size": size, "options": options})
     way = 1 if end >= start else -1
     low, high = max(0, min(start, end) - 1), min(len(times) - 1, max(start, end) + 1)
     if scheme == "rk4":
@@ -279,7 +290,7 @@ def advance_snapshots(seeds: DataFrame, field: DataFrame, grid: Grid, times: lis
     names = list(dict.fromkeys([*vel_keys, *keys]))
     used = field.where(F.col("time_idx").between(low, high))
     tiles_at = f"{folder}/tiles"
-    if not _exists(spark, f"{tiles_at}/_SUCCESS"):
+    if not exists(spark, f"{tiles_at}/_SUCCESS"):
         tiling.tiled(used, grid, names, size).write.mode("overwrite").partitionBy("time_idx").parquet(tiles_at)
     tiles = spark.read.parquet(tiles_at)
     begin = tiling.located(snapped(seeds, times).select("tracer_id", *(F.col(c).cast("double") for c in "xyz"), "time_idx"), grid, size, ["x", "y", "z"], "positions")
@@ -304,9 +315,9 @@ def advance_snapshots(seeds: DataFrame, field: DataFrame, grid: Grid, times: lis
             if again.isEmpty():
                 break
             part, at_size = part + 1, at_size * 2
-            at_tiles = tiling.tiled(used.where(F.col("time_idx").isin(_needed(n, len(times) - 1, way, scheme))), grid, names, at_size)
             marked = again.select("tracer_id", "x", "y", "z").join(particles.select("tracer_id", "starts"), "tracer_id")
             particles = tiling.located(marked, grid, at_size, ["x", "y", "z"], "positions")
+            at_tiles = tiling.tiled(used.where(F.col("time_idx").isin(_needed(n, len(times) - 1, way, scheme))), grid, names, at_size, only=particles.select("tile").distinct())
         rows = spark.read.schema(found.schema).parquet(*(f"{folder}/steps/step={n:06d}/part={k}" for k in range(part + 1)))
         state = rows.where((F.col("status") == "active") & (F.col("time_idx") == n + way)).select("tracer_id", "x", "y", "z", "tile")
         if part:  # parts had tiles of other sizes

@@ -23,6 +23,8 @@ SIZE = 16
 HALO = 4
 #: Points of one tile that a task takes together.
 SHARE = 50_000
+#: Snapshots that are named one by one when a field is read.
+FEW_TIMES = 1000
 
 
 def counts(grid: Grid, size: int) -> list[int]:
@@ -64,8 +66,9 @@ def _images(field: DataFrame, grid: Grid) -> DataFrame:
     return out.where((row == F.col("j")) & (column == F.col("k"))).withColumn("ei", F.col("i"))
 
 
-def tiled(field: DataFrame, grid: Grid, keys: list[str], size: int = SIZE, halo: int = HALO) -> DataFrame:
-    """TILE of FIELD(time_idx, i, j, k, <keys>): each cell goes to the boxes that hold it, one shuffle."""
+def tiled(field: DataFrame, grid: Grid, keys: list[str], size: int = SIZE, halo: int = HALO, only: DataFrame | None = None) -> DataFrame:
+    """TILE of FIELD(time_idx, i, j, k, <keys>): each cell goes to the boxes that hold it, one shuffle; with ``only`` (tile and
+    perhaps time_idx, a row each) to those."""
     n = counts(grid, size)
     out = _images(field.select("time_idx", "i", "j", "k", *keys), grid)
 
@@ -80,7 +83,10 @@ def tiled(field: DataFrame, grid: Grid, keys: list[str], size: int = SIZE, halo:
         out = out.withColumn(f"l{a}", F.col(e) - first).withColumn(f"n{a}", last - first).where((F.col(f"l{a}") >= 0) & (F.col(f"l{a}") < F.col(f"n{a}")))
     place = ((F.col("l0") * F.col("n1") + F.col("l1")) * F.col("n2") + F.col("l2")).cast("int")
     tile = ((F.col("ti") * n[1] + F.col("tj")) * n[2] + F.col("tk")).cast("long")
-    cells = out.groupBy("time_idx", tile.alias("tile")).agg(F.collect_list(F.struct(place.alias("p"), *(F.col(k).cast("double").alias(f"v{m}") for m, k in enumerate(keys)))).alias("cells"))
+    out = out.withColumn("tile", tile)
+    if only is not None:
+        out = out.join(only, only.columns, "left_semi")
+    cells = out.groupBy("time_idx", "tile").agg(F.collect_list(F.struct(place.alias("p"), *(F.col(k).cast("double").alias(f"v{m}") for m, k in enumerate(keys)))).alias("cells"))
     return cells.select("time_idx", "tile", F.col("cells.p").alias("p"), *(F.col(f"cells.v{m}").alias(k) for m, k in enumerate(keys)))
 
 
@@ -126,10 +132,16 @@ def _ddl(schema) -> str:
 
 def gather(points: DataFrame, field: DataFrame, grid: Grid, keys: list[str], method: str = "pchip", point: str = "point_id", place: tuple[str, str, str] = ("x", "y", "z"), kind: str = "positions", size: int = SIZE, tiles: DataFrame | None = None) -> DataFrame:
     """point, time_idx, <keys>: a row for each point (point, time_idx, its place), NaN outside the grid. ``tiles`` are
-    those of ``tiled(field, grid, keys, size)``, if they are at hand."""
+    those of ``tiled(field, grid, keys, size)``, if they are at hand; else the snapshots that points name are read, and of them
+    the tiles that points are in cut."""
     names = [point, "time_idx", *place]
     inside = located(points.select(*names), grid, size, list(place), kind)
-    tiles = (tiled(field, grid, keys, size) if tiles is None else tiles).select("time_idx", "tile", "p", *keys)
+    if tiles is None:
+        named = [r[0] for r in points.select("time_idx").distinct().limit(FEW_TIMES + 1).collect()]
+        if len(named) <= FEW_TIMES:  # beyond, one join does it
+            field = field.where(F.col("time_idx").isin([n for n in named if n is not None]))
+        tiles = tiled(field, grid, keys, size, only=inside.select("time_idx", "tile").distinct())
+    tiles = tiles.select("time_idx", "tile", "p", *keys)
     left, right = _dealt(inside, tiles, ["time_idx", "tile"])
 
     def run(key, mine: pa.Table, theirs: pa.Table) -> pa.Table:

@@ -10,6 +10,7 @@ from eddyline.functions.grid import Block, Grid
 from eddyline.functions.stencil import end_slope, midpoint_weights, pchip4, pchip4_np
 from eddyline.jobs.run import Engine
 from eddyline.operators import advance, catalog
+from eddyline.shared import OtherRun
 
 
 class Decay:
@@ -103,6 +104,22 @@ def test_a_run_that_broke_off_goes_on(spark, tmp_path):
     pd.testing.assert_frame_equal(whole, again, check_exact=True)
 
 
+def test_a_folder_of_another_run_is_an_error(spark, tmp_path):
+    s = seeds(spark, [(1, 0, 0), (0.5, 1, 0)]).drop("time", "status").withColumn("t0", F.lit(0.0))
+    times, at = [0.1 * i for i in range(5)], f"{tmp_path}/a"
+    first = advance.advance(s, DiskWind(), times, at, "rk4", 2).count()
+    assert advance.advance(s, DiskWind(), times, at, "rk4", 2).count() == first
+    for change in (
+        {"seeds": s.withColumn("x", F.col("x") * 100)}, {"flow": Rotation()}, {"times": times[:3]}, {"times": [0.2 * i for i in range(5)]}, {"scheme": "euler"}, {"chunk": 4},
+    ):
+        call = {"seeds": s, "flow": DiskWind(), "times": times, "folder": at, "scheme": "rk4", "chunk": 2} | change
+        with pytest.raises(OtherRun, match="was .*, is "):
+            advance.advance(**call)
+    advance.advance(s, DiskWind(), times[:4], f"{tmp_path}/b", "rk4", 2)
+    with pytest.raises(OtherRun, match="within a chunk"):
+        advance.advance(s, DiskWind(), times, f"{tmp_path}/b", "rk4", 2)
+
+
 def sampled(grid, times, values):
     """FIELD rows of ``values(positions (3, n), t)``, a dictionary of keys, on a grid's nodes."""
     index = np.stack([m.ravel() for m in np.meshgrid(*map(range, grid.shape), indexing="ij")])
@@ -149,6 +166,20 @@ def test_snapshots_carry_particles_where_the_flow_does(spark, wind, tmp_path, sc
     assert np.allclose(ends[["x", "y", "z"]].to_numpy(), np.array(POINTS)[:2], atol=2e-3)
 
 
+def test_snapshot_runs_into_a_folder_of_another_run(spark, wind, tmp_path):
+    grid, times, field = wind
+    s = spark.createDataFrame([(0, 1.0, 0.0, 0.0, 0.0)], "tracer_id long, x double, y double, z double, t0 double")
+    call = {"seeds": s, "field": field, "grid": grid, "times": times, "start": 0, "end": 2, "folder": f"{tmp_path}/r", "keys": ["rho"], "vel_keys": ["vx", "vy", "vz"], "scheme": "euler"}
+    first = advance.advance_snapshots(**call).toPandas()
+    pd.testing.assert_frame_equal(first, advance.advance_snapshots(**call).toPandas(), check_exact=True)
+    changes = {"seeds": s.withColumn("x", F.lit(0.8)), "field": field.where("i < 31"), "end": 1, "keys": ["vx"], "scheme": "rk4", "method": "linear", "size": 8}
+    for name, value in changes.items():
+        if name == "field":
+            value = spark.createDataFrame(value.limit(5).toPandas())
+        with pytest.raises(OtherRun, match=name):
+            advance.advance_snapshots(**call | {name: value})
+
+
 def test_predictors_that_leave_their_tile_are_done_again(spark, tmp_path):
     side = tuple(float(i) for i in range(48))
     grid, times = Grid((side, (0.0, 1.0), (0.0, 1.0)), spherical=False), [0.0, 1.0, 2.0]
