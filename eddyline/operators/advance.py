@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddyline.functions.grid import Grid
+from eddyline.functions.octree import Octree
 from eddyline.functions.stencil import midpoint_weights, pchip4_np
-from eddyline.operators import catalog, tiles as tiling
+from eddyline.operators import blockstep, catalog, tiles as tiling
 from eddyline.shared import OtherRun, claim, content_of, exists, recorded, source_of
 
 SCHEMA = "tracer_id long, time double, x double, y double, z double, status string"
@@ -47,7 +48,8 @@ def implicit_trapezoid(v, p, t, dt, tol: float = 1e-8, max_iter: int = 20, relax
     v0 = v(p, t)
     new, open_ = p + dt * v0, np.ones(p.shape[1], bool)
     for _ in range(max_iter):
-        step = relax * (p + dt / 2 * (v0 + v(new, t + dt)) - new)
+        asked = np.where(open_, new, np.nan)  # those that have settled ask for nothing
+        step = relax * (p + dt / 2 * (v0 + v(asked, t + dt)) - new)
         new = np.where(open_, new + step, new)
         settled = np.sqrt((step * step).sum(0)) <= tol * np.maximum(1, np.sqrt((new * new).sum(0)))
         open_ &= ~settled & np.isfinite(new).all(0)
@@ -275,11 +277,14 @@ def stepped(particles: DataFrame, tiles: DataFrame, grid: Grid, times: list[floa
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, "tracer_id long, time_idx int, time double, x double, y double, z double, status string, tile long, " + ", ".join(f"`{k}` double" for k in keys))
 
 
-def advance_snapshots(seeds: DataFrame, field: DataFrame, grid: Grid, times: list[float], start: int, end: int, folder: str, keys: list[str], vel_keys: list[str], scheme: str = "impl_trap", method: str = "pchip", size: int = tiling.SIZE, **options) -> DataFrame:
+def advance_snapshots(seeds: DataFrame, field: DataFrame, grid: Grid | Octree, times: list[float], start: int, end: int, folder: str, keys: list[str], vel_keys: list[str], scheme: str = "impl_trap", method: str = "pchip", size: int = tiling.SIZE, **options) -> DataFrame:
     """TRAJ(tracer_id, time_idx, time, x, y, z, <keys>) of seeds (tracer_id, x, y, z, t0) through the snapshots ``start`` to
     ``end`` (indices in ``times``, either may be the later) of FIELD(time_idx, i, j, k, ...), all keys read at every
     record, the first included. A row's position may lie where its values are NaN: the particle has just left. Steps that
-    lie in ``folder`` already are taken if all these, seeds and field included, were the same; else it is an error (``OtherRun``)."""
+    lie in ``folder`` already are taken if all these, seeds and field included, were the same; else it is an error (``OtherRun``).
+    With an ``Octree`` for a grid ``field`` is a BLOCK table, see ``blockstep``."""
+    if isinstance(grid, Octree):
+        return blockstep.advance_blocks(seeds, field, grid, times, start, end, folder, keys, vel_keys, scheme, **options)
     spark = seeds.sparkSession
     made_of = {"seeds": content_of(seeds.select("tracer_id", "x", "y", "z", "t0")), "field": source_of(field), "grid": hashlib.sha256(repr(grid).encode()).hexdigest()[:16], "times": [float(t) for t in times]}
     claim(spark, folder, made_of | {"start": start, "end": end, "keys": keys, "vel_keys": vel_keys, "scheme": scheme, "method": method, "size": size, "options": options})

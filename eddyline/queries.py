@@ -18,6 +18,7 @@ from eddyline.functions import stencil
 from eddyline.functions import fields, keys
 from eddyline.functions.flows import BlastWave, DiskWind
 from eddyline.functions.grid import Grid
+from eddyline.functions.octree import Octree, faces
 from eddyline.operators import advance, catalog, gather, history, seeding, tiles
 from eddyline.shared import scratch_path
 
@@ -870,6 +871,44 @@ def i5_block_gather(spark, sf_dir):
     return got.select("point_id", F.when(F.isnan("value"), F.lit(-1.0)).otherwise(rounded("value", 8)).alias("value"))
 
 
+_BLOCK_FLOW = """coef as (select cast(l_linenumber % 2 as integer) as time_idx, round(avg(l_quantity) / 40, 6) as w, round(avg(l_tax) * 6, 6) as s from lineitem group by 1)"""
+
+
+def _refined() -> Octree:
+    """Eight root cells an axis in blocks of four, the first of the eight blocks cut in eight again."""
+    side = faces(0.0, 8.0, 1.0, 8)
+    coarse = [(n, 0, n // 4, n // 2 % 2, n % 2) for n in range(1, 8)]
+    return Octree((side, side, side), (4, 4, 4), tuple(coarse + [(8 + n, 1, n // 4, n // 2 % 2, n % 2) for n in range(8)]), spherical=False)
+
+
+def _blocks(spark, sf_dir, octree: Octree) -> DataFrame:
+    """BLOCK of two snapshots of a turning, stretching flow whose rates are averages of line items."""
+    li = read(spark, sf_dir, "lineitem")
+    rate = li.groupBy((F.col("l_linenumber") % 2).cast("int").alias("time_idx")).agg(rounded(F.avg("l_quantity") / 40).alias("w"), rounded(F.avg("l_tax") * 6).alias("s"))
+    geometry = spark.createDataFrame(list(octree.blocks), "block_id long, level int, l1 long, l2 long, l3 long").crossJoin(F.broadcast(rate))
+    width = F.pow(F.lit(0.5), F.col("level"))
+    nodes_of = lambda first: F.transform(F.sequence(F.lit(-2), F.lit(5)), lambda c: (first * 4 + c + 0.5) * width)
+    nodes = {f"x{a}v": nodes_of(F.col(f"l{a}")) for a in (1, 2, 3)}
+    cells = F.sequence(F.lit(0), F.lit(511))
+    at = lambda c: (F.element_at("x1v", (c % 8 + 1).cast("int")), F.element_at("x2v", (F.floor(c / 8) % 8 + 1).cast("int")), F.element_at("x3v", (F.floor(c / 64) + 1).cast("int")))
+    of = lambda f: F.transform(cells, lambda c: f(*at(c)))
+    values = {"vx": lambda x, y, z: -F.col("w") * (y - 4), "vy": lambda x, y, z: F.col("w") * (x - 4), "vz": lambda x, y, z: F.col("s") * (z - 4), "rho": lambda x, y, z: x + 2 * y + 3 * z}
+    return geometry.withColumns(nodes).select("time_idx", "block_id", "x1v", "x2v", "x3v", "w", "s").select("time_idx", "block_id", "x1v", "x2v", "x3v", *(of(f).alias(k) for k, f in values.items()))
+
+
+@query(f"""with {_BLOCK_FLOW}, {_pos(12.0)}, p0 as (select tracer_id as id, x + 4 as x, y + 4 as y, z + 4 as z from pos), a as (select * from coef where time_idx = 0), b as (select * from coef where time_idx = 1),
+  p1 as (select id, p0.x, p0.y, p0.z, x - w*(y-4) as x1, y + w*(x-4) as y1, z + s*(z-4) as z1, w, s from p0, a where least(x, y, z) >= 0 and greatest(x, y, z) <= 8),
+  p2 as (select p1.id, p1.x + 0.5 * (-p1.w*(p1.y-4) - b.w*(y1-4)) as x, p1.y + 0.5 * (p1.w*(p1.x-4) + b.w*(x1-4)) as y, p1.z + 0.5 * (p1.s*(p1.z-4) + b.s*(z1-4)) as z from p1, b where least(x1, y1, z1) >= 0 and greatest(x1, y1, z1) <= 8),
+  r as (select id, 0 as time_idx, x, y, z from p0 union all select id, 1, x, y, z from p2)
+  select id as tracer_id, time_idx, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, case when least(x, y, z) >= 0 and greatest(x, y, z) <= 8 then round(x + 2*y + 3*z, 5) else -1 end as rho from r""")
+def t6_step_over_blocks(spark, sf_dir):
+    """A trapezoid step whose stages cross blocks of two levels."""
+    octree = _refined()
+    seeds = positions(spark, sf_dir, 12.0).select("tracer_id", *((F.col(c) + 4).alias(c) for c in "xyz"), F.lit(0.0).alias("t0"))
+    traj = advance.advance_snapshots(seeds, _blocks(spark, sf_dir, octree), octree, [0.0, 1.0], 0, 1, scratch_path(spark, "blocks"), ["rho"], ["vx", "vy", "vz"], "expl_trap")
+    return traj.select("tracer_id", "time_idx", *(rounded(c).alias(c) for c in "xyz"), F.when(F.isnan("rho"), F.lit(-1.0)).otherwise(rounded("rho", 5)).alias("rho"))
+
+
 def flagship(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """A disk wind followed by the implicit scheme from the embeddings' positions, and where its particles end."""
     return t2_implicit_trapezoid(spark, sf_dir)
