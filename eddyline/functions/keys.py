@@ -80,11 +80,11 @@ class Preset:
 
 _NEUTRINOS = tuple(f"{q}_{s}" for q in ("F", "eps") for s in ("nue", "anue", "nux"))
 _COMMON = ("V_u_x", "V_u_y", "V_u_z", "rho", "T", "r_0", "u_t")
-#: Kinds of snapshot data: spherical grids in VTK files, surfaces and mesh blocks landed as tables.
+#: Kinds of snapshot files: spherical grids in VTK files, surfaces and refined blocks in HDF5 files.
 PRESETS = {
     "grid": Preset(GRID_NAMES, ".vtk", "log", "pchip", _COMMON + _NEUTRINOS),
-    "surface": Preset({}, ".parquet", "log", "pchip", _COMMON + ("hu_t",) + _NEUTRINOS),
-    "blocks": Preset(BLOCK_NAMES, ".parquet", None, "blocks", _COMMON + ("press", "h")),
+    "surface": Preset({}, ".hdf5", "log", "pchip", _COMMON + ("hu_t",) + _NEUTRINOS),
+    "blocks": Preset(BLOCK_NAMES, ".athdf", None, "blocks", _COMMON + ("press", "h")),
 }
 
 

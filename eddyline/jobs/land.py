@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from eddyline.functions.geometry import ENERGY_LIMIT, is_sane, sanitised
 from eddyline.functions.grid import Grid
-from eddyline.functions.keys import GRID_NAMES, PRESETS, key_specs, missing
+from eddyline.functions.keys import GRID_NAMES, key_specs, missing
 from eddyline.operators import catalog
 from eddyline.shared import content_of, exists, plain, record, recorded
 from eddyline.sources import vtk
@@ -71,18 +71,26 @@ def insane(spark: SparkSession, path: str, keys: list[str], names: dict[str, str
 
 
 def main(arguments: list[str] | None = None) -> None:
+    from eddyline.jobs.formats import FORMATS, Options, keep  # which know this module
+
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("--data-dir", required=True)
-    p.add_argument("--file-pattern", default=PRESETS["grid"].pattern)
+    p.add_argument("--format", choices=sorted(FORMATS), default="vtk")
+    p.add_argument("--file-pattern")
     p.add_argument("--output", required=True)
-    p.add_argument("--keys", nargs="+", default=list(PRESETS["grid"].keys))
+    p.add_argument("--keys", nargs="+")
     p.add_argument("--heavy-neutrinos", choices=("sum", "drop", "separate"), default="sum")
+    p.add_argument("--rad-transform", choices=("log", "asinh", "none"))
+    p.add_argument("--rad-scale", type=float)
+    p.add_argument("--bh-mass", type=float, default=1.0)
+    p.add_argument("--reduce", action="store_true", help="of --format surface: all variables, moments reduced to fluxes and energies")
     a = p.parse_args(arguments)
+    kind = FORMATS[a.format]
+    pattern = a.file_pattern or kind.preset.pattern
+    path = f"{a.data_dir}/{pattern if any(c in pattern for c in '*?[]') else '*' + pattern}"
+    options = Options(a.rad_transform or kind.preset.transform, a.rad_scale, a.heavy_neutrinos, a.bh_mass, a.reduce)
     spark = SparkSession.builder.getOrCreate()
-    path = f"{a.data_dir}/{a.file_pattern if any(c in a.file_pattern for c in '*?[]') else '*' + a.file_pattern}"
-    grid, flipped = grid_of(spark, path)
-    times, _ = land(spark, path, a.keys, f"{a.output}/field", a.heavy_neutrinos, flipped=flipped, n_theta=grid.shape[1])
-    times.write.mode("overwrite").parquet(f"{a.output}/times")
+    keep(spark, kind.land(spark, path, a.keys or list(kind.preset.keys), f"{a.output}/field", options), a.output)
 
 
 if __name__ == "__main__":

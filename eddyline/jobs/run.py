@@ -3,7 +3,7 @@
     python -m eddyline.jobs.run --data-dir run/ --output-dir out --start-t 0 --end-t 3 volume \
         --r-min 300 --r-max 1000 --n-r 30 --n-th 15 --n-ph 30
 
-The snapshots are VTK files, landed below the output first, or with ``--field`` a FIELD table landed before.
+The snapshots are files of the ``--format``, landed below the output first, or with ``--field`` what a landing job left.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddyline.functions.grid import METHODS, Grid
-from eddyline.functions.keys import PRESETS
-from eddyline.jobs.land import grid_of, land
+from eddyline.jobs.formats import FORMATS, Options, kept
 from eddyline.operators import advance, catalog, history, seeding
+from eddyline.sources.ascii import write_trajectories
 
 
 class Engine:
@@ -42,18 +42,23 @@ class Engine:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("--data-dir", required=True)
+    source = p.add_mutually_exclusive_group(required=True)
+    source.add_argument("--data-dir")
+    source.add_argument("--field", help="a folder that eddyline.jobs.land wrote")
+    p.add_argument("--format", choices=sorted(FORMATS), default="vtk", help="kind of the files; defaults of other options depend on it")
     p.add_argument("--output-dir", default="tracer_output")
-    p.add_argument("--file-pattern", default=PRESETS["grid"].pattern)
+    p.add_argument("--text-output", action="store_true", help="histories and properties as a text file a particle, too")
+    p.add_argument("--file-pattern")
     p.add_argument("--start-t", type=float, required=True)
     p.add_argument("--end-t", type=float, required=True)
-    p.add_argument("--keys", nargs="+", default=list(PRESETS["grid"].keys))
+    p.add_argument("--keys", nargs="+")
     p.add_argument("--vel-keys", nargs=3, default=["V_u_x", "V_u_y", "V_u_z"])
     p.add_argument("--density-key", default="rho")
     p.add_argument("--heavy-neutrinos", choices=("sum", "drop", "separate"), default="sum")
-    p.add_argument("--interpolator", choices=("pchip", "regular"), default="pchip")
+    p.add_argument("--interpolator", choices=("pchip", "regular", "blocks"))
     p.add_argument("--interp-method", choices=sorted({*METHODS} - {"regular_pchip"}), default="linear", help="with --interpolator regular")
-    p.add_argument("--rad-transform", choices=("log", "asinh", "none"), default=PRESETS["grid"].transform)
+    p.add_argument("--rad-transform", choices=("log", "asinh", "none"))
+    p.add_argument("--bh-mass", type=float, default=1.0, help="of --format blocks: the mass in the lapse of its velocities")
     p.add_argument("--rad-scale", type=float)
     p.add_argument("--integrator", choices=("impl_trap", "expl_trap", "rk4", "euler"), default="impl_trap")
     p.add_argument("--tol", type=float, default=1e-8)
@@ -79,12 +84,16 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
     """(TRAJ, PROPS) of a parsed command line, as written."""
-    pattern = a.file_pattern if any(c in a.file_pattern for c in "*?[]") else f"*{a.file_pattern}"
-    grid, flipped = grid_of(spark, f"{a.data_dir}/{pattern}", a.rad_transform, a.rad_scale)
-    times_table, field = land(spark, f"{a.data_dir}/{pattern}", a.keys, f"{a.output_dir}/field", a.heavy_neutrinos, flipped=flipped, n_theta=grid.shape[1])
+    if a.field:
+        landed = kept(spark, a.field)
+    else:
+        pattern = a.file_pattern if any(c in a.file_pattern for c in "*?[]") else f"*{a.file_pattern}"
+        options = Options(a.rad_transform, a.rad_scale, a.heavy_neutrinos, a.bh_mass)
+        landed = FORMATS[a.format].land(spark, f"{a.data_dir}/{pattern}", a.keys, f"{a.output_dir}/field", options)
+    times_table, grid, field = landed.times, landed.grid, landed.field
     rows = times_table.orderBy("time_idx").limit(history.MOST_TIMES + 1).collect()
     if len(rows) > history.MOST_TIMES:
-        raise ValueError(f"more than {history.MOST_TIMES} snapshots in {a.data_dir}: narrow --file-pattern")
+        raise ValueError(f"more than {history.MOST_TIMES} snapshots in {a.data_dir or a.field}: narrow --file-pattern")
     times = [r["time"] for r in rows]
     near = lambda t: min(range(len(times)), key=lambda i: (abs(times[i] - t), i))
     start, end = near(a.start_t), near(a.end_t)
@@ -112,12 +121,23 @@ def run(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFram
     traj = Engine(spark, a.output_dir).snapshots(seeds, field, grid, times, start, end, a.keys, a.vel_keys, a.integrator, method, **options)
     status = advance.statuses(seeds, traj, times[end], end >= start)
     history.latest_density_mass(traj, props, a.density_key).join(status, "tracer_id", "left").write.mode("overwrite").parquet(f"{a.output_dir}/props")
-    return traj, spark.read.parquet(f"{a.output_dir}/props")
+    props = spark.read.parquet(f"{a.output_dir}/props")
+    if a.text_output:
+        write_trajectories(traj, props, f"{a.output_dir}/text", ["x", "y", "z", *a.keys]).collect()
+    return traj, props
 
 
 def parsed(arguments: list[str] | None = None) -> argparse.Namespace:
     p = parser()
     a = p.parse_args(arguments)
+    preset = FORMATS[a.format].preset
+    for name, default in (("file_pattern", preset.pattern), ("keys", list(preset.keys)), ("rad_transform", preset.transform or "none"), ("interpolator", preset.method)):
+        if getattr(a, name) is None:
+            setattr(a, name, default)
+    if a.data_dir and (a.format == "blocks") != (a.interpolator == "blocks"):
+        p.error("--interpolator blocks goes with --format blocks, and no other does")
+    if a.format == "blocks" and a.rad_transform != "none":
+        p.error("--format blocks interpolates on the blocks' own nodes: --rad-transform none")
     if a.rad_transform == "asinh" and a.rad_scale is None:
         p.error("--rad-transform asinh needs --rad-scale")
     lacking = [k for k in [*a.vel_keys, a.density_key] if k not in a.keys]

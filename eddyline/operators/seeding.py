@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.functions.grid import Grid
-from eddyline.operators import tiles as tiling
+from eddyline.functions.octree import Octree
+from eddyline.operators import blockstep, tiles as tiling
 
 WHOLE = (0.0, 180.0, 0.0, 360.0)
 
@@ -145,12 +146,12 @@ def surface_seeds(cells: DataFrame, slots: DataFrame, times: DataFrame, jitter:
     return placed.join(times.select("time_idx", F.col("time").alias("t0")), "time_idx").select("tracer_id", "s.slot", "x", "y", "z", "t0")
 
 
-def summed(nodes: DataFrame, field: DataFrame, grid: Grid, density: str, vel_keys: list[str] | None = None, by: tuple[str, ...] = ("tracer_id",), method: str = "pchip", size: int = tiling.SIZE) -> DataFrame:
+def summed(nodes: DataFrame, field: DataFrame, grid: Grid | Octree, density: str, vel_keys: list[str] | None = None, by: tuple[str, ...] = ("tracer_id",), method: str = "pchip", size: int = tiling.SIZE) -> DataFrame:
     """<by>, mass: the weighted sum over ``nodes`` (<by>, time_idx, x, y, z, w) of FIELD's density there or, with
     ``vel_keys``, of density times radial speed. Nodes are gathered by tile and summed where they come out."""
     keys = [density, *(vel_keys or [])]
     node = nodes.select(F.struct(*by, "x", "y", "z", "w").alias("node"), "time_idx", "x", "y", "z")
-    got = tiling.gather(node, field, grid, keys, method, "node", size=size)
+    got = blockstep.gather(node, field, grid, keys, "node") if isinstance(grid, Octree) else tiling.gather(node, field, grid, keys, method, "node", size=size)
     value = F.col(density)
     if vel_keys:
         x, y, z = (F.col(f"node.{c}") for c in "xyz")
