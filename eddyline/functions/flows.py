@@ -52,6 +52,10 @@ class BlastWave:
     centre: tuple[float, float] = (0.5, 0.3)
     alpha: float = 0.8
     sigma: float = 0.06
+    peak: float = 4.0
+    width: float = 0.08
+    ambient: float = 1.0
+    inner: float = 0.05
 
     def velocity(self, x: Column, y: Column, z: Column, t: Column) -> tuple[Column, Column, Column]:
         dx, dy = x - self.centre[0], y - self.centre[1]
@@ -66,6 +70,14 @@ class BlastWave:
         speed = self.alpha / (1 + t) * front
         return np.stack([speed * dx, speed * dy, np.zeros_like(dx)])
 
+    def density(self, x: Column, y: Column, z: Column, t: Column) -> Column:
+        """A dense shell at the front, the medium beyond it and what it leaves behind, the first two uneven in angle."""
+        dx, dy = x - self.centre[0], y - self.centre[1]
+        xi = F.sqrt(dx * dx + dy * dy) / F.pow(1 + t, F.lit(self.alpha))
+        front = 0.5 * (1 - F.tanh((xi - 1) / self.sigma))
+        uneven, shell = 1 + 0.5 * F.sin(2 * F.atan2(dy, dx) + 0.8), (xi - 1) / self.width
+        return uneven * (self.ambient * (1 - front) + self.peak * F.exp(-shell * shell)) + self.inner * front
+
 
 @dataclass(frozen=True)
 class Uniform:

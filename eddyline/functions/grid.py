@@ -12,9 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from eddyline.functions.spline import DEGREES, basis
 from eddyline.functions.stencil import end_slope, hermite, pchip4_np
 
-METHODS = ("pchip", "linear", "slinear", "nearest", "regular_pchip")
+METHODS = ("pchip", "linear", "slinear", "nearest", "regular_pchip", *DEGREES)
 #: Nodes that a stencil takes below and above a cell's lower node.
 BELOW, ABOVE = 1, 2
 GHOSTS = 3
@@ -101,7 +102,10 @@ class Block:
     values: np.ndarray
 
     def at(self, q: np.ndarray, method: str = "pchip") -> tuple[np.ndarray, np.ndarray]:
-        """(values (keys, n) at grid coordinates (3, n), which points are on the grid but need cells beyond the box)."""
+        """(values (keys, n) at grid coordinates (3, n), which points are on the grid but need cells beyond the box). The
+        block holds values or, for splines, coefficients."""
+        if method in DEGREES:
+            return self._spline(q, DEGREES[method])
         grid, n = self.grid, q.shape[1]
         cell, inside = grid.cells(q)
         out, stray = np.full((len(self.values), n), np.nan), np.zeros(n, bool)
@@ -150,3 +154,25 @@ class Block:
                 v = pchip4_np(np.broadcast_to(x, v.shape), v, q[a, ok])
         out[:, ok] = v
         return out, stray
+
+    def _spline(self, q: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+        grid, n = self.grid, q.shape[1]
+        _, inside = grid.cells(q)
+        out, stray = np.full((len(self.values), n), np.nan), np.zeros(n, bool)
+        take, weight = [], []
+        for a in range(3):
+            nodes = grid.nodes(a)
+            first, w = basis(nodes, degree, np.where(inside, q[a], nodes[0]))
+            local = first - grid.ghosts(a) - self.origin[a] + np.arange(degree + 1)[:, None]
+            size = self.values.shape[a + 1]
+            stray |= inside & ((local < 0) | (local >= size)).any(0)
+            take.append(np.clip(local, 0, size - 1))
+            weight.append(w)
+        ok = np.flatnonzero(inside & ~stray)
+        if len(ok):
+            li, lj, lk = (t[:, ok] for t in take)
+            v = self.values[:, li[:, None, None], lj[None, :, None], lk[None, None, :]]  # keys, i, j, k, n
+            for w in weight:
+                v = (v * w[:, ok].reshape(1, degree + 1, *[1] * (v.ndim - 3), -1)).sum(1)
+            out[:, ok] = v
+        return out, stray

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from eddyline.functions.grid import METHODS, Grid
 from eddyline.jobs.formats import FORMATS, Options, kept
-from eddyline.operators import advance, catalog, history, seeding
+from eddyline.functions.spline import DEGREES
+from eddyline.operators import advance, catalog, history, seeding, splines
+from eddyline.shared import exists, plain, record, recorded, source_of
 from eddyline.sources.ascii import write_trajectories
 
 
@@ -98,6 +100,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFram
     near = lambda t: min(range(len(times)), key=lambda i: (abs(times[i] - t), i))
     start, end = near(a.start_t), near(a.end_t)
     method = "pchip" if a.interpolator == "pchip" else {"pchip": "regular_pchip"}.get(a.interp_method, a.interp_method)
+    if method in DEGREES and isinstance(grid, Grid):
+        made_of, at = plain({"field": source_of(field), "method": method, "keys": a.keys}), f"{a.output_dir}/splines"
+        if not exists(spark, f"{at}/_SUCCESS") or recorded(spark, f"{at}.from") != made_of:
+            splines.fitted(field, grid, a.keys, method).write.mode("overwrite").partitionBy("time_idx").parquet(at)
+            record(spark, f"{at}.from", made_of)
+        field = spark.read.parquet(at)
     limits = (a.theta_min_deg, a.theta_max_deg, a.phi_min_deg, a.phi_max_deg)
     jitter = None if a.no_random_shift else a.seed_rng
     if a.seeds == "volume":

@@ -52,7 +52,9 @@ def box(grid: Grid, size: int, halo: int, tile: int) -> tuple[list[int], list[in
 
 
 def _images(field: DataFrame, grid: Grid) -> DataFrame:
-    """``field`` with a row for each node that a cell stands for, ghosts too: ei, ej, ek."""
+    """``field`` with a row for each node that a cell stands for, ghosts too: ei, ej, ek (which it may have already)."""
+    if "ei" in field.columns:
+        return field
     if not grid.spherical:
         return field.withColumns({"ei": F.col("i"), "ej": F.col("j"), "ek": F.col("k")})
     _, n_j, n_k = grid.shape
@@ -70,7 +72,8 @@ def tiled(field: DataFrame, grid: Grid, keys: list[str], size: int = SIZE, halo:
     """TILE of FIELD(time_idx, i, j, k, <keys>): each cell goes to the boxes that hold it, one shuffle; with ``only`` (tile and
     perhaps time_idx, a row each) to those."""
     n = counts(grid, size)
-    out = _images(field.select("time_idx", "i", "j", "k", *keys), grid)
+    index = ("ei", "ej", "ek") if "ei" in field.columns else ("i", "j", "k")
+    out = _images(field.select("time_idx", *index, *keys), grid)
 
     def of(a: int, e: str) -> Column:
         low, high = F.floor((F.col(e) - halo) / size), F.floor((F.col(e) + halo) / size)

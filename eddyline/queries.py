@@ -19,7 +19,7 @@ from eddyline.functions import fields, keys
 from eddyline.functions.flows import BlastWave, DiskWind
 from eddyline.functions.grid import Grid
 from eddyline.functions.octree import Octree, faces
-from eddyline.operators import advance, catalog, gather, history, seeding, tiles
+from eddyline.operators import advance, catalog, gather, history, seeding, splines, tiles
 from eddyline.shared import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,6 +341,50 @@ def i4_linear_by_tiles(spark, sf_dir):
     return out.select("point_id", *_shown(out, "v"))
 
 
+def _cardinal(degree: int, n: int = 12) -> str:
+    """SQL's rows (cell, node, power, factor) of the not-a-knot spline through n even nodes: in a cell the polynomial in the
+    distance from its lower node that is 1 at the node and 0 at others, from a dense system of truncated powers."""
+    import numpy as np
+
+    cut = (degree + 1) // 2
+    inner = np.arange(cut, n - cut, dtype=float)
+    powers = lambda x: np.concatenate([(x[:, None] / n) ** np.arange(degree + 1), np.maximum((x[:, None] - inner) / n, 0) ** degree], 1)
+    factors = np.linalg.solve(powers(np.arange(n, dtype=float)), np.eye(n))
+    rows = []
+    for cell in range(n - 1):
+        steps = np.linspace(0, 1, degree + 1)
+        local = np.linalg.solve(steps[:, None] ** np.arange(degree + 1), powers(cell + steps) @ factors)
+        rows += [f"({cell},{node},{p},{float(local[p, node])!r})" for node in range(n) for p in range(degree + 1)]
+    return f"(values {','.join(rows)}) b(cell, node, p, f)"
+
+
+def _spline_sql(degree: int) -> str:
+    weights = lambda a: f"w{a} as (select point_id, node as {a}, sum(f * pow(f{a} - cell, p)) as w from q join basis on cell = least(cast(floor(f{a}) as integer), 10) where f{a} between 0 and 11 group by 1, 2)"
+    return f"""with {_GRID}, {_POINTS}, basis as (select * from {_cardinal(degree)}), {weights('i')}, {weights('j')}, {weights('k')},
+  s as (select point_id, sum(wi.w * wj.w * wk.w * coalesce(cells.v, 25)) as v from wi join wj using (point_id) join wk using (point_id) left join cells using (i, j, k) group by 1)
+  select point_id, coalesce(round(s.v, 5), -1) as v from q left join s using (point_id)"""
+
+
+def _by_splines(spark, sf_dir, method: str) -> DataFrame:
+    n = 12
+    cell = {a: F.floor(F.col("id") / n**p).cast("int") % n for a, p in zip("ijk", (2, 1, 0), strict=True)}
+    full = spark.range(n**3).select(F.lit(0).alias("time_idx"), *(c.alias(a) for a, c in cell.items())).join(_grid(spark, sf_dir), ["time_idx", "i", "j", "k"], "left").withColumn("v", F.coalesce("v", F.lit(25.0)))
+    coefficients = splines.fitted(full, _CUBE, ["v"], method)
+    out = tiles.gather(_points(spark, sf_dir), coefficients, _CUBE, ["v"], method, place=("fi", "fj", "fk"), kind="coordinates", size=4)
+    return out.select("point_id", F.when(F.isnan("v"), F.lit(-1.0)).otherwise(rounded("v", 5)).alias("v"))
+
+
+@query(_spline_sql(3))
+def i4_cubic_spline_gather(spark, sf_dir):
+    """Global cubic splines, cells that no line item is dealt to being 25."""
+    return _by_splines(spark, sf_dir, "cubic")
+
+
+@query(_spline_sql(5))
+def i4_quintic_spline_gather(spark, sf_dir):
+    return _by_splines(spark, sf_dir, "quintic")
+
+
 @query(f"""with {_GRID}, {_POINTS} select point_id, case when v is not null and fi between 0 and 11 and fj between 0 and 11 and fk between 0 and 11 then v else -1 end as v from q left join cells on i = floor(fi + 0.5) and j = floor(fj + 0.5) and k = floor(fk + 0.5)""")
 def i4_nearest_gather(spark, sf_dir):
     out = _by_tiles(spark, sf_dir, "nearest")
@@ -532,6 +576,26 @@ def t11_backward(spark, sf_dir):
     return _final(_carried(spark, sf_dir, _WIND, "rk4", [3 - 0.1 * n for n in range(31)]))
 
 
+@query(f"""with {_pos(20.0)}, a as (select tracer_id, x - 0.5 as dx, y - 0.3 as dy, tracer_id % 4 as t from pos), b as (select *, sqrt(dx*dx + dy*dy) / pow(1.0 + t, 0.8) as xi, 1 + 0.5 * sin(2 * atan2(dy, dx) + 0.8) as u from a),
+  c as (select *, 0.5 * (1 - tanh((xi - 1) / 0.06)) as f from b) select tracer_id, round(u * (1 - f) + 0.05 * f + 4 * u * exp(-pow((xi - 1) / 0.08, 2)), 6) as rho from c""")
+def g8_blast_density(spark, sf_dir):
+    p = positions(spark, sf_dir, 20.0)
+    return p.select("tracer_id", rounded(BlastWave().density(F.col("x"), F.col("y"), F.col("z"), F.col("tracer_id") % 4)).alias("rho"))
+
+
+@query()
+def a15_error_of_fixed_steps(spark, sf_dir):
+    """By zone of the starting radius, the RMS distance of a fixed-step path through a blast from the adaptive one."""
+    start = positions(spark, sf_dir, 8.0).select("tracer_id", "x", "y", "z", F.lit(1.0).alias("time"), F.lit("active").alias("status"))
+    times = [1 + 0.1 * n for n in range(31)]
+    truth = advance.reference(start, BlastWave(), [times[-1]]).select("tracer_id", *(F.col(c).alias(f"t{c}") for c in "xyz"))
+    got = advance.advance_chunk(start, BlastWave(), times, "rk4", records_only_last=True, mode="monotone").select("tracer_id", "x", "y", "z")
+    far = F.sqrt(sum(((F.col(c) - F.col(f"t{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    zone = start.select("tracer_id", F.floor(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)).cast("int").alias("zone"))
+    errors = got.join(truth, "tracer_id").join(zone, "tracer_id").select("zone", far.alias("e"))
+    return history.rms(errors, "e", "zone").select("zone", rounded("rms").alias("rms"))
+
+
 _SIDE = tuple(float(i) for i in range(6))
 _BOX = Grid((_SIDE, _SIDE, _SIDE), spherical=False)
 _FLOW = """flow as (select cast(l_linenumber % 2 as integer) as time_idx, cast(l_orderkey % 6 as integer) as i, cast(l_partkey % 6 as integer) as j, cast(l_suppkey % 6 as integer) as k,

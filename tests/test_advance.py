@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from eddyline.functions.flows import DiskWind, Rotation, Uniform
+from eddyline.functions.flows import BlastWave, DiskWind, Rotation, Uniform
 from eddyline.functions.grid import Block, Grid
 from eddyline.functions.stencil import end_slope, midpoint_weights, pchip4, pchip4_np
 from eddyline.jobs.run import Engine
@@ -60,6 +60,33 @@ def test_exact_disk_wind_and_columns_agree_with_tasks(spark):
         assert np.allclose(a[["x", "y", "z"]], b[["x", "y", "z"]], atol=1e-12)
 
 
+def test_the_adaptive_path_is_exact_where_the_flow_is(spark):
+    rng = np.random.default_rng(0)
+    p = np.concatenate([rng.uniform(-1.5, 1.5, (2, 40)), np.zeros((1, 40))])
+    p[:, np.hypot(p[0], p[1]) < 0.3] = 1.0, 0.0, 0.0
+    assert np.abs(advance.adaptive(DiskWind().velocity_np, p, np.zeros(40), 3.0) - DiskWind().exact(p, 3.0)).max() < 1e-10
+    back = advance.adaptive(DiskWind().velocity_np, DiskWind().exact(p, 3.0), np.full(40, 3.0), 0.0)
+    assert np.abs(back - p).max() < 1e-9
+    got = advance.reference(seeds(spark, p.T), DiskWind(), [0.0, 0.5, 1.0, 3.0]).toPandas()
+    for t, rows in got.groupby("time"):
+        assert np.abs(rows.sort_values("tracer_id")[["x", "y", "z"]].to_numpy().T - DiskWind().exact(p, t)).max() < 1e-10
+    assert len(got) == 160 and advance.reference(seeds(spark, [(1, 0, 0)]).withColumn("time", F.lit(0.7)), DiskWind(), [0.0, 0.5, 1.0]).count() == 1
+    wall = advance.reference(seeds(spark, [(0, 0, 0), (-9, 0, 0)]), Wall(), [0.0, 1.0, 3.0, 5.0]).toPandas()
+    assert wall.groupby("tracer_id").size().to_dict() == {0: 2, 1: 4}
+
+
+def test_fixed_steps_against_the_adaptive_path_through_a_blast(spark):
+    start = seeds(spark, [(0.5 + r * math.cos(a), 0.3 + r * math.sin(a), 0.0) for r in (0.2, 0.9, 1.7, 2.4) for a in (0.1, 2.0, 4.4)]).withColumn("time", F.lit(1.0))
+    truth = advance.reference(start, BlastWave(), [2.0, 4.0]).toPandas().set_index(["tracer_id", "time"])[["x", "y", "z"]]
+    errors = []
+    for n in (30, 60, 120):
+        times = [1 + 3 * i / n for i in range(n + 1)]
+        got = advance.advance_chunk(start, BlastWave(), times, "rk4").where("abs(time - 2) < 1e-9 or abs(time - 4) < 1e-9").toPandas()
+        got["time"] = got.time.round(6)
+        errors.append(np.abs(got.set_index(["tracer_id", "time"])[["x", "y", "z"]] - truth).to_numpy().max())
+    assert errors[0] < 1e-3 and errors[1] < errors[0] / 8 and errors[2] < errors[1] / 8
+
+
 def test_partitions_and_chunks_change_nothing(spark, tmp_path):
     points = [(math.cos(a), math.sin(a), 0.1) for a in np.linspace(0, 6, 20)]
     s = seeds(spark, points).drop("time", "status")
