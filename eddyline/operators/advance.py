@@ -177,7 +177,7 @@ _STAGE_WEIGHTS = (
 _DIFFERENCE = (71 / 57600, 0, -71 / 16695, 71 / 1920, -17253 / 339200, 22 / 525, -1 / 40)
 
 
-def adaptive(v, p: np.ndarray, start: np.ndarray, end: float, rtol: float = 1e-11, atol: float = 1e-13, most: int = 100_000) -> np.ndarray:
+def adaptive(v, p: np.ndarray, start: np.ndarray, end: float, rtol: float = 1e-13, atol: float = 1e-14, most: int = 100_000) -> np.ndarray:
     """``p`` (3, n) carried by ``v(p, t)`` (times an array, one a particle) from its ``start`` to ``end``: each particle takes steps
     of its own, as long as its estimated error allows, the last one ending at ``end``. Positions that don't stay finite are NaN."""
     out, t = np.array(p, float), np.array(start, float)
@@ -208,7 +208,7 @@ def adaptive(v, p: np.ndarray, start: np.ndarray, end: float, rtol: float = 1e-1
     raise ValueError(f"a particle needs more than {most} steps")
 
 
-def reference(state: DataFrame, flow, times: list[float], rtol: float = 1e-11, atol: float = 1e-13) -> DataFrame:
+def reference(state: DataFrame, flow, times: list[float], rtol: float = 1e-13, atol: float = 1e-14) -> DataFrame:
     """TRAJ rows of ``state`` (as ``advance_chunk`` takes it) at ``times``, by ``adaptive``: what fixed steps are held against.
     Any start times, those before the first of ``times`` (in their order) included; a particle that ends has no further row."""
     forward = times[-1] >= times[0]
