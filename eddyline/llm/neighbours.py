@@ -10,12 +10,15 @@
    can't tell the links: the whole component is compared with itself, tile by tile (``TILE`` nodes or so each).
    A part needs no comparing: angles obey the triangle inequality, so nodes of a component within half the
    threshold's angle of its centre all link with each other. Such a core is counted, not paired.
-5. Recall is audited: ``AUDIT`` nodes of all, and as many of those with links, are compared with every node.
+5. Lists full of their own group can hide links to another. So, where there are dense groups, further searches keep for
+   each node its nearest of *other* components: from new orders, then by neighbours of neighbours. What links is
+   found merges components, and the search is made again from fresh orders until one finds none.
+6. Recall is audited: ``AUDIT`` nodes of all, and as many of those with links, are compared with every node.
    A node's recall counts once, whatever its copies, and the least mean of a class of nodes by number of links
    decides. Below ``RECALL`` lists grow and the search goes on from new orders, ``TRIES`` times at most; after
    that all nodes are compared with one another, tile by tile.
 
-Components come from star contraction over list links. Comparisons that decide are in double
+Components come from star contraction over list links and bridges. Comparisons that decide are in double
 precision. Defined results: vectors that are null, empty, zero or hold a null or non-finite component link
 with nothing and are components of their own; vectors of different lengths don't link; rows that repeat an id
 are rows of their own with that id; other columns are ignored; an empty table gives an empty one.
@@ -96,8 +99,16 @@ def orders_needed(bits: int) -> int:
     return max(TABLES, math.ceil(math.log(0.005) / math.log1p(-same))) if same < 1 else TABLES
 
 
+def _apart(cos: np.ndarray, root: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """``cos`` without pairs of one component and without those of which neither is in a dense one."""
+    cos[(root[:, None] == root) | ~(dense[:, None] | dense)] = -2
+    return cos
+
+
 def first_graph(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
-    """Edges from comparing each node with its block in ``TABLES`` orders, or more where the signs are many."""
+    """Edges from comparing each node with its block in ``TABLES`` orders, or more where the signs are many; of nodes that
+    have them (root, dense), only edges between components."""
+    own = [c for c in ("root", "dense") if c in nodes.columns]
     bits = max(4, min(30, math.ceil(math.log2(max(2, n / 64)))))
     tables = orders_needed(bits)
 
@@ -109,16 +120,18 @@ def first_graph(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
             for t in range(tables):
                 p = x @ np.random.default_rng([seed, t, x.shape[1]]).standard_normal((x.shape[1], bits + 1))
                 sign = (p[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(sign), pa.array(p[:, bits]), batch["node"], batch["unit"]], ["t", "sign", "p", "node", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(sign), pa.array(p[:, bits]), *(batch[c] for c in ("node", "unit", *own))], ["t", "sign", "p", "node", "unit", *own])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), BLOCK):
                 part = batch.slice(at, BLOCK)
                 x = _matrix(part["unit"].to_pylist(), np.float32)
-                yield _edges(np.asarray(part["node"]), x @ x.T, k)
+                cos = x @ x.T
+                yield _edges(np.asarray(part["node"]), _apart(cos, np.asarray(part["root"]), np.asarray(part["dense"])) if own else cos, k)
 
-    orders = nodes.select("node", "unit").mapInArrow(signed, "t long, sign long, p double, node long, unit binary")
+    kinds = {"root": "root long", "dense": "dense boolean"}
+    orders = nodes.select("node", "unit", *own).mapInArrow(signed, ", ".join(["t long, sign long, p double, node long, unit binary", *(kinds[c] for c in own)]))
     parts = max(1, min(100_000, math.ceil(n * tables / 20_000)))
     return orders.repartitionByRange(parts, "t", "sign", "p").sortWithinPartitions("t", "sign", "p").mapInArrow(compared, _EDGE)
 
@@ -143,6 +156,48 @@ def descend(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     return shortlist(lists.unionByName(met.groupBy("c").applyInPandas(local, _EDGE)), k)
 
 
+def _around(lists: DataFrame, most: int) -> DataFrame:
+    """(c, m): the ``most`` nearest of those that a node c lists or that list it."""
+    back = lists.select(F.col("v").alias("c"), F.col("u").alias("m"), "cos")
+    near = lists.select(F.col("u").alias("c"), F.col("v").alias("m"), "cos").unionByName(back).groupBy("c", "m").agg(F.max("cos").alias("cos"))
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("cos"), "m"))).where(F.col("r") <= most).select("c", "m")
+
+
+def descend_apart(named: DataFrame, lists: DataFrame, cross: DataFrame, k: int) -> DataFrame:
+    """A round for lists of other components' nodes: a node's neighbours of its own component meet those of others."""
+    near = _around(lists, 3 * k).unionByName(_around(cross, 3 * k)).unionByName(cross.select(F.col("u").alias("c"), F.col("u").alias("m"))).distinct()
+    met = near.join(cross.select(F.col("u").alias("c")).unionByName(cross.select(F.col("v").alias("c"))).distinct(), "c", "left_semi").join(named.withColumnRenamed("node", "m"), "m")
+
+    def local(part: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(part["unit"].tolist(), np.float32)
+        return _edges(part["m"].to_numpy(), _apart(x @ x.T, part["root"].to_numpy(), part["dense"].to_numpy(bool)), k).to_pandas()
+
+    return shortlist(cross.unionByName(met.select("c", "m", "unit", "root", "dense").groupBy("c").applyInPandas(local, _EDGE)), k)
+
+
+def bridged(nodes: DataFrame, n: int, lists: DataFrame, links: DataFrame, k: int, seed: int) -> DataFrame:
+    """``links`` and, for nodes of dense components, links to other components: searched from fresh orders until none is found."""
+    while True:
+        roots = saved(components(links, "nn-cc"), "nn-roots")
+        dense = _crowded(links, k).join(roots, "node").select("root").distinct().withColumn("dense", F.lit(True))
+        if dense.isEmpty():
+            return links
+        named = nodes.select("node", "unit").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = saved(named.join(dense, "root", "left").select("node", "unit", "root", F.coalesce("dense", F.lit(False)).alias("dense")), "nn-named")
+        cross = saved(shortlist(first_graph(named, n, k, seed), k), "nn-cross")
+        before = (0, 0.0)
+        while True:
+            now = cross.agg(F.coalesce(F.sum((F.col("cos") >= THRESHOLD).cast("long")), F.lit(0)), F.coalesce(F.sum("cos"), F.lit(0.0))).first()
+            if now[0] <= before[0] and now[1] <= before[1] * 1.001:
+                break
+            before = now
+            cross = saved(descend_apart(named, lists, cross, k), "nn-cross")
+        new = saved(exact_links(nodes, cross), "nn-bridges")
+        if new.isEmpty():
+            return links
+        links, seed = saved(links.unionByName(new), "nn-links"), seed + 1
+
+
 def exact_links(nodes: DataFrame, lists: DataFrame) -> DataFrame:
     """(u, v), u > v: entries that reach the threshold in double precision."""
     pairs = lists.where(F.col("cos") >= THRESHOLD - 1e-4).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
@@ -177,11 +232,16 @@ def _centres(members: DataFrame) -> DataFrame:
     return members.select("root", "unit").mapInArrow(partial, "root long, part binary").groupBy("root").applyInPandas(whole, "root long, centre binary")
 
 
+def _crowded(links: DataFrame, k: int) -> DataFrame:
+    """node of those with ``k`` links or more."""
+    ends = links.select("u").unionByName(links.select(F.col("v").alias("u")))
+    return ends.groupBy("u").count().where(F.col("count") >= k).select(F.col("u").alias("node"))
+
+
 def dense_members(nodes: DataFrame, links: DataFrame, k: int) -> DataFrame:
     """node, weight, unit, root, core (whether it is sure to link with all others of the root's core) of the
     components that hold a node with ``k`` listed links or more."""
-    ends = links.select("u").unionByName(links.select(F.col("v").alias("u")))
-    crowded = ends.groupBy("u").count().where(F.col("count") >= k).select(F.col("u").alias("node"))
+    crowded = _crowded(links, k)
     half = math.acos(THRESHOLD) / 2 - 1e-9
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +414,7 @@ def _searched(nodes: DataFrame) -> tuple[DataFrame, DataFrame, float]:
                 break
             before = now
             lists = saved(descend(nodes, lists, k), "nn-lists")
-        links = saved(exact_links(nodes, lists), "nn-links")
+        links = bridged(nodes, n, lists, saved(exact_links(nodes, lists), "nn-links"), k, 100 + 10 * attempt)
         exact = saved(tiled(dense_members(nodes, links, k)), "nn-exact")
         counts = saved(link_counts(nodes, links, exact), "nn-counts")
         recall = audited_recall(nodes, counts, n)

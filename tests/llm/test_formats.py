@@ -474,3 +474,35 @@ def test_the_encoder_uses_what_is_shorter():
     assert heads == {"palette": webp.PALETTE, "repeats": webp.SUBTRACT_GREEN, "text": webp.SUBTRACT_GREEN}
     long = webp.payload_of(kinds["repeats"])
     assert len(webp.encode_payload(long)) < 0.35 * len(long)
+
+
+def two_groups(seed, dim, size, bridges, angle):
+    """Two tight groups ``angle`` degrees apart, of each ``bridges`` members that lean towards the other, and far vectors."""
+    rng = np.random.default_rng(seed)
+    a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+    centres = a, np.cos(np.radians(angle)) * a + np.sin(np.radians(angle)) * b
+    out = []
+    for c, other in (centres, centres[::-1]):
+        e = rng.normal(size=(size, dim))
+        e -= (e @ c)[:, None] * c
+        t = np.radians(rng.uniform(0, 3, size))[:, None]
+        group = np.cos(t) * c + np.sin(t) * e / np.linalg.norm(e, axis=1)[:, None]
+        group[:bridges] = c + 0.21 * (other - c) + rng.normal(size=(bridges, dim)) * 0.002
+        out.append(group)
+    return np.concatenate([*out, rng.normal(size=(200, dim))])
+
+
+@pytest.mark.parametrize(("seed", "dim", "size", "bridges", "angle"), [(0, 8, 201, 3, 24), (2, 32, 700, 1, 24), (3, 64, 201, 1, 24), (4, 16, 201, 3, 40)])
+def test_dense_groups_meet_where_a_few_of_them_link(spark, seed, dim, size, bridges, angle):
+    v = two_groups(seed, dim, size, bridges, angle)
+    x = v / np.linalg.norm(v, axis=1)[:, None]
+    link = x @ x.T >= neighbours.THRESHOLD
+    assert bool(link[:size, size : 2 * size].any()) == (angle < 30) and link[:size, size : 2 * size].sum() < size
+    component = np.arange(len(v))
+    while True:
+        new = np.array([component[row].min() for row in link])
+        if (new == component).all():
+            break
+        component = new
+    got = neighbours.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>"))[0].toPandas().sort_values("vec_id")
+    assert got.n_links.tolist() == (link.sum(1) - 1).tolist() and got.component_id.tolist() == component.tolist() and got.kept.tolist() == (component == np.arange(len(v))).tolist()
