@@ -63,7 +63,7 @@ def test_exact_disk_wind_and_columns_agree_with_tasks(spark):
 def test_the_adaptive_path_is_exact_where_the_flow_is(spark):
     rng = np.random.default_rng(0)
     p = np.concatenate([rng.uniform(-1.5, 1.5, (2, 40)), np.zeros((1, 40))])
-    p[:, np.hypot(p[0], p[1]) < 0.3] = 1.0, 0.0, 0.0
+    p[:, np.hypot(p[0], p[1]) < 0.3] = np.array([[1.0], [0.0], [0.0]])
     assert np.abs(advance.adaptive(DiskWind().velocity_np, p, np.zeros(40), 3.0) - DiskWind().exact(p, 3.0)).max() < 1e-10
     back = advance.adaptive(DiskWind().velocity_np, DiskWind().exact(p, 3.0), np.full(40, 3.0), 0.0)
     assert np.abs(back - p).max() < 1e-9
