@@ -5,7 +5,7 @@ STATE(tracer_id, x, y, z, time, status) is small and mutable, the flow large and
 * Columns: a fixed number of unrolled steps for closed-form flows, all in the JVM (`column_steps`).
 * Closed-form flows in tasks: `advance_chunk` takes every particle through a run of times in one `mapInPandas`,
   `advance` walks the chunks.
-* Snapshots: `advance_snapshots` steps through a FIELD table. Each step is one job: particles meet the tile of the field
+* Snapshots: `advance_snapshots` steps through a FIELD table. Each step is a job or a few: particles meet the tile of the field
   that they are in, for all snapshots that the scheme needs, take the whole step there and read every wanted key at
   its end. The step's rows are written and are the next step's state, so lineage never grows with time, a lost
   executor costs a task, and a run that was broken off goes on behind its last complete step.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from eddyline.functions.grid import Grid
 from eddyline.functions.octree import Octree
 from eddyline.functions.stencil import midpoint_weights, pchip4_np
-from eddyline.operators import blockstep, catalog, tiles as tiling
+from eddyline.operators import blockstep, catalog, staged, tiles as tiling
 from eddyline.shared import OtherRun, claim, content_of, exists, recorded, source_of
 
 SCHEMA = "tracer_id long, time double, x double, y double, z double, status string"
@@ -279,122 +279,29 @@ def advance(seeds: DataFrame, flow, times: list[float], folder: str, scheme: str
     return spark.read.parquet(f"{folder}/chunks").select(*names)
 
 
-def _needed(n: int, last: int, way: int, scheme: str) -> list[int]:
-    """Snapshots that the step from the n-th needs, in order; a wide scheme has two where there aren't four."""
-    wide = [n - way, n, n + way, n + 2 * way]
-    return wide if scheme == "rk4" and 0 <= min(wide) and max(wide) <= last else [n, n + way]
-
-
-def stepped(particles: DataFrame, tiles: DataFrame, grid: Grid, times: list[float], n: int, way: int, keys: list[str], vel_keys: list[str], scheme: str, method: str, size: int, move: bool = True, **options) -> DataFrame:
-    """tracer_id, time_idx, time, x, y, z, status, tile and <keys> of ``particles`` (tracer_id, x, y, z, starts, tile) a step
-    after the n-th snapshot (unless they don't ``move``), and at it of those that start there. Status ``again`` marks one whose step needs more of
-    the field than its tile has, as it was."""
-    need, to = _needed(n, len(times) - 1, way, scheme) if move else [n], n + way
-    names = list(dict.fromkeys([*vel_keys, *keys]))
-    whole = [n, to] if move else [n]  # the snapshots of which more than velocities are wanted
-    only = [k for k in names if k not in vel_keys]
-    a = tiles.where(F.col("time_idx").isin(whole)).select("time_idx", "tile", "p", *names)
-    b = tiles.where(F.col("time_idx").isin([i for i in need if i not in whole])).select("time_idx", "tile", "p", *vel_keys, *(F.lit(None).cast("array<double>").alias(k) for k in only))
-    left, right = tiling._dealt(particles.select("tracer_id", "x", "y", "z", "starts", "tile"), a.unionByName(b) if len(need) > 2 else a, ["tile"])
-    order = np.array([names.index(k) for k in keys], int)
-    speed = np.array([names.index(k) for k in vel_keys], int)
-
-    def run(key, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        mine = mine.sort_by("tracer_id")
-        blocks = tiling.blocks_of(theirs, grid, size, tiling.HALO, names)
-        p = np.stack([mine[c].to_numpy().astype(float) for c in "xyz"])
-        ids, starts, old = mine["tracer_id"].to_numpy(), mine["starts"].to_numpy(zero_copy_only=False).astype(bool), mine["tile"].to_numpy()
-        stray = np.zeros(len(ids), bool)
-
-        def at(q, i):
-            if i not in blocks:
-                return np.full((len(names), q.shape[1]), np.nan)
-            values, beyond = blocks[i].at(grid.coordinates(q), method)
-            stray[beyond] = True
-            return values
-
-        index = {times[i]: i for i in need}
-        velocity = lambda q, t: at(q, index[t])[speed]
-        here = at(p, n)
-        new, there, fine = p, here, np.zeros(len(ids), bool)
-        if move:
-            window = [times[i] for i in need] if len(need) == 4 else None
-            more = {"window": window} if scheme == "rk4" else {}
-            exact_end = lambda q, t: velocity(q, t if t in index else times[to])  # noqa: E731  t + dt may round
-            new = SCHEMES[scheme](exact_end, p, times[n], times[to] - times[n], **options, **more)
-            fine = np.isfinite(new).all(0)
-            there = at(np.where(fine, new, np.nan), to)
-        went, begin = fine & ~stray, starts & ~stray
-        tile = tiling.tile_of(grid, size, grid.coordinates(np.where(fine, new, np.nan)))
-
-        def rows(mask, i, pos, t, values, status):
-            k = int(mask.sum())
-            return [ids[mask], np.full(k, i, np.int32), np.full(k, times[i]), *pos[:, mask], np.array([status] * k, object), t[mask], *values[order][:, mask]]
-
-        parts = [rows(begin, n, p, old, here, "active"), rows(stray, n, p, old, here, "again")]
-        if move:
-            parts.append(rows(went, to, new, tile, there, "active"))
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        kinds = [pa.int64(), pa.int32(), pa.float64(), *[pa.float64()] * 3, pa.string(), pa.int64(), *[pa.float64()] * len(keys)]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["tracer_id", "time_idx", "time", "x", "y", "z", "status", "tile", *keys])
-
-    on = ["tile", "share"]
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, "tracer_id long, time_idx int, time double, x double, y double, z double, status string, tile long, " + ", ".join(f"`{k}` double" for k in keys))
-
-
 def advance_snapshots(seeds: DataFrame, field: DataFrame, grid: Grid | Octree, times: list[float], start: int, end: int, folder: str, keys: list[str], vel_keys: list[str], scheme: str = "impl_trap", method: str = "pchip", size: int = tiling.SIZE, **options) -> DataFrame:
     """TRAJ(tracer_id, time_idx, time, x, y, z, <keys>) of seeds (tracer_id, x, y, z, t0) through the snapshots ``start`` to
     ``end`` (indices in ``times``, either may be the later) of FIELD(time_idx, i, j, k, ...), all keys read at every
     record, the first included. A row's position may lie where its values are NaN: the particle has just left. Steps that
     lie in ``folder`` already are taken if all these, seeds and field included, were the same; else it is an error (``OtherRun``).
-    With an ``Octree`` for a grid ``field`` is a BLOCK table, see ``blockstep``."""
-    if isinstance(grid, Octree):
-        return blockstep.advance_blocks(seeds, field, grid, times, start, end, folder, keys, vel_keys, scheme, **options)
-    spark = seeds.sparkSession
+    With an ``Octree`` for a grid ``field`` is a BLOCK table, see ``blockstep``. Stages may lie in any tile or block, see ``staged``."""
     made_of = {"seeds": content_of(seeds.select("tracer_id", "x", "y", "z", "t0")), "field": source_of(field), "grid": hashlib.sha256(repr(grid).encode()).hexdigest()[:16], "times": [float(t) for t in times]}
-    claim(spark, folder, made_of | {"start": start, "end": end, "keys": keys, "vel_keys": vel_keys, "scheme": scheme, "method": method, "size": size, "options": options})
-    way = 1 if end >= start else -1
+    claim(seeds.sparkSession, folder, made_of | {"start": start, "end": end, "keys": keys, "vel_keys": vel_keys, "scheme": scheme, "method": method, "size": size, "options": options})
     low, high = max(0, min(start, end) - 1), min(len(times) - 1, max(start, end) + 1)
     if scheme == "rk4":
         options = {"mode": "monotone", **options}
     names = list(dict.fromkeys([*vel_keys, *keys]))
     used = field.where(F.col("time_idx").between(low, high))
-    tiles_at = f"{folder}/tiles"
-    if not exists(spark, f"{tiles_at}/_SUCCESS"):
-        tiling.tiled(used, grid, names, size).write.mode("overwrite").partitionBy("time_idx").parquet(tiles_at)
-    tiles = spark.read.parquet(tiles_at)
-    begin = tiling.located(snapped(seeds, times).select("tracer_id", *(F.col(c).cast("double") for c in "xyz"), "time_idx"), grid, size, ["x", "y", "z"], "positions")
-    begin = written(begin, f"{folder}/seeds")
-    starting = {r["time_idx"] for r in begin.select("time_idx").distinct().collect()}
-    state = None
-    for n in [*range(start, end, way), end]:
-        if state is not None and not any((i - n) * way >= 0 for i in starting) and state.isEmpty():
-            break
-        fresh = begin.where(F.col("time_idx") == n).select("tracer_id", "x", "y", "z", F.lit(True).alias("starts"), "tile")
-        particles = fresh if state is None else fresh.unionByName(state.withColumn("starts", F.lit(False)))
-        if n == end:
-            if n not in starting:
-                break
-            particles = fresh
-        part, at_size, at_tiles = 0, size, tiles
-        while True:
-            path = f"{folder}/steps/step={n:06d}/part={part}"
-            found = stepped(particles, at_tiles, grid, times, n, way, keys, vel_keys, scheme, method, at_size, n != end, **options)
-            done = written(found, path)
-            again = done.where("status = 'again'")
-            if again.isEmpty():
-                break
-            part, at_size = part + 1, at_size * 2
-            marked = again.select("tracer_id", "x", "y", "z").join(particles.select("tracer_id", "starts"), "tracer_id")
-            particles = tiling.located(marked, grid, at_size, ["x", "y", "z"], "positions")
-            at_tiles = tiling.tiled(used.where(F.col("time_idx").isin(_needed(n, len(times) - 1, way, scheme))), grid, names, at_size, only=particles.select("tile").distinct())
-        rows = spark.read.schema(found.schema).parquet(*(f"{folder}/steps/step={n:06d}/part={k}" for k in range(part + 1)))
-        state = rows.where((F.col("status") == "active") & (F.col("time_idx") == n + way)).select("tracer_id", "x", "y", "z", "tile")
-        if part:  # parts had tiles of other sizes
-            state = tiling.located(state.drop("tile"), grid, size, ["x", "y", "z"], "positions")
-    if state is None:
-        raise ValueError("no step lies between the start and the end")
-    return spark.read.parquet(f"{folder}/steps").where("status = 'active'").select("tracer_id", F.col("time_idx").cast("int"), "time", "x", "y", "z", *keys)
+    if isinstance(grid, Octree):
+        space, parts = blockstep.Space(grid), blockstep.parts(used)
+    else:
+        space, at = tiling.Space(grid, size, method), f"{folder}/tiles"
+        if not exists(seeds.sparkSession, f"{at}/_SUCCESS"):
+            tiling.tiled(used, grid, names, size, space.halo).write.mode("overwrite").partitionBy("time_idx").parquet(at)
+        parts = seeds.sparkSession.read.parquet(at)
+    placed = snapped(seeds, times).select("tracer_id", *(F.col(c).cast("double") for c in "xyz"), "time_idx")
+    begin = written(staged.located(placed, space, ["x", "y", "z"]), f"{folder}/seeds")
+    return staged.walk(begin, parts, space, SCHEMES[scheme], written, times, start, end, folder, keys, vel_keys, scheme, **options)
 
 
 def statuses(seeds: DataFrame, traj: DataFrame, end: float, forward: bool = True) -> DataFrame:

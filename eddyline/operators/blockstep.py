@@ -1,16 +1,13 @@
-"""Particles through snapshots of refined blocks.
-
-A block's particles meet its row (nodes and values with ghosts, of each snapshot that the scheme needs) and take the
-step there. A stage of the step may lie in another block, of any level: that particle stops at that stage and goes, with
-the velocities that it has found so far, to the block that holds the point, where the scheme is run again on them and goes on.
-So blocks are never copied for their neighbours, values come from the block that owns the point whoever computes, and
-results don't depend on how particles are dealt. Only those that cross a face take part in a further round; a step has as
-many rounds as the most faces that one particle's stages cross.
+"""Refined blocks as parts of a field: gathering from BLOCK tables, and what stepping through them needs.
+
+BLOCK(time_idx, block_id, x1v, x2v, x3v, <keys>) has the nodes and values of each block, with two ghost layers or more and x1
+fastest. Blocks are read as they are; none are copied for their neighbours.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,52 +15,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddyline.functions.octree import Octree
-from eddyline.operators import tiles as tiling
+from eddyline.operators import staged, tiles as tiling
 from eddyline.operators.meshblock import block_values
-from eddyline.shared import claim, content_of, source_of
 
 NODES = ("x1v", "x2v", "x3v")
 
 
-class _Stages:
-    """The velocity that a scheme asks for: answers of earlier rounds first (an array of (particles, calls, 3), the first ``known`` calls
-    of each particle's), then those that this block can give. ``stopped`` holds the block that a particle must go to for its
-    next one, -1 while it needn't."""
+@dataclass(frozen=True)
+class Space:
+    """The ``space`` that ``staged`` takes."""
 
-    def __init__(self, octree: Octree, block: int, read, before: np.ndarray, known: np.ndarray):
-        self.octree, self.block, self.read, self.before = octree, block, read, before
-        self.known, self.stopped, self.calls = known.copy(), np.full(len(known), -1, np.int64), []
+    octree: Octree
 
-    def __call__(self, q: np.ndarray, t: float) -> np.ndarray:
-        n, out = len(self.calls), np.full(q.shape, np.nan)
-        have = self.known > n
-        if have.any():
-            out[:, have] = self.before[have, n].T
-        ask = np.flatnonzero(~have & (self.stopped < 0))
-        if len(ask):
-            x = self.octree.coordinates(q[:, ask])
-            home = self.octree.find(x)
-            away, mine = (home >= 0) & (home != self.block), home == self.block
-            self.stopped[ask[away]] = home[away]
-            self.known[ask[~away]] += 1
-            if mine.any():
-                out[:, ask[mine]] = self.read(x[:, mine], t)
-        self.calls.append(out)
-        return out
+    def coordinates(self, p: np.ndarray) -> np.ndarray:
+        return self.octree.coordinates(p)
 
-    def answers(self, i: int) -> list[float]:
-        return [v for c in self.calls[: self.known[i]] for v in c[:, i].tolist()]
+    def find(self, x: np.ndarray) -> np.ndarray:
+        return self.octree.find(x)
 
+    def columns(self, names: list[str]) -> list[str]:
+        return [*NODES, *names]
 
-def located(points: DataFrame, octree: Octree, place: list[str]) -> DataFrame:
-    """``points`` with the block (``tile``) that each is in."""
+    def readers(self, table: pa.Table, names: list[str]) -> dict[int, Callable]:
+        held = {table["time_idx"][row].as_py(): _read_block(table, row, names) for row in range(table.num_rows)}
+        return {i: (lambda x, b=b: block_values(*b, x)) for i, b in held.items()}
 
-    def run(batches):
-        for batch in batches:
-            p = np.stack([np.asarray(batch[c], float) for c in place]) if len(batch) else np.zeros((3, 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(octree.find(octree.coordinates(p)), pa.int64())], [*batch.schema.names, "tile"])
 
-    return points.mapInArrow(run, f"{tiling._ddl(points.schema)}, tile long")
+def parts(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumn("tile", F.col("block_id").cast("long"))
 
 
 def _read_block(table: pa.Table, row: int, names: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -75,7 +54,7 @@ def _read_block(table: pa.Table, row: int, names: list[str]) -> tuple[list[np.nd
 
 def gather(points: DataFrame, blocks: DataFrame, octree: Octree, keys: list[str], point: str = "point_id") -> DataFrame:
     """point, time_idx, <keys>: a row for each of ``points`` (point, time_idx, x, y, z), NaN outside."""
-    inside = located(points.select(point, "time_idx", "x", "y", "z"), octree, ["x", "y", "z"])
+    inside = staged.located(points.select(point, "time_idx", "x", "y", "z"), Space(octree), ["x", "y", "z"])
     right = blocks.select("time_idx", F.col("block_id").cast("long").alias("tile"), *NODES, *keys)
     named = [r[0] for r in points.select("time_idx").distinct().limit(tiling.FEW_TIMES + 1).collect()]
     if len(named) <= tiling.FEW_TIMES:
@@ -92,106 +71,3 @@ def gather(points: DataFrame, blocks: DataFrame, octree: Octree, keys: list[str]
     on = ["time_idx", "tile", "share"]
     schema = ", ".join([tiling._ddl(points.select(point, "time_idx").schema), *(f"`{k}` double" for k in keys)])
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, schema)
-
-
-def stepped(particles: DataFrame, blocks: DataFrame, octree: Octree, times: list[float], n: int, way: int, keys: list[str], vel_keys: list[str], scheme: str, move: bool = True, **options) -> DataFrame:
-    """What ``advance.stepped`` gives, of ``particles`` (tracer_id, x, y, z, starts, answers, tile). Status ``again`` marks those that
-    go on in another block, which ``tile`` says, with their ``answers``."""
-    from eddyline.operators.advance import SCHEMES, _needed
-
-    need, to = _needed(n, len(times) - 1, way, scheme) if move else [n], n + way
-    names = list(dict.fromkeys([*vel_keys, *keys]))
-    right = blocks.where(F.col("time_idx").isin(need)).select("time_idx", F.col("block_id").cast("long").alias("tile"), *NODES, *names)
-    left, right = tiling._dealt(particles.select("tracer_id", "x", "y", "z", "starts", "answers", "tile"), right, ["tile"])
-    order, speed = (np.array([names.index(k) for k in ks], int) for ks in (keys, vel_keys))
-
-    def run(key, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        mine = mine.sort_by("tracer_id")
-        block = int(key[0].as_py())
-        held = {theirs["time_idx"][row].as_py(): _read_block(theirs, row, names) for row in range(theirs.num_rows)}
-        p = np.stack([mine[c].to_numpy().astype(float) for c in "xyz"])
-        ids, starts = mine["tracer_id"].to_numpy(), mine["starts"].to_numpy(zero_copy_only=False).astype(bool)
-        known = mine["answers"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False) // 3
-        before = np.full((len(ids), known.max(initial=0), 3), np.nan)
-        before[np.arange(before.shape[1]) < known[:, None]] = mine["answers"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
-
-        def values(x, i):
-            return block_values(*held[i], x) if i in held else np.full((len(names), x.shape[1]), np.nan)
-
-        # a start is read where it lies, which is where it is dealt first
-        begin = starts & (known == 0)
-        here = values(octree.coordinates(p), n) if begin.any() else np.full((len(names), p.shape[1]), np.nan)
-        new, stopped = p, np.full(len(ids), -1, np.int64)
-        fine, there, home = np.zeros(len(ids), bool), np.full((len(names), len(ids)), np.nan), np.full(len(ids), -1, np.int64)
-        if move:
-            index = {times[i]: i for i in need}
-            stages = _Stages(octree, block, lambda x, t: values(x, index[t if t in index else times[to]])[speed], before, known)  # t + dt may round
-            window = {"window": [times[i] for i in need] if len(need) == 4 else None} if scheme == "rk4" else {}
-            new = SCHEMES[scheme](stages, p, times[n], times[to] - times[n], **options, **window)
-            stopped = stages.stopped
-            fine = np.isfinite(new).all(0) & (stopped < 0)
-            x = octree.coordinates(np.where(fine, new, np.nan))
-            home = octree.find(x)
-            last = (home >= 0) & (home != block)  # its values are read where it ends
-            stopped = np.where(fine & last, home, stopped)
-            fine &= ~last
-            mine_too = fine & (home == block)
-            there[:, mine_too] = values(x[:, mine_too], to)
-        none = pa.array([[]], pa.list_(pa.float64()))
-
-        def rows(mask, i, pos, block_of, values, status, starts_, found):
-            k = int(mask.sum())
-            return [ids[mask], np.full(k, i, np.int32), np.full(k, times[i]), *pos[:, mask], np.array([status] * k, object), block_of[mask], starts_[mask], found, *values[order][:, mask]]
-
-        nothing = lambda mask: pa.concat_arrays([none] * int(mask.sum())) if mask.any() else none.slice(1)
-        again = stopped >= 0
-        parts = [
-            rows(begin, n, p, np.full(len(ids), block), here, "active", starts, nothing(begin)),
-            rows(again, n, p, stopped, there, "again", np.zeros(len(ids), bool), pa.array([stages.answers(i) for i in np.flatnonzero(again)], pa.list_(pa.float64()))),
-            rows(fine, to, new, home, there, "active", np.zeros(len(ids), bool), nothing(fine)),
-        ]
-        kinds = [pa.int64(), pa.int32(), pa.float64(), *[pa.float64()] * 3, pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.float64()), *[pa.float64()] * len(keys)]
-        tables = [pa.table([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names=["tracer_id", "time_idx", "time", "x", "y", "z", "status", "tile", "starts", "answers", *keys]) for part in parts]
-        return pa.concat_tables(tables)
-
-    on = ["tile", "share"]
-    schema = "tracer_id long, time_idx int, time double, x double, y double, z double, status string, tile long, starts boolean, answers array<double>, " + ", ".join(f"`{k}` double" for k in keys)
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, schema)
-
-
-def advance_blocks(seeds: DataFrame, blocks: DataFrame, octree: Octree, times: list[float], start: int, end: int, folder: str, keys: list[str], vel_keys: list[str], scheme: str = "impl_trap", **options) -> DataFrame:
-    """TRAJ as ``advance.advance_snapshots`` gives it, through BLOCK(time_idx, block_id, x1v, x2v, x3v, <keys>): nodes and values
-    of each block with two ghost layers or more, values with x1 fastest. Blocks are read as they are, none are copied."""
-    from eddyline.operators.advance import snapped, written
-
-    spark = seeds.sparkSession
-    made_of = {"seeds": content_of(seeds.select("tracer_id", "x", "y", "z", "t0")), "field": source_of(blocks), "grid": hashlib.sha256(repr(octree).encode()).hexdigest()[:16], "times": [float(t) for t in times]}
-    claim(spark, folder, made_of | {"start": start, "end": end, "keys": keys, "vel_keys": vel_keys, "scheme": scheme, "options": options})
-    way = 1 if end >= start else -1
-    low, high = max(0, min(start, end) - 1), min(len(times) - 1, max(start, end) + 1)
-    if scheme == "rk4":
-        options = {"mode": "monotone", **options}
-    used = blocks.where(F.col("time_idx").between(low, high))
-    begin = written(located(snapped(seeds, times).select("tracer_id", *(F.col(c).cast("double") for c in "xyz"), "time_idx"), octree, ["x", "y", "z"]), f"{folder}/seeds")
-    starting = {r["time_idx"] for r in begin.select("time_idx").distinct().collect()}
-    none, state = F.array().cast("array<double>").alias("answers"), None
-    for n in [*range(start, end, way), end]:
-        if state is not None and not any((i - n) * way >= 0 for i in starting) and state.isEmpty():
-            break
-        if n == end and n not in starting:
-            break
-        particles = begin.where(F.col("time_idx") == n).select("tracer_id", "x", "y", "z", F.lit(True).alias("starts"), none, "tile")
-        if state is not None and n != end:
-            particles = particles.unionByName(state.withColumns({"starts": F.lit(False), "answers": none}))
-        paths = []
-        while True:
-            paths.append(f"{folder}/steps/step={n:06d}/part={len(paths)}")
-            found = stepped(particles, used, octree, times, n, way, keys, vel_keys, scheme, n != end, **options)
-            again = written(found, paths[-1]).where("status = 'again'")
-            if again.isEmpty():
-                break
-            particles = again.select("tracer_id", "x", "y", "z", "starts", "answers", "tile")
-        state = spark.read.schema(found.schema).parquet(*paths).where((F.col("status") == "active") & (F.col("time_idx") == n + way)).select("tracer_id", "x", "y", "z", "tile")
-    if state is None:
-        raise ValueError("no step lies between the start and the end")
-    return spark.read.parquet(f"{folder}/steps").where("status = 'active'").select("tracer_id", F.col("time_idx").cast("int"), "time", "x", "y", "z", *keys)

@@ -3,13 +3,14 @@
 TILE(time_idx, tile, p array<int>, <key> array<double>...) holds a box of ``size`` cells an axis and a halo around it,
 ghosts beyond poles and the seam included; ``p`` is each cell's place in the box. Points meet the tile of their cell in a
 cogroup, one row a point, all keys at once; tiles without points aren't sent, and a tile with many points is
-dealt in shares, each with its own copy of the tile. A point whose stencil leaves the box (a predictor that flies far)
-comes back marked and is done again with boxes twice as large, until the box is the grid.
+dealt in shares, each with its own copy of the tile. A particle whose stage lies in another tile
+goes on in the tile that owns the point (``staged``), so boxes are as wide as stencils.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,52 @@ from pyspark.sql import functions as F
 
 from eddyline.functions.geometry import ghost_cell
 from eddyline.functions.grid import Block, Grid
+from eddyline.functions.spline import DEGREES
 
 SIZE = 16
-HALO = 4
+#: Nodes around a tile that stencils of its own points take: splines' reach farther at an axis' end.
+HALO, SPLINE_HALO = 2, 4
 #: Points of one tile that a task takes together.
 SHARE = 50_000
 #: Snapshots that are named one by one when a field is read.
 FEW_TIMES = 1000
 
 
+def halo_of(method: str) -> int:
+    return SPLINE_HALO if method in DEGREES else HALO
+
+
+@dataclass(frozen=True)
+class Space:
+    """Tiles as the ``space`` that ``staged`` takes."""
+
+    grid: Grid
+    size: int
+    method: str
+
+    @property
+    def halo(self) -> int:
+        return halo_of(self.method)
+
+    def coordinates(self, p: np.ndarray) -> np.ndarray:
+        return self.grid.coordinates(p)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        return tile_of(self.grid, self.size, x)
+
+    def columns(self, names: list[str]) -> list[str]:
+        return ["p", *names]
+
+    def readers(self, table: pa.Table, names: list[str]) -> dict:
+        return {i: (lambda x, b=b: _own(b, x, self.method)) for i, b in blocks_of(table, self.grid, self.size, self.halo, names).items()}
+
+
+def _own(block: Block, x: np.ndarray, method: str) -> np.ndarray:
+    values, stray = block.at(x, method)
+    assert not stray.any(), "a stencil reaches beyond the halo"
+    return values
+
+
 def counts(grid: Grid, size: int) -> list[int]:
     """Tiles on each axis; the outermost take the ghosts."""
     return [max(1, math.ceil(n / size)) for n in grid.shape]
@@ -143,7 +181,7 @@ def gather(points: DataFrame, field: DataFrame, grid: Grid, keys: list[str], met
         named = [r[0] for r in points.select("time_idx").distinct().limit(FEW_TIMES + 1).collect()]
         if len(named) <= FEW_TIMES:  # beyond, one join does it
             field = field.where(F.col("time_idx").isin([n for n in named if n is not None]))
-        tiles = tiled(field, grid, keys, size, only=inside.select("time_idx", "tile").distinct())
+        tiles = tiled(field, grid, keys, size, halo_of(method), only=inside.select("time_idx", "tile").distinct())
     tiles = tiles.select("time_idx", "tile", "p", *keys)
     left, right = _dealt(inside, tiles, ["time_idx", "tile"])
 
@@ -152,9 +190,8 @@ def gather(points: DataFrame, field: DataFrame, grid: Grid, keys: list[str], met
         q = grid.coordinates(q) if kind == "positions" else q
         values = np.full((len(keys), mine.num_rows), np.nan)
         if theirs.num_rows:
-            (block,) = blocks_of(theirs, grid, size, HALO, keys).values()
-            values, stray = block.at(q, method)
-            assert not stray.any(), "a stencil reaches beyond the halo"
+            (block,) = blocks_of(theirs, grid, size, halo_of(method), keys).values()
+            values = _own(block, q, method)
         return pa.table([mine[point], mine["time_idx"], *map(pa.array, values)], names=[point, "time_idx", *keys])
 
     on = ["time_idx", "tile", "share"]

@@ -72,7 +72,7 @@ def test_the_adaptive_path_is_exact_where_the_flow_is(spark):
         assert np.abs(rows.sort_values("tracer_id")[["x", "y", "z"]].to_numpy().T - DiskWind().exact(p, t)).max() < 1e-10
     assert len(got) == 160 and advance.reference(seeds(spark, [(1, 0, 0)]).withColumn("time", F.lit(0.7)), DiskWind(), [0.0, 0.5, 1.0]).count() == 1
     wall = advance.reference(seeds(spark, [(0, 0, 0), (-9, 0, 0)]), Wall(), [0.0, 1.0, 3.0, 5.0]).toPandas()
-    assert wall.groupby("tracer_id").size().to_dict() == {0: 2, 1: 4}
+    assert wall.groupby("tracer_id").size().to_dict() == {0: 2, 1: 2}  # y and z rise too
 
 
 def test_fixed_steps_against_the_adaptive_path_through_a_blast(spark):
