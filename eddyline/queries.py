@@ -973,6 +973,68 @@ def t6_step_over_blocks(spark, sf_dir):
     return traj.select("tracer_id", "time_idx", *(rounded(c).alias(c) for c in "xyz"), F.when(F.isnan("rho"), F.lit(-1.0)).otherwise(rounded("rho", 5)).alias("rho"))
 
 
+_TURN = """turn as (select cast(l_linenumber % 4 as integer) as n, round(avg(l_quantity) / 60, 6) as w, round(avg(l_tax) * 4, 6) as s from lineitem group by 1)"""
+
+
+def _turning(spark, sf_dir) -> DataFrame:
+    """FIELD of four snapshots on 12 x 12 x 12 cells of a flow that turns about (5.5, 5.5) and stretches from z = 5.5, its rates averages
+    of line items: linear in space, which the monotone cubic leaves as it is."""
+    li = read(spark, sf_dir, "lineitem")
+    rate = li.groupBy((F.col("l_linenumber") % 4).cast("int").alias("time_idx")).agg(rounded(F.avg("l_quantity") / 60).alias("w"), rounded(F.avg("l_tax") * 4).alias("s"))
+    cells = spark.range(12**3).select(*(F.floor(F.col("id") / 12**p).cast("int") % 12 for p in (2, 1, 0))).toDF("i", "j", "k").crossJoin(F.broadcast(rate))
+    x, y, z = (F.col(c) - 5.5 for c in "ijk")
+    return cells.select("time_idx", "i", "j", "k", (-F.col("w") * y).alias("vx"), (F.col("w") * x).alias("vy"), (F.col("s") * z).alias("vz"), (x + 2 * y + 3 * z).alias("rho"))
+
+
+def _stepped(spark, sf_dir, scheme: str, start: int, end: int, **options) -> DataFrame:
+    seeds = positions(spark, sf_dir, 6.0).select("tracer_id", *((F.col(c) + 5.5).alias(c) for c in "xyz"), F.lit(0.5 * start).alias("t0"))
+    traj = advance.advance_snapshots(seeds, _turning(spark, sf_dir), _CUBE, [0.0, 0.5, 1.0, 1.5], start, end, scratch_path(spark, "turning"), ["rho"], ["vx", "vy", "vz"], scheme, size=4, **options)
+    return traj.where(F.col("time_idx") == end).select("tracer_id", *(rounded(c, 5).alias(c) for c in "xyz"), F.when(F.isnan("rho"), F.lit(-99.0)).otherwise(rounded("rho", 4)).alias("rho"))
+
+
+_IN = "least(x, y, z) >= 0 and greatest(x, y, z) <= 11"
+_END = f"select id as tracer_id, round(x, 5) as x, round(y, 5) as y, round(z, 5) as z, case when {_IN} then round(x + 2*y + 3*z - 33, 4) else -99 end as rho"
+
+
+def _stage(name: str, base: str, after: str, w: str, s: str, h: str) -> str:
+    """SQL of a stage: where ``base`` gets by the velocity of rates w and s at ``after`` in time h, while that is in the grid."""
+    return f"""{name} as (select b.id, b.x - {h}*{w}*(a.y - 5.5) as x, b.y + {h}*{w}*(a.x - 5.5) as y, b.z + {h}*{s}*(a.z - 5.5) as z, -{w}*(a.y - 5.5) as vx, {w}*(a.x - 5.5) as vy, {s}*(a.z - 5.5) as vz
+    from {base} b join {after} a using (id), r where a.x between 0 and 11 and a.y between 0 and 11 and a.z between 0 and 11)"""
+
+
+_RATES = f"{_TURN}, r as (select " + ", ".join(f"max(case when n = {n} then {c} end) as {c}{n}" for n in range(4) for c in "ws") + f" from turn), {_pos(6.0)}, p0 as (select tracer_id as id, x + 5.5 as x, y + 5.5 as y, z + 5.5 as z from pos)"
+_MID = {c: f"((-{c}0 + 9*{c}1 + 9*{c}2 - {c}3) / 16)" for c in "ws"}
+
+
+@query(f"""with {_RATES}, {_stage('a', 'p0', 'p0', 'w1', 's1', '0.25')}, {_stage('b', 'p0', 'a', _MID['w'], _MID['s'], '0.25')}, {_stage('c', 'p0', 'b', _MID['w'], _MID['s'], '0.5')}, {_stage('d', 'p0', 'c', 'w2', 's2', '0.5')},
+  e as (select id, p0.x + 0.5/6*(a.vx + 2*b.vx + 2*c.vx + d.vx) as x, p0.y + 0.5/6*(a.vy + 2*b.vy + 2*c.vy + d.vy) as y, p0.z + 0.5/6*(a.vz + 2*b.vz + 2*c.vz + d.vz) as z from p0 join a using (id) join b using (id) join c using (id) join d using (id))
+  {_END} from e""")
+def t7_runge_kutta_of_four_snapshots(spark, sf_dir):
+    """Middle velocities from the four snapshots around the step, values by the monotone cubic."""
+    return _stepped(spark, sf_dir, "rk4", 1, 2, mode="lagrange")
+
+
+@query(f"""with {_RATES}, {_stage('a', 'p0', 'p0', 'w0', 's0', '0.25')}, i as (select a.*, 0.25*w1 as k, 0.25*s1 as m from a, r),
+  e as (select id, 5.5 + ((x-5.5) - k*(y-5.5)) / (1 + k*k) as x, 5.5 + ((y-5.5) + k*(x-5.5)) / (1 + k*k) as y, 5.5 + (z-5.5) / (1 - m) as z from i)
+  {_END} from e where {_IN}""")
+def t6_implicit_step_on_a_grid(spark, sf_dir):
+    """The implicit step of a linear flow, against the linear system's solution; those that it takes off the grid are left out."""
+    return _stepped(spark, sf_dir, "impl_trap", 0, 1, tol=1e-12, max_iter=60).where("rho > -99")
+
+
+@query(f"""with v as (select round(avg(l_quantity) / 20, 6) as u, round(avg(l_discount), 6) as v, round(avg(l_tax), 6) as w from lineitem), {_pos(1.0)},
+  p as (select tracer_id, x * 0.2 - 0.6 as x, y * 0.2 as y, 1.2 + z * 0.2 as z from pos), n as (select unnest([0, 1, 2]) as n)
+  select tracer_id, n as time_idx, round(x + n*u/2, 5) as x, round(y + n*v/2, 5) as y, round(z + n*w/2, 5) as z from p, v, n""")
+def t6_steps_over_a_pole(spark, sf_dir):
+    """Particles of an even flow that pass the axis of a spherical grid."""
+    li = read(spark, sf_dir, "lineitem").agg(rounded(F.avg("l_quantity") / 20).alias("vx"), rounded(F.avg("l_discount")).alias("vy"), rounded(F.avg("l_tax")).alias("vz"))
+    grid = Grid((tuple(0.3 * 1.2**n for n in range(16)), tuple((n + 0.5) * math.pi / 8 for n in range(8)), tuple(n * math.pi / 6 for n in range(12))), transform="log")
+    cells = spark.range(3 * 16 * 8 * 12).select(F.floor(F.col("id") / 1536).cast("int"), F.floor(F.col("id") / 96).cast("int") % 16, F.floor(F.col("id") / 12).cast("int") % 8, (F.col("id") % 12).cast("int")).toDF("time_idx", "i", "j", "k").crossJoin(F.broadcast(li))
+    seeds = positions(spark, sf_dir, 1.0).select("tracer_id", (F.col("x") * 0.2 - 0.6).alias("x"), (F.col("y") * 0.2).alias("y"), (F.col("z") * 0.2 + 1.2).alias("z"), F.lit(0.0).alias("t0"))
+    traj = advance.advance_snapshots(seeds, cells, grid, [0.0, 0.5, 1.0], 0, 2, scratch_path(spark, "pole"), ["vx"], ["vx", "vy", "vz"], "expl_trap", size=8)
+    return traj.select("tracer_id", "time_idx", *(rounded(c, 5).alias(c) for c in "xyz"))
+
+
 def flagship(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """A disk wind followed by the implicit scheme from the embeddings' positions, and where its particles end."""
     return t2_implicit_trapezoid(spark, sf_dir)
