@@ -203,3 +203,23 @@ def test_latest_density_mass(spark):
     t = spark.createDataFrame(pd.DataFrame({"tracer_id": [0, 0, 0, 1, 1, 1], "time": [0.0, 1, 2, 2, 1, 0], "rho": [1.0, 2, 4, 1, 2, 4]}))
     p = spark.createDataFrame([(0, 1.0, 10.0), (1, 1.0, 10.0), (2, 1.234, None)], "tracer_id long, mass double, dV double")
     assert {r.tracer_id: (r.mass, r.mass_quad) for r in history.latest_density_mass(t, p).collect()} == {0: (40.0, 1.0), 1: (10.0, 1.0), 2: (1.234, 1.234)}
+
+
+def test_masses_read_the_snapshots_and_cut_the_tiles_that_nodes_are_in(spark, tmp_path):
+    from eddyline.functions.grid import Grid
+    from eddyline.operators import seeding, tiles
+    from tests.test_advance import sampled
+
+    side = tuple(float(i) for i in range(24))
+    grid = Grid((side,) * 3, spherical=False)
+    spark.createDataFrame(sampled(grid, [0.0, 1.0, 2.0], lambda p, t: {"rho": 1 + p[0] + t, "vx": p[1]})).write.partitionBy("time_idx").parquet(f"{tmp_path}/field")
+    field = spark.read.parquet(f"{tmp_path}/field")
+    nodes = spark.createDataFrame([(7, 1, 5.0, 5.0, 5.0, 2.0), (7, 1, 6.0, 5.0, 5.0, 1.0)], "tracer_id long, time_idx int, x double, y double, z double, w double")
+    mass = seeding.summed(nodes, field, grid, "rho", method="linear", size=8)
+    plan = mass._jdf.queryExecution().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all("time_idx" in line.split("PartitionFilters: [")[1].split("]")[0].replace("isnotnull(time_idx", "") for line in scans) and not any("vx" in line for line in scans)
+    assert mass.first()["mass"] == pytest.approx(2 * 7 + 8)
+    only = spark.createDataFrame([(1, 0)], "time_idx int, tile long")
+    cut = tiles.tiled(field, grid, ["rho"], 8, only=only).select("time_idx", "tile", F.size("p").alias("n")).collect()
+    assert [(r.time_idx, r.tile, r.n) for r in cut] == [(1, 0, 10**3)]
