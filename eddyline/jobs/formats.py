@@ -20,7 +20,7 @@ from eddyline.functions.keys import BLOCK_NAMES, PRESETS, Preset, key_specs, red
 from eddyline.functions.octree import Octree
 from eddyline.jobs import land as grids
 from eddyline.operators import catalog, meshblock
-from eddyline.shared import content_of, exists, plain, record, recorded
+from eddyline.shared import content_of, exists, few, plain, record, recorded
 from eddyline.sources import simulation, vtk
 
 VELOCITY = ("V_u_x", "V_u_y", "V_u_z")
@@ -95,14 +95,14 @@ def _blocks(spark: SparkSession, path: str, keys: list[str], output: str, o: Opt
 
     def made() -> DataFrame:
         last = simulation.latest(files, raw)
-        read = spark.read.format("blocks_hdf5").options(keys=",".join(raw), layout=layout.digest).load(path).join(F.broadcast(last), ["time", "path"])
+        read = spark.read.format("blocks_hdf5").options(keys=",".join(raw), layout=layout.digest).load(path).join(few(last), ["time", "path"])
         sane = lambda k: F.transform(F.col(f"`{k}`"), lambda v: sanitised(v))
         own = ["block_id", "x1v", "x2v", "x3v", "x2f"]
         several = not last.groupBy("time").count().where("count > 1").isEmpty()
         if several:
             mine = [F.first(F.when(F.array_contains("mine", k), F.col(f"`{k}`")), ignorenulls=True).alias(k) for k in raw]  # one file has it
             read = read.groupBy("time", "block_id").agg(*(F.first(c).alias(c) for c in own[1:]), *mine)
-        rows = read.join(F.broadcast(times), "time").select(F.col("time_idx").cast("int").alias("time_idx"), *own, *(sane(k).alias(k) for k in raw))
+        rows = read.join(few(times), "time").select(F.col("time_idx").cast("int").alias("time_idx"), *own, *(sane(k).alias(k) for k in raw))
         u = [F.col(k) if k in raw else F.transform(F.col(f"`{raw[0]}`"), lambda v: F.lit(0.0)) for k in simulation.RAW_VELOCITY]
         named = rows.select("time_idx", *own, *(c.alias(f"u{n}") for n, c in enumerate(u, 1)), *(F.col(f"`{r}`").alias(k) for k, r in direct.items()))
         return meshblock.landed(named, layout.ghosts, o.mass).select("time_idx", "block_id", "x1v", "x2v", "x3v", *keys)
@@ -128,13 +128,13 @@ def _surface(spark: SparkSession, path: str, keys: list[str], output: str, o: Op
 
     def made() -> DataFrame:
         last = simulation.latest(files, raw)
-        rows = spark.read.format("surface_hdf5").option("keys", ",".join(raw)).load(path).join(F.broadcast(last), ["time", "path"]).where(F.array_contains("mine", F.col("key")))
+        rows = spark.read.format("surface_hdf5").option("keys", ",".join(raw)).load(path).join(few(last), ["time", "path"]).where(F.array_contains("mine", F.col("key")))
         wide = rows.groupBy("time", "i").agg(*(F.first(F.when(F.col("key") == k, F.col("values")), ignorenulls=True).alias(k) for k in raw))
         cells = wide.select("time", "i", F.posexplode(F.arrays_zip(*(F.col(f"`{k}`").alias(f"v{n}") for n, k in enumerate(raw)))).alias("at", "v"))
         rank = F.element_at(F.array(*(F.lit(order.index(i)) for i in range(len(radii)))), F.col("i") + 1)
         row = F.floor(F.col("at") / len(phi)).cast("int")
         j = F.lit(len(theta) - 1) - row if polar.flipped else row
-        named = cells.join(F.broadcast(times), "time").select(F.col("time_idx").cast("int").alias("time_idx"), rank.alias("i"), j.alias("j"), (F.col("at") % len(phi)).cast("int").alias("k"), *(sanitised(F.col(f"v.v{n}")).alias(k) for n, k in enumerate(raw)))
+        named = cells.join(few(times), "time").select(F.col("time_idx").cast("int").alias("time_idx"), rank.alias("i"), j.alias("j"), (F.col("at") % len(phi)).cast("int").alias("k"), *(sanitised(F.col(f"v.v{n}")).alias(k) for n, k in enumerate(raw)))
         return reduced_moments(named) if o.reduce else named.select("time_idx", "i", "j", "k", *(s.column() for s in specs))
 
     made_of = {"files": content_of(files.select("path", "time", "keys")), "keys": keys, "reduce": o.reduce}

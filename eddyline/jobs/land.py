@@ -18,7 +18,7 @@ from eddyline.functions.geometry import ENERGY_LIMIT, is_sane, sanitised
 from eddyline.functions.grid import Grid
 from eddyline.functions.keys import GRID_NAMES, key_specs, missing
 from eddyline.operators import catalog
-from eddyline.shared import content_of, exists, plain, record, recorded
+from eddyline.shared import content_of, exists, few, plain, record, recorded
 from eddyline.sources import vtk
 
 
@@ -50,12 +50,17 @@ def land(spark: SparkSession, path: str, keys: list[str], output: str, heavy: st
     if exists(spark, f"{output}/_SUCCESS") and recorded(spark, f"{output}.from") == made_of:
         return times, spark.read.parquet(output)
     last = files.select("time", "path", F.explode("keys").alias("key")).where(F.col("key").isin(raw)).groupBy("time", "key").agg(F.max("path").alias("path"))
-    rows = spark.read.format("snapshot_vtk").option("keys", ",".join(raw)).load(path)
-    rows = rows.join(F.broadcast(last), ["time", "key", "path"]) if last.limit(100_001).count() <= 100_000 else rows.join(last, ["time", "key", "path"])
-    sane = F.when(F.col("key").isin(sorted(bound)), sanitised(F.col("value"), ENERGY_LIMIT)).otherwise(sanitised(F.col("value")))
-    j = F.lit((n_theta or 0) - 1) - F.col("j") if flipped else F.col("j")
-    wide = rows.select("time", "i", j.alias("j"), "k", "key", sane.alias("value")).groupBy("time", "i", "j", "k").agg(*(F.max(F.when(F.col("key") == r, F.col("value"))).alias(r) for r in raw))
-    field = wide.join(times, "time").select(F.col("time_idx").cast("int"), "i", "j", "k", *(s.column() for s in specs))
+    rows = spark.read.format("snapshot_vtk").option("keys", ",".join(raw)).option("runs", "true").load(path)
+    rows = rows.join(few(last), ["time", "key", "path"])
+    # runs of values of one place meet, not single values; one file has each key
+    of = lambda r: F.first(F.when(F.col("key") == r, F.col("values")), ignorenulls=True).alias(r)
+    met = rows.groupBy("time", "at", "n_r", "n_theta").agg(*(of(r) for r in raw))
+    cells = met.select("time", "at", "n_r", "n_theta", F.posexplode(F.arrays_zip(*(F.col(f"`{r}`").alias(f"v{n}") for n, r in enumerate(raw)))).alias("o", "v"))
+    place, sane = F.col("at") + F.col("o"), lambda n, r: sanitised(F.col(f"v.v{n}"), ENERGY_LIMIT if r in bound else None).alias(r)
+    row = (F.floor(place / F.col("n_r")) % F.col("n_theta")).cast("int")
+    j = F.lit((n_theta or 0) - 1) - row if flipped else row
+    wide = cells.select("time", (place % F.col("n_r")).cast("int").alias("i"), j.alias("j"), F.floor(place / F.col("n_r") / F.col("n_theta")).cast("int").alias("k"), *(sane(n, r) for n, r in enumerate(raw)))
+    field = wide.join(few(times), "time").select(F.col("time_idx").cast("int"), "i", "j", "k", *(s.column() for s in specs))
     field.write.mode("overwrite").partitionBy("time_idx").parquet(output)
     record(spark, f"{output}.from", made_of)
     return times, spark.read.parquet(output)

@@ -53,6 +53,15 @@ def source_of(df: DataFrame) -> str:
     return f"{len(files)} files {hashlib.sha256(chr(10).join(files).encode()).hexdigest()[:16]}" if files else content_of(df)
 
 
+#: Rows that ``few`` broadcasts at most.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has ``FEW`` rows at most (which is counted), else as it is, for a join that shuffles."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 class OtherRun(ValueError):
     """A folder holds the results of other inputs."""
 
