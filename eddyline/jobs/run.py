@@ -67,6 +67,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-iter", type=int, default=20)
     p.add_argument("--relax", type=float, default=1.0)
     p.add_argument("--rk4-lagrange", action="store_true")
+    p.add_argument("--steps-a-job", type=int, default=1, help="snapshots that a task holds of its part of the field, less three")
     p.add_argument("--seed-rng", type=int, default=0)
     kinds = p.add_subparsers(dest="seeds", required=True)
     for name, radii, n_quad in (("volume", ("--r-min", "--r-max"), 2), ("surface", ("--r-surf",), 3)):
@@ -126,7 +127,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFram
         seeds = seeding.surface_seeds(cells, slots, times_table, jitter)
         props = flux.select((F.col("slot") * per + F.col("tracer_id")).cast("long").alias("tracer_id"), "mass", F.lit(None).cast("double").alias("dV"))
     options = {"impl_trap": {"tol": a.tol, "max_iter": a.max_iter, "relax": a.relax}, "rk4": {"mode": "lagrange" if a.rk4_lagrange else "monotone"}}.get(a.integrator, {})
-    traj = Engine(spark, a.output_dir).snapshots(seeds, field, grid, times, start, end, a.keys, a.vel_keys, a.integrator, method, **options)
+    traj = Engine(spark, a.output_dir).snapshots(seeds, field, grid, times, start, end, a.keys, a.vel_keys, a.integrator, method, together=a.steps_a_job, **options)
     status = advance.statuses(seeds, traj, times[end], end >= start)
     history.latest_density_mass(traj, props, a.density_key).join(status, "tracer_id", "left").write.mode("overwrite").parquet(f"{a.output_dir}/props")
     props = spark.read.parquet(f"{a.output_dir}/props")
@@ -148,6 +149,8 @@ def parsed(arguments: list[str] | None = None) -> argparse.Namespace:
         p.error("--format blocks interpolates on the blocks' own nodes: --rad-transform none")
     if a.rad_transform == "asinh" and a.rad_scale is None:
         p.error("--rad-transform asinh needs --rad-scale")
+    if a.steps_a_job < 1:
+        p.error("--steps-a-job: one or more")
     lacking = [k for k in [*a.vel_keys, a.density_key] if k not in a.keys]
     if lacking:
         p.error(f"not among --keys: {', '.join(lacking)}")

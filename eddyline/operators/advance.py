@@ -279,14 +279,17 @@ def advance(seeds: DataFrame, flow, times: list[float], folder: str, scheme: str
     return spark.read.parquet(f"{folder}/chunks").select(*names)
 
 
-def advance_snapshots(seeds: DataFrame, field: DataFrame, grid: Grid | Octree, times: list[float], start: int, end: int, folder: str, keys: list[str], vel_keys: list[str], scheme: str = "impl_trap", method: str = "pchip", size: int = tiling.SIZE, **options) -> DataFrame:
+def advance_snapshots(seeds: DataFrame, field: DataFrame, grid: Grid | Octree, times: list[float], start: int, end: int, folder: str, keys: list[str], vel_keys: list[str], scheme: str = "impl_trap", method: str = "pchip", size: int = tiling.SIZE, together: int = 1, **options) -> DataFrame:
     """TRAJ(tracer_id, time_idx, time, x, y, z, <keys>) of seeds (tracer_id, x, y, z, t0) through the snapshots ``start`` to
     ``end`` (indices in ``times``, either may be the later) of FIELD(time_idx, i, j, k, ...), all keys read at every
     record, the first included. A row's position may lie where its values are NaN: the particle has just left. Steps that
     lie in ``folder`` already are taken if all these, seeds and field included, were the same; else it is an error (``OtherRun``).
-    With an ``Octree`` for a grid ``field`` is a BLOCK table, see ``blockstep``. Stages may lie in any tile or block, see ``staged``."""
+    With an ``Octree`` for a grid ``field`` is a BLOCK table, see ``blockstep``. Stages may lie in any tile or block, see ``staged``,
+    which takes ``together`` steps a job: results are the same to the bit, and a task holds its tile at that many snapshots and three."""
+    if together < 1:
+        raise ValueError("a job takes a step or more")
     made_of = {"seeds": content_of(seeds.select("tracer_id", "x", "y", "z", "t0")), "field": source_of(field), "grid": hashlib.sha256(repr(grid).encode()).hexdigest()[:16], "times": [float(t) for t in times]}
-    claim(seeds.sparkSession, folder, made_of | {"start": start, "end": end, "keys": keys, "vel_keys": vel_keys, "scheme": scheme, "method": method, "size": size, "options": options})
+    claim(seeds.sparkSession, folder, made_of | {"start": start, "end": end, "keys": keys, "vel_keys": vel_keys, "scheme": scheme, "method": method, "size": size, "together": together, "options": options})
     low, high = max(0, min(start, end) - 1), min(len(times) - 1, max(start, end) + 1)
     if scheme == "rk4":
         options = {"mode": "monotone", **options}
@@ -301,7 +304,7 @@ def advance_snapshots(seeds: DataFrame, field: DataFrame, grid: Grid | Octree, t
         parts = seeds.sparkSession.read.parquet(at)
     placed = snapped(seeds, times).select("tracer_id", *(F.col(c).cast("double") for c in "xyz"), "time_idx")
     begin = written(staged.located(placed, space, ["x", "y", "z"]), f"{folder}/seeds")
-    return staged.walk(begin, parts, space, SCHEMES[scheme], written, times, start, end, folder, keys, vel_keys, scheme, **options)
+    return staged.walk(begin, parts, space, SCHEMES[scheme], written, times, start, end, folder, keys, vel_keys, scheme, together, **options)
 
 
 def statuses(seeds: DataFrame, traj: DataFrame, end: float, forward: bool = True) -> DataFrame:

@@ -131,12 +131,17 @@ def tiled(field: DataFrame, grid: Grid, keys: list[str], size: int = SIZE, halo:
     return cells.select("time_idx", "tile", F.col("cells.p").alias("p"), *(F.col(f"cells.v{m}").alias(k) for m, k in enumerate(keys)))
 
 
-def _dealt(points: DataFrame, tiles: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Points and tiles with a ``share``; only tiles that a point is in."""
-    crowd = points.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / SHARE).alias("shares"))
+def _dealt(points: DataFrame, tiles: DataFrame, by: list[str], since: tuple[Column, Column] | None = None, rows: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Points and tiles with a ``share``; only tiles that a point is in and, with ``since`` (a number of a point, one of a tile's
+    row), of those the rows from the least of their points on. A point leaves at most ``rows`` rows and counts as so many."""
+    least = [F.min(since[0]).alias("least")] if since else []
+    crowd = points.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) * max(rows, 1) / SHARE).alias("shares"), *least)
     code = F.xxhash64(*points.columns)
-    dealt = points.join(crowd.where("shares > 1"), by, "left").withColumn("share", F.pmod(code, F.coalesce("shares", F.lit(1)))).drop("shares")
-    sent = tiles.join(crowd, by).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+    dealt = points.join(crowd.where("shares > 1").drop("least"), by, "left").withColumn("share", F.pmod(code, F.coalesce("shares", F.lit(1)))).drop("shares")
+    sent = tiles.join(crowd, by)
+    if since:
+        sent = sent.where(since[1] >= F.col("least")).drop("least")
+    sent = sent.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
     return dealt.toDF(*dealt.columns), sent.toDF(*sent.columns)  # columns of their own, should one come from the other
 
 

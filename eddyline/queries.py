@@ -1022,6 +1022,22 @@ def t6_implicit_step_on_a_grid(spark, sf_dir):
     return _stepped(spark, sf_dir, "impl_trap", 0, 1, tol=1e-12, max_iter=60).where("rho > -99")
 
 
+def _heun(n: int) -> str:
+    """SQL of an explicit trapezoid from p<n> at snapshot n to p<n+1>, of those whose stages are in the grid."""
+    a, b = _stage(f"a{n}", f"p{n}", f"p{n}", f"w{n}", f"s{n}", "0.5"), _stage(f"b{n}", f"p{n}", f"a{n}", f"w{n + 1}", f"s{n + 1}", "0.5")
+    moved = ", ".join(f"p.{c} + 0.25*(a.v{c} + b.v{c}) as {c}" for c in "xyz")
+    return f"{a}, {b}, p{n + 1} as (select p.id, {moved} from p{n} p join a{n} a using (id) join b{n} b using (id))"
+
+
+@query(f"""with {_RATES}, {_heun(0)}, {_heun(1)}, {_heun(2)}, e as (""" + " union all ".join(f"select {n} as n, id, x, y, z from p{n}" for n in range(4)) + f""")
+  {_END.replace('select', 'select n as time_idx,', 1)} from e""")
+def t6_several_steps_a_job(spark, sf_dir):
+    """Three explicit trapezoids in one job, particles crossing tiles each at a step of its own; all their records."""
+    seeds = positions(spark, sf_dir, 6.0).select("tracer_id", *((F.col(c) + 5.5).alias(c) for c in "xyz"), F.lit(0.0).alias("t0"))
+    traj = advance.advance_snapshots(seeds, _turning(spark, sf_dir), _CUBE, [0.0, 0.5, 1.0, 1.5], 0, 3, scratch_path(spark, "together"), ["rho"], ["vx", "vy", "vz"], "expl_trap", size=4, together=3)
+    return traj.select("tracer_id", "time_idx", *(rounded(c, 5).alias(c) for c in "xyz"), F.when(F.isnan("rho"), F.lit(-99.0)).otherwise(rounded("rho", 4)).alias("rho"))
+
+
 @query(f"""with v as (select round(avg(l_quantity) / 20, 6) as u, round(avg(l_discount), 6) as v, round(avg(l_tax), 6) as w from lineitem), {_pos(1.0)},
   p as (select tracer_id, x * 0.2 - 0.6 as x, y * 0.2 as y, 1.2 + z * 0.2 as z from pos), n as (select unnest([0, 1, 2]) as n)
   select tracer_id, n as time_idx, round(x + n*u/2, 5) as x, round(y + n*v/2, 5) as y, round(z + n*w/2, 5) as z from p, v, n""")

@@ -1,4 +1,5 @@
 import math
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from eddyline.functions.grid import Block, Grid
 from eddyline.functions.stencil import end_slope, midpoint_weights, pchip4, pchip4_np
 from eddyline.jobs.run import Engine
 from eddyline.operators import advance, catalog
+from eddyline.operators import tiles as tiling
 from eddyline.shared import OtherRun
 
 
@@ -167,10 +169,10 @@ def wind(spark, tmp_path_factory):
     return grid, times, spark.read.parquet(path)
 
 
-def through(spark, wind, points, t0, start, end, folder, scheme, size=8):
+def through(spark, wind, points, t0, start, end, folder, scheme, size=8, **more):
     grid, times, field = wind
     s = spark.createDataFrame([(i, *map(float, p), float(t)) for i, (p, t) in enumerate(zip(points, t0, strict=True))], "tracer_id long, x double, y double, z double, t0 double")
-    return advance.advance_snapshots(s, field, grid, times, start, end, folder, ["rho"], ["vx", "vy", "vz"], scheme, size=size).toPandas().sort_values(["tracer_id", "time_idx"]).reset_index(drop=True)
+    return advance.advance_snapshots(s, field, grid, times, start, end, folder, ["rho"], ["vx", "vy", "vz"], scheme, size=size, **more).toPandas().sort_values(["tracer_id", "time_idx"]).reset_index(drop=True)
 
 
 POINTS = [(1, 0, 0), (0.8, 0.3, 0), (-1.2, 0.4, 0), (0.1, -1, 0), (50, 0, 0), (3.99, 0.1, 0)]
@@ -193,13 +195,51 @@ def test_snapshots_carry_particles_where_the_flow_does(spark, wind, tmp_path, sc
     assert np.allclose(ends[["x", "y", "z"]].to_numpy(), np.array(POINTS)[:2], atol=2e-3)
 
 
+def rounds(folder):
+    """Jobs of a run that wrote rows: the parts of its steps."""
+    return len(list(Path(folder).glob("steps/step=*/part=*")))
+
+
+@pytest.mark.parametrize(("scheme", "start", "end", "options"), [("expl_trap", 4, 0, {}), ("impl_trap", 0, 4, {}), ("rk4", 4, 0, {}), ("rk4", 0, 4, {"mode": "lagrange"})])
+def test_steps_taken_together_are_those_taken_alone(spark, wind, tmp_path, scheme, start, end, options, monkeypatch):
+    points = [*POINTS, *(tuple(p) for p in np.random.default_rng(3).uniform(-1.5, 1.5, (40, 3)))]
+    t0 = np.array([0.0, 0.1, 0.22, 0.3, 0.4])[np.arange(len(points)) % 5]  # some start at each snapshot, the last included
+    alone = through(spark, wind, points, t0, start, end, f"{tmp_path}/1", scheme, **options)
+    assert set(alone.time_idx) == set(range(5)) and alone[alone.tracer_id == 4].shape[0] == 1
+    for together, share in ((3, 4), (9, tiling.SHARE)):
+        monkeypatch.setattr(tiling, "SHARE", share)
+        pd.testing.assert_frame_equal(alone, through(spark, wind, points, t0, start, end, f"{tmp_path}/{together}", scheme, together=together, **options), check_exact=True)
+    assert len(list(Path(f"{tmp_path}/9").glob("steps/step=*"))) == 1 and rounds(f"{tmp_path}/9") <= rounds(f"{tmp_path}/1")
+    with pytest.raises(ValueError, match="or more"):
+        through(spark, wind, points, t0, 0, 4, f"{tmp_path}/none", scheme, together=0)
+
+
+def test_particles_that_stay_need_one_job_for_all_their_steps(spark, wind, tmp_path):
+    points, flown = [(1.5, 1.5, 0.3), (-1.5, 1.4, 0.2)], {}
+    for together in (1, 4):
+        flown[together] = through(spark, wind, points, [0, 0], 0, 4, f"{tmp_path}/{together}", "expl_trap", size=64, together=together)
+    pd.testing.assert_frame_equal(flown[1], flown[4], check_exact=True)
+    assert (rounds(f"{tmp_path}/1"), rounds(f"{tmp_path}/4")) == (4, 1)
+
+
+def test_a_part_is_sent_from_its_latest_particle_on(spark):
+    points = spark.createDataFrame([(0, 7, 3), (1, 7, 2), (2, 8, 4)], "tracer_id long, tile long, at int")
+    rows = spark.createDataFrame([(t, n) for t in (7, 8, 9) for n in range(6)], "tile long, time_idx int")
+    for way, want in ((1, {7: {1, 2, 3, 4, 5}, 8: {3, 4, 5}}), (-1, {7: {0, 1, 2, 3, 4}, 8: {0, 1, 2, 3, 4, 5}})):
+        _, sent = tiling._dealt(points, rows, ["tile"], (F.col("at") * way - 1, F.col("time_idx") * way))
+        got = {}
+        for r in sent.collect():
+            got.setdefault(r.tile, set()).add(r.time_idx)
+        assert got == want
+
+
 def test_snapshot_runs_into_a_folder_of_another_run(spark, wind, tmp_path):
     grid, times, field = wind
     s = spark.createDataFrame([(0, 1.0, 0.0, 0.0, 0.0)], "tracer_id long, x double, y double, z double, t0 double")
     call = {"seeds": s, "field": field, "grid": grid, "times": times, "start": 0, "end": 2, "folder": f"{tmp_path}/r", "keys": ["rho"], "vel_keys": ["vx", "vy", "vz"], "scheme": "euler"}
     first = advance.advance_snapshots(**call).toPandas()
     pd.testing.assert_frame_equal(first, advance.advance_snapshots(**call).toPandas(), check_exact=True)
-    changes = {"seeds": s.withColumn("x", F.lit(0.8)), "field": field.where("i < 31"), "end": 1, "keys": ["vx"], "scheme": "rk4", "method": "linear", "size": 8}
+    changes = {"seeds": s.withColumn("x", F.lit(0.8)), "field": field.where("i < 31"), "end": 1, "keys": ["vx"], "scheme": "rk4", "method": "linear", "size": 8, "together": 2}
     for name, value in changes.items():
         if name == "field":
             value = spark.createDataFrame(value.limit(5).toPandas())

@@ -61,9 +61,9 @@ def wind(spark, tmp_path_factory):
     return octree(), spark.read.parquet(path)
 
 
-def through(spark, tree, blocks, points, folder, scheme="expl_trap", start=0, end=4):
+def through(spark, tree, blocks, points, folder, scheme="expl_trap", start=0, end=4, **more):
     seeds = spark.createDataFrame([(i, *map(float, p), TIMES[start]) for i, p in enumerate(points)], "tracer_id long, x double, y double, z double, t0 double")
-    got = advance.advance_snapshots(seeds, blocks, tree, TIMES, start, end, folder, ["rho"], KEYS, scheme)
+    got = advance.advance_snapshots(seeds, blocks, tree, TIMES, start, end, folder, ["rho"], KEYS, scheme, **more)
     return got.toPandas().sort_values(["tracer_id", "time_idx"]).reset_index(drop=True)
 
 
@@ -89,6 +89,14 @@ def test_each_point_has_the_block_whose_cells_hold_it():
         Octree(tree.root, (7, 8, 8), tree.blocks)
 
 
+def test_steps_through_blocks_taken_together(spark, wind, tmp_path):
+    tree, blocks = wind
+    for scheme in ("impl_trap", "rk4"):
+        alone = through(spark, tree, blocks, POINTS, f"{tmp_path}/{scheme}1", scheme)
+        for together in (2, 4):
+            pd.testing.assert_frame_equal(alone, through(spark, tree, blocks, POINTS, f"{tmp_path}/{scheme}{together}", scheme, together=together), check_exact=True)
+
+
 def finely(flow, p, start, end, n=400):
     p = np.array(p, float).T
     for i in range(n):
