@@ -92,7 +92,8 @@ def test_command_line_from_files_to_histories(spark, tmp_path, kind):
     for n in range(4):
         vtk.write_snapshot(f"{tmp_path}/in/s{n}.vtk", 0.5 * n, (r, th, ph), {"dens": one * (2 if kind == "volume" else 1), **v})
     more = ["--r-min", "1.5", "--r-max", "3", "--n-r", "2"] if kind == "volume" else ["--r-surf", "2"]
-    a = job.parsed(["--data-dir", f"{tmp_path}/in", "--output-dir", f"{tmp_path}/out", "--start-t", "0", "--end-t", "1.5", "--keys", "rho", "V_u_x", "V_u_y", "V_u_z", "--integrator", "expl_trap", kind, *more, "--n-th", "3", "--n-ph", "4"])
+    common = ["--start-t", "0", "--end-t", "1.5", "--keys", "rho", "V_u_x", "V_u_y", "V_u_z", "--integrator", "expl_trap", kind, *more, "--n-th", "3", "--n-ph", "4"]
+    a = job.parsed(["--data-dir", f"{tmp_path}/in", "--output-dir", f"{tmp_path}/out", *common])
     traj, props = job.run(spark, a)
     n = 24 if kind == "volume" else 36
     assert props.count() == n and {r.status for r in props.collect()} <= {"active", "done"}
@@ -100,6 +101,12 @@ def test_command_line_from_files_to_histories(spark, tmp_path, kind):
     assert len(ends) == n and np.allclose(ends.b - ends.a, 0.5 * ends.t, atol=0.05)
     total = props.agg(F.sum("mass_quad")).first()[0]
     assert total == pytest.approx(2 * 4 / 3 * np.pi * (27 - 1.5**3) if kind == "volume" else 16 * np.pi * 0.5 * 1.5, rel=1e-2)
+    if kind == "surface":  # seeds that start at three snapshots, all steps in one job
+        again, _ = job.run(spark, job.parsed(["--data-dir", f"{tmp_path}/in", "--output-dir", f"{tmp_path}/together", "--steps-a-job", "3", *common]))
+        by = ["tracer_id", "time_idx"]
+        pd.testing.assert_frame_equal(traj.toPandas().sort_values(by, ignore_index=True), again.toPandas().sort_values(by, ignore_index=True), check_exact=True)
+    with pytest.raises(SystemExit):
+        job.parsed(["--data-dir", "x", "--steps-a-job", "0", *common])
     with pytest.raises(SystemExit):
         job.parsed(["--data-dir", "x", "--start-t", "0", "--end-t", "1", "--keys", "rho", "volume", *more, "--n-th", "3", "--n-ph", "4"])
 
