@@ -5,7 +5,15 @@ whose edges are pieces, and an end follows the last word. Pieces are drawn indep
 the training rows, so the text's probability is the product of its words' lattice sums, which a forward recursion in
 log space gives. Bytes are pieces too: every text has a positive probability.
 
-The vocabulary file is read as it is. Scores of a unigram model are logarithms of probabilities; those of a BPE model are
+``fit`` with rounds, as the query calls it, learns the chances of the pieces. A word of the training rows is an edge from its
+first to its last character too: its count less a discount gives its chance, and the discounts of all, estimated from the words
+that training has once and twice, are the chance that a word is spelt by pieces (all words, so that is summed in for known ones as well).
+What spelling has to give is new words, so it learns from distinct training words, each once: rounds of forward and backward
+sums (in plain, scaled numbers; STRETCH characters at most side by side) expect pieces, by their place in the word: first or
+later, last or not. The chances of all words sum to 1 at most, whereas the base score gives each of any number of unknown
+words the same chance, so on texts of many new words it is the higher one.
+
+Without rounds the chances are the vocabulary's own. The vocabulary file is read as it is. Scores of a unigram model are logarithms of probabilities; those of a BPE model are
 ranks, which become probabilities by Zipf's law, (rank + SHIFT) to a power of ``EXPONENTS``: the one under which the training
 words are likeliest counts. That choice and the counts of the base score come from all training rows.
 
@@ -25,7 +33,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +52,11 @@ AREA, LONG = 1 << 16, 512
 #: Texts whose words a task holds at a time when it scores.
 ROWS = 512
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 22
+_BITS = 20
+#: How often the query learns the spelling's chances from its own expected counts, and the pieces that the prior counts for.
+ROUNDS, PRIOR = 3, 1000.0
+#: Longest stretch of characters that is spelt in plain, scaled numbers, and the area of stretches side by side.
+STRETCH, SIDE = 32, 1 << 14
 
 
 def vocabulary_path() -> str:
@@ -66,7 +78,7 @@ class Pieces:
     log_p: np.ndarray
     log_byte: np.ndarray
     longest: int
-    hit: np.ndarray  # which upper bits of a hash some piece has
+    hit: np.ndarray  # by the upper bits of a hash: one more than the place of the first piece that has them, 0 for none
 
 
 def piece_hash(codes: np.ndarray) -> np.uint64:
@@ -90,8 +102,8 @@ def pieces_of(scores: dict[str, float], byte_scores: list[float], exponents: tup
     log -= np.logaddexp.reduce(log, axis=1)[:, None]
     hashes = np.array([piece_hash(_codes(n)) for n in names], np.uint64)
     order = np.argsort(hashes)
-    hit = np.zeros(1 << _BITS, bool)
-    hit[hashes >> np.uint64(64 - _BITS)] = True
+    hit = np.zeros(1 << _BITS, np.int32)
+    hit[hashes[order][::-1] >> np.uint64(64 - _BITS)] = np.arange(len(hashes), 0, -1)
     return Pieces(hashes[order], log[:, : len(s)][:, order], log[:, len(s) :], max(map(len, names), default=1), hit)
 
 
@@ -127,10 +139,13 @@ def _edges(codes: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, np.ndarray,
         if n > 1:
             h[:, : n - 1] = 0
         flat = h.ravel()
-        at = np.flatnonzero(pieces.hit[flat >> np.uint64(64 - _BITS)] & (codes.ravel() > 0))
+        at = np.flatnonzero((pieces.hit[flat >> np.uint64(64 - _BITS)] > 0) & (codes.ravel() > 0))
         at = at[at % codes.shape[1] >= n - 1]
-        found = np.minimum(np.searchsorted(pieces.hashes, flat[at]), len(pieces.hashes) - 1)
-        ok = pieces.hashes[found] == flat[at] if len(pieces.hashes) else np.zeros(0, bool)
+        wanted = flat[at]
+        found = pieces.hit[wanted >> np.uint64(64 - _BITS)] - 1
+        other = np.flatnonzero(pieces.hashes[found] != wanted)
+        found[other] = np.minimum(np.searchsorted(pieces.hashes, wanted[other]), len(pieces.hashes) - 1)
+        ok = pieces.hashes[found] == wanted
         yield n, at[ok], found[ok]
 
 
@@ -203,6 +218,157 @@ def marginals(words: list[str], pieces: Pieces, go_on: float = 0.0) -> np.ndarra
     return out
 
 
+@dataclass(frozen=True)
+class Spelling:
+    """Chances of spelling a word by pieces, one drawn after another until one is the last. ``chance`` (4, pieces + 1) is by
+    place, 2 * (not at the word's begin) + (at its end), and piece, the last being a character in bytes: a first piece's chances, ended or
+    not, sum to 1, and so do a later one's. The chances of all words sum to 1 at most."""
+
+    pieces: Pieces
+    chance: np.ndarray
+    by_byte: np.ndarray  # log-probabilities of bytes (256,), given that a character is spelt in them
+    prior: np.ndarray  # as ``chance``, before anything was learnt
+
+    def learnt(self, counts: np.ndarray) -> Spelling:
+        """The spelling whose pieces are as frequent as in ``counts`` and ``PRIOR`` pieces of the prior."""
+        more = (counts + PRIOR / 2 * self.prior).reshape(2, -1)
+        return replace(self, chance=(more / more.sum(1, keepdims=True)).reshape(4, -1))
+
+
+def first_spelling(pieces: Pieces) -> Spelling:
+    """By the vocabulary's own chances (the middle exponent's), the same at each place, each piece as likely the last as not."""
+    e = len(pieces.log_p) // 2
+    all_bytes = np.logaddexp.reduce(pieces.log_byte[e])
+    chance = np.tile(np.exp(np.append(pieces.log_p[e], all_bytes)) / 2, (4, 1))
+    return Spelling(pieces, chance, pieces.log_byte[e] - all_bytes, chance)
+
+
+def _character_bytes(codes: np.ndarray, spelling: Spelling) -> np.ndarray:
+    """Like ``codes``: log-probability of each character's bytes."""
+    own = Pieces(spelling.pieces.hashes, spelling.chance[:1], spelling.by_byte[None, :], 1, spelling.pieces.hit)
+    low = _byte_sums(np.arange(1, 0x3001, dtype=np.uint64), own)[0]
+    at = codes.astype(np.int64) - 1
+    out = low[np.clip(at, 0, len(low) - 1)]
+    high = at >= len(low)
+    out[high] = _byte_sums(codes[high], own)[0]
+    return out
+
+
+def _spelt_edges(codes: np.ndarray, first: np.ndarray, last: np.ndarray, spelling: Spelling) -> tuple[np.ndarray, ...]:
+    """(row, place of its last character, length, place in ``chance``, log-chance) of each piece in ``codes`` (stretches, characters), then
+    of each character in bytes; ``first`` and ``last``: whether a stretch begins and ends its word."""
+    n_pieces, size = len(spelling.pieces.hashes), (codes > 0).sum(1)
+    parts = list(_edges(codes, spelling.pieces))
+    in_bytes = np.flatnonzero(codes.ravel() > 0)
+    at = np.concatenate([*(a for _, a, _ in parts), in_bytes])
+    which = np.concatenate([*(f for _, _, f in parts), np.full(len(in_bytes), n_pieces)])
+    length = np.repeat([*(n for n, _, _ in parts), 1], [*(len(a) for _, a, _ in parts), len(in_bytes)])
+    row, end = np.divmod(at, codes.shape[1])
+    place = 2 * ((end >= length) | ~first[row]) + ((end == size[row] - 1) & last[row])
+    index = place * (n_pieces + 1) + which
+    with np.errstate(divide="ignore"):
+        log = np.log(spelling.chance).ravel()[index]
+    log[len(at) - len(in_bytes) :] += _character_bytes(codes.ravel()[in_bytes], spelling)
+    return row, end, length, index, log
+
+
+def _spelt_side_by_side(codes: np.ndarray, first: np.ndarray, last: np.ndarray, spelling: Spelling, counts: np.ndarray | None = None) -> np.ndarray:
+    """Log-probability of each stretch of ``codes`` (stretches, characters; 0 past an end); adds the expected number of each piece to
+    ``counts``. A character's numbers are divided by the root of its chance of standing alone, so sums are between the product of such
+    roots and its inverse, which ``STRETCH`` keeps in range."""
+    size, (n, width) = (codes > 0).sum(1), codes.shape
+    row, end, length, index, log = _spelt_edges(codes, first, last, spelling)
+    one = length == 1
+    alone = np.bincount(row[one] * width + end[one], np.exp(log[one]), n * width).reshape(n, width)
+    scale = np.zeros((width + 1, n))
+    scale[1:] = np.cumsum(np.log(np.where(codes > 0, alone, 1)) / 2, 1).T
+    begin = end + 1 - length
+    p = np.exp(log - scale[end + 1, row] + scale[begin, row])
+    most = int(length.max())
+    edges = np.bincount(((length - 1) * width + end) * n + row, p, most * width * n).reshape(most, width, n)
+    ahead = np.zeros((width + 1, n))
+    ahead[0] = 1
+    for t in range(1, width + 1):
+        for k in range(1, min(t, most) + 1):
+            ahead[t] += ahead[t - k] * edges[k - 1, t - 1]
+    each = np.arange(n)
+    total = ahead[size, each]
+    if counts is not None:
+        behind = np.zeros((width + 1, n))
+        behind[size, each] = 1
+        for t in range(width - 1, -1, -1):
+            for k in range(1, min(width - t, most) + 1):
+                behind[t] += behind[t + k] * edges[k - 1, t + k - 1]
+        counts += np.bincount(index, ahead[begin, row] * p * behind[end + 1, row] * (1 / total)[row], counts.size).reshape(counts.shape)
+    return np.log(total) + scale[size, each]
+
+
+def _spelt_alone(word: np.ndarray, spelling: Spelling) -> float:
+    """Log-probability of one long word, stretch by stretch as ``_alone``."""
+    keep = spelling.pieces.longest
+    sums = [0.0] + [-math.inf] * (keep - 1)  # the newest first
+    for begin in range(0, len(word), SIDE):
+        back = min(begin, keep - 1)
+        part = word[begin - back : begin + SIDE]
+        ends: list[list[tuple[int, float]]] = [[] for _ in part]
+        sides = np.array([begin == back]), np.array([begin + SIDE >= len(word)])
+        _, end, length, _, log = _spelt_edges(part[None, :], *sides, spelling)
+        for a, n, x in zip(end.tolist(), length.tolist(), log.tolist(), strict=True):
+            ends[a].append((n, x))
+        for a in range(back, len(part)):
+            terms = [sums[n - 1] + x for n, x in ends[a]]
+            top = max(terms)
+            sums.insert(0, top + math.log(sum(math.exp(x - top) for x in terms)))
+            sums.pop()
+    return sums[0]
+
+
+def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all words with their marks, one after another, and where each begins and its length."""
+    codes = _codes("".join(f"{MARK}{w}\n" for w in words))  # no word holds a line's end
+    end = np.flatnonzero(codes == np.uint64(ord("\n") + 1))
+    begin = np.append(0, end[:-1] + 1)[: len(end)]
+    return codes, begin, end - begin
+
+
+def _like_lengths(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``begin`` and the codes there, side by side (0 past ``size``)."""
+    order, at = np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        widest = size[order[min(at + SIDE // size[order[at]], len(order) - 1)]]
+        group = order[at : at + max(1, SIDE // widest)]
+        place = np.arange(size[group].max())
+        inside = place < size[group][:, None]
+        yield group, np.where(inside, codes[np.where(inside, begin[group][:, None] + place, 0)], np.uint64(0))
+        at += len(group)
+
+
+def spelt(words: list[str], spelling: Spelling) -> np.ndarray:
+    """Natural logarithm of each word's chance of being spelt, its mark included, over all segmentations."""
+    out, (codes, begin, size) = np.zeros(len(words)), _flat(words)
+    short = np.flatnonzero(size <= STRETCH)
+    with np.errstate(over="ignore"):
+        for group, part in _like_lengths(codes, begin[short], size[short]):
+            whole = np.ones(len(group), bool)
+            out[short[group]] = _spelt_side_by_side(part, whole, whole, spelling)
+        for i in np.flatnonzero(size > STRETCH):
+            out[i] = _spelt_alone(codes[begin[i] : begin[i] + size[i]], spelling)
+    return out
+
+
+def expected(words: list[str], spelling: Spelling, counts: np.ndarray) -> None:
+    """Adds to ``counts`` (as ``chance``) how often each piece is expected in ``words``, once each; a long word is cut in stretches."""
+    codes, begin, size = _flat(words)
+    parts = -(-size // STRETCH)
+    word = np.repeat(np.arange(len(words)), parts)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first, last = place == 0, place == parts[word] - 1
+    length = np.where(last, size[word] - STRETCH * place, STRETCH)
+    with np.errstate(over="ignore"):
+        for group, part in _like_lengths(codes, begin[word] + STRETCH * place, length):
+            _spelt_side_by_side(part, first[group], last[group], spelling, counts)
+
+
 def key_of(word: bytes) -> bytes:
     """The word or, of a longer one, a hash behind a space, which no word holds."""
     return word if len(word) <= SHORT else b" " + hashlib.sha256(word).hexdigest()[: SHORT - 2].encode()
@@ -256,12 +422,58 @@ class Model:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
-def fit(documents: DataFrame, training: str, pieces: Pieces) -> Model:
-    """Counts and lattice sums of every word of ``documents`` (text and the boolean column ``training``)."""
+def learnt_spelling(taught: DataFrame, spelling: Spelling) -> Spelling:
+    """One round of learning: the chances under which the pieces expected in each word of ``taught`` (word) are likeliest. What goes to
+    the driver is a number for each piece and place."""
+    shared = taught.sparkSession.sparkContext.broadcast(spelling)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(shared.value.chance.shape)
+        for batch in batches:
+            expected(batch["word"].to_pylist(), shared.value, counts)
+        (at,) = np.nonzero(counts.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts.ravel()[at])], ["at", "n"])
+
+    sums = taught.select("word").mapInArrow(count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(spelling.chance.size)
+    counts[sums["at"].to_numpy()] = sums["n"].to_numpy()
+    return spelling.learnt(counts.reshape(spelling.chance.shape))
+
+
+def _weigh_learnt(counted: DataFrame, pieces: Pieces, rounds: int, end_chance: float, total: int, distinct: int) -> DataFrame:
+    """key, c, n, log0 of each word but the end, by chances learnt from the training words."""
+    taught = counted.where("word != '' AND c > 0")
+    spelling = first_spelling(pieces)
+    for _ in range(rounds):
+        spelling = learnt_spelling(taught, spelling)
+    once, twice = taught.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+    off = (once + 0.5) / (once + 2 * twice + 1)
+    spell = off * distinct / total if total else 1.0
+    shared = counted.sparkSession.sparkContext.broadcast(spelling)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch["word"].to_pylist()
+            by_pieces = spelt(words, shared.value) + math.log(spell)
+            with np.errstate(divide="ignore"):
+                whole = np.log(np.maximum(batch["c"].to_numpy() - off, 0) / max(total, 1))
+            value = (np.logaddexp(by_pieces, whole) + math.log1p(-end_chance)) / math.log(10)
+            keys = pa.array([key_of(w.encode()) for w in words], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([keys, batch["c"], batch["n"], pa.array(value)], ["key", "c", "n", "log0"])
+
+    return saved(counted.where("word != ''").mapInArrow(weigh, "key string, c long, n long, log0 double"), "lattice-words")
+
+
+def fit(documents: DataFrame, training: str, pieces: Pieces, rounds: int = 0) -> Model:
+    """Counts and lattice sums of every word of ``documents`` (text and the boolean column ``training``): by the vocabulary's own
+    chances or, with ``rounds``, by chances learnt in so many."""
     counted = saved(word_counts(documents, training), "lattice-counts")
     sums = counted.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum("n"), F.max(F.when(F.col("word") == "", F.col("c")))).first()
     total, distinct, every, ends = (x or 0 for x in sums)
     chance = (ends + 0.5) / (total + 1)
+    if rounds:
+        words = _weigh_learnt(counted, pieces, rounds, chance, total - ends, distinct - (ends > 0))
+        return Model(words, 0, math.log10(chance), total, distinct, ends, every)
     shared = counted.sparkSession.sparkContext.broadcast(pieces)
     logs = [f"log{i}" for i in range(len(pieces.log_p))]
 
@@ -326,6 +538,6 @@ def score_documents(documents: DataFrame, model: Model, keep: list[str]) -> Data
 def op11_lattice(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Every document's base score and lattice probability, learnt from rows whose crc32(doc_id) mod 5 is not 1."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 5, 1).alias("held_out")).withColumn("teaches", ~F.col("held_out"))
-    model = fit(documents, "teaches", read_pieces(path or vocabulary_path()))
+    model = fit(documents, "teaches", read_pieces(path or vocabulary_path()), ROUNDS)
     scored = score_documents(documents, model, ["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
