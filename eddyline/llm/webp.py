@@ -24,6 +24,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,11 @@ _EIGHT = np.arange(8, dtype=np.intp)
 _PLACE = np.arange(8 * _CHUNK, dtype=np.intp)
 
 
+#: Numbers of 15 bits with the bits turned round.
+_TURNED = sum(((np.arange(1 << 15) >> k & 1) << (14 - k) for k in range(15)), np.zeros(1 << 15, np.intp))
+_TURNED_LIST = _TURNED.tolist()
+
+
 class Bits:
     """Reads bits from the least significant on."""
 
@@ -63,9 +69,9 @@ class Bits:
 def canonical(lengths: list[int]) -> list[tuple[int, int, int]]:
     """(symbol, length, code with its first bit lowest) of the symbols in use."""
     out, code, before = [], 0, 0
-    for n, symbol in sorted((n, s) for s, n in enumerate(lengths) if n):
+    for n, symbol in sorted([(n, s) for s, n in enumerate(lengths) if n]):
         code <<= n - before
-        out.append((symbol, n, int(f"{code:0{n}b}"[::-1], 2)))
+        out.append((symbol, n, _TURNED_LIST[code] >> (15 - n)))
         code, before = code + 1, n
     return out
 
@@ -74,18 +80,19 @@ class Code:
     """A prefix code as a table over its longest code's bits."""
 
     def __init__(self, lengths: list[int]):
-        used = canonical(lengths)
-        if not used:
-            used = [(0, 0, 0)]
-        if len(used) == 1:
-            used = [(used[0][0], 0, 0)]
-        elif sum(1 << (15 - n) for _, n, _ in used) != 1 << 15:
+        size = np.array(lengths, np.intp)
+        used = np.flatnonzero(size)
+        if len(used) < 2:
+            used, size = used if len(used) else np.zeros(1, np.intp), np.zeros(max(1, len(size)), np.intp)
+        elif (1 << 15 - size[used]).sum() != 1 << 15:
             raise ValueError("a prefix code isn't complete")
-        self.bits = max(n for _, n, _ in used)
-        self.symbol, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.intp)
-        for symbol, n, code in used:
-            self.symbol[code :: 1 << n], self.length[code :: 1 << n] = symbol, n
-        self.only = used[0][0] if self.bits == 0 else None
+        used = used[np.argsort(size[used], kind="stable")]
+        size = size[used]
+        self.bits = int(size[-1])
+        # codes rise with the symbols, so each has the next share of the numbers whose bits are turned round
+        turned = np.repeat(np.arange(len(used)), 1 << self.bits - size)[_TURNED[: 1 << self.bits] >> (15 - self.bits)]
+        self.symbol, self.length = used[turned].astype(np.int32), size[turned]
+        self.only = int(used[0]) if self.bits == 0 else None
         self._table: list[tuple[int, int]] = []
 
     def read(self, bits: Bits) -> int:
@@ -148,9 +155,13 @@ def _parse_code(bits: Bits, size: int) -> Code:
     reader = Code(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     lengths, before = [], 8
+    table = list(zip(reader.symbol.tolist(), reader.length.tolist(), strict=True))
+    data, mask = bits.data, len(table) - 1
     while len(lengths) < size and left > 0:
         left -= 1
-        s = reader.read(bits)
+        low = bits.at >> 3
+        s, n = table[(data[low] | data[low + 1] << 8 if low + 1 < len(data) else int.from_bytes(data[low:], "little")) >> (bits.at & 7) & mask]
+        bits.at += n
         if s < 16:
             lengths.append(s)
             before = s or before
@@ -435,19 +446,15 @@ def _described(lengths: list[int]) -> list[tuple[int, int]]:
 
 @lru_cache(1024)
 def _description(lengths: tuple[int, ...]) -> list[tuple[int, int]]:
-    used = [s for s, n in enumerate(lengths) if n]
+    used = np.flatnonzero(lengths).tolist()
     if len(used) <= 2 and all(s < 256 for s in used):
         first, second = [*used, 0, 0][:2] if used else (0, 0)
         short = first < 2
         return [(1, 1), (int(len(used) == 2), 1), (int(not short), 1), (first, 1 if short else 8), *([(second, 8)] if len(used) == 2 else [])]
     tokens: list[tuple[int, int, int]] = []  # symbol of the code of lengths, extra, its bits
-    i, before = 0, 8
-    last = max(used) + 1
-    while i < last:
-        n, run = lengths[i], 1
-        while i + run < last and lengths[i + run] == n:
-            run += 1
-        i += run
+    before, last = 8, max(used) + 1
+    for n, same in groupby(lengths[:last]):
+        run = len(list(same))
         if n and n != before:
             tokens.append((n, 0, 0))
             before, run = n, run - 1
@@ -485,15 +492,16 @@ def matches(samples: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(samples) - HASHED + 1
     if n <= LEAST_MATCH:
         return []
-    code = np.zeros(n, np.uint64)
-    for k in range(HASHED):
-        code |= samples[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    code = np.ndarray(n, f"<u{HASHED}", np.ascontiguousarray(samples, np.uint8), strides=(1,)).astype(np.uint64)
     order = np.argsort((code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
-    same = code[order[1:]] == code[order[:-1]]
-    back = np.zeros(n, np.int64)
-    back[order[1:][same]] = order[1:][same] - order[:-1][same]
-    edge = np.flatnonzero(np.diff(back, prepend=-1))
-    size = np.diff(np.append(edge, n)) + HASHED - 1
+    in_order = code[order]
+    same = np.flatnonzero(in_order[1:] == in_order[:-1])
+    if not len(same):
+        return []
+    back, later = np.zeros(n, np.int64), order[same + 1]
+    back[later] = later - order[same]
+    edge = np.append(0, np.flatnonzero(back[1:] != back[:-1]) + 1)
+    size = np.append(edge[1:], n) - edge + HASHED - 1
     out, at = [], 0
     good = (back[edge] > 0) & (size >= LEAST_MATCH)
     for place, length, distance in zip(edge[good].tolist(), size[good].tolist(), back[edge][good].tolist(), strict=True):
@@ -506,6 +514,20 @@ def matches(samples: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def _size(bits: list[tuple[int, int]]) -> int:
+    return sum([n for _, n in bits])
+
+
+def _table(lengths: list[int]) -> np.ndarray:
+    """(code, its bits) by symbol."""
+    out = np.zeros((len(lengths), 2), np.int64)
+    used = canonical(lengths)
+    if len(used) > 1:
+        used = np.array(used)
+        out[used[:, 0]] = used[:, [2, 1]]
+    return out
+
+
 class _Tokens:
     """Literals and back-references of an image, in order, and what each code for them costs."""
 
@@ -515,11 +537,8 @@ class _Tokens:
         far_counts = np.zeros(40, np.int64)
         if found:
             place, length, distance = (np.array(x, np.int64) for x in zip(*found, strict=True))
-            symbol, extra, extra_n = _prefixed(length)
-            far, far_extra, far_n = _prefixed(distance + 120)
-            covered = np.zeros(len(samples) + 1, np.int64)
-            np.add.at(covered, place, 1)
-            np.add.at(covered, place + length, -1)
+            (symbol, far), (extra, far_extra), (extra_n, far_n) = (np.split(x, 2) for x in _prefixed(np.concatenate([length, distance + 120])))
+            covered = np.bincount(place, minlength=len(samples) + 1) - np.bincount(place + length, minlength=len(samples) + 1)
             literal = np.cumsum(covered[:-1]) == 0
             self.green[place] = 256 + symbol
             literal[place] = True
@@ -532,25 +551,22 @@ class _Tokens:
         self.far = code_lengths(far_counts)
         self.rest = [*_PLAIN_HEADS, *_described(self.far)]
         far_bits = int((far_counts * self.far).sum()) if sum(map(bool, self.far)) > 1 else 0
-        self.fixed_bits = sum(n for _, n in self.rest) + far_bits + int(self.more[:, :, 1].sum())
+        self.fixed_bits = _size(self.rest) + far_bits + int(self.more[:, :, 1].sum())
 
     def priced(self, lengths: list[int], head: list[tuple[int, int]]) -> int:
         """Bits that the image takes with a green code of these lengths, described by ``head``."""
-        return self.fixed_bits + sum(n for _, n in head) + (int((self.counts * lengths).sum()) if sum(map(bool, lengths)) > 1 else 0)
+        return self.fixed_bits + _size(head) + (int(self.counts @ np.array(lengths)) if len(lengths) - lengths.count(0) > 1 else 0)
 
     def written(self, lengths: list[int], head: list[tuple[int, int]]) -> np.ndarray:
-        def table(lengths):
-            out = np.zeros((len(lengths), 2), np.int64)
-            used = canonical(lengths)
-            for symbol, k, code in used if len(used) > 1 else ():
-                out[symbol] = code, k
-            return out
-
-        pairs = table(lengths)[self.green]
+        pairs = _table(lengths).take(self.green, 0)
         if len(self.at):
             more = self.more.copy()
-            more[:, 1] = table(self.far)[more[:, 1, 0]]
-            pairs = np.insert(pairs, np.repeat(self.at + 1, 3), more.reshape(-1, 2), 0)
+            more[:, 1] = _table(self.far)[more[:, 1, 0]]
+            literal, place = np.ones(len(pairs) + 3 * len(self.at), bool), (self.at + 1 + 3 * np.arange(len(self.at)))[:, None] + np.arange(3)
+            literal[place] = False
+            whole = np.empty((len(literal), 2), np.int64)
+            whole[literal], whole[place] = pairs, more
+            pairs = whole
         return np.concatenate([np.array([*head, *self.rest], np.int64), pairs])
 
 
@@ -605,7 +621,7 @@ def encoded_stream(samples: np.ndarray, height: int) -> bytes:
         small = _Tokens(packed, matches(packed))
         own = code_lengths(small.counts)
         ways.append(([*head, (0, 1)], small, own, _described(own)))
-    head, tokens, lengths, described = min(ways, key=lambda w: sum(n for _, n in w[0]) + w[1].priced(w[2], w[3]))
+    head, tokens, lengths, described = min(ways, key=lambda w: _size(w[0]) + w[1].priced(w[2], w[3]))
     first = np.array([(0x2F, 8), (WIDTH - 1, 14), (height - 1, 14), (0, 4), *head, (0, 1), (0, 1)], np.int64)
     return _packed_bits(np.concatenate([first, tokens.written(lengths, described)]))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import sys
 import zlib
 
 import duckdb
@@ -506,3 +507,51 @@ def test_dense_groups_meet_where_a_few_of_them_link(spark, seed, dim, size, brid
         component = new
     got = neighbours.near_duplicates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>"))[0].toPandas().sort_values("vec_id")
     assert got.n_links.tolist() == (link.sum(1) - 1).tolist() and got.component_id.tolist() == component.tolist() and got.kept.tolist() == (component == np.arange(len(v))).tolist()
+
+
+def test_codes_as_tables_are_those_of_their_symbols():
+    rng = np.random.default_rng(5)
+    for size, used in ((280, 200), (256, 17), (40, 2), (19, 19), (256, 1), (256, 0)):
+        counts = np.zeros(size, int)
+        counts[rng.permutation(size)[:used]] = rng.geometric(0.01, used)
+        lengths = webp.code_lengths(counts, 15 if used > 19 else 7)
+        code = webp.Code(lengths)
+        if used < 2:
+            assert code.only == (int(np.flatnonzero(counts)[0]) if used else 0) and code.length.tolist() == [0]
+            continue
+        expected = 0  # codes rise, shorter ones first
+        for symbol, n, bits in webp.canonical(lengths):
+            assert int(f"{bits:0{n}b}"[::-1], 2) << (15 - n) == expected
+            expected += 1 << (15 - n)
+            assert (code.symbol[bits :: 1 << n] == symbol).all() and (code.length[bits :: 1 << n] == n).all()
+        assert code.only is None and len(code.symbol) == 1 << max(lengths)
+    for bad in ([1, 1, 1], [2, 1], [15, 15, 1]):
+        with pytest.raises(ValueError, match="complete"):
+            webp.Code(bad)
+
+
+def test_repeats_don_t_depend_on_how_samples_are_held():
+    data = np.frombuffer(b"the same words again and again, and then some more of them; " * 20, np.uint8)
+    assert webp.matches(data) and webp.matches(data) == webp.matches(data.astype(np.int64)) == webp.matches(np.repeat(data, 2)[::2])
+
+
+def test_a_text_takes_few_python_calls():
+    """A short text's time is its calls, as most arrays are small; what it takes is counted, as seconds depend on the machine."""
+    rng = np.random.default_rng(6)
+    words = ["".join(map(chr, rng.integers(97, 123, int(n)))) for n in rng.integers(2, 9, 300)]
+    texts = [" ".join(words[i] for i in rng.zipf(1.3, 400) % 300).encode() for _ in range(20)]
+    webp.decode_payload(webp.encode_payload(webp.payload_of(texts[0])))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        media = [webp.encode_payload(webp.payload_of(t)) for t in texts]
+        back = [webp.decode_payload(m)[0] for m in media]
+    finally:
+        sys.setprofile(None)
+    assert back == [webp.payload_of(t) for t in texts]
+    assert calls / len(texts) < 1420  # 1563 before
