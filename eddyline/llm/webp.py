@@ -42,6 +42,7 @@ LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 #: Distances 1 to 120 mean near pixels (left, above), the nearest first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 _CHUNK = 1 << 15
+_STEPS = 512  # of eight symbols, walked before their symbols are looked at
 _EIGHT = np.arange(8, dtype=np.intp)
 _PLACE = np.arange(8 * _CHUNK, dtype=np.intp)
 
@@ -110,6 +111,20 @@ class Code:
         return symbol
 
 
+def _small_table(lengths: list[int]) -> list[tuple[int, int]]:
+    """What ``Code`` holds, for a few short codes, as a list of (symbol, length)."""
+    used = canonical(lengths)
+    if len(used) < 2:
+        return [(used[0][0] if used else 0, 0)]
+    longest = used[-1][1]
+    if sum([1 << (longest - n) for _, n, _ in used]) != 1 << longest:
+        raise ValueError("a prefix code isn't complete")
+    table = [(0, 0)] * (1 << longest)
+    for symbol, n, code in used:
+        table[code :: 1 << n] = [(symbol, n)] * (1 << (longest - n))
+    return table
+
+
 _codes: dict[tuple[int, ...], Code] = {}
 
 
@@ -149,13 +164,14 @@ def _parse_code(bits: Bits, size: int) -> Code:
         if two:
             lengths[bits.read(8)] = 1
         return _code(lengths)
-    of_lengths = [0] * 19
-    for i in range(4 + bits.read(4)):
-        of_lengths[LENGTH_ORDER[i]] = bits.read(3)
-    reader = Code(of_lengths)
+    of_lengths, n_own = [0] * 19, 4 + bits.read(4)
+    own = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 9], "little") >> (bits.at & 7)
+    bits.at += 3 * n_own
+    for i in range(n_own):
+        of_lengths[LENGTH_ORDER[i]] = own >> 3 * i & 7
+    table = _small_table(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     lengths, before = [], 8
-    table = list(zip(reader.symbol.tolist(), reader.length.tolist(), strict=True))
     data, mask = bits.data, len(table) - 1
     while len(lengths) < size and left > 0:
         left -= 1
@@ -181,28 +197,39 @@ def _extended(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << n) + bits.read(n) + 1
 
 
-def _literals(bits: Bits, code: Code, most: int) -> np.ndarray:
-    """Symbols up to the first that isn't a literal, ``most`` of them at most; bits move behind them."""
-    out, mask = [], (1 << code.bits) - 1
+def _successors(bits: Bits, code: Code) -> tuple:
+    """Of the chunk that begins at the reader's byte: that byte, where to stop and, for a code at each bit position, its bits and
+    where the first, second, fourth and eighth code behind it starts."""
+    low = bits.at >> 3
+    raw = np.frombuffer(bits.data, np.uint8, min(_CHUNK, len(bits.data) - low), low).astype(np.intp)
+    three = raw.copy()
+    three[:-1] |= raw[1:] << 8
+    three[:-2] |= raw[2:] << 16
+    n = 8 * len(raw)
+    window = (three[:, None] >> _EIGHT).ravel()
+    window &= (1 << code.bits) - 1
+    # near the end of the chunk a code may lack bits: stop there unless the data end too
+    last = n if low + _CHUNK >= len(bits.data) else n - 16
+    after = np.empty(n + 16, np.intp)
+    np.add(code.length.take(window), _PLACE[:n], out=after[:n])
+    after[last:] = n
+    two = after.take(after, mode="clip")
+    four = two.take(two, mode="clip")
+    return low, last, window, after, two, four, memoryview(four.take(four, mode="clip"))
+
+
+def _literals(bits: Bits, code: Code, most: int, ready: list[tuple]) -> np.ndarray:
+    """Symbols up to the first that isn't a literal, ``most`` of them at most; bits move behind them. ``ready`` keeps the chunk's
+    successors from call to call, as long as the data and the code are the same."""
+    out = []
     while most > 0:
-        low = bits.at >> 3
-        raw = np.frombuffer(bits.data, np.uint8, min(_CHUNK, len(bits.data) - low), low).astype(np.intp)
-        three = raw.copy()
-        three[:-1] |= raw[1:] << 8
-        three[:-2] |= raw[2:] << 16
-        n = 8 * len(raw)
-        window = (three[:, None] >> _EIGHT).ravel()
-        window &= mask
-        # near the end of the chunk a code may lack bits: stop there unless the data end too
-        last = n if low + _CHUNK >= len(bits.data) else n - 16
-        after = np.empty(n + 16, np.intp)
-        np.add(code.length.take(window), _PLACE[:n], out=after[:n])
-        after[last:] = n
-        two = after.take(after, mode="clip")
-        four = two.take(two, mode="clip")
-        eight = memoryview(four.take(four, mode="clip"))
-        walk, at = [], bits.at & 7
-        while at < last:
+        if not ready or bits.at - 8 * ready[0][0] >= ready[0][1]:
+            ready[:] = [_successors(bits, code)]
+        low, last, window, after, two, four, eight = ready[0]
+        walk, at = [], bits.at - 8 * low
+        for _ in range(_STEPS):
+            if at >= last:
+                break
             walk.append(at)
             at = eight[at]
         at = np.array(walk, np.intp)
@@ -241,6 +268,8 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     green, red, blue, alpha, distance = groups[0]
     fixed = None if cache_bits or meta is not None or green.only is not None or None in (red.only, blue.only, alpha.only) else alpha.only << 24 | red.only << 16 | blue.only
 
+    ready: list[tuple] = []
+
     def remember(a: int, b: int) -> None:
         for v in out[a:b].tolist() if cache_bits else ():
             cache[(0x1E35A7BD * v & 0xFFFFFFFF) >> (32 - cache_bits)] = v
@@ -248,7 +277,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     i = 0
     while i < n:
         if fixed is not None:
-            run = _literals(bits, green, n - i)
+            run = _literals(bits, green, n - i, ready)
             out[i : i + len(run)] = run.astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
             i += len(run)
             if i >= n:
@@ -537,16 +566,21 @@ class _Tokens:
         far_counts = np.zeros(40, np.int64)
         if found:
             place, length, distance = (np.array(x, np.int64) for x in zip(*found, strict=True))
-            (symbol, far), (extra, far_extra), (extra_n, far_n) = (np.split(x, 2) for x in _prefixed(np.concatenate([length, distance + 120])))
-            covered = np.bincount(place, minlength=len(samples) + 1) - np.bincount(place + length, minlength=len(samples) + 1)
-            literal = np.cumsum(covered[:-1]) == 0
+            k, (symbol, extra, extra_n) = len(found), _prefixed(np.concatenate([length, distance + 120]))
+            symbol, far = symbol[:k], symbol[k:]
+            literal = np.ones(len(samples), bool)
+            for begin, n, _ in found:
+                literal[begin : begin + n] = False
             self.green[place] = 256 + symbol
             literal[place] = True
             self.at = np.cumsum(literal)[place] - 1
             self.green = self.green[literal]
             far_counts = np.bincount(far, minlength=40)
             # behind a length: its extra bits, the distance's symbol (whose code comes later) and its extra bits
-            self.more = np.stack([np.stack([extra, extra_n], 1), np.stack([far, 0 * far], 1), np.stack([far_extra, far_n], 1)], 1)
+            self.more = np.zeros((k, 3, 2), np.int64)
+            self.more[:, 0, 0], self.more[:, 0, 1] = extra[:k], extra_n[:k]
+            self.more[:, 1, 0] = far
+            self.more[:, 2, 0], self.more[:, 2, 1] = extra[k:], extra_n[k:]
         self.counts = np.bincount(self.green, minlength=280)
         self.far = code_lengths(far_counts)
         self.rest = [*_PLAIN_HEADS, *_described(self.far)]
